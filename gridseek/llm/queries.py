@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridseek.llm import sql
+from gridseek.llm.ann import search
 from gridseek.llm.common import read
+from gridseek.llm.linededup import line_report
 from gridseek.llm.mixing import mix_plan
+from gridseek.llm.neardup import near_duplicates
 from gridseek.llm.packing import pack_documents
+from gridseek.llm.preference import preference_rows, swapped_answers
 from gridseek.llm.quality import Limits, quality_report
+from gridseek.llm.sharding import SHARDS, lookup_table, place
 from gridseek.llm.substring import remove_repeats
 from gridseek.llm.tokencount import token_counts
 
@@ -25,6 +30,25 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = preference_rows(swapped_answers(read(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["from"].cast("string"), x["to"].cast("string"))), ",")
+    return rows.select(
+        "conv_id",
+        "partner",
+        "n_prompt_turns",
+        F.sha2("prompt", 256).alias("prompt_sha256"),
+        F.sha2("chosen_text", 256).alias("chosen_sha256"),
+        spans("chosen_spans").alias("chosen_spans"),
+        F.sha2("rejected_text", 256).alias("rejected_sha256"),
+        spans("rejected_spans").alias("rejected_spans"),
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
@@ -48,10 +72,27 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(read(spark, sf_dir, "documents"), shard_table())
+
+
+def shard_table() -> list[int]:
+    return lookup_table([f"shard-{i:03d}" for i in range(SHARDS)])
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_packing, op4_substring_dedup, op6_quality, op8_mixing, op9_token_counts)
+    own = (op1_near_dedup, op2_preference, op3_packing, op4_substring_dedup, op5_nearest, op6_quality, op7_sharding, op8_mixing, op9_token_counts, op10_line_dedup)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": sql.SUBSTRING, "op6_quality": sql.quality(Limits()), "op8_mixing": sql.MIX}
+    return {"op2_preference": sql.PREFERENCE, "op4_substring_dedup": sql.SUBSTRING, "op6_quality": sql.quality(Limits()), "op7_sharding": sql.sharding(shard_table()), "op8_mixing": sql.MIX}

@@ -50,3 +50,34 @@ SUBSTRING = f"""
       sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
     FROM w LEFT JOIN r USING (doc_id)
 """
+
+_TEXT = "'<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)"
+_SIDE = """string_agg({text}, '' ORDER BY k) AS {c}_text, string_agg((spot + length(t.role) + 5)::VARCHAR || '-' || (spot + length(t.role) + length(t.text) + 13)::VARCHAR, ',' ORDER BY k) FILTER (t.role = 'assistant') AS {c}_spans"""
+
+
+def _side(c: str) -> str:
+    """The completion of one side: its turns after the common ones, rendered, with the answers' places."""
+    places = f"(SELECT conv_id, unnest({c}[n + 1:]) AS t, generate_subscripts({c}[n + 1:], 1) AS k FROM cut)"
+    run = f"(SELECT *, coalesce(sum(length({_TEXT})) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM {places})"
+    return f"{c}_side AS (SELECT conv_id, {_SIDE.format(text=_TEXT, c=c)} FROM {run} GROUP BY conv_id)"
+
+
+#: Op 2: conversations 2i and 2i + 1 lend each other their last answers.
+PREFERENCE = f"""
+    WITH c AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn, role, text) AS chosen FROM conversations GROUP BY conv_id),
+    l AS (SELECT *, coalesce(list_max(list_transform(chosen, lambda t, i: CASE WHEN t.role = 'assistant' THEN i ELSE 0 END)), 0) AS last FROM c),
+    p AS (SELECT a.conv_id, b.conv_id AS partner, a.chosen, CASE WHEN a.last = 0 THEN a.chosen WHEN b.last > 0 THEN list_append(a.chosen[:a.last - 1], b.chosen[b.last]) ELSE a.chosen[:a.last - 1] END AS rejected FROM l a LEFT JOIN l b ON b.conv_id = xor(a.conv_id, 1)),
+    m AS (SELECT *, list_position(list_transform(range(1, greatest(len(chosen), len(rejected)) + 1), lambda i: chosen[i] IS NOT DISTINCT FROM rejected[i]), false) AS d FROM p),
+    cut AS (SELECT *, CASE WHEN d IS NULL OR d = 0 THEN len(chosen) ELSE d - 1 END AS n FROM m),
+    {_side("chosen")}, {_side("rejected")},
+    prompt AS (SELECT conv_id, string_agg({_TEXT}, '' ORDER BY k) AS prompt FROM (SELECT conv_id, unnest(chosen[:n]) AS t, generate_subscripts(chosen[:n], 1) AS k FROM cut) GROUP BY conv_id)
+    SELECT conv_id, partner, n::INTEGER AS n_prompt_turns, sha256(coalesce(prompt, '')) AS prompt_sha256, sha256(coalesce(chosen_text, '')) AS chosen_sha256, coalesce(chosen_spans, '') AS chosen_spans,
+      sha256(coalesce(rejected_text, '')) AS rejected_sha256, coalesce(rejected_spans, '') AS rejected_spans
+    FROM cut LEFT JOIN prompt USING (conv_id) LEFT JOIN chosen_side USING (conv_id) LEFT JOIN rejected_side USING (conv_id)
+"""
+
+
+def sharding(table: list[int]) -> str:
+    """Op 7: the slot from the id's md5, its shard from the table."""
+    return f"""WITH s AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {len(table)} AS slot FROM documents)
+        SELECT doc_id, slot, ({table})[slot + 1]::BIGINT AS shard FROM s"""
