@@ -38,6 +38,8 @@ def index_options(n: int) -> dict:
 def coarse_centroids(passages: DataFrame, lists: int, train: int, seed: int = 1) -> DataFrame:
     """(list, centroid) by k-means on a sample of about `train` rows, by a hash of the id."""
     n = passages.count()
+    if lists < 2:  # one list: any centroid does
+        return hashed_centroids(passages, 1)
     part = F.pmod(F.xxhash64("p_id"), F.lit(1 << 30)) < int(min(1.0, train / max(n, 1)) * (1 << 30))
     sample = passages.filter(part).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=lists, seed=seed, maxIter=10, initSteps=1).fit(sample)
