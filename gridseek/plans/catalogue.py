@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridseek.functions import text as T
 from gridseek.functions.vectors import mean_pool
+from gridseek.operators import examples as E
 from gridseek.operators import gold as G
 from gridseek.operators import metrics as M
 from gridseek.operators import profile as P
@@ -886,3 +887,66 @@ def set_difference_tables(spark, sf_dir):
 )
 def sortish_batches(spark, sf_dir):
     return P.sortish_batches(load(spark, sf_dir, "documents"), "doc_id", "n_chars", 8, blocks=5)
+
+
+# ---- examples -------------------------------------------------------------------------------------
+
+
+@query("SELECT 'train_' || doc_id AS qid, quality FROM labels WHERE doc_id % 5 <> 0")
+def route_by_mode(spark, sf_dir):
+    mode = F.when(F.col("doc_id") % 5 == 0, "dev_").otherwise("train_")
+    return E.route(load(spark, sf_dir, "labels").select(F.concat(mode, F.col("doc_id").cast("string")).alias("qid"), "quality"), "train")
+
+
+@query("SELECT p_partkey AS line, p_name || ' *# ' || p_type || ' *# ' || p_brand AS refs FROM part")
+def reference_merge(spark, sf_dir):
+    return E.merged_references(load(spark, sf_dir, "part").withColumnRenamed("p_partkey", "line"), ["p_name", "p_type", "p_brand"])
+
+
+@query("SELECT p_partkey AS line, (k - 1)::INT AS k, ([p_name, p_type, p_brand])[k] AS ref FROM part, unnest([1, 2, 3]) AS t(k)")
+def reference_interleave(spark, sf_dir):
+    return E.interleaved_references(load(spark, sf_dir, "part").withColumnRenamed("p_partkey", "line"), ["p_name", "p_type", "p_brand"])
+
+
+@query(f"WITH {LABELLED}, s AS (SELECT step::INT AS step, qid, p_id, correct, (p_id * (step * 7 + 3)) % 101 AS sc FROM lab, range(0, 4) AS t(step) WHERE rank <= 20) SELECT step, qid, correct FROM s QUALIFY row_number() OVER (PARTITION BY step, qid ORDER BY sc DESC, p_id) = 1")
+def checkpoint_correctness(spark, sf_dir):
+    steps = labelled(spark, sf_dir).filter("rank <= 20").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return E.step_correctness(steps.withColumn("score", (F.col("p_id") * (F.col("step") * 7 + 3)) % 101))
+
+
+@query(f"SELECT round(avg(({sql_normal("p_name || '!'")} = {sql_normal('p_name')} AND p_partkey % 3 = 0)::INT), 6) AS em, count(*) AS n FROM part")
+def reader_exact_match(spark, sf_dir):
+    said = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("!"))).otherwise("nothing at all")
+    return E.mean_exact_match(load(spark, sf_dir, "part").select(said.alias("prediction"), F.array("p_name").alias("references")))
+
+
+@query("WITH c AS (SELECT o_custkey AS qid, o_orderkey AS cand, (o_orderstatus = 'F')::INT AS em, o_orderkey % 13 AS coherence FROM orders) SELECT qid, em FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY coherence DESC, cand) = 1")
+def coherence_pick(spark, sf_dir):
+    c = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("cand"), F.col("o_orderstatus").alias("prediction"), F.array(F.lit("F")).alias("references"), (F.col("o_orderkey") % 13).alias("coherence"))
+    return E.coherent_answers(c)
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey AS qid, l_suppkey AS p_id, l_linenumber AS token, layer, (l_linenumber % 4 <> 0)::INT AS valid, l_discount * (layer + 1) AS w FROM lineitem, range(0, 2) AS t(layer))
+    SELECT qid, p_id, round(sum(CASE WHEN valid = 1 THEN w ELSE 0 END) / (count(DISTINCT CASE WHEN valid = 1 THEN token END) * count(DISTINCT layer)), 6) AS score FROM a GROUP BY ALL HAVING count(DISTINCT CASE WHEN valid = 1 THEN token END) > 0"""
+)
+def attention_score(spark, sf_dir):
+    lines = load(spark, sf_dir, "lineitem").withColumn("layer", F.explode(F.array(F.lit(0), F.lit(1))))
+    a = lines.select(F.col("l_orderkey").alias("qid"), F.col("l_suppkey").alias("p_id"), F.col("l_linenumber").alias("token"), "layer", F.lit(0).alias("head"), (F.col("l_linenumber") % 4 != 0).cast("int").alias("valid"), (F.col("l_discount") * (F.col("layer") + 1)).alias("weight"))
+    some = a.filter("valid = 1").select("qid", "p_id").distinct()
+    return E.attention_scores(a.join(some, ["qid", "p_id"], "left_semi"))
+
+
+@query("WITH c AS (SELECT c_custkey AS ord, c_name AS question, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE lower(c_mktsegment) END AS target FROM customer WHERE c_custkey % 10 = 1 OR c_custkey % 10 = 2) SELECT ord, question, CASE WHEN target = upper(target) THEN target[1] || lower(target[2:]) ELSE target END AS target, n_name AS first_title FROM c JOIN nation ON n_nationkey = ord % 25")
+def select_examples(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    target = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(F.lower("c_mktsegment"))
+    ex = c.select(F.col("c_custkey").alias("ord"), F.col("c_name").alias("question"), target.alias("target"))
+    picked = c.filter("c_custkey % 10 IN (1, 2)").select(F.col("c_custkey").alias("ord"), F.array(F.col("c_custkey") % 25, (F.col("c_custkey") + 1) % 25).alias("passage_ids"))
+    passages = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("p_id"), F.col("n_name").alias("title"), F.col("n_name").alias("text"))
+    return E.select_examples(picked, ex, passages).select("ord", "question", "target", F.col("ctxs")[0]["title"].alias("first_title"))
+
+
+@query("WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS new_id FROM embeddings WHERE label <> 3) SELECT vec_id AS p_id, new_id FROM p")
+def renumbered_passages(spark, sf_dir):
+    return E.renumbered(vectors(spark, sf_dir).filter("table_id <> 3").select("p_id")).select("p_id", "new_id")
