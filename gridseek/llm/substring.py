@@ -1,10 +1,10 @@
 """Removal of repeated word windows by super-k-mer partitioning.
 
 A window is K consecutive words. Its minimiser is the least hash of its M-word parts, and equal windows
-have equal minimisers. Consecutive windows with one minimiser form a super-k-mer, which travels as one
-packed string (its words as numbers in a small vocabulary, compressed) to the minimiser's bucket. There
-the windows are sorted and counted, and all but the first are reported. Hashes only order the windows:
-equality is decided on the words.
+have equal minimisers. Consecutive windows with one minimiser form a super-k-mer. Where its minimiser
+comes more than once (the minimisers alone are counted first), it travels as one packed string, its words
+as numbers in a small vocabulary, to the minimiser's bucket. There the windows are sorted and counted, and
+all but the first are reported. Hashes only order the windows: equality is decided on the words.
 
 Before anything travels, each block of texts settles what it can alone: a window that starts earlier in
 the same block is a repeat whatever the others hold, so a block sends each distinct window once. A
@@ -22,15 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridseek.llm.common import U64, Block, Hasher, blocks, mix
+from gridseek.llm.common import U64, Block, Hasher, blocks, mix, stored
 
-K, M = 20, 3
+K, M = 20, 6
 BLOCK = 4 << 20
 #: Buckets for each shuffle partition; a task holds one bucket at a time.
 BUCKETS_PER_PARTITION = 4
+#: Document keys up to this many (16 bytes each) are broadcast, so that other texts needn't be shuffled.
+BROADCAST_ROWS = 2_000_000
 _UP, _STEP = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
 NO_ID = -(1 << 63)
 
@@ -139,57 +141,64 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     return (*out, raw[at : at + letters].split(b" "))
 
 
-SENT = "bucket int, id long, row_hash long, ranges binary, blob binary"
-
-
-def _rows(bucket: list, ids: list, hashes: list, spans: list, blobs: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket, pa.int32()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(spans, pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "id", "row_hash", "ranges", "blob"]
-    )
+SCANNED = "id long, row_hash long, key long, start int, windows int, ranges binary"
 
 
 def _report(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, k: int) -> tuple[list, list, list]:
     """Repeated windows by document."""
+    if not len(ids):
+        return [], [], []
     order = np.lexsort((start, hashes, ids))
     ids, hashes, start = ids[order], hashes[order], start[order]
-    edge = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])])) if len(ids) else np.zeros(0, int)
-    return ids[edge].tolist(), hashes[edge].tolist(), [ranges(x, k).tobytes() for x in np.split(start, edge[1:])] if len(ids) else []
+    edge = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])]))
+    return ids[edge].tolist(), hashes[edge].tolist(), [ranges(x, k).tobytes() for x in np.split(start, edge[1:])]
 
 
-def split_block(part: pa.RecordBatch, block: Block, k: int, m: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """What a block settles alone, and what it sends to the buckets."""
+def scan_block(part: pa.RecordBatch, block: Block, k: int, m: int) -> Iterator[pa.RecordBatch]:
+    """What a block settles alone, as ranges, and the super-k-mers of its other windows, as places."""
     ids, hashes = part.column(0).to_numpy(), part.column(1).to_numpy()
     numbers, doc = word_numbers(block), block.word_doc()
     left = np.repeat(block.word_lo[1:], block.n_words) - np.arange(len(doc))
     at = np.flatnonzero(left >= k)
     if not len(at):
         return
+    names = [x.split()[0] for x in SCANNED.split(", ")]
     start = at - block.word_lo[doc[at]]
     rank = np.unique(ids, return_inverse=True)[1]
     repeat = not_first(numbers, at, rank[doc[at]].astype(np.int64) << 32 | start, k)
     gone = at[repeat]
-    found = _report(ids[doc[gone]], hashes[doc[gone]], start[repeat], k)
-    if found[0]:
-        yield _rows([abs(h) % buckets for h in found[1]], *found, [None] * len(found[0]))
-    word = Hasher(block.buf).spans(block.starts, block.ends)
-    parts = mix(word[: len(word) - m + 1] + sum(mix(word[j : len(word) - m + 1 + j] + U64(j)) * _STEP for j in range(1, m)))
-    least = sliding_min(parts, k - m + 1)
+    own, rows, spans = _report(ids[doc[gone]], hashes[doc[gone]], start[repeat], k)
+    if own:
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(rows, pa.int64()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.int32()), pa.array(spans, pa.binary())], names=names)
     go = at[~repeat]
     if not len(go):
         return
-    minimiser = least[go]
-    new = np.concatenate([[True], (go[1:] != go[:-1] + 1) | (minimiser[1:] != minimiser[:-1]) | (doc[go[1:]] != doc[go[:-1]])])
-    edge = np.flatnonzero(new)
-    begin, size = go[edge], np.diff(np.append(edge, len(go))) + k - 1
-    bucket = (mix(minimiser[edge]) % U64(buckets)).astype(np.int64)
+    word = Hasher(block.buf).spans(block.starts, block.ends)
+    minimiser = sliding_min(window_hashes(word, m), k - m + 1)[go]
+    edge = np.flatnonzero(np.concatenate([[True], (go[1:] != go[:-1] + 1) | (minimiser[1:] != minimiser[:-1]) | (doc[go[1:]] != doc[go[:-1]])]))
+    begin, windows = go[edge], np.diff(np.append(edge, len(go)))
+    of = doc[begin]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(ids[of]), pa.array(hashes[of]), pa.array(minimiser[edge].view(np.int64)), pa.array((begin - block.word_lo[of]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.nulls(len(of), pa.binary())], names=names
+    )
+
+
+def pack_block(part: pa.RecordBatch, block: Block, k: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The wanted super-k-mers of a block of (id, row_hash, text, kmers), a string for each bucket."""
+    lists = part.column(3)
+    owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+    flat = lists.flatten()
+    key, start, windows = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    ids, hashes = part.column(0).to_numpy()[owner], part.column(1).to_numpy()[owner]
+    numbers = word_numbers(block)
+    begin, size = block.word_lo[owner] + start, windows.astype(np.int64) + k - 1
+    bucket = (mix(key.view(U64)) % U64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    cut = np.flatnonzero(np.diff(bucket[order])) + 1
-    own = np.split(order, cut)
-    for lo in range(0, len(own), 64):
-        some = own[lo : lo + 64]
-        blobs = [pack(block, numbers, begin[i], size[i], ids[doc[begin[i]]], hashes[doc[begin[i]]], begin[i] - block.word_lo[doc[begin[i]]]) for i in some]
-        none = [None] * len(some)
-        yield _rows([int(bucket[i[0]]) for i in some], none, none, none, blobs)
+    groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+    for lo in range(0, len(groups), 256):
+        some = groups[lo : lo + 256]
+        blobs = [pack(block, numbers, begin[i], size[i], ids[i], hashes[i], start[i]) for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i[0]]) for i in some], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
 def settle_bucket(blobs: list[bytes], k: int) -> tuple[list, list, list]:
@@ -213,13 +222,22 @@ def settle_bucket(blobs: list[bytes], k: int) -> tuple[list, list, list]:
     return _report(ids[piece], hashes[piece], begins[repeat], k)
 
 
+def few(rows: DataFrame) -> DataFrame | None:
+    """The document keys of a stored table, to be broadcast; None if they are too many for that."""
+    return F.broadcast(rows.select("id", "row_hash")) if rows.count() <= BROADCAST_ROWS else None
+
+
 def repeated_ranges(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """(id, row_hash, ranges): word ranges to remove, as little-endian pairs of 32-bit numbers. docs: id, row_hash, text."""
     buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, block in blocks(batches, limit=BLOCK):
-            yield from split_block(part, block, k, m, buckets)
+            yield from scan_block(part, block, k, m)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, block in blocks(batches, limit=2 * BLOCK):
+            yield from pack_block(part, block, k, buckets)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -227,33 +245,37 @@ def repeated_ranges(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             if held:
-                ids, hashes, spans = settle_bucket(held, k)
+                found = settle_bucket(held, k)
                 held.clear()
-                if ids:
-                    yield _rows([now] * len(ids), ids, hashes, spans, [None] * len(ids)).select(["id", "row_hash", "ranges"])
+                if found[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "row_hash", "ranges"])
 
         for batch in batches:
-            blob = batch.column(4)
-            passing = batch.filter(blob.is_null())
-            if passing.num_rows:
-                yield passing.select(["id", "row_hash", "ranges"])
-            sent = batch.filter(blob.is_valid())
-            for bucket, data in zip(sent.column(0).to_pylist(), sent.column(4).to_pylist(), strict=True):
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bucket != now:
                     yield from close()
                     now = bucket
-                held.append(data)
+                held.append(blob)
         yield from close()
 
-    sent = docs.select("id", "row_hash", "text").mapInArrow(send, SENT)
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle, "id long, row_hash long, ranges binary")
+    scanned = stored(docs.select("id", "row_hash", "text").mapInArrow(scan, SCANNED))
+    kmers = scanned.filter("key IS NOT NULL").select("key", "id", "row_hash", "start", "windows")
+    # a block sends a window once, so a key comes from each block a few times at most
+    again = kmers.withColumn("times", F.count("*").over(Window.partitionBy("key"))).filter("times > 1")
+    wanted = stored(again.groupBy("id", "row_hash").agg(F.collect_list(F.struct("key", "start", "windows")).alias("kmers")))
+    keys = few(wanted)
+    # only texts that hold such a window are shuffled
+    source = docs if keys is None else docs.join(keys, ["id", "row_hash"], "left_semi")
+    sent = source.join(wanted, ["id", "row_hash"]).select("id", "row_hash", "text", "kmers").mapInArrow(send, "bucket int, blob binary")
+    settled = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle, "id long, row_hash long, ranges binary")
+    return settled.union(scanned.filter("key IS NULL").select("id", "row_hash", "ranges"))
 
 
 def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed and kept_text (the words left, joined by one space; binary UTF-8) of every document."""
     keyed = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
     keyed = keyed.select("doc", F.coalesce("doc", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("row_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    found = repeated_ranges(keyed, k, m).groupBy("id", "row_hash").agg(F.collect_list("ranges").alias("ranges"))
+    found = stored(repeated_ranges(keyed, k, m).groupBy("id", "row_hash").agg(F.collect_list("ranges").alias("ranges")))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, block in blocks(batches, limit=BLOCK):
@@ -268,7 +290,12 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_i
                 kept.append(b" ".join(w for w, good in zip(words, keep.tolist(), strict=True) if good) if removed[-1] else b" ".join(words))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(block.n_words.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc", "n_words", "n_removed", "kept_text"])
 
-    joined = keyed.join(found, ["id", "row_hash"], "left").select("doc", "text", "ranges")
+    keys = few(found)
+    if keys is None:
+        joined = keyed.join(found, ["id", "row_hash"], "left").select("doc", "text", "ranges")
+    else:  # a text that loses nothing stays where it is
+        changed = keyed.join(keys, ["id", "row_hash"], "left_semi").join(found, ["id", "row_hash"]).select("doc", "text", "ranges")
+        joined = changed.union(keyed.join(keys, ["id", "row_hash"], "left_anti").select("doc", "text", F.lit(None).cast("array<binary>")))
     return joined.mapInArrow(finish, "doc long, n_words long, n_removed long, kept_text binary").withColumnRenamed("doc", id_col)
 
 
