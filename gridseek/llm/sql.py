@@ -5,12 +5,17 @@ from __future__ import annotations
 WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 
+def _window(n: int) -> str:
+    """The n words from here on, joined; null near the text's end. A word holds no space, so windows are equal iff these are."""
+    return " || ' ' || ".join(["x", *(f"lead(x, {k}) OVER (PARTITION BY doc_id ORDER BY i)" for k in range(1, n))])
+
+
 def quality(limits) -> str:
     """Op 6: the figures and the verdict of gridseek.llm.quality."""
-    parts = [f"w AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS ws FROM documents)"]
+    parts = [f"w AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS ws FROM documents)", "t AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w)"]
     for n in sorted({3, *limits.ngram_chars}):
-        parts.append(f"g{n} AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, list_slice(ws, i, i + {n - 1})) AS c FROM w, unnest(range(1, greatest(len(ws) - {n - 2}, 1))) AS t(i))")
-        parts.append(f"c{n} AS (SELECT doc_id, count(*) AS n, sum(length(ws[j])) AS chars FROM (SELECT DISTINCT doc_id, i + o AS j FROM g{n}, range(0, {n}) AS r(o) WHERE c > 1) JOIN w USING (doc_id) GROUP BY doc_id)")
+        parts.append(f"g{n} AS (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, i, {_window(n)} AS g FROM t) WHERE g IS NOT NULL)")
+        parts.append(f"c{n} AS (SELECT doc_id, count(*) AS n, sum(length(x)) AS chars FROM (SELECT DISTINCT doc_id, i + o AS i FROM g{n}, range(0, {n}) AS r(o) WHERE c > 1) JOIN t USING (doc_id, i) GROUP BY doc_id)")
     parts.append("l AS (SELECT doc_id, line, sum(length(x)) AS chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS k FROM (SELECT doc_id, line, pos, unnest(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM w)) GROUP BY doc_id, line, pos)")
     parts.append("d AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (k > 1) AS n, coalesce(sum(chars) FILTER (k > 1), 0) AS chars FROM l GROUP BY doc_id)")
     joins = " ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in sorted({3, *limits.ngram_chars}))
@@ -44,13 +49,12 @@ MIX = f"""
 #: Op 4: every window, numbered among its equals.
 SUBSTRING = f"""
     WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
-    g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(list_slice(ws, i, i + 19), ' ') ORDER BY doc_id, i) AS k FROM w, unnest(range(1, greatest(len(ws) - 18, 1))) AS t(i)),
-    r AS (SELECT doc_id, list(DISTINCT i + o) AS gone FROM g, range(0, 20) AS q(o) WHERE k > 1 GROUP BY doc_id)
-    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-      sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
-    FROM w LEFT JOIN r USING (doc_id)
+    t AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+    g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM (SELECT doc_id, i, {_window(20)} AS g FROM t) WHERE g IS NOT NULL),
+    r AS (SELECT DISTINCT doc_id, i + o AS i FROM g, range(0, 20) AS q(o) WHERE k > 1),
+    m AS (SELECT t.doc_id, count(r.i) AS gone, string_agg(x, ' ' ORDER BY i) FILTER (r.i IS NULL) AS kept FROM t LEFT JOIN r USING (doc_id, i) GROUP BY t.doc_id)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN m USING (doc_id)
 """
-
 _TEXT = "'<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)"
 _SIDE = """string_agg({text}, '' ORDER BY k) AS {c}_text, string_agg((spot + length(t.role) + 5)::VARCHAR || '-' || (spot + length(t.role) + length(t.text) + 13)::VARCHAR, ',' ORDER BY k) FILTER (t.role = 'assistant') AS {c}_spans"""
 
