@@ -2,7 +2,7 @@
 
 A line is its set of SHINGLE-character shingles. One hash per shingle fills BINS bins with their least
 value (an empty bin borrows from the next full one), ROWS bins make a band, and lines with a band in
-common are candidates: 1 - (1 - 0.8^3)^9 > 0.998 of the pairs at the threshold, over 0.9998 at 0.85. Candidates are verified
+common are candidates: 1 - (1 - 0.8^3)^12 > 0.9998 of the pairs at the threshold. Candidates are verified
 by the exact Jaccard similarity of their shingle sets. Union-find over the verified links gives the
 components, and each component keeps the one line of least (doc_id, position).
 
@@ -30,7 +30,7 @@ from gridseek.llm.links import classes, small
 from gridseek.llm.neardup import NO_ID, keyed
 
 SHINGLE, THRESHOLD = 8, 0.8
-ROWS, BANDS = 3, 9
+ROWS, BANDS = 3, 12
 BINS = ROWS * BANDS
 MIN_CHARS = 20
 #: Characters of lines that are signed together.
@@ -164,7 +164,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
         return found.select("text", "of").mapInArrow(cut, "n long, content string").dropDuplicates(["n"])
 
-    labels = classes(nodes.select("n", "keys"), contents, similar, rounds=2)
+    labels = classes(nodes.select("n", "keys"), contents, similar)
     # two lines whose digests begin alike would be one node; such a node's links aren't used
     label_of = nodes.select("n", "fp").join(labels, "n").groupBy("n", "label").agg(F.min("fp").alias("fp"), F.max("fp").alias("last")).filter("fp = last").select("fp", "label")
     own = places.groupBy("fp").agg(F.count("*").alias("times"), F.min(F.struct("id", "row_hash", "pos")).alias("own"))
