@@ -1,10 +1,12 @@
 """From signatures to classes: buckets, verified links, connected components.
 
-Nodes with a signature value in common share a bucket. A bucket isn't expanded to pairs: its members are
-held against one leader, the member whose other buckets are fullest (in a family of copies that is the
-text the others were made from). Where a bucket still holds several classes, a second signature value
-splits it and the fullest member outside the leader's class leads, for `ROUNDS` rounds. Each round makes
-at most one pair for each membership. Links are counted only once verified on the contents.
+Nodes with a signature value in common share a bucket. A bucket isn't expanded to pairs at once: its
+members are held against one leader, the member whose other buckets are fullest (in a family of copies that
+is the text the others were made from). A leader has then met every member and leaves the bucket. Where
+what is left holds several classes, `MORE` times as many members as before lead in the next round, those
+outside the largest class first, until every bucket is of one class. So each two nodes of a bucket are
+compared unless others have already put them in one class. Copies cost a pair a membership; a bucket of
+many unrelated members costs its pairs. Links are counted only once verified on the contents.
 
 Classes come from the links by hash-to-minimum with pointer jumping; joins and minima by key only, so a
 node with very many links is nothing special.
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 
 from gridseek.llm.common import checkpointed, stored
 
-ROUNDS = 3
+#: Each round has so many times the leaders of the one before.
+MORE = 4
 #: A key table up to this many rows (24 bytes each) is broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -45,23 +48,31 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def memberships(nodes: DataFrame, rounds: int) -> DataFrame:
-    """(n, key, alt1 ..., support) for all buckets of two nodes or more. nodes: n, keys (one for each band); a node may come repeatedly."""
-    bands = F.size("keys")
-    exploded = nodes.select("n", "keys", F.posexplode("keys").alias("j", "key"))
-    alt = [F.element_at("keys", F.pmod(F.col("j") + r, bands) + 1).alias(f"alt{r}") for r in range(1, rounds)]
+def memberships(nodes: DataFrame) -> DataFrame:
+    """(n, key, support) for all buckets of two nodes or more. nodes: n, keys (one for each band); a node may come repeatedly."""
     bucket = Window.partitionBy("key")
-    mixed = exploded.select("n", "key", *alt).withColumn("other", F.min("n").over(bucket) != F.max("n").over(bucket)).withColumn("size", F.count("*").over(bucket)).filter("other")
+    exploded = nodes.select("n", F.explode("keys").alias("key"))
+    mixed = exploded.withColumn("other", F.min("n").over(bucket) != F.max("n").over(bucket)).withColumn("size", F.count("*").over(bucket)).filter("other")
     many = checkpointed(mixed.drop("other").distinct())
     support = many.groupBy("n").agg(F.sum("size").alias("support"))
     return checkpointed(many.join(support, "n").drop("size"))
 
 
-def classes(nodes: DataFrame, contents: Callable[[DataFrame], DataFrame], verify: Callable[[list, list], list[bool]], rounds: int = ROUNDS) -> DataFrame:
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (n, label; a node without one is its own) after further edges (a, b)."""
+    of = lambda end: labels.select(F.col("n").alias(end), F.col("label").alias(f"{end}_label"))
+    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    joined = components(between.filter("a <> b"))
+    moved = joined.select(F.col("n").alias("label"), F.col("label").alias("low"))
+    new = joined.join(labels, "n", "left_anti")
+    return checkpointed(labels.join(moved, "label", "left").select("n", F.coalesce("low", "label").alias("label")).union(new))
+
+
+def classes(nodes: DataFrame, contents: Callable[[DataFrame], DataFrame], verify: Callable[[list, list], list[bool]]) -> DataFrame:
     """(n, label) for the nodes that are linked to others.
 
     nodes: n long, keys array<long>. contents: from a table of n to (n, content). verify: which pairs of contents are linked."""
-    member = memberships(nodes, rounds)
+    member = memberships(nodes)
     content = stored(contents(checkpointed(member.select("n").distinct())))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,22 +87,27 @@ def classes(nodes: DataFrame, contents: Callable[[DataFrame], DataFrame], verify
         return checkpointed(full.mapInArrow(held, "a long, b long"))
 
     lead = member.groupBy("key").agg(F.max(F.struct("support", "n")).getField("n").alias("a"))
-    tried = checkpointed(member.join(lead, "key").filter("a <> n").select("a", F.col("n").alias("b")).distinct())
-    edges = linked(tried)
-    labels = components(edges)
-    for r in range(1, rounds):
-        named = member.join(labels, "n", "left").withColumn("label", F.coalesce("label", "n"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("support", "n", "label")).getField("label").alias("main")).filter("lo <> hi").select("key", "main")
-        open_ = checkpointed(named.join(mixed, "key").select("n", "label", "support", "main", F.xxhash64("key", f"alt{r}").alias("key")))
-        lead = open_.filter("label <> main").groupBy("key").agg(F.max(F.struct("support", "n", "label")).alias("l")).select("key", F.col("l.n").alias("a"), F.col("l.label").alias("own"))
-        pairs = open_.join(lead, "key").filter("label <> own").select("a", F.col("n").alias("b")).distinct()
-        pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+    with_lead = member.join(lead, "key").filter("a <> n")
+    tried = checkpointed(with_lead.select("a", F.col("n").alias("b")).distinct())
+    labels = components(linked(tried))
+    open_, leaders = with_lead.select("n", "key", "support"), 1
+    while True:
+        leaders *= MORE
+        named = checkpointed(open_.join(labels, "n", "left").select("n", "key", "support", F.coalesce("label", "n").alias("label")))
+        sizes = named.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key")
+        mixed = sizes.agg(F.max(F.struct("size", "label")).getField("label").alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("key", "main")
+        order = Window.partitionBy("key").orderBy(F.col("label") == F.col("main"), F.desc("support"), F.desc("n"))
+        ranked = checkpointed(named.join(mixed, "key").withColumn("place", F.row_number().over(order)).drop("main"))
+        if ranked.isEmpty():
+            return labels
+        lead = ranked.filter(F.col("place") <= leaders).select("key", F.col("n").alias("a"), F.col("label").alias("own"), F.col("place").alias("first"))
+        pairs = ranked.join(lead, "key").filter("place > first AND label <> own").select("a", F.col("n").alias("b"), F.least("a", "n").alias("low"), F.greatest("a", "n").alias("high"))
+        pairs = pairs.dropDuplicates(["low", "high"]).join(tried.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), ["low", "high"], "left_anti")
+        pairs = checkpointed(pairs.select("a", "b"))
+        open_ = ranked.filter(F.col("place") > leaders).select("n", "key", "support")
         if pairs.isEmpty():
-            break
-        tried = checkpointed(tried.union(pairs))
-        more = linked(pairs)
-        if more.isEmpty():
             continue
-        edges = edges.union(more)
-        labels = components(edges)
-    return labels
+        tried = tried.union(pairs)
+        more = linked(pairs)
+        if not more.isEmpty():
+            labels = merged(labels, more)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gridseek.llm import ann, linededup, mixing, neardup, packing, preference, quality, sharding, substring, tokencount
 from gridseek.llm.common import Block, blocks
-from gridseek.llm.links import components
+from gridseek.llm.links import classes, components
 from gridseek.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -275,6 +275,19 @@ def test_components(spark):
 # ---- op 10
 
 
+def test_many_small_classes_in_shared_buckets(spark):
+    """A family whose buckets hold mostly unrelated members: every similar pair that shares a bucket is linked."""
+    rng = random.Random(4)
+    kind = {n: n // 2 for n in range(240)}  # pairs of copies
+    keys = {n: [rng.randrange(4), 10 + rng.randrange(6), 100 + n // 2] if n % 3 else [rng.randrange(4), 10 + rng.randrange(6), 1000 + n] for n in kind}
+    shared = [(a, b) for a, b in itertools.combinations(kind, 2) if kind[a] == kind[b] and set(keys[a]) & set(keys[b])]
+    nodes = spark.createDataFrame(list(keys.items()), "n long, keys array<long>")
+    names = spark.createDataFrame([(n, str(k)) for n, k in kind.items()], "n long, content string")
+    got = classes(nodes, lambda wanted: names.join(wanted, "n"), lambda left, right: [a == b for a, b in zip(left, right, strict=True)])
+    assert {r.n: r.label for r in got.collect()} == {n: a for a, b in shared for n in (a, b)}
+    assert len(shared) > 60
+
+
 def plain_lines(rows, least):
     occ = [((d is not None, d or 0), i, x.strip(linededup.WHITE)) for d, t in rows for i, x in enumerate((t or "").split("\n"))]
     occ = [o for o in occ if len(o[2]) >= least]
