@@ -10,8 +10,9 @@ in numpy; the number of live states is bounded by starting afresh.
 The pre-tokenizer's boundaries are decided by a window of a few characters, so they are found for a whole
 block at once. Texts are cut into chunks that run in lockstep, one lane each. A chunk's map from entry
 state to (exit state, count) is constant but for its head before the first boundary: the first sweep
-takes the tails, a running maximum (a prefix scan over the composition of the maps) brings every chunk
-the exit state of the last constant chunk before it, and the next sweep takes the heads.
+takes the tails, and further sweeps take the heads of all chunks whose predecessor's exit state is known.
+Exit states are passed on serially, not by a scan over composed maps: a text takes as many sweeps as it has
+chunks without a boundary in a row.
 
 Special strings in a text are tokens of their own, as in the library's default; they part the text.
 Null counts as empty. Only the character classes are asked of the library, one probe per new character,
