@@ -80,15 +80,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hasher:
-    """Prefix sums over a byte buffer from which the hash of any span is two look-ups (a rolling hash)."""
+    """Hashes of spans of a byte buffer by prefix sums (a rolling hash), a stretch of STRETCH bytes at a time."""
+
+    STRETCH = 1 << 20
 
     def __init__(self, buf: np.ndarray):
-        up, self.down = _powers(len(buf) + 1)
-        self.sums = np.zeros(len(buf) + 1, U64)
-        np.cumsum(_BYTE[buf] * up[: len(buf)], dtype=U64, out=self.sums[1:])
+        self.buf = buf
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U64))
+        """One hash for each span; it depends on the bytes alone. The starts ascend."""
+        out = np.empty(len(start), U64)
+        at = 0
+        while at < len(start):
+            low = int(start[at])
+            to = max(at + 1, int(np.searchsorted(start, low + self.STRETCH)))
+            high = int(end[at:to].max())
+            up, down = _powers(high - low + 1)
+            sums = np.zeros(high - low + 1, U64)
+            np.cumsum(_BYTE[self.buf[low:high]] * up[: high - low], dtype=U64, out=sums[1:])
+            a, b = start[at:to] - low, end[at:to] - low
+            out[at:to] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U64))
+            at = to
+        return out
 
 
 class Block:

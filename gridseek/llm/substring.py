@@ -8,17 +8,20 @@ all but the first are reported. Hashes only order the windows: equality is decid
 
 Before anything travels, each block of texts settles what it can alone: a window that starts earlier in
 the same block is a repeat whatever the others hold, so a block sends each distinct window once. A
-passage that a third of all documents share reaches its bucket once per block, not once per document.
-The reports come back as word ranges, keyed by document, and meet the texts in one join.
+passage that a third of all documents share reaches its bucket once per block, not once per document. A
+minimiser that still comes very often has several first buckets, by document; what they leave meets in its
+last one. The number of buckets follows the words that travel. The reports come back as word ranges, keyed
+by document, and meet the texts in one join.
 
 Cases: null text has no words; words differ if any byte differs; rows with one doc_id count as one
 document in the order (neither of two equal (doc_id, start) is earlier), and a null doc_id comes first;
-texts shorter than a window keep all words; an empty table gives an empty result.
+texts shorter than a window keep all words; a very long text is a block of its own and takes some 100 bytes
+a word; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +31,13 @@ from pyspark.sql import functions as F
 from gridseek.llm.common import U64, Block, Hasher, blocks, mix, stored
 
 K, M = 20, 6
-BLOCK = 4 << 20
-#: Buckets for each shuffle partition; a task holds one bucket at a time.
+BLOCK = 2 << 20
+#: Words of a bucket, about; a task holds one bucket at a time.
+BUCKET_WORDS = 1 << 20
+#: Buckets for each shuffle partition, at least.
 BUCKETS_PER_PARTITION = 4
+#: Super-k-mers of one minimiser beyond which it has several first buckets.
+HEAVY = 4096
 #: Document keys up to this many (16 bytes each) are broadcast, so that other texts needn't be shuffled.
 BROADCAST_ROWS = 2_000_000
 _UP, _STEP = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
@@ -74,12 +81,13 @@ def word_numbers(block: Block) -> np.ndarray:
     _, first, number = np.unique(h, return_index=True, return_inverse=True)
     size, lead = block.ends - block.starts, first[number]
     differ = size != size[lead]
-    if len(size):
-        bytes_of = np.repeat(np.arange(len(size)), size)
-        shift = np.arange(len(bytes_of)) - np.repeat(np.cumsum(size) - size, size)
-        here = block.buf[block.starts[bytes_of] + shift]
-        there = block.buf[np.minimum(block.starts[lead[bytes_of]] + shift, len(block.buf) - 1)]
-        differ[bytes_of[here != there]] = True
+    suspects = np.flatnonzero((lead != np.arange(len(lead))) & ~differ)
+    for lo in range(0, len(suspects), 1 << 16):  # the others lead their kind
+        some = suspects[lo : lo + (1 << 16)]
+        of = np.repeat(some, size[some])
+        shift = np.arange(len(of)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+        unlike = block.buf[block.starts[of] + shift] != block.buf[block.starts[lead[of]] + shift]
+        differ[of[unlike]] = True
     if differ.any():  # practically never
         known: dict[bytes, int] = {}
         number = np.array([known.setdefault(block.buf[s:e].tobytes(), len(known)) for s, e in zip(block.starts, block.ends, strict=True)])
@@ -120,11 +128,11 @@ def ranges(starts: np.ndarray, k: int) -> np.ndarray:
     return np.stack([starts[np.concatenate([[0], cut])], starts[np.concatenate([cut - 1, [len(starts) - 1]])] + k], axis=1).astype(np.int32)
 
 
-def pack(block: Block, numbers: np.ndarray, begin: np.ndarray, size: np.ndarray, doc_id: np.ndarray, row_hash: np.ndarray, start: np.ndarray) -> bytes:
-    """Super-k-mers (spans of the block's words) as one string."""
+def pack(numbers: np.ndarray, spell: Callable[[np.ndarray], list[bytes]], begin: np.ndarray, size: np.ndarray, doc_id: np.ndarray, row_hash: np.ndarray, start: np.ndarray) -> bytes:
+    """Super-k-mers (spans of numbered words) as one string. spell: the words at these places."""
     flat = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
     _, first, code = np.unique(numbers[flat], return_index=True, return_inverse=True)
-    vocabulary = b" ".join(block.buf[s:e].tobytes() for s, e in zip(block.starts[flat[first]], block.ends[flat[first]], strict=True))
+    vocabulary = b" ".join(spell(flat[first]))
     kind = np.uint16 if len(first) < 1 << 16 else np.uint32
     head = np.array([len(size), len(flat), len(vocabulary), kind().itemsize], np.int64)
     raw = b"".join([head.tobytes(), doc_id.tobytes(), row_hash.tobytes(), start.astype(np.int32).tobytes(), size.astype(np.int32).tobytes(), code.astype(kind).tobytes(), vocabulary])
@@ -183,33 +191,52 @@ def scan_block(part: pa.RecordBatch, block: Block, k: int, m: int) -> Iterator[p
     )
 
 
+SENT = "bucket long, key long, blob binary"
+
+
+def _sent(rows: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
+    bucket, key, blob = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(key, pa.int64()), pa.array(blob, pa.binary())], names=["bucket", "key", "blob"])
+
+
 def pack_block(part: pa.RecordBatch, block: Block, k: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The wanted super-k-mers of a block of (id, row_hash, text, kmers), a string for each bucket."""
+    """The wanted super-k-mers of a block of (id, row_hash, text, kmers), a string for each bucket.
+
+    A heavy minimiser's go to one of its `salts` first buckets, by document, in strings of their own that carry it."""
     lists = part.column(3)
     owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
     flat = lists.flatten()
-    key, start, windows = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    key, start, windows, salts = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
     ids, hashes = part.column(0).to_numpy()[owner], part.column(1).to_numpy()[owner]
     numbers = word_numbers(block)
     begin, size = block.word_lo[owner] + start, windows.astype(np.int64) + k - 1
-    bucket = (mix(key.view(U64)) % U64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+    heavy = salts > 1
+    salt = mix(ids.view(U64) ^ hashes.view(U64)) % np.maximum(salts, 1).astype(U64)
+    bucket = (mix(key.view(U64) + salt * _STEP) % U64(buckets)).astype(np.int64)
+    group = np.where(heavy, key, 0)
+    order = np.lexsort((group, heavy, bucket))
+    b, g, h = bucket[order], group[order], heavy[order]
+    edge = np.flatnonzero((b[1:] != b[:-1]) | (g[1:] != g[:-1]) | (h[1:] != h[:-1])) + 1
+    groups = np.split(order, edge)
+
+    def spell(at: np.ndarray) -> list[bytes]:
+        return [block.buf[s:e].tobytes() for s, e in zip(block.starts[at], block.ends[at], strict=True)]
+
     for lo in range(0, len(groups), 256):
-        some = groups[lo : lo + 256]
-        blobs = [pack(block, numbers, begin[i], size[i], ids[i], hashes[i], start[i]) for i in some]
-        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i[0]]) for i in some], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+        yield _sent([(int(bucket[i[0]]), int(key[i[0]]) if heavy[i[0]] else None, pack(numbers, spell, begin[i], size[i], ids[i], hashes[i], start[i])) for i in groups[lo : lo + 256] if len(i)])
 
 
-def settle_bucket(blobs: list[bytes], k: int) -> tuple[list, list, list]:
-    """The windows of a bucket that aren't the first of their kind, by document."""
+def settle_bucket(blobs: list[bytes], k: int, keys: list[int | None], buckets: int) -> tuple[tuple[list, list, list], list[tuple[int, int | None, bytes]]]:
+    """The windows of a bucket that aren't the first of their kind, by document, and those that are of a heavy minimiser, packed again for its last bucket."""
     vocabulary: dict[bytes, int] = {}
-    parts = []
-    for blob in blobs:
+    parts, heavy = [], []
+    for blob, key in zip(blobs, keys, strict=True):
         ids, hashes, start, size, code, words = unpack(blob)
         number = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words))
         parts.append((ids, hashes, start, size, number[code].astype(np.int32)))
+        heavy.append((np.full(len(ids), key or 0), np.full(len(ids), key is not None)))
     ids, hashes, start, size, words = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, marked = (np.concatenate(x) for x in zip(*heavy, strict=True))
     size = size.astype(np.int64)
     base = np.cumsum(size) - size
     n = size - k + 1
@@ -218,8 +245,20 @@ def settle_bucket(blobs: list[bytes], k: int) -> tuple[list, list, list]:
     begins = start[piece] + nth
     rank = np.unique(ids, return_inverse=True)[1]
     repeat = not_first(words, base[piece] + nth, rank[piece].astype(np.int64) << 32 | begins, k)
-    piece = piece[repeat]
-    return _report(ids[piece], hashes[piece], begins[repeat], k)
+    again = []
+    go = np.flatnonzero(~repeat & marked[piece])
+    if len(go):
+        known = list(vocabulary)
+        edge = np.flatnonzero(np.concatenate([[True], (go[1:] != go[:-1] + 1) | (piece[go[1:]] != piece[go[:-1]])]))
+        lead, length = go[edge], np.diff(np.append(edge, len(go))) + k - 1
+        of = piece[lead]
+        order = np.argsort(key[of], kind="stable")
+        for i in np.split(order, np.flatnonzero(np.diff(key[of][order])) + 1):
+            own = int(key[of[i[0]]])
+            blob = pack(words, lambda at: [known[x] for x in words[at]], (base[piece] + nth)[lead[i]], length[i], ids[of[i]], hashes[of[i]], begins[lead[i]])
+            again.append((int(mix(np.array([own]).view(U64))[0] % U64(buckets)), None, blob))
+    gone = piece[repeat]
+    return _report(ids[gone], hashes[gone], begins[repeat], k), again
 
 
 def few(rows: DataFrame) -> DataFrame | None:
@@ -227,55 +266,69 @@ def few(rows: DataFrame) -> DataFrame | None:
     return F.broadcast(rows.select("id", "row_hash")) if rows.count() <= BROADCAST_ROWS else None
 
 
-def repeated_ranges(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+def repeated_ranges(docs: DataFrame, k: int = K, m: int = M, heavy: int = HEAVY) -> DataFrame:
     """(id, row_hash, ranges): word ranges to remove, as little-endian pairs of 32-bit numbers. docs: id, row_hash, text."""
-    buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, block in blocks(batches, limit=BLOCK):
             yield from scan_block(part, block, k, m)
 
+    scanned = stored(docs.select("id", "row_hash", "text").mapInArrow(scan, SCANNED))
+    kmers = scanned.filter("key IS NOT NULL").select("key", "id", "row_hash", "start", "windows")
+    # a block sends a window once, so a key comes from each block a few times at most
+    again = kmers.withColumn("times", F.count("*").over(Window.partitionBy("key"))).filter("times > 1")
+    one = F.struct("key", "start", "windows", F.ceil(F.col("times") / heavy).cast("int").alias("salts"))
+    wanted = stored(again.groupBy("id", "row_hash").agg(F.collect_list(one).alias("kmers"), F.sum(F.col("windows") + k - 1).alias("words"), F.max(F.col("times") > heavy).alias("heavy")))
+    words, any_heavy = wanted.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("heavy"), F.lit(False))).first()
+    buckets = max(BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), words // BUCKET_WORDS)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, block in blocks(batches, limit=2 * BLOCK):
+        for part, block in blocks(batches, limit=BLOCK):
             yield from pack_block(part, block, k, buckets)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
+        held: list[tuple[bytes, int | None]] = []
         now = None
 
         def close() -> Iterator[pa.RecordBatch]:
-            if held:
-                found = settle_bucket(held, k)
-                held.clear()
-                if found[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "row_hash", "ranges"])
+            if not held:
+                return
+            (ids, hashes, spans), later = settle_bucket([x for x, _ in held], k, [x for _, x in held], buckets)
+            held.clear()
+            n, rest = len(ids), len(later)
+            to, key, blob = ([x[i] for x in later] for i in range(3))
+            none = [None] * n
+            columns = [ids + [None] * rest, hashes + [None] * rest, spans + [None] * rest, none + to, none + key, none + blob]
+            if n + rest:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i in (2, 5) else pa.int64()) for i, x in enumerate(columns)], names=["id", "row_hash", "ranges", "bucket", "key", "blob"])
 
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for bucket, key, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != now:
                     yield from close()
                     now = bucket
-                held.append(blob)
+                held.append((blob, key))
         yield from close()
 
-    scanned = stored(docs.select("id", "row_hash", "text").mapInArrow(scan, SCANNED))
-    kmers = scanned.filter("key IS NOT NULL").select("key", "id", "row_hash", "start", "windows")
-    # a block sends a window once, so a key comes from each block a few times at most
-    again = kmers.withColumn("times", F.count("*").over(Window.partitionBy("key"))).filter("times > 1")
-    wanted = stored(again.groupBy("id", "row_hash").agg(F.collect_list(F.struct("key", "start", "windows")).alias("kmers")))
+    def settled(strings: DataFrame) -> DataFrame:
+        return strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle, f"id long, row_hash long, ranges binary, {SENT}")
+
     keys = few(wanted)
     # only texts that hold such a window are shuffled
     source = docs if keys is None else docs.join(keys, ["id", "row_hash"], "left_semi")
-    sent = source.join(wanted, ["id", "row_hash"]).select("id", "row_hash", "text", "kmers").mapInArrow(send, "bucket int, blob binary")
-    settled = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle, "id long, row_hash long, ranges binary")
-    return settled.union(scanned.filter("key IS NULL").select("id", "row_hash", "ranges"))
+    found = settled(source.join(wanted.drop("words", "heavy"), ["id", "row_hash"]).select("id", "row_hash", "text", "kmers").mapInArrow(send, SENT))
+    if any_heavy:  # what the first buckets of a heavy minimiser leave meets in its last one
+        found = stored(found)
+        found = found.filter("bucket IS NULL").union(settled(found.filter("bucket IS NOT NULL").select("bucket", "key", "blob")))
+    return found.select("id", "row_hash", "ranges").union(scanned.filter("key IS NULL").select("id", "row_hash", "ranges"))
 
 
-def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
     """id, n_words, n_removed and kept_text (the words left, joined by one space; binary UTF-8) of every document."""
     keyed = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
     keyed = keyed.select("doc", F.coalesce("doc", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("row_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    found = stored(repeated_ranges(keyed, k, m).groupBy("id", "row_hash").agg(F.collect_list("ranges").alias("ranges")))
+    found = stored(repeated_ranges(keyed, k, m, heavy).groupBy("id", "row_hash").agg(F.collect_list("ranges").alias("ranges")))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, block in blocks(batches, limit=BLOCK):

@@ -191,6 +191,26 @@ def test_repeated_windows_without_broadcast(docs, corpus, monkeypatch):
     assert collections.Counter(map(tuple, got)) == plain_repeats([(r[0], r[1]) for r in corpus], 20)
 
 
+@pytest.mark.parametrize("heavy", [1, 3])
+def test_heavy_minimisers_have_several_first_buckets(spark, docs, corpus, monkeypatch, heavy):
+    monkeypatch.setattr(substring, "BLOCK", 1 << 11)  # or a block would settle the most
+    rng = random.Random(8)
+    passage = prose(rng, 45)
+    rows = [(i, f"{prose(rng, i % 30)} {passage} {prose(rng, 5)}") for i in range(60)] + [(r[0], r[1]) for r in corpus]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = substring.remove_repeats(frame, heavy=heavy).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert collections.Counter(map(tuple, got)) == plain_repeats(rows, 20)
+
+
+def test_a_text_of_millions_of_characters(spark):
+    rng = random.Random(9)
+    page = prose(rng, 90_000)
+    rows = [(2, page), (1, page[: len(page) // 2]), (3, f"{page} {prose(rng, 400_000)}")]
+    assert len(rows[2][1]) > 3_500_000
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert collections.Counter(map(tuple, got)) == plain_repeats(rows, 20)
+
+
 def test_sliding_min_and_window_hashes():
     x = np.random.default_rng(1).integers(0, 99, 50).astype(np.uint64)
     for w in range(1, 20):
