@@ -1,18 +1,23 @@
 """Fuzzy removal of repeated lines by MinHash.
 
-A line is its set of SHINGLE-character shingles. One hash per shingle fills BINS bins with their least
-value (an empty bin borrows from the next full one), ROWS bins make a band, and lines with a band in
-common are candidates: 1 - (1 - 0.8^3)^12 > 0.9998 of the pairs at the threshold. Candidates are verified
-by the exact Jaccard similarity of their shingle sets. Union-find over the verified links gives the
-components, and each component keeps the one line of least (doc_id, position).
-
-A block of texts first merges its own equal lines, so a line that a third of all documents hold enters
-the buckets once per block. Texts travel only to verify candidates and to be rewritten.
-
-Cases: lines of fewer than `min_chars` characters once stripped of white space, blank ones among them,
-always stay; a line of fewer than SHINGLE characters is one shingle; null and empty texts have no lines;
-repeated rows (same id and text) count as one document; a null doc_id comes first; an empty table
-gives an empty result; extra columns are ignored by `line_report` and kept by `drop_repeated_lines`.
+A line, less the white space at its ends, is its set of SHINGLE-character shingles. One hash per shingle
+fills BINS bins with their least value (an empty bin borrows from the next full one), ROWS bins make a band,
+and lines with a band in common are candidates: 1 - (1 - 0.8^3)^12 > 0.9998 of the pairs at the threshold,
+and all of them are compared (links.py). Candidates are verified by the exact Jaccard similarity of their
+shingle sets. Union-find over the verified links gives the components, and each component keeps the one line
+of least (doc_id, position). One changed character inside a line touches SHINGLE shingles on either side, so
+it takes a line of 79 characters to be linked to its copy with such a change.
+
+A block of texts first settles its own equal lines. The first of each goes, packed, to a part by its digest,
+whose reader keeps the least place of each line and puts out the others; so a line that a third of all
+documents hold comes once per block, and no reader holds more than one place a line. Equal lines are one
+node for the bands. Texts travel only to verify candidates and to be rewritten.
+
+Cases: lines of white space alone always stay; a line of fewer than SHINGLE characters is one shingle, so
+equal short lines are repeats like others; null and empty texts have no lines; repeated rows (same id and
+text) count as one document; of ties in doc_id the text of the least hash comes first; a null doc_id comes
+first; a very long text or line is a block of its own and is signed in stretches; an empty table gives an
+empty result; extra columns, of any name, are ignored by `line_report` and kept by `drop_repeated_lines`.
 """
 
 from __future__ import annotations
@@ -25,43 +30,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridseek.llm.common import U64, checkpointed, mix, seeds, stored
-from gridseek.llm.links import classes, small
+from gridseek.llm.common import U64, mix, seeds, stored
+from gridseek.llm.links import BROADCAST_BYTES, Measure, attached, classes, entries, number_of_parts, packed, small
 from gridseek.llm.neardup import NO_ID, keyed
 
 SHINGLE, THRESHOLD = 8, 0.8
 ROWS, BANDS = 3, 12
 BINS = ROWS * BANDS
-MIN_CHARS = 20
 #: Characters of lines that are signed together.
 BLOCK_CHARS = 1 << 20
 WHITE = " \t\r\x0b\x0c"
 _C = U64(0x9FB21C651E98DF25)
+_FULL = U64(0xFFFFFFFFFFFFFFFF)
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """A row of BANDS keys for each line."""
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles, repeats included, and how many each line has."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     n = np.maximum(size - SHINGLE + 1, 1)
     start = np.cumsum(size) - size
-    grams = np.zeros(len(points), U64)
+    grams = np.zeros(len(points) + 1, U64)
     padded = np.concatenate([points, np.zeros(SHINGLE, U64)])
     for j in range(SHINGLE):
-        grams = grams * _C + padded[j : j + len(points)] + U64(1)
-    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    h = grams[at]
+        grams = grams * _C + padded[j : j + len(points) + 1] + U64(1)
+    h = grams[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
     for i in np.flatnonzero(size < SHINGLE):  # the whole line
         k = 0
         for c in lines[i]:
             k = (k * int(_C) + ord(c) + 1) % (1 << 64)
         h[(np.cumsum(n) - n)[i]] = k
-    h = mix(h)
-    owner = np.repeat(np.arange(len(lines)), n)
-    least = np.full(len(lines) * BINS, 0xFFFFFFFFFFFFFFFF, U64)
-    np.minimum.at(least, owner * BINS + (h % U64(BINS)).astype(np.int64), h >> U64(8))
+    return mix(h), n
+
+
+def _stretches(lines: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """The lines (their numbers and texts) some BLOCK_CHARS at a time; a longer one in several pieces with the same shingles."""
+    owner, texts, chars = [], [], 0
+    for i, line in enumerate(lines):
+        for at in range(0, max(1, len(line) - SHINGLE + 1), BLOCK_CHARS):
+            owner.append(i)
+            texts.append(line[at : at + BLOCK_CHARS + SHINGLE - 1])
+            chars += len(texts[-1])
+            if chars >= BLOCK_CHARS:
+                yield owner, texts
+                owner, texts, chars = [], [], 0
+    if texts:
+        yield owner, texts
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """A row of BANDS keys for each line."""
+    least = np.full(len(lines) * BINS, _FULL, U64)
+    for of, texts in _stretches(lines):
+        h, n = shingle_hashes(texts)
+        owner = np.repeat(np.array(of), n)
+        np.minimum.at(least, owner * BINS + (h % U64(BINS)).astype(np.int64), h >> U64(8))
     least = least.reshape(len(lines), BINS)
-    empty = least == U64(0xFFFFFFFFFFFFFFFF)
+    empty = least == _FULL
     own, full = least.copy(), ~empty
     for step in range(1, BINS):  # an empty bin borrows from the next full one, marked by the distance
         if not empty.any():
@@ -82,76 +107,117 @@ def shingles(line: str) -> frozenset[str]:
     return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
 
 
-def similar(left: list[str], right: list[str]) -> list[bool]:
-    """Which pairs of lines have a Jaccard similarity of THRESHOLD or more."""
-    out, last, own = [], None, frozenset()
-    for a, b in zip(left, right, strict=True):
-        if a != last:
-            last, own = a, shingles(a)
-        if a == b:
-            out.append(True)
-            continue
-        if min(len(a), len(b)) < 0.5 * THRESHOLD * max(len(a), len(b)) and len(shingles(b)) < THRESHOLD * len(own):
-            out.append(False)
-            continue
-        other = shingles(b)
-        both = len(own & other)
-        out.append(both >= THRESHOLD * (len(own) + len(other) - both))
-    return out
-
-
-def candidate_lines(text: str, min_chars: int) -> list[tuple[int, str]]:
+def similar(a: str, b: str) -> bool:
+    """Whether two lines have a Jaccard similarity of THRESHOLD or more."""
+    left, right = shingles(a), shingles(b)
+    both = len(left & right)
+    return both >= THRESHOLD * (len(left) + len(right) - both)
+
+
+def _elements(lines: list[str]) -> list[np.ndarray]:
+    h, n = shingle_hashes(lines)
+    return np.split(h, np.cumsum(n)[:-1])
+
+
+MEASURE = Measure(_elements, lambda x, y, a, b: similar(a, b), THRESHOLD)
+
+
+def worded_lines(text: str) -> list[tuple[int, str]]:
     """(position, stripped line) of the lines that may be removed."""
-    return [(i, x) for i, line in enumerate(text.split("\n")) if len(x := line.strip(WHITE)) >= min_chars]
+    return [(i, x) for i, line in enumerate(text.split("\n")) if (x := line.strip(WHITE))]
+
+
+def _table(names: str, **columns) -> pa.RecordBatch:
+    """A batch of all `names` (name type, ...), null where no column is given."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    rows = len(next(iter(columns.values())))
+    fields = [x.split() for x in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[n], kinds[k]) if n in columns else pa.nulls(rows, kinds[k]) for n, k in fields], names=[n for n, _ in fields])
 
 
-SLIM = "id long, row_hash long, pos int, fp binary, n long, keys array<long>"
+#: A line's first place in its block (n and m are its digest), a place that is a repeat there (n is null), or packed strings.
+SIGNED = "id long, row_hash long, pos int, n long, m long, part int, entries binary, firsts binary"
 
 
-def line_signatures(docs: DataFrame, min_chars: int) -> DataFrame:
-    """SLIM of every line of docs (id, row_hash, text) that may be removed; a block gives the keys of equal lines once."""
+def sign_block(places: list[list[int]], lines: list[str], parts: int) -> Iterator[pa.RecordBatch]:
+    """SIGNED rows of a block: places (id, row_hash, pos, number of the line) and its distinct lines."""
+    doc, row, pos, which = (np.array(x, np.int64) for x in places)
+    order = np.lexsort((pos, row, doc, which))
+    doc, row, pos, which = doc[order], row[order], pos[order], which[order]
+    lead = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+    digest = np.frombuffer(b"".join(hashlib.md5(x.encode("utf-8", "surrogatepass")).digest() for x in lines), np.int64).reshape(-1, 2)
+    yield _table(SIGNED, id=doc[lead], row_hash=row[lead], pos=pos[lead].astype(np.int32), n=digest[:, 0], m=digest[:, 1])
+    first = lead[which]
+    gone = np.flatnonzero((doc != doc[first]) | (row != row[first]) | (pos != pos[first]))
+    if len(gone):
+        yield _table(SIGNED, id=doc[gone], row_hash=row[gone], pos=pos[gone].astype(np.int32))
+    part, strings = zip(*entries(digest[:, 0], band_keys(lines), parts), strict=True)
+    yield _table(SIGNED, part=part, entries=strings)
+    part, strings = zip(*packed(digest[:, 0], np.column_stack([digest, doc[lead], row[lead], pos[lead]]), parts), strict=True)
+    yield _table(SIGNED, part=part, firsts=strings)
+
+
+def signed_lines(docs: DataFrame) -> DataFrame:
+    """SIGNED of docs (id, row_hash, text)."""
+    parts = number_of_parts(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: list[list] = [[], [], [], []]
+        lines: dict[str, int] = {}
+        size = 0
+        for batch in batches:
+            for doc, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for pos, line in worded_lines(text):
+                    for column, value in zip(places, (doc, row, pos, lines.setdefault(line, len(lines))), strict=True):
+                        column.append(value)
+                    size += len(line)
+                if size > BLOCK_CHARS:
+                    yield from sign_block(places, list(lines), parts)
+                    places, lines, size = [[], [], [], []], {}, 0
+        if lines:
+            yield from sign_block(places, list(lines), parts)
+
+    return docs.select("id", "row_hash", "text").mapInArrow(run, SIGNED)
+
+
+def equal_lines(strings: DataFrame) -> DataFrame:
+    """(id, row_hash, pos): all places of a line but its least, from packed firsts (part, firsts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, held, size = np.zeros((0, 5), np.int64), [], 0
+
+        def settle() -> pa.RecordBatch:
+            nonlocal least
+            rows = np.concatenate([least, np.frombuffer(b"".join(held), np.int64).reshape(-1, 5)])
+            held.clear()
+            rows = rows[np.lexsort(rows.T[::-1])]
+            lead = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
+            first = np.repeat(lead, np.diff(np.append(lead, len(rows))))
+            gone = rows[(rows != rows[first]).any(axis=1)]
+            least = rows[lead]
+            return pa.RecordBatch.from_arrays([pa.array(gone[:, 2]), pa.array(gone[:, 3]), pa.array(gone[:, 4].astype(np.int32))], names=["id", "row_hash", "pos"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                places: list[list] = [[], [], [], []]
-                lines: dict[str, int] = {}
-                size = 0
-                for doc, row, text in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True):
-                    for pos, line in candidate_lines(text, min_chars):
-                        for column, value in zip(places, (doc, row, pos, lines.setdefault(line, len(lines))), strict=True):
-                            column.append(value)
-                        size += len(line)
-                    if size > BLOCK_CHARS:
-                        yield table(places, list(lines))
-                        places, lines, size = [[], [], [], []], {}, 0
-                if lines:
-                    yield table(places, list(lines))
-
-    def table(places: list[list], lines: list[str]) -> pa.RecordBatch:
-        which = np.array(places[3])
-        first = np.zeros(len(which), bool)
-        first[np.unique(which, return_index=True)[1]] = True  # lines are numbered in this order
-        ends = np.concatenate([[0], np.cumsum(first) * BANDS]).astype(np.int32)
-        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(lines).ravel().view(np.int64)), mask=pa.array(~first))
-        digests = [hashlib.md5(x.encode("utf-8", "surrogatepass")).digest() for x in lines]
-        numbers = np.frombuffer(b"".join(digests), np.int64)[::2]  # equal lines are one node
-        return pa.RecordBatch.from_arrays(
-            [pa.array(places[0], pa.int64()), pa.array(places[1], pa.int64()), pa.array(places[2], pa.int32()), pa.array([digests[i] for i in which], pa.binary()), pa.array(numbers[which]), keys], names=["id", "row_hash", "pos", "fp", "n", "keys"]
-        )
-
-    return docs.select("id", "row_hash", "text").mapInArrow(run, SLIM)
-
-
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, row_hash, gone): the positions of the lines to remove. docs: id, row_hash, text."""
-    signed = stored(line_signatures(docs, min_chars))
-    nodes, places = signed.filter("keys IS NOT NULL"), signed.select("id", "row_hash", "pos", "fp")
+            for rows in batch.column(1).to_pylist():
+                held.append(rows)
+                size += len(rows) // 40
+                if size > max(1 << 18, len(least)):
+                    yield settle()
+                    size = 0
+        if held:
+            yield settle()
+
+    return strings.repartition("part").mapInArrow(run, "id long, row_hash long, pos int")
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """(id, row_hash, gone): the positions of the lines to remove. docs: id, row_hash, text. Stored."""
+    signed = stored(signed_lines(docs))
+    places = signed.filter("n IS NOT NULL").select("n", "m", "id", "row_hash", "pos")
 
     def contents(wanted: DataFrame) -> DataFrame:
-        one = wanted.join(nodes.select("n", "id", "row_hash", "pos"), "n").groupBy("n").agg(F.min(F.struct("id", "row_hash", "pos")).alias("p"))
-        at = checkpointed(one.groupBy("p.id", "p.row_hash").agg(F.collect_list(F.struct("n", "p.pos")).alias("of")))
-        found = docs.join(small(at), ["id", "row_hash"])
+        one = places.join(small(wanted), "n").groupBy("n").agg(F.min(F.struct("m", "id", "row_hash", "pos")).alias("p"))
+        at = stored(one.groupBy("p.id", "p.row_hash").agg(F.collect_list(F.struct("n", "p.pos")).alias("of")))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -162,40 +228,59 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     lines += [every[x["pos"]].strip(WHITE) for x in of]
                 yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(lines, pa.string())], names=["n", "content"])
 
-        return found.select("text", "of").mapInArrow(cut, "n long, content string").dropDuplicates(["n"])
+        found = docs.join(_small(at, "of"), ["id", "row_hash"]).select("text", "of")
+        return found.mapInArrow(cut, "n long, content string").dropDuplicates(["n"])
 
-    labels = classes(nodes.select("n", "keys"), contents, similar)
+    labels = classes(signed.filter("entries IS NOT NULL").select("part", "entries"), contents, MEASURE)
+    of_node = places.join(small(labels), "n").groupBy("n", "label").agg(F.min(F.struct("id", "row_hash", "pos")).alias("own"), F.min("m").alias("m"), F.max("m").alias("last"))
     # two lines whose digests begin alike would be one node; such a node's links aren't used
-    label_of = nodes.select("n", "fp").join(labels, "n").groupBy("n", "label").agg(F.min("fp").alias("fp"), F.max("fp").alias("last")).filter("fp = last").select("fp", "label")
-    own = places.groupBy("fp").agg(F.count("*").alias("times"), F.min(F.struct("id", "row_hash", "pos")).alias("own"))
-    several = checkpointed(own.join(label_of, "fp", "left").filter("times > 1 OR label IS NOT NULL").select("fp", "label", "own"))
-    first = several.filter("label IS NOT NULL").groupBy("label").agg(F.min("own").alias("first"))
-    keepers = checkpointed(several.join(first, "label", "left").select("fp", F.coalesce("first", "own").alias("first")))
-    gone = places.join(keepers, "fp").filter(F.struct("id", "row_hash", "pos") != F.col("first"))
-    return gone.groupBy("id", "row_hash").agg(F.collect_set("pos").alias("gone"))
+    own = stored(of_node.filter("m = last").select("label", "own"))
+    first = stored(own.groupBy("label").agg(F.min("own").alias("first"), F.count("*").alias("size")))
+    alike = attached(own, first, "label").filter("own <> first").select("own.*")
+    equal = equal_lines(signed.filter("firsts IS NOT NULL").select("part", "firsts"))
+    inside = signed.filter("n IS NULL AND part IS NULL").select("id", "row_hash", "pos")
+    return stored(inside.union(equal).union(alike).groupBy("id", "row_hash").agg(F.collect_set("pos").alias("gone")))
+
+
+def _small(df: DataFrame, array: str) -> DataFrame:
+    """df (id, row_hash, array of at most two numbers), to be broadcast if it is small. df should be stored."""
+    rows, items = df.agg(F.count("*"), F.coalesce(F.sum(F.size(array)), F.lit(0))).first()
+    return F.broadcast(df) if 48 * rows + 24 * items <= BROADCAST_BYTES else df
 
 
 def _without(docs: DataFrame, gone: DataFrame, text: str) -> DataFrame:
-    """docs (id, row_hash and others) with the text less its lines, n_lines and n_removed."""
-    joined = docs.join(gone, ["id", "row_hash"], "left")
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i.cast("int")))
-    return joined.withColumn("n_lines", F.size(lines)).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0))).withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
+    """docs (id, row_hash and others) with the text less its lines, and n_removed. Texts that lose nothing are passed by."""
+    joined = docs.join(_small(gone, "gone"), ["id", "row_hash"], "left").select(*docs.columns, "gone")
+    out = joined.filter("gone IS NULL").select(*docs.columns, F.lit(0).cast("long").alias("n_removed"))
+    at, names = docs.columns.index(text), out.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept, lost = [], []
+            for x, numbers in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                drop = set(numbers)
+                kept.append("\n".join(line for i, line in enumerate(x.split("\n")) if i not in drop))
+                lost.append(len(drop))
+            columns = [pa.array(kept, c.type) if i == at else c for i, c in enumerate(b.columns[:-1])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lost, pa.int64())], names=names)
+
+    return out.union(joined.filter("gone IS NOT NULL").mapInArrow(cut, out.schema))
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed and kept_text of every document."""
     own = keyed(docs, id_col, text_col)
-    out = _without(own, repeated_lines(own, min_chars), "text")
-    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), F.col("text").alias("kept_text"))
+    counted = own.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
+    out = _without(counted, repeated_lines(own), "text")
+    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_lines", "n_removed", F.col("text").alias("kept_text"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their repeated lines, with all their columns. A document that loses all its words goes."""
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     at = [f"c{names.index(c)}" for c in (id_col, text_col)]
     full = plain.withColumns({"id": F.coalesce(F.col(at[0]).cast("long"), F.lit(NO_ID)), "row_hash": F.xxhash64(at[1])})
-    gone = repeated_lines(full.select("id", "row_hash", F.coalesce(at[1], F.lit("")).alias("text")), min_chars)
+    gone = repeated_lines(full.select("id", "row_hash", F.coalesce(at[1], F.lit("")).alias("text")))
     out = _without(full, gone, at[1]).filter((F.col("n_removed") == 0) | F.col(at[1]).rlike("[^\\x20\\x09-\\x0D]"))
     return out.select(*plain.columns).toDF(*names)

@@ -1,113 +1,336 @@
 """From signatures to classes: buckets, verified links, connected components.
 
-Nodes with a signature value in common share a bucket. A bucket isn't expanded to pairs at once: its
-members are held against one leader, the member whose other buckets are fullest (in a family of copies that
-is the text the others were made from). A leader has then met every member and leaves the bucket. Where
-what is left holds several classes, `MORE` times as many members as before lead in the next round, those
-outside the largest class first, until every bucket is of one class. So each two nodes of a bucket are
-compared unless others have already put them in one class. Copies cost a pair a membership; a bucket of
-many unrelated members costs its pairs. Links are counted only once verified on the contents.
-
-Classes come from the links by hash-to-minimum with pointer jumping; joins and minima by key only, so a
-node with very many links is nothing special.
+Nodes with a signature value (a key) in common share a bucket. Keys travel packed: a block of texts sends
+one string of (key, node) pairs to each part of the key space, and a part's reader, which keeps one entry a
+key, passes on the nodes of the keys that a second node has. Buckets with the same members count once.
+
+Every two members of a bucket are compared unless links already join them, so no link is lost that shares
+a key; but no pair is listed. A bucket within BLOCK_ROWS members and BLOCK_CHARS of content is one cell: a
+task holds it, counts what its members share and puts out the links of a spanning forest. A larger one is
+held against one leader first, the member of the fullest buckets, a cell for each block. What that doesn't
+join to the bucket's largest class, its outsiders, meets all members, in cells of a block of outsiders and
+a block of members. A block is chosen by hash, so that no bucket is ever gathered or sorted as a whole.
+
+Classes come from the links by hash-to-minimum with pointer jumping, each task having first merged its own
+links. A join by a key that may be hot (a bucket, a label) broadcasts what belongs to the keys of more than
+a thousandth of all rows, of which there are a thousand at most, and is shuffled for the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridseek.llm.common import checkpointed, stored
+from gridseek.llm.common import U64, stored
+
+#: Members of a block of a bucket and characters of their contents, about.
+BLOCK_ROWS, BLOCK_CHARS = 1024, 1 << 20
+#: Contents that a task works on at a time, whole cells.
+GROUP_CHARS = 1 << 20
+#: A table within so many bytes is broadcast; beyond, the join is shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Keys of more than this part of all rows are hot.
+HOT_PART = 1000
+#: Pairs of a cell up to which sets are compared one by one, and uses of an element up to which they are counted one by one.
+FEW_PAIRS, FEW_USES = 2048, 2048
+
+
+@dataclass(frozen=True)
+class Measure:
+    """How two contents compare. elements: hashes of what each content consists of; two contents can be linked only
+    if their sets have a Jaccard similarity of `threshold`. linked decides, on the elements and the contents."""
+
+    elements: Callable[[list[str]], list[np.ndarray]]
+    linked: Callable[[np.ndarray, np.ndarray, str, str], bool]
+    threshold: float = 0.8
+
+
+def small(df: DataFrame, row_bytes: int = 24) -> DataFrame:
+    """df, to be broadcast if it takes BROADCAST_BYTES at most, counted here. df should be stored."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def attached(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """rows with what per_key says of their key. per_key: one row a key, `size` (the rows of that key) among its columns. Both stored."""
+    total = per_key.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    above = F.col("size") > max(64, total // HOT_PART)
+    hot = F.broadcast(per_key.filter(above))
+    if hot.isEmpty():
+        return rows.join(per_key, key)
+    return rows.join(hot, key).union(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per_key.filter(~above), key))
+
+
+# ---- buckets
+
+
+def packed(spread: np.ndarray, rows: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Rows of 64-bit numbers as one string for each part; `spread`, 64 well-mixed bits a row, says which part."""
+    part = ((spread.view(U64) >> U64(32)) % U64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edge = np.flatnonzero(np.diff(part[order])) + 1
+    return [(int(part[own[0]]), rows[own].tobytes()) for own in np.split(order, edge)] if len(part) else []
+
+
+def entries(nodes: np.ndarray, keys: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """The packed (key, node) pairs of some nodes, which have a row of keys each."""
+    flat = np.ascontiguousarray(keys).view(np.int64).ravel()
+    return packed(flat, np.stack([flat, np.repeat(nodes, keys.shape[1])], axis=1), parts)
+
+
+def number_of_parts(df: DataFrame) -> int:
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+class _Meetings:
+    """One entry for each key seen; takes pairs in any order and gives back those of keys with two nodes or more."""
+
+    def __init__(self) -> None:
+        self.key, self.node, self.told = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def take(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, node = np.concatenate([self.key, pairs[:, 0]]), np.concatenate([self.node, pairs[:, 1]])
+        told = np.concatenate([self.told, np.zeros(len(pairs), bool)])
+        order = np.lexsort((~told, node, key))
+        key, node, told = key[order], node[order], told[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])[: len(key)]
+        key, node, told = key[new], node[new], told[new]
+        lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        size = np.diff(np.append(lead, len(key)))
+        many = (size > 1) | np.logical_or.reduceat(told, lead) if len(lead) else np.zeros(0, bool)
+        go = np.repeat(many, size) & ~told
+        self.key, self.node, self.told = key[lead], node[lead], many
+        return key[go], node[go]
+
+
+def memberships(strings: DataFrame) -> DataFrame:
+    """(key, n) for all keys of two nodes or more, from packed strings (part, entries)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, size = _Meetings(), [], 0
+
+        def settle() -> pa.RecordBatch:
+            key, node = seen.take(np.frombuffer(b"".join(held), np.int64).reshape(-1, 2))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "n"])
+
+        for batch in batches:
+            for pairs in batch.column(1).to_pylist():
+                held.append(pairs)
+                size += len(pairs) // 16
+                if size > max(1 << 19, len(seen.key)):
+                    yield settle()
+                    size = 0
+        if held:
+            yield settle()
+
+    return strings.repartition("part").mapInArrow(run, "key long, n long").distinct()
+
 
-#: Each round has so many times the leaders of the one before.
-MORE = 4
-#: A key table up to this many rows (24 bytes each) is broadcast; beyond, the join is shuffled.
-BROADCAST_ROWS = 1_000_000
+# ---- links
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if its rows, counted here, are few. df should be checkpointed."""
-    return F.broadcast(df) if df.count() <= limit else df
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets share."""
+    size = [np.fromiter(map(len, x), np.int64, len(x)) for x in (left, right)]
+    _, token = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    sides = token[: size[0].sum()], token[size[0].sum() :]
+    owner = [np.repeat(np.arange(len(s)), s) for s in size]
+    count = [np.bincount(x, minlength=len(token) and token.max() + 1) for x in sides]
+    uses = count[0] * count[1]
+    out = np.zeros((len(left), len(right)), np.float32)
+    common = np.flatnonzero(uses > FEW_USES)
+    nth = np.full(len(uses), -1)
+    for lo in range(0, len(common), 2048):
+        some = common[lo : lo + 2048]
+        nth[:] = -1
+        nth[some] = np.arange(len(some))
+        a, b = (np.zeros((len(s), len(some)), np.float32) for s in size)
+        for m, own, tok in ((a, owner[0], sides[0]), (b, owner[1], sides[1])):
+            here = nth[tok] >= 0
+            m[own[here], nth[tok[here]]] = 1
+        out += a @ b.T
+    rare = (uses > 0) & (uses <= FEW_USES)
+    row, tok = owner[0][rare[sides[0]]], sides[0][rare[sides[0]]]
+    order = np.argsort(sides[1], kind="stable")
+    column, begin = owner[1][order], np.cumsum(count[1]) - count[1]
+    times = count[1][tok]
+    edges = np.append(np.searchsorted(np.cumsum(times), np.arange(0, times.sum(), 1 << 20), side="right"), len(tok))
+    for lo, to in zip(edges[:-1], edges[1:], strict=True):
+        t = times[lo:to]
+        at = np.repeat(begin[tok[lo:to]] - (np.cumsum(t) - t), t) + np.arange(t.sum())
+        out += np.bincount(np.repeat(row[lo:to], t) * len(right) + column[at], minlength=out.size).reshape(out.shape)
+    return out
+
+
+def cell_links(nodes: list[int], sides: list[int], contents: list[str], elements: list[np.ndarray], measure: Measure) -> list[tuple[int, int]]:
+    """A spanning forest of a cell's links: among members of side 0 if there are no others, else between side 0 and side 1."""
+    cross = any(sides)
+    rows = [i for i, s in enumerate(sides) if not (cross and s)]
+    columns = [i for i, s in enumerate(sides) if s] if cross else rows
+    parent = {n: n for n in nodes}
+    out = []
+
+    def find(n: int) -> int:
+        while parent[n] != n:
+            parent[n] = n = parent[parent[n]]
+        return n
+
+    def link(i: int, j: int) -> None:
+        a, b = find(nodes[i]), find(nodes[j])
+        if a != b and measure.linked(elements[i], elements[j], contents[i], contents[j]):
+            parent[max(a, b)] = min(a, b)
+            out.append((nodes[i], nodes[j]))
+
+    if len(rows) * len(columns) <= FEW_PAIRS:
+        sets = {i: set(elements[i].tolist()) for i in {*rows, *columns}}
+        for at, i in enumerate(rows):
+            own = sets[i]
+            for j in columns if cross else columns[at + 1 :]:
+                other = sets[j]
+                if min(len(own), len(other)) >= measure.threshold * max(len(own), len(other)) and find(nodes[i]) != find(nodes[j]):
+                    both = len(own & other)
+                    if both >= measure.threshold * (len(own) + len(other) - both):
+                        link(i, j)
+        return out
+    left = [np.unique(elements[i]) for i in rows]
+    right = [np.unique(elements[i]) for i in columns] if cross else left
+    both = overlaps(left, right).astype(np.float64)
+    union = np.fromiter(map(len, left), float, len(left))[:, None] + np.fromiter(map(len, right), float, len(right)) - both
+    i, j = np.nonzero((both >= measure.threshold * union) & (union > 0))
+    if not cross:
+        i, j = i[i < j], j[i < j]
+    for k in np.argsort(-both[i, j] / union[i, j], kind="stable").tolist():
+        link(rows[i[k]], columns[j[k]])
+    return out
+
+
+def settled(cells: DataFrame, content: DataFrame, measure: Measure) -> DataFrame:
+    """(a, b): links of cells (key, lo, hi, side, n) on content (n, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: list[tuple[list, list, list]] = []  # whole cells and the one that is being read
+        now, chars = None, 0
+
+        def close(some: list) -> Iterator[pa.RecordBatch]:
+            elements = measure.elements([x for _, _, texts in some for x in texts])
+            found, at = [], 0
+            for sides, nodes, texts in some:
+                found += cell_links(nodes, sides, texts, elements[at : at + len(texts)], measure)
+                at += len(texts)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for key, lo, hi, side, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, lo, hi) != now:
+                    if chars > GROUP_CHARS:
+                        yield from close(groups)
+                        groups, chars = [], 0
+                    now = key, lo, hi
+                    groups.append(([], [], []))
+                for values, value in zip(groups[-1], (side, n, text), strict=True):
+                    values.append(value)
+                chars += len(text)
+        if groups:
+            yield from close(groups)
+
+    full = cells.join(content, "n").select("key", "lo", "hi", "side", "n", "content")
+    return full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
+
+
+def large_bucket_links(members: DataFrame, sizes: DataFrame, content: DataFrame, measure: Measure) -> DataFrame:
+    """Links of the buckets of several blocks. members: key, n; sizes: key, size, blocks."""
+    member = stored(attached(members, sizes, "key"))
+    support = member.groupBy("n").agg(F.sum("size").alias("support"))
+    leads = stored(member.join(support, "n").groupBy("key", "size", "blocks").agg(F.max(F.struct("support", "n")).getField("n").alias("a")))
+
+    def of(hashed: int, count: str):
+        return F.pmod(F.xxhash64("n", F.lit(hashed)), F.col(count)).cast("int")
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    zero, one = F.lit(0), F.lit(1)
+    others = attached(member.select("key", "n"), leads, "key").filter("n <> a")
+    cells = others.select("key", zero.alias("lo"), of(1, "blocks").alias("hi"), one.alias("side"), "n")
+    cells = cells.union(leads.select("key", zero.alias("lo"), every("blocks").alias("hi"), zero.alias("side"), F.col("a").alias("n")))
+    first = stored(settled(cells, content, measure))
+    named = stored(member.select("key", "n").join(components(first), "n", "left").select("key", "n", F.coalesce("label", "n").alias("label")))
+    kinds = named.groupBy("key", "label").agg(F.count("*").alias("own")).groupBy("key").agg(F.max(F.struct("own", "label")).alias("main"))
+    mixed = kinds.join(leads.drop("a"), "key").withColumn("out", F.col("size") - F.col("main.own")).filter("out > 0")
+    mixed = stored(mixed.select("key", "size", "blocks", F.col("main.label").alias("main"), F.least("out", F.ceil(F.col("out") * F.col("blocks") / F.col("size"))).cast("int").alias("rows")))
+    open_ = stored(attached(named, mixed, "key"))
+    cells = open_.select("key", every("rows").alias("lo"), of(1, "blocks").alias("hi"), one.alias("side"), "n")
+    cells = cells.union(open_.filter("label <> main").select("key", of(2, "rows").alias("lo"), every("blocks").alias("hi"), zero.alias("side"), "n"))
+    return first.union(settled(cells, content, measure))
+
+
+def classes(strings: DataFrame, contents: Callable[[DataFrame], DataFrame], measure: Measure) -> DataFrame:
+    """(n, label) for the nodes that are linked to others: label is the least of its class.
+
+    strings: packed entries (part, entries). contents: from a table of n to (n, content)."""
+    member = stored(memberships(strings))
+    content = stored(contents(stored(member.select("n").distinct())))
+    length = small(content.select("n", F.length("content").alias("chars")))
+    about = member.join(length, "n").groupBy("key")
+    seal = [F.bit_xor(F.xxhash64("n", F.lit(s))).alias(f"seal{s}") for s in (0, 1)]
+    sizes = about.agg(F.count("*").alias("size"), F.sum("chars").alias("chars"), *seal).groupBy("size", "chars", "seal0", "seal1").agg(F.min("key").alias("key"))
+    blocks = F.least("size", F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("chars") / BLOCK_CHARS))).cast("int")
+    sizes = stored(sizes.select("key", "size", blocks.alias("blocks")))
+    inner = attached(member, sizes.filter("blocks = 1"), "key")
+    zero = F.lit(0)
+    links = settled(inner.select("key", zero.alias("lo"), zero.alias("hi"), zero.alias("side"), "n"), content, measure)
+    large = sizes.filter("blocks > 1")
+    if not large.isEmpty():
+        links = links.union(large_bucket_links(member, large, content, measure))
+    return components(links)
+
+
+# ---- classes
+
+
+def _merged_by_task(edges: DataFrame) -> DataFrame:
+    """The same components by fewer edges: each task's links as (least node, node), a star for each of its components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (c.to_numpy() for c in batch.columns)
+            nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            a, b = place[: len(a)], place[len(a) :]
+            low = np.arange(len(nodes))
+            while True:
+                was = low.copy()
+                least = np.minimum(low[a], low[b])
+                np.minimum.at(low, a, least)
+                np.minimum.at(low, b, least)
+                low = low[low]
+                if (low == was).all():
+                    break
+            some = np.flatnonzero(low != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[low[some]]), pa.array(nodes[some])], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(n, label) for the nodes of edges (a, b): the least node of each connected component."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    star = _merged_by_task(edges)
+    both = stored(star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    degree = stored(both.groupBy("b").agg(F.count("*").alias("size")))
+    labels = stored(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        near = both.join(labels, F.col("b") == F.col("n")).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, F.col("n") == F.col("a")).select("n", F.least("label", "near").alias("low"), "label")
-        above = labels.select(F.col("n").alias("m"), F.col("label").alias("top"))
-        jumped = lower.join(above, F.col("low") == F.col("m"), "left").select("n", F.least("low", F.coalesce("top", "low")).alias("label"), F.col("label").alias("was"))
-        new = checkpointed(jumped)
+        told = stored(degree.join(labels.withColumnRenamed("n", "b"), "b"))
+        near = attached(both, told, "b").groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
+        lower = stored(labels.join(near, "n").select("n", F.least("label", "near").alias("low"), "label"))
+        tops = lower.groupBy("low").agg(F.count("*").alias("size")).join(labels.select(F.col("n").alias("low"), F.col("label").alias("top")), "low", "left")
+        tops = stored(tops.select("low", "size", F.coalesce("top", "low").alias("top")))
+        new = stored(attached(lower, tops, "low").select("n", F.least("low", "top").alias("label"), F.col("label").alias("was")))
         labels = new.select("n", "label")
         if new.filter("label <> was").isEmpty():
             return labels
-
-
-def memberships(nodes: DataFrame) -> DataFrame:
-    """(n, key, support) for all buckets of two nodes or more. nodes: n, keys (one for each band); a node may come repeatedly."""
-    bucket = Window.partitionBy("key")
-    exploded = nodes.select("n", F.explode("keys").alias("key"))
-    mixed = exploded.withColumn("other", F.min("n").over(bucket) != F.max("n").over(bucket)).withColumn("size", F.count("*").over(bucket)).filter("other")
-    many = checkpointed(mixed.drop("other").distinct())
-    support = many.groupBy("n").agg(F.sum("size").alias("support"))
-    return checkpointed(many.join(support, "n").drop("size"))
-
-
-def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """labels (n, label; a node without one is its own) after further edges (a, b)."""
-    of = lambda end: labels.select(F.col("n").alias(end), F.col("label").alias(f"{end}_label"))
-    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
-    joined = components(between.filter("a <> b"))
-    moved = joined.select(F.col("n").alias("label"), F.col("label").alias("low"))
-    new = joined.join(labels, "n", "left_anti")
-    return checkpointed(labels.join(moved, "label", "left").select("n", F.coalesce("low", "label").alias("label")).union(new))
-
-
-def classes(nodes: DataFrame, contents: Callable[[DataFrame], DataFrame], verify: Callable[[list, list], list[bool]]) -> DataFrame:
-    """(n, label) for the nodes that are linked to others.
-
-    nodes: n long, keys array<long>. contents: from a table of n to (n, content). verify: which pairs of contents are linked."""
-    member = memberships(nodes)
-    content = stored(contents(checkpointed(member.select("n").distinct())))
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                yield part.select(["a", "b"]).filter(pa.array(verify(part.column(2).to_pylist(), part.column(3).to_pylist()), pa.bool_()))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        right = pairs.join(content.select(F.col("n").alias("b"), F.col("content").alias("right")), "b")
-        full = right.join(content.select(F.col("n").alias("a"), F.col("content").alias("left")), "a").select("a", "b", "left", "right")
-        return checkpointed(full.mapInArrow(held, "a long, b long"))
-
-    lead = member.groupBy("key").agg(F.max(F.struct("support", "n")).getField("n").alias("a"))
-    with_lead = member.join(lead, "key").filter("a <> n")
-    tried = checkpointed(with_lead.select("a", F.col("n").alias("b")).distinct())
-    labels = components(linked(tried))
-    open_, leaders = with_lead.select("n", "key", "support"), 1
-    while True:
-        leaders *= MORE
-        named = checkpointed(open_.join(labels, "n", "left").select("n", "key", "support", F.coalesce("label", "n").alias("label")))
-        sizes = named.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key")
-        mixed = sizes.agg(F.max(F.struct("size", "label")).getField("label").alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("key", "main")
-        order = Window.partitionBy("key").orderBy(F.col("label") == F.col("main"), F.desc("support"), F.desc("n"))
-        ranked = checkpointed(named.join(mixed, "key").withColumn("place", F.row_number().over(order)).drop("main"))
-        if ranked.isEmpty():
-            return labels
-        lead = ranked.filter(F.col("place") <= leaders).select("key", F.col("n").alias("a"), F.col("label").alias("own"), F.col("place").alias("first"))
-        pairs = ranked.join(lead, "key").filter("place > first AND label <> own").select("a", F.col("n").alias("b"), F.least("a", "n").alias("low"), F.greatest("a", "n").alias("high"))
-        pairs = pairs.dropDuplicates(["low", "high"]).join(tried.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), ["low", "high"], "left_anti")
-        pairs = checkpointed(pairs.select("a", "b"))
-        open_ = ranked.filter(F.col("place") > leaders).select("n", "key", "support")
-        if pairs.isEmpty():
-            continue
-        tried = tried.union(pairs)
-        more = linked(pairs)
-        if not more.isEmpty():
-            labels = merged(labels, more)

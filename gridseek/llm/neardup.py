@@ -6,14 +6,18 @@ order of the text; two documents share a sketch if they have the same smallest s
 so it answers to edits and not to the mere set. Documents that share any of SKETCHES sketches are
 candidates; equal word sequences are merged first and count once.
 
-Candidates are verified by banded alignment: a labelled shingle occurs once on each side, so the longest
-common subsequence is a longest increasing run of positions, taken within a band about the diagonal that
-no pair above the threshold leaves. Linked are those whose aligned shingles make up THRESHOLD of all.
-A pair at exactly 0.8 shares a sketch with probability 1 - (1 - 0.8^4)^20 > 0.9999.
+All candidates are compared (links.py): the labelled shingles that two share bound their alignment from above,
+and pairs that pass are verified by banded alignment. A labelled shingle occurs once on each side, so the
+longest common subsequence is a longest increasing run of positions, taken within a band about the diagonal
+that no pair above the threshold leaves. Linked are those whose aligned shingles make up THRESHOLD of all.
+A pair at exactly 0.8 shares a sketch with probability 1 - (1 - 0.8^4)^20 > 0.9999. Shingles are held as
+64-bit hashes.
 
 Cases: a text of one to four words is one shingle; a text without words (null, empty) is a class of its
 own; a null doc_id is a row like others; rows of one doc_id with different texts are different documents;
-an empty table gives an empty result; extra columns are ignored.
+repeated rows and equal texts are one class; of ties in doc_id the text of the least hash stays; a very long
+text is a block of its own and takes some 100 bytes a word; an empty table gives an empty result; extra
+columns, of any name, are ignored by `near_duplicates` and kept by `drop_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridseek.llm.common import U64, Block, Hasher, blocks, checkpointed, mix, seeds
-from gridseek.llm.links import classes, small
+from gridseek.llm.common import U64, Block, Hasher, blocks, mix, seeds, stored, utf8
+from gridseek.llm.links import Measure, attached, classes, entries, number_of_parts, small
 from gridseek.llm.substring import window_hashes
 
 WORDS, THRESHOLD = 5, 0.8
@@ -92,45 +96,56 @@ def order_sketches(labelled: np.ndarray, edges: np.ndarray, sketches: int = SKET
     return out
 
 
-SLIM = "id long, row_hash long, fp binary, keys array<long>"
+#: A document (n and m are the digest of its words, null where it has none) or packed entries.
+SIGNED = "id long, row_hash long, n long, m long, part int, entries binary"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """SLIM of docs (id, row_hash, text); keys are empty for a text without words."""
+    """SIGNED of docs (id, row_hash, text)."""
+    parts = number_of_parts(docs)
+    names = [x.split()[0] for x in SIGNED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, keys, size = [], [], 0
         for part, block in blocks(batches):
-            fps = [hashlib.md5(b" ".join(block.buf[block.offsets[i] : block.offsets[i + 1]].tobytes().split())).digest() for i in range(block.n)]
+            digests = [hashlib.md5(b" ".join(block.buf[block.offsets[i] : block.offsets[i + 1]].tobytes().split())).digest() for i in range(block.n)]
+            digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             labelled, edges = labelled_shingles(block)
-            some = np.flatnonzero(np.diff(edges) > 0)
-            keys = order_sketches(labelled, np.append(edges[some], edges[-1])) if len(some) else np.zeros((0, SKETCHES), U64)
-            ends = np.cumsum(np.where(np.diff(edges) > 0, SKETCHES, 0))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.binary()), lists], names=["id", "row_hash", "fp", "keys"])
-
-    return docs.select("id", "row_hash", "text").mapInArrow(run, SLIM)
-
-
-def _labels(text: str) -> dict[tuple, int]:
-    """Position of each labelled shingle."""
-    words = text.encode().split()
-    grams = [tuple(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))] if words else []
-    seen: dict[tuple, int] = {}
-    out = {}
-    for i, g in enumerate(grams):
-        n = seen[g] = seen.get(g, 0) + 1
-        out[g, n] = i
-    return out
-
-
-def aligned(left: dict, right: dict, threshold: float = THRESHOLD) -> float:
-    """Aligned shingles over all shingles of both."""
+            without = np.diff(edges) == 0
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digest[:, 0], mask=without), pa.array(digest[:, 1], mask=without), pa.nulls(block.n, pa.int32()), pa.nulls(block.n, pa.binary())], names=names)
+            some = np.flatnonzero(~without)
+            if len(some):
+                nodes.append(digest[some, 0])
+                keys.append(order_sketches(labelled, np.append(edges[some], edges[-1])))
+                size += len(some)
+            if size > 4096:
+                yield strings(nodes, keys)
+                nodes, keys, size = [], [], 0
+        if size:
+            yield strings(nodes, keys)
+
+    def strings(nodes: list, keys: list) -> pa.RecordBatch:
+        part, packs = zip(*entries(np.concatenate(nodes), np.concatenate(keys), parts), strict=True)
+        none = pa.nulls(len(part), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(part, pa.int32()), pa.array(packs, pa.binary())], names=names)
+
+    return docs.select("id", "row_hash", "text").mapInArrow(run, SIGNED)
+
+
+def _elements(texts: list[str]) -> list[np.ndarray]:
+    labelled, edges = labelled_shingles(Block(*utf8(pa.array(texts, pa.large_string()))))
+    return np.split(labelled, edges[1:-1])
+
+
+def aligned(left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD) -> float:
+    """Aligned shingles over all shingles of both, each a text's labelled shingles in order."""
     a, b = len(left), len(right)
     if min(a, b) < threshold * max(a, b):
         return 0.0
     # of a pair above the threshold at most this many shingles are unmatched, so no match lies further off the diagonal
     band = int((1 - threshold) / (1 + threshold) * (a + b)) + 1
-    places = [j for key, i in left.items() if (j := right.get(key)) is not None and abs(j - i) <= band]
+    at = dict(zip(right.tolist(), range(b), strict=True))
+    places = [j for i, key in enumerate(left.tolist()) if (j := at.get(key)) is not None and abs(j - i) <= band]
     tails: list[int] = []
     for j in places:  # left's order; tails[k]: the least end of an increasing run of k + 1
         if not tails or j > tails[-1]:
@@ -140,14 +155,7 @@ def aligned(left: dict, right: dict, threshold: float = THRESHOLD) -> float:
     return len(tails) / (a + b - len(tails)) if a + b else 0.0
 
 
-def similar(left: list[str], right: list[str]) -> list[bool]:
-    """Which pairs of texts are near-duplicates. Runs of one left text are read once."""
-    out, last, own = [], None, {}
-    for a, b in zip(left, right, strict=True):
-        if a is not last and a != last:
-            last, own = a, _labels(a)
-        out.append(aligned(own, _labels(b)) >= THRESHOLD)
-    return out
+MEASURE = Measure(_elements, lambda x, y, a, b: aligned(x, y) >= THRESHOLD, THRESHOLD)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -155,31 +163,32 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs: id, row_hash, text. A slim row for each document (id, row_hash, fp, worded) and each fp's (fp, id, row_hash, label)."""
-    slim = checkpointed(signatures(docs))
-    worded = slim.filter(F.size("keys") > 0)
-    nodes = worded.groupBy("fp").agg(F.min(F.struct("id", "row_hash")).alias("first"), F.first("keys").alias("keys"))
-    nodes = checkpointed(nodes.select(F.monotonically_increasing_id().alias("n"), "fp", "first.id", "first.row_hash", "keys"))
+    """docs: id, row_hash, text. All documents with words (id, row_hash, label), stored, and those without (id, row_hash)."""
+    signed = stored(signatures(docs))
+    worded = signed.filter("n IS NOT NULL").select("id", "row_hash", "n", "m")
 
     def contents(wanted: DataFrame) -> DataFrame:
-        at = checkpointed(wanted.join(nodes.select("n", "id", "row_hash"), "n"))
+        one = worded.join(small(wanted), "n").groupBy("n").agg(F.min(F.struct("id", "row_hash")).alias("p"))
+        at = stored(one.select("n", "p.id", "p.row_hash"))
         return docs.join(small(at), ["id", "row_hash"]).select("n", F.col("text").alias("content")).dropDuplicates(["n"])
 
-    labels = classes(nodes.select("n", "keys"), contents, similar)
-    named = nodes.select("n", "fp", "id", "row_hash").join(labels, "n", "left").withColumn("label", F.coalesce("label", "n")).drop("n")
-    return slim.select("id", "row_hash", "fp", (F.size("keys") > 0).alias("worded")), checkpointed(named)
+    labels = classes(signed.filter("entries IS NOT NULL").select("part", "entries"), contents, MEASURE)
+    # a node of its own is its texts of one digest, all 128 bits
+    label = F.struct(F.coalesce("label", "n"), F.when(F.col("label").isNull(), F.col("m")).otherwise(F.lit(0)))
+    named = worded.join(small(labels), "n", "left").select("id", "row_hash", label.alias("label"))
+    return stored(named), signed.filter("n IS NULL AND part IS NULL").select("id", "row_hash")
+
+
+def _null(name: str):
+    return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and class_size of every document."""
-    slim, named = _classified(keyed(docs, id_col, text_col))
-    counted = slim.filter("worded").groupBy("fp").agg(F.count("*").alias("copies"))
-    per_class = named.join(counted, "fp").groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_fp = checkpointed(named.join(per_class, "label").select("fp", "class_id", "class_size"))
-    null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    with_words = slim.filter("worded").join(by_fp, "fp").select(null("id").alias(id_col), null("class_id").alias("class_id"), "class_size")
-    without = slim.filter("NOT worded").select(null("id").alias(id_col), null("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return with_words.union(without)
+    named, without = _classified(keyed(docs, id_col, text_col))
+    per_class = stored(named.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("size")))
+    with_words = attached(named, per_class, "label").select(_null("id").alias(id_col), _null("class_id"), F.col("size").alias("class_size"))
+    return with_words.union(without.select(_null("id").alias(id_col), _null("id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,9 +197,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     at = [f"c{names.index(c)}" for c in (id_col, text_col)]
     full = plain.withColumns({"id": F.coalesce(F.col(at[0]).cast("long"), F.lit(NO_ID)), "row_hash": F.xxhash64(at[1])})
-    slim, named = _classified(full.select("id", "row_hash", F.coalesce(at[1], F.lit("")).alias("text")))
-    kept = named.groupBy("label").agg(F.min(F.struct("id", "row_hash")).alias("k")).select("k.id", "k.row_hash", F.lit(True).alias("once"))
-    kept = checkpointed(kept.union(slim.filter("NOT worded").select("id", "row_hash", F.lit(False)).distinct()))
-    rows = full.join(kept, ["id", "row_hash"])
-    once = rows.filter("once").dropDuplicates(["id", "row_hash"])
-    return once.union(rows.filter("NOT once")).select(*plain.columns).toDF(*names)
+    named, _ = _classified(full.select("id", "row_hash", F.coalesce(at[1], F.lit("")).alias("text")))
+    first = stored(named.groupBy("label").agg(F.min(F.struct("id", "row_hash")).alias("first"), F.count("*").alias("size")))
+    several = attached(named, first.filter("size > 1"), "label")
+    other = F.struct("id", "row_hash") != F.col("first")
+    # a document that is neither dropped nor one of several equal rows is passed by
+    known = stored(several.groupBy("id", "row_hash").agg(F.max(other).alias("drop"), F.count("*").alias("rows")).filter("drop OR rows > 1"))
+    joined = full.join(small(known, 48), ["id", "row_hash"], "left").select(*full.columns, "drop")
+    once = joined.filter("NOT drop").dropDuplicates(["id", "row_hash"])
+    return joined.filter("drop IS NULL").union(once).select(*plain.columns).toDF(*names)

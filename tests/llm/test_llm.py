@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridseek.llm import ann, linededup, mixing, neardup, packing, preference, quality, sharding, substring, tokencount
+from gridseek.llm import links
 from gridseek.llm.common import Block, blocks
 from gridseek.llm.links import classes, components
 from gridseek.llm.queries import tokenizer_path
@@ -278,12 +279,80 @@ def test_near_duplicates_odd_rows(spark, docs, corpus):
     assert neardup.near_duplicates(empty(spark)).count() == 0 and neardup.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def plain_alignment(a, b):
+    """Labelled shingles in common, in order, over all: the whole table of a longest common subsequence."""
+
+    def labelled(t):
+        w, seen, out = words(t), collections.Counter(), []
+        for i in range(max(1, len(w) - 4)):
+            g = tuple(w[i : i + 5])
+            out.append((g, seen[g]))
+            seen[g] += 1
+        return out
+
+    x, y = labelled(a), labelled(b)
+    row = [0] * (len(y) + 1)
+    for i in x:
+        new = [0]
+        for k, j in enumerate(y):
+            new.append(row[k] + 1 if i == j else max(row[k + 1], new[k]))
+        row = new
+    return row[-1] / (len(x) + len(y) - row[-1])
+
+
+def alignment(a, b, threshold=0.8):
+    return neardup.aligned(*neardup._elements([a, b]), threshold)
+
+
 def test_alignment_is_a_common_subsequence():
-    a = neardup._labels("a b c d e f g h i j k l")
-    assert neardup.aligned(a, neardup._labels("a b c d e f g h i j k l")) == 1.0
-    assert neardup.aligned(a, neardup._labels("a b c d e f g h i j k z"), 0.5) == pytest.approx(7 / 9)
-    swapped = neardup._labels("g h i j k l a b c d e f")
-    assert neardup.aligned(a, swapped, 0.1) < 0.4
+    text = "a b c d e f g h i j k l"
+    assert alignment(text, text) == 1.0
+    assert alignment(text, "a b c d e f g h i j k z", 0.5) == pytest.approx(7 / 9)
+    assert alignment(text, "g h i j k l a b c d e f", 0.1) < 0.4
+    rng = random.Random(6)
+    for _ in range(200):
+        w = [rng.choice("abcdefgh") for _ in range(rng.randint(5, 90))]
+        v = w[:]
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(v))
+            v[at : at + rng.randint(0, 2)] = [rng.choice("abcxyz") for _ in range(rng.randint(0, 2))]
+        if rng.random() < 0.2:
+            v = v[len(v) // 2 :] + v[: len(v) // 2]
+        if not v:
+            continue
+        want = plain_alignment(" ".join(w), " ".join(v))
+        assert (alignment(" ".join(w), " ".join(v)) >= 0.8) == (want >= 0.8)
+
+
+def stem_family(rng, unit, stems, classes_, length, own, edits, copies=1):
+    """Texts of `length` units with a common start; each class ends in units of its own and has copies with some edits."""
+    out = []
+    for _ in range(stems):
+        stem = [unit(rng) for _ in range(length - own)]
+        for _ in range(classes_):
+            text = stem + [unit(rng) for _ in range(own)]
+            out.append(text)
+            for _ in range(copies):
+                copy = text[:]
+                for _ in range(edits):
+                    copy[rng.randrange(length)] = unit(rng)
+                out.append(copy)
+    rng.shuffle(out)
+    return out
+
+
+def test_near_duplicates_of_texts_with_a_common_stem(spark):
+    rng = random.Random(12)
+    texts = [" ".join(t) for t in stem_family(rng, lambda r: f"w{r.randrange(9999)}", 2, 150, 220, 32, 3)]
+    sets = [shingle_set(t) for t in texts]
+    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    linked = [(a, b) for a, b in near if alignment(texts[a], texts[b]) >= 0.8]
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    groups = collections.defaultdict(list)
+    for r in got:
+        groups[r.class_id].append(r.doc_id)
+    assert sorted(sorted(g) for g in groups.values()) == classes_of(range(len(texts)), linked)
+    assert 200 < len(groups) < 600 and all(r.class_size == len(groups[r.class_id]) for r in got)
 
 
 def test_components(spark):
@@ -295,22 +364,68 @@ def test_components(spark):
 # ---- op 10
 
 
-def test_many_small_classes_in_shared_buckets(spark):
-    """A family whose buckets hold mostly unrelated members: every similar pair that shares a bucket is linked."""
-    rng = random.Random(4)
-    kind = {n: n // 2 for n in range(240)}  # pairs of copies
-    keys = {n: [rng.randrange(4), 10 + rng.randrange(6), 100 + n // 2] if n % 3 else [rng.randrange(4), 10 + rng.randrange(6), 1000 + n] for n in kind}
-    shared = [(a, b) for a, b in itertools.combinations(kind, 2) if kind[a] == kind[b] and set(keys[a]) & set(keys[b])]
-    nodes = spark.createDataFrame(list(keys.items()), "n long, keys array<long>")
-    names = spark.createDataFrame([(n, str(k)) for n, k in kind.items()], "n long, content string")
-    got = classes(nodes, lambda wanted: names.join(wanted, "n"), lambda left, right: [a == b for a, b in zip(left, right, strict=True)])
-    assert {r.n: r.label for r in got.collect()} == {n: a for a, b in shared for n in (a, b)}
-    assert len(shared) > 60
+def of_numbers(texts):
+    return [np.array([int(x) for x in t.split()], np.uint64) for t in texts]
 
 
-def plain_lines(rows, least):
+#: Contents are sets of numbers; linked are those that share 4 in 5 of them.
+NUMBERS = links.Measure(of_numbers, lambda x, y, a, b: len(set(x.tolist()) & set(y.tolist())) >= 0.8 * len(set(x.tolist()) | set(y.tolist())))
+
+
+@pytest.mark.parametrize("rows", [1024, 16, 5])
+def test_buckets_of_many_small_classes(spark, monkeypatch, rows):
+    """Families whose buckets hold mostly unrelated members, of one block or many: no link between members of a bucket is lost."""
+    monkeypatch.setattr(links, "BLOCK_ROWS", rows)
+    rng = random.Random(4)
+    contents, keys = {}, {}
+    for n in range(300):
+        family = n % 3
+        own = set(range(family * 100, family * 100 + 30)) | {1000 + 20 * (n // 6) + i for i in range(9)}
+        own -= set(rng.sample(sorted(own), rng.randint(0, 3)))
+        contents[n] = " ".join(map(str, own))
+        keys[n] = [rng.randrange(3) << 32, (10 + family * 5 + rng.randrange(5)) << 32, (100 + n) << 32]
+    sets = {n: set(c.split()) for n, c in contents.items()}
+    shared = [(a, b) for a, b in itertools.combinations(contents, 2) if set(keys[a]) & set(keys[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    packs = links.entries(np.array(list(keys)), np.array(list(keys.values())), 7)
+    strings = spark.createDataFrame([(p, bytearray(b)) for p, b in packs], "part int, entries binary")
+    names = spark.createDataFrame(list(contents.items()), "n long, content string")
+    got = {r.n: r.label for r in classes(strings, lambda wanted: names.join(wanted, "n"), NUMBERS).collect()}
+    want = {n: g[0] for g in classes_of(contents, shared) if len(g) > 1 for n in g}
+    assert got == want and len(set(want.values())) > 30
+
+
+def test_meetings_in_any_order():
+    rng = np.random.default_rng(3)
+    pairs = np.column_stack([rng.integers(0, 300, 3000), rng.integers(0, 5, 3000) * rng.integers(0, 2, 3000)])
+    seen, got = links._Meetings(), set()
+    for at in range(0, 3000, 170):
+        got |= set(zip(*(x.tolist() for x in seen.take(pairs[at : at + 170])), strict=True))
+    of = collections.defaultdict(set)
+    for k, n in pairs.tolist():
+        of[k].add(n)
+    assert got == {(k, n) for k, own in of.items() if len(own) > 1 for n in own} and len(seen.key) == len(of)
+
+
+def test_overlaps_of_rare_and_common_elements():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.concatenate([rng.integers(0, 40, 30), rng.integers(100, 5000, 60)])).astype(np.uint64) for _ in range(130)]
+    got = links.overlaps(sets[:60], sets[60:])
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[60:]] for a in sets[:60]]
+
+
+def test_lines_with_a_common_stem(spark):
+    rng = random.Random(21)
+    letter = lambda r: chr(r.randrange(97, 123))
+    lines = ["".join(t) for t in stem_family(rng, letter, 2, 150, 350, 50, 3) + stem_family(rng, letter, 2, 150, 375, 45, 3)]
+    rows = [(i, "\n".join(lines[i : i + 3])) for i in range(0, len(lines), 3)]
+    got = linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert collections.Counter((r.doc_id, r.kept_text) for r in got) == plain_lines(rows)
+    assert 300 < sum(len(r.kept_text.split("\n")) for r in got if r.kept_text) < 1000
+
+
+def plain_lines(rows):
     occ = [((d is not None, d or 0), i, x.strip(linededup.WHITE)) for d, t in rows for i, x in enumerate((t or "").split("\n"))]
-    occ = [o for o in occ if len(o[2]) >= least]
+    occ = [o for o in occ if o[2]]
     lines = sorted({o[2] for o in occ})
     sets = {x: linededup.shingles(x) for x in lines}
     linked = [(a, b) for a, b in itertools.combinations(lines, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
@@ -322,7 +437,7 @@ def plain_lines(rows, least):
     out = collections.Counter()
     for d, t in rows:
         key = (d is not None, d or 0)
-        kept = [x for i, x in enumerate((t or "").split("\n")) if len(x.strip(linededup.WHITE)) < least or (key, i) in keep]
+        kept = [x for i, x in enumerate((t or "").split("\n")) if not x.strip(linededup.WHITE) or (key, i) in keep]
         out[d, "\n".join(kept)] += 1
     return out
 
@@ -332,7 +447,7 @@ def test_line_dedup(spark, corpus):
     rows[500] = (500, rows[10][1].replace("the", "thy", 1) + "\nshort\nshort", "s", 0, "", 0)
     df = spark.createDataFrame(list(rows.values()), SCHEMA).repartition(3)
     got = linededup.line_report(df).collect()
-    assert collections.Counter((r.doc_id, r.kept_text) for r in got) == plain_lines([(r[0], r[1]) for r in rows.values()], linededup.MIN_CHARS)
+    assert collections.Counter((r.doc_id, r.kept_text) for r in got) == plain_lines([(r[0], r[1]) for r in rows.values()])
 
 
 def test_lines_at_the_threshold_share_a_band():
@@ -342,7 +457,7 @@ def test_lines_at_the_threshold_share_a_band():
     for _ in range(20000):
         a = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=79))
         pairs.append((a, a[:39] + "#" + a[40:]))  # 64 of 80 shingles
-    assert all(linededup.similar(*map(list, zip(*pairs[:100], strict=True))))
+    assert all(linededup.similar(a, b) for a, b in pairs[:100])
     left, right = (linededup.band_keys(list(x)) for x in zip(*pairs, strict=True))
     missed = (left != right).all(axis=1).sum()
     assert missed <= 3
@@ -490,7 +605,7 @@ def test_pipeline_stages(spark, data, tmp_path):
             want = collections.Counter(r.doc_id for r in quality.quality_report(before).filter("kept").collect())
             assert collections.Counter(r.doc_id for r in docs.collect()) == want
         elif name == "line_dedup":
-            want = plain_lines([(r.doc_id, r.text) for r in before.collect()], linededup.MIN_CHARS)
+            want = plain_lines([(r.doc_id, r.text) for r in before.collect()])
             assert collections.Counter((r.doc_id, r.text) for r in docs.collect()) == collections.Counter({k: v for k, v in want.items() if words(k[1])})
         elif name == "near_dedup":
             rows = {r.doc_id: r.text for r in before.collect()}
