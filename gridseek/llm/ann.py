@@ -3,18 +3,22 @@
 Vectors get one more component, so that the largest inner product is the least distance. A bounded sample
 gives centroids by k-means with a charge for crowded clusters. Centroids are linked to their neighbours in
 a graph held in memory; a best-first walk finds a vector's nearest lists, many vectors at a time. A vector
-near a boundary goes to several lists: those within `closure` times the least distance, but none that is
-nearer to a chosen list than to the vector. A query reads the lists within `ratio` times its least
-distance. Every row is indexed; what is sampled is only where the centroids lie.
+near a boundary goes to several lists: those within `closure` times the least distance, but none that lies
+close to a chosen list (`apart`, in parts of the vector's distance: where all centroids are nearer to each
+other than to the vectors, as in many dimensions, 1 would keep every vector in one list). A query, brought
+to the length of the longest vector, reads the lists within `ratio` times its least distance; if the walk
+ends before that, it looks at all centroids. Every row is indexed; what is sampled is only where the
+centroids lie.
 
 Lists stay balanced at any skew: one of more than LIST_CAP rows is split by a hash, and one that many
 queries read is copied, so a task scores at most LIST_CAP rows against QUERY_CAP queries. The scores of
 what the lists propose are summed in the order of the components on the original vectors, so equal
 vectors have equal scores, and ties go to the smaller id.
 
-Cases: vectors that are null, zero, of another length than most, or with null or non-finite components
-take no part; rows of one id count once, with their best score; a query whose lists hold too few vectors
-reads all lists; an empty table gives an empty result.
+Cases: vectors that are null, zero, of another length than most, or with null or non-finite components, and
+rows of a null id, take no part; rows of one id count once, with their best score, and a query id that has
+several vectors asks with the least of them; a query whose lists hold too few vectors reads all lists; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +41,11 @@ class Params:
     sample: int = 20_000  # rows that the centroids are fitted on, at most about
     list_rows: int = 128  # rows of a list, about
     max_lists: int = 8_192  # bounds the centroids that are broadcast
-    closure: float = 1.12  # a vector joins lists up to so many times its least distance
-    replicas: int = 4
-    ratio: float = 1.35  # a query reads lists up to so many times its least distance
-    beam: int = 96  # lists that the walk keeps
+    closure: float = 1.2  # a vector joins lists up to so many times its least distance
+    apart: float = 0.5  # and so far, in parts of its distance, from those it has joined
+    replicas: int = 5
+    ratio: float = 1.13  # a query reads lists up to so many times its least distance
+    beam: int = 128  # lists that the walk keeps
     degree: int = 24
     iterations: int = 8
 
@@ -142,7 +147,7 @@ def closure_lists(graph: CentroidGraph, x: np.ndarray, p: Params) -> tuple[np.nd
         ok = (d[:, j] <= p.closure * d[:, 0]) & (count < p.replicas)
         for c, was in zip(chosen, keep, strict=True):
             between = np.sqrt(((graph.c[c] - graph.c[ids[:, j]]) ** 2).sum(1))
-            ok &= ~was | (between > d[:, j])
+            ok &= ~was | (between > p.apart * d[:, j])
         chosen.append(ids[:, j])
         keep.append(ok)
         count += ok
@@ -150,6 +155,26 @@ def closure_lists(graph: CentroidGraph, x: np.ndarray, p: Params) -> tuple[np.nd
     return rows, np.stack(chosen, 1)[rows, which]
 
 
+def lists_to_read(graph: CentroidGraph, q: np.ndarray, longest: float, own: np.ndarray, k: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(query, list) pairs. own: how many vectors have a list as their nearest."""
+    q = np.concatenate([q * (longest / np.sqrt((q * q).sum(1)))[:, None], np.zeros((len(q), 1))], axis=1)
+    ids, d2 = graph.walk(q, p.beam)
+    d = np.sqrt(d2)
+    near = np.isfinite(d) & (d <= p.ratio * d[:, :1])
+    near |= np.isfinite(d) & (np.cumsum(own[ids], axis=1) - own[ids] <= 4 * (k + 1))
+    wide = np.flatnonzero(near[:, -1] & (ids.shape[1] < len(graph.c)))  # the walk ended within the ratio
+    near[wide] = False
+    at, which = np.nonzero(near)
+    lists = ids[at, which]
+    if len(wide):
+        full = np.sqrt(_distances(q[wide], graph.c))
+        row, which = np.nonzero(full <= np.maximum(p.ratio * full.min(1), d[wide, -1])[:, None])
+        at, lists = np.concatenate([at, wide[row]]), np.concatenate([lists, which])
+    few = np.flatnonzero(np.bincount(at, own[lists], len(q)) < min(4 * (k + 1), own.sum()))
+    rest = ~np.isin(at, few)
+    return np.concatenate([at[rest], np.repeat(few, len(graph.c))]), np.concatenate([lists[rest], np.tile(np.arange(len(graph.c)), len(few))])
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, params: Params = Params(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found among the vectors of other ids."""
     p = params
@@ -190,20 +215,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, params: Params =
         own[r["list"]] = r["own"]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = graph.value
         for b in slices(batches):
-            q = augment(_matrix(b.column(1)), longest)
-            q[:, -1] = 0
-            ids, d2 = g.walk(q, p.beam)
-            # the largest inner product is the least distance; the distance from a zero last component has a floor, which the ratio leaves out
-            near = np.isfinite(d2) & (np.sqrt(d2) <= p.ratio * np.sqrt(d2[:, :1]))
-            held = np.cumsum(own[ids], axis=1) - own[ids]
-            near |= np.isfinite(d2) & (held <= 4 * (k + 1))
-            at, which = np.nonzero(near)
-            lists = ids[at, which]
-            few = np.flatnonzero((own[ids] * near).sum(1) < min(4 * (k + 1), total))
-            if len(few):
-                at, lists = np.concatenate([at[~np.isin(at, few)], np.repeat(few, len(g.c))]), np.concatenate([lists[~np.isin(at, few)], np.tile(np.arange(len(g.c)), len(few))])
+            at, lists = lists_to_read(graph.value, _matrix(b.column(1)), longest, own, k, p)
             yield pa.RecordBatch.from_arrays([pa.array(lists), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["list", "id", "v"])
 
     asked = checkpointed(asks.mapInArrow(ask, "list long, id long, v array<double>"))

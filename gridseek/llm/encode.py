@@ -14,10 +14,14 @@ from gridseek.llm.tokencount import byte_alphabet
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters outside these ranges go the library's own way: the two have Unicode tables of different ages.
 _PLAIN = re.compile("[\\x00-ɏͰ-ͳΑ-ΡΣ-ωА-я‐-…ぁ-ゖァ-ヺ一-龥가-힣]*")
+#: In longer runs of white space the second library's pattern matcher goes back too often, and at last too deep.
+LONG_RUN = 1000
+_LONG_WHITE = re.compile(r"\s{%d}" % LONG_RUN)
 
 
 class Encoder:
-    """ids of texts. A byte-level vocabulary whose ids follow its merges is read as ranks; any other is left to the library."""
+    """ids of texts. A byte-level vocabulary whose ids follow its merges is read as ranks; any other is left to the
+    library, and so are texts with special strings, rarer scripts or very long runs of white space."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -26,7 +30,7 @@ class Encoder:
         self.library, self.ranks = Tokenizer.from_file(path), None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        self.special = {x["content"] for x in spec.get("added_tokens", [])}
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
         if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("ignore_merges"):
             return
@@ -39,14 +43,8 @@ class Encoder:
         self.ranks = tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks={bytes(letters[c] for c in k): v for k, v in vocab.items()}, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.ranks is None or not _PLAIN.fullmatch(text):
+        if self.ranks is None or not _PLAIN.fullmatch(text) or any(s in text for s in self.special) or len(text) > LONG_RUN and _LONG_WHITE.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        for s, number in self.special.items():
-            if s in text:
-                out: list[int] = []
-                for i, part in enumerate(text.split(s)):
-                    out += [number] * (i > 0) + self.ranks.encode_ordinary(part)
-                return np.array(out, np.uint32)
         return np.array(self.ranks.encode_ordinary(text), np.uint32)
 
 

@@ -8,15 +8,18 @@ sum over its bytes. States and transitions are compiled when a text first needs
 in numpy; the number of live states is bounded by starting afresh.
 
 The pre-tokenizer's boundaries are decided by a window of a few characters, so they are found for a whole
-block at once. Texts are cut into chunks that run in lockstep, one lane each. A chunk's map from entry
-state to (exit state, count) is constant but for its head before the first boundary: the first sweep
-takes the tails, and further sweeps take the heads of all chunks whose predecessor's exit state is known.
-Exit states are passed on serially, not by a scan over composed maps: a text takes as many sweeps as it has
-chunks without a boundary in a row.
-
-Special strings in a text are tokens of their own, as in the library's default; they part the text.
-Null counts as empty. Only the character classes are asked of the library, one probe per new character,
-so its Unicode tables hold.
+block at once. Texts are cut into chunks that run in lockstep, one lane each. A chunk is a map from entry
+state to (exit state, count), constant but for its head before the first boundary: the first sweep takes the
+tails. A chunk without a boundary has a table of the entry states that can come up: it runs from the state
+after a boundary and from whatever its predecessor's table puts out, in lockstep with the others, until
+nothing new comes up. Different states fall together within a few bytes or recur, so tables are short. A
+parallel prefix scan then composes the maps of 1, 2, 4, ... chunks in a row, and a last sweep takes the heads.
+
+Special strings in a text are tokens of their own, as in the library's default; they part the text. Only the
+character classes are asked of the library, one probe per new character, so its Unicode tables hold.
+
+Cases: null counts as empty; a null or repeated id is a row like others; a very long text is a block of its
+own and takes some 50 bytes a byte; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -300,19 +303,46 @@ class Counter:
         head = np.where(constant, starts.argmax(axis=1), until)
 
         exit_state, count = fst.sweep(chars, starts, np.full(len(begin), _HEAD), until)
-        known = constant.copy()
-        todo = np.flatnonzero(head > 0)
-        while len(todo):
-            # the last chunk whose exit is known, up to the one before; a chunk waits if those between aren't constant
-            ready = todo[known[todo - 1]]
-            state, more = fst.sweep(chars[ready], starts[ready], exit_state[ready - 1], head[ready])
-            count[ready] += more
-            exit_state[ready] = np.where(constant[ready], exit_state[ready], state)
-            known[ready] = True
-            todo = np.setdiff1d(todo, ready)
+        free = np.flatnonzero(~constant)
+        if len(free):
+            exit_state[free], count[free] = self._scan(chars, until, free, exit_state)
+        todo = np.flatnonzero(constant & (head > 0))
+        _, more = fst.sweep(chars[todo], starts[todo], exit_state[todo - 1], head[todo])
+        count[todo] += more
         return np.bincount(piece, weights=count, minlength=len(pieces)).astype(np.int64)
 
 
+    def _scan(self, chars: np.ndarray, until: np.ndarray, free: np.ndarray, exit_state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states and counts of the chunks without a boundary, in this order."""
+        # maps: all chunks from the entry state that follows a boundary, then from what their predecessors put out, until that is nothing new
+        after = np.concatenate([[False], np.diff(free) == 1])  # whose predecessor has no boundary either
+        leads = np.append(after[1:], False)
+        key = np.zeros(0, np.int64)  # chunk (its number in free) and entry state
+        to, add = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        known = np.flatnonzero(~after) << 32 | exit_state[free[~after] - 1]
+        want = np.unique(np.concatenate([known, np.flatnonzero(after) << 32]))
+        while len(want):
+            chunk = want >> 32
+            lanes = chars[free[chunk]]
+            out, more = self.fst.sweep(lanes, np.zeros(lanes.shape, bool), want & 0xFFFFFFFF, until[free[chunk]])
+            key, to, add = np.concatenate([key, want]), np.concatenate([to, out]), np.concatenate([add, more])
+            order = np.argsort(key)
+            key, to, add = key[order], to[order], add[order]
+            on = leads[chunk]
+            want = np.setdiff1d((chunk[on] + 1) << 32 | out[on], key)
+        # prefix scan: `jump` is the map of 1, 2, 4, ... chunks in a row, and the entries in use are those that jumps lead to
+        chunk = key >> 32
+        jump = np.where(leads[chunk], np.searchsorted(key, (chunk + 1) << 32 | to), len(key))
+        jump = np.append(np.minimum(jump, len(key)), len(key))
+        used = np.zeros(len(key) + 1, bool)
+        used[np.searchsorted(key, known)] = True
+        for _ in range(int(len(free)).bit_length()):
+            used[jump[used]] = True
+            jump = jump[jump]
+        own = np.flatnonzero(used[:-1])
+        return to[own], add[own]
+
+
 _COUNTERS: dict[str, Counter] = {}
 
 

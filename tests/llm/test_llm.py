@@ -6,6 +6,7 @@ import itertools
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridseek.llm import ann, linededup, mixing, neardup, packing, preference, quality, sharding, substring, tokencount
+from gridseek.llm import ann, encode, linededup, mixing, neardup, packing, preference, quality, sharding, substring, tokencount
 from gridseek.llm import links
 from gridseek.llm.common import Block, blocks
 from gridseek.llm.links import classes, components
@@ -109,6 +110,21 @@ def test_token_counts_like_the_library(library):
     assert got.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_token_counts_without_boundaries(library):
+    rng = random.Random(2)
+    texts = ["a" * 1_000_000, "".join(rng.choices("acgt", k=200_000)), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=30_000)), " " * 300_000, "-=" * 40_001, f"one two {'x' * 1000} three {'0123456789' * 300}\n{'y' * 193} z", "b" * 192, "b" * 193]
+    began = time.time()
+    got = tokencount.counter(tokenizer_path()).count(texts)
+    assert time.time() - began < 20
+    assert got.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_ids_of_long_white_space_and_special_strings(library):
+    own = encode.encoder(tokenizer_path())
+    for text in (" " * 2_000_000, "a" + "\t" * 2_000_000 + "b", "\n" * 2_000_000, f"{' ' * 999}x" * 50, f"{' ' * 1001}x", "<|endoftext|>a <|endoftext|><|endoftext|> b", "x" * 50_000):
+        assert own(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_token_count_rows(spark, docs, corpus, library):
     got = collections.Counter(map(tuple, tokencount.token_counts(docs, tokenizer_path()).collect()))
     n = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
@@ -535,6 +551,28 @@ def test_sharding_rows(spark, docs, corpus, tmp_path):
 # ---- op 5
 
 
+def test_most_lists_are_skipped(spark):
+    """50,000 vectors in general position: they go to several lists, queries read a few, and the nearest are found."""
+    rng = np.random.default_rng(17)
+    v = rng.normal(size=(50_000, 64)) + 0.5 * rng.normal(size=(10, 64))[rng.integers(0, 10, 50_000)]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(v))), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 64).cast(pa.list_(pa.float64()))}))
+    asks = np.arange(0, 50_000, 200)
+    got = ann.search(df.repartition(8), df.filter("vec_id % 200 = 0")).collect()
+    scores = v[asks] @ v.T
+    scores[np.arange(len(asks)), asks] = -np.inf
+    want = {(int(q), int(c)) for q, row in zip(asks, np.argsort(-scores, axis=1)[:, :20], strict=True) for c in row}
+    assert len({(r.query_id, r.vec_id) for r in got} & want) >= 0.9 * len(want)
+    p = ann.Params()
+    x = ann.augment(v[rng.permutation(len(v))[: p.sample]], 1.0)
+    graph = ann.CentroidGraph(ann.balanced_centroids(x, len(v) // p.list_rows, p.iterations), p.degree)
+    row, lists = ann.closure_lists(graph, ann.augment(v[:2000], 1.0), p)
+    own = np.bincount(lists[np.append(True, row[1:] != row[:-1])], minlength=len(graph.c)) * 25
+    at, _ = ann.lists_to_read(graph, v[asks], 1.0, own, 20, p)
+    assert len(row) > 2 * 2000 and len(at) < 0.4 * len(graph.c) * len(asks)
+    assert np.bincount(at, minlength=len(asks)).std() > 5  # the ratio, not the beam, says how many
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(700, 16)) * rng.uniform(0.2, 2, (700, 1))
