@@ -4,7 +4,7 @@ A line, less the white space at its ends, is its set of SHINGLE-character shingl
 fills BINS bins with their least value (an empty bin borrows from the next full one), ROWS bins make a band,
 and lines with a band in common are candidates: 1 - (1 - 0.8^3)^12 > 0.9998 of the pairs at the threshold,
 and all of them are compared (links.py). Candidates are verified by the exact Jaccard similarity of their
-shingle sets. Union-find over the verified links gives the components, and each component keeps the one line
+shingle sets (shingles as 64-bit hashes). Union-find over the verified links gives the components, and each component keeps the one line
 of least (doc_id, position). One changed character inside a line touches SHINGLE shingles on either side, so
 it takes a line of 79 characters to be linked to its copy with such a change.
 
@@ -34,6 +34,7 @@ from gridseek.llm.common import U64, mix, seeds, stored
 from gridseek.llm.links import BROADCAST_BYTES, Measure, attached, classes, entries, number_of_parts, packed, small
 from gridseek.llm.neardup import NO_ID, keyed
 
+#: SHINGLE is a power of two.
 SHINGLE, THRESHOLD = 8, 0.8
 ROWS, BANDS = 3, 12
 BINS = ROWS * BANDS
@@ -41,7 +42,7 @@ BINS = ROWS * BANDS
 BLOCK_CHARS = 1 << 20
 WHITE = " \t\r\x0b\x0c"
 _C = U64(0x9FB21C651E98DF25)
-_FULL = U64(0xFFFFFFFFFFFFFFFF)
+_FULL, _LOW = U64(0xFFFFFFFFFFFFFFFF), U64((1 << 40) - 1)
 
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,17 +51,26 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     n = np.maximum(size - SHINGLE + 1, 1)
     start = np.cumsum(size) - size
-    grams = np.zeros(len(points) + 1, U64)
-    padded = np.concatenate([points, np.zeros(SHINGLE, U64)])
-    for j in range(SHINGLE):
-        grams = grams * _C + padded[j : j + len(points) + 1] + U64(1)
-    h = grams[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    for i in np.flatnonzero(size < SHINGLE):  # the whole line
+    grams = np.concatenate([points + U64(1), np.zeros(SHINGLE, U64)])
+    width, step = 1, _C
+    while width < SHINGLE:  # from one character to 2, 4, 8
+        grams = grams[:-width] * step + grams[width:]
+        width, step = 2 * width, U64(int(step) ** 2 % (1 << 64))
+    whole = np.ones(len(grams), bool)  # shingles within a line
+    over = np.flatnonzero(size >= SHINGLE)
+    for j in range(1, SHINGLE):
+        whole[(start + size)[over] - j] = False
+    whole[len(points) :] = False
+    short = np.flatnonzero(size < SHINGLE)
+    for i in short:
+        whole[start[i] : start[i] + size[i]] = np.arange(size[i]) == 0
+    h = grams[: len(whole)][whole]
+    for i in short:  # the whole line
         k = 0
         for c in lines[i]:
             k = (k * int(_C) + ord(c) + 1) % (1 << 64)
         h[(np.cumsum(n) - n)[i]] = k
-    return mix(h), n
+    return h, n
 
 
 def _stretches(lines: list[str]) -> Iterator[tuple[list[int], list[str]]]:
@@ -83,8 +93,10 @@ def band_keys(lines: list[str]) -> np.ndarray:
     least = np.full(len(lines) * BINS, _FULL, U64)
     for of, texts in _stretches(lines):
         h, n = shingle_hashes(texts)
-        owner = np.repeat(np.array(of), n)
-        np.minimum.at(least, owner * BINS + (h % U64(BINS)).astype(np.int64), h >> U64(8))
+        h = (h ^ (h >> U64(29))) * _C
+        h ^= h >> U64(32)
+        bin_ = ((h >> U64(40)) * U64(BINS) >> U64(24)).astype(np.int64)
+        np.minimum.at(least, np.repeat(np.array(of) * BINS, n) + bin_, h & _LOW)
     least = least.reshape(len(lines), BINS)
     empty = least == _FULL
     own, full = least.copy(), ~empty
@@ -103,23 +115,12 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return keys
 
 
-def shingles(line: str) -> frozenset[str]:
-    return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
-
-
-def similar(a: str, b: str) -> bool:
-    """Whether two lines have a Jaccard similarity of THRESHOLD or more."""
-    left, right = shingles(a), shingles(b)
-    both = len(left & right)
-    return both >= THRESHOLD * (len(left) + len(right) - both)
-
-
 def _elements(lines: list[str]) -> list[np.ndarray]:
     h, n = shingle_hashes(lines)
     return np.split(h, np.cumsum(n)[:-1])
 
 
-MEASURE = Measure(_elements, lambda x, y, a, b: similar(a, b), THRESHOLD)
+MEASURE = Measure(_elements, THRESHOLD)
 
 
 def worded_lines(text: str) -> list[tuple[int, str]]:
@@ -139,9 +140,9 @@ def _table(names: str, **columns) -> pa.RecordBatch:
 SIGNED = "id long, row_hash long, pos int, n long, m long, part int, entries binary, firsts binary"
 
 
-def sign_block(places: list[list[int]], lines: list[str], parts: int) -> Iterator[pa.RecordBatch]:
+def sign_block(places: list[tuple[int, int, int, int]], lines: list[str], parts: int) -> Iterator[pa.RecordBatch]:
     """SIGNED rows of a block: places (id, row_hash, pos, number of the line) and its distinct lines."""
-    doc, row, pos, which = (np.array(x, np.int64) for x in places)
+    doc, row, pos, which = np.array(places, np.int64).T
     order = np.lexsort((pos, row, doc, which))
     doc, row, pos, which = doc[order], row[order], pos[order], which[order]
     lead = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
@@ -162,18 +163,17 @@ def signed_lines(docs: DataFrame) -> DataFrame:
     parts = number_of_parts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places: list[list] = [[], [], [], []]
+        places: list[tuple] = []
         lines: dict[str, int] = {}
         size = 0
         for batch in batches:
             for doc, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for pos, line in worded_lines(text):
-                    for column, value in zip(places, (doc, row, pos, lines.setdefault(line, len(lines))), strict=True):
-                        column.append(value)
+                    places.append((doc, row, pos, lines.setdefault(line, len(lines))))
                     size += len(line)
                 if size > BLOCK_CHARS:
                     yield from sign_block(places, list(lines), parts)
-                    places, lines, size = [[], [], [], []], {}, 0
+                    places, lines, size = [], {}, 0
         if lines:
             yield from sign_block(places, list(lines), parts)
 
@@ -216,8 +216,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     places = signed.filter("n IS NOT NULL").select("n", "m", "id", "row_hash", "pos")
 
     def contents(wanted: DataFrame) -> DataFrame:
-        one = places.join(small(wanted), "n").groupBy("n").agg(F.min(F.struct("m", "id", "row_hash", "pos")).alias("p"))
-        at = stored(one.groupBy("p.id", "p.row_hash").agg(F.collect_list(F.struct("n", "p.pos")).alias("of")))
+        one = places.join(small(wanted), "n").groupBy("n").agg(*(F.first(c).alias(c) for c in ("id", "row_hash", "pos")))
+        at = stored(one.groupBy("id", "row_hash").agg(F.collect_list(F.struct("n", "pos")).alias("of")))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -270,7 +270,7 @@ def _without(docs: DataFrame, gone: DataFrame, text: str) -> DataFrame:
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed and kept_text of every document."""
     own = keyed(docs, id_col, text_col)
-    counted = own.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
+    counted = own.withColumn("n_lines", (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long"))
     out = _without(counted, repeated_lines(own), "text")
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_lines", "n_removed", F.col("text").alias("kept_text"))
 

@@ -42,12 +42,12 @@ FEW_PAIRS, FEW_USES = 2048, 2048
 
 @dataclass(frozen=True)
 class Measure:
-    """How two contents compare. elements: hashes of what each content consists of; two contents can be linked only
-    if their sets have a Jaccard similarity of `threshold`. linked decides, on the elements and the contents."""
+    """How two contents compare. elements: 64-bit hashes of what each content consists of; two contents are linked
+    if their sets have a Jaccard similarity of `threshold` and `linked`, if given, says so of the elements."""
 
     elements: Callable[[list[str]], list[np.ndarray]]
-    linked: Callable[[np.ndarray, np.ndarray, str, str], bool]
     threshold: float = 0.8
+    linked: Callable[[np.ndarray, np.ndarray], bool] | None = None
 
 
 def small(df: DataFrame, row_bytes: int = 24) -> DataFrame:
@@ -57,11 +57,11 @@ def small(df: DataFrame, row_bytes: int = 24) -> DataFrame:
 
 def attached(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
     """rows with what per_key says of their key. per_key: one row a key, `size` (the rows of that key) among its columns. Both stored."""
-    total = per_key.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    keys, total = per_key.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if keys * 48 <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(per_key), key)
     above = F.col("size") > max(64, total // HOT_PART)
     hot = F.broadcast(per_key.filter(above))
-    if hot.isEmpty():
-        return rows.join(per_key, key)
     return rows.join(hot, key).union(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per_key.filter(~above), key))
 
 
@@ -87,7 +87,9 @@ def number_of_parts(df: DataFrame) -> int:
 
 
 class _Meetings:
-    """One entry for each key seen; takes pairs in any order and gives back those of keys with two nodes or more."""
+    """One entry for each key seen; takes pairs in any order and gives back those of keys with two nodes or more.
+
+    A node may be given back again if it comes again later."""
 
     def __init__(self) -> None:
         self.key, self.node, self.told = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
@@ -95,20 +97,27 @@ class _Meetings:
     def take(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key, node = np.concatenate([self.key, pairs[:, 0]]), np.concatenate([self.node, pairs[:, 1]])
         told = np.concatenate([self.told, np.zeros(len(pairs), bool)])
-        order = np.lexsort((~told, node, key))
-        key, node, told = key[order], node[order], told[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])[: len(key)]
-        key, node, told = key[new], node[new], told[new]
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        once, order = order[~several], order[several]
+        lone, key = key[~several], key[several]
+        node_, told_ = node[order], told[order]
+        order = np.lexsort((~told_, node_, key))
+        key, node_, told_ = key[order], node_[order], told_[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (node_[1:] != node_[:-1])])[: len(key)]
+        key, node_, told_ = key[new], node_[new], told_[new]
         lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
         size = np.diff(np.append(lead, len(key)))
-        many = (size > 1) | np.logical_or.reduceat(told, lead) if len(lead) else np.zeros(0, bool)
-        go = np.repeat(many, size) & ~told
-        self.key, self.node, self.told = key[lead], node[lead], many
-        return key[go], node[go]
+        many = (size > 1) | np.logical_or.reduceat(told_, lead) if len(lead) else np.zeros(0, bool)
+        go = np.repeat(many, size) & ~told_
+        self.key, self.node, self.told = np.concatenate([lone, key[lead]]), np.concatenate([node[once], node_[lead]]), np.concatenate([told[once], many])
+        return key[go], node_[go]
 
 
 def memberships(strings: DataFrame) -> DataFrame:
-    """(key, n) for all keys of two nodes or more, from packed strings (part, entries)."""
+    """(key, n) for all keys of two nodes or more, from packed strings (part, entries). A row may come repeatedly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, size = _Meetings(), [], 0
@@ -128,7 +137,7 @@ def memberships(strings: DataFrame) -> DataFrame:
         if held:
             yield settle()
 
-    return strings.repartition("part").mapInArrow(run, "key long, n long").distinct()
+    return strings.repartition("part").mapInArrow(run, "key long, n long")
 
 
 # ---- links
@@ -167,8 +176,10 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def cell_links(nodes: list[int], sides: list[int], contents: list[str], elements: list[np.ndarray], measure: Measure) -> list[tuple[int, int]]:
+def cell_links(nodes: list[int], sides: list[int], elements: list[np.ndarray], measure: Measure) -> list[tuple[int, int]]:
     """A spanning forest of a cell's links: among members of side 0 if there are no others, else between side 0 and side 1."""
+    if len(nodes) == 2:
+        sides = [0, 0]
     cross = any(sides)
     rows = [i for i, s in enumerate(sides) if not (cross and s)]
     columns = [i for i, s in enumerate(sides) if s] if cross else rows
@@ -182,7 +193,7 @@ def cell_links(nodes: list[int], sides: list[int], contents: list[str], elements
 
     def link(i: int, j: int) -> None:
         a, b = find(nodes[i]), find(nodes[j])
-        if a != b and measure.linked(elements[i], elements[j], contents[i], contents[j]):
+        if a != b and (measure.linked is None or measure.linked(elements[i], elements[j])):
             parent[max(a, b)] = min(a, b)
             out.append((nodes[i], nodes[j]))
 
@@ -220,7 +231,7 @@ def settled(cells: DataFrame, content: DataFrame, measure: Measure) -> DataFrame
             elements = measure.elements([x for _, _, texts in some for x in texts])
             found, at = [], 0
             for sides, nodes, texts in some:
-                found += cell_links(nodes, sides, texts, elements[at : at + len(texts)], measure)
+                found += cell_links(nodes, sides, elements[at : at + len(texts)], measure)
                 at += len(texts)
             if found:
                 a, b = zip(*found, strict=True)
@@ -279,7 +290,8 @@ def classes(strings: DataFrame, contents: Callable[[DataFrame], DataFrame], meas
     content = stored(contents(stored(member.select("n").distinct())))
     length = small(content.select("n", F.length("content").alias("chars")))
     about = member.join(length, "n").groupBy("key")
-    seal = [F.bit_xor(F.xxhash64("n", F.lit(s))).alias(f"seal{s}") for s in (0, 1)]
+    # sums of hashes tell sets of members apart; a sum that overflows stands for its key alone
+    seal = [F.coalesce(F.try_sum(F.shiftright(F.xxhash64("n", F.lit(s)), 20)), F.col("key")).alias(f"seal{s}") for s in (0, 1)]
     sizes = about.agg(F.count("*").alias("size"), F.sum("chars").alias("chars"), *seal).groupBy("size", "chars", "seal0", "seal1").agg(F.min("key").alias("key"))
     blocks = F.least("size", F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("chars") / BLOCK_CHARS))).cast("int")
     sizes = stored(sizes.select("key", "size", blocks.alias("blocks")))

@@ -155,7 +155,7 @@ def aligned(left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD) -
     return len(tails) / (a + b - len(tails)) if a + b else 0.0
 
 
-MEASURE = Measure(_elements, lambda x, y, a, b: aligned(x, y) >= THRESHOLD, THRESHOLD)
+MEASURE = Measure(_elements, THRESHOLD, lambda a, b: aligned(a, b) >= THRESHOLD)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
