@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridseek.llm.common import U64, mix, seeds, stored
+from gridseek.llm.common import U64, mix, seeds, slices, stored
 from gridseek.llm.links import BROADCAST_BYTES, Measure, attached, classes, entries, number_of_parts, packed, small
 from gridseek.llm.neardup import NO_ID, keyed
 
@@ -166,7 +166,7 @@ def signed_lines(docs: DataFrame) -> DataFrame:
         places: list[tuple] = []
         lines: dict[str, int] = {}
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for pos, line in worded_lines(text):
                     places.append((doc, row, pos, lines.setdefault(line, len(lines))))
@@ -220,7 +220,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         at = stored(one.groupBy("id", "row_hash").agg(F.collect_list(F.struct("n", "pos")).alias("of")))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 n, lines = [], []
                 for text, of in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     every = text.split("\n")
@@ -255,7 +255,7 @@ def _without(docs: DataFrame, gone: DataFrame, text: str) -> DataFrame:
     at, names = docs.columns.index(text), out.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             kept, lost = [], []
             for x, numbers in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 drop = set(numbers)

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridseek.llm.common import U64, stored
+from gridseek.llm.common import U64, slices, stored
 
 #: Members of a block of a bucket and characters of their contents, about.
-BLOCK_ROWS, BLOCK_CHARS = 1024, 1 << 20
+BLOCK_ROWS, BLOCK_CHARS = 1024, 1 << 19
 #: Contents that a task works on at a time, whole cells.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 #: A table within so many bytes is broadcast; beyond, the join is shuffled.
 BROADCAST_BYTES = 32 << 20
 #: Keys of more than this part of all rows are hot.
@@ -237,7 +237,7 @@ def settled(cells: DataFrame, content: DataFrame, measure: Measure) -> DataFrame
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for key, lo, hi, side, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, lo, hi) != now:
                     if chars > GROUP_CHARS:
