@@ -97,7 +97,8 @@ def answer_normal(x: Column) -> Column:
 
 
 def eval_normal(x: Column) -> Column:
-    return F.lower(F.array_join(words(F.regexp_replace(x, r"([^A-Za-z0-9_])", " $1 ")), " "))
+    """Lower case, with spaces about every character that is no letter, digit or underscore of any script."""
+    return F.lower(F.array_join(F.filter(F.split(F.regexp_replace(x, r"([^\p{L}\p{N}_])", " $1 "), r"(?U)\s+"), lambda t: t != ""), " "))
 
 
 def question_rewrite(x: Column) -> Column:

@@ -36,14 +36,12 @@ def length_distribution(sizes: DataFrame, value: str = "size") -> DataFrame:
     return q.select("min_size", "max_size", F.round("mean_size", 6).alias("mean_size"), *(F.round(F.col("q")[i], 6).alias(f"p{10 * (i + 1)}") for i in range(10)))
 
 
-def hash_rank(df: DataFrame, key: str, seed: str, partition: list[str] | None = None):
-    """A rank by md5 of seed and key, the same in any engine."""
-    return F.row_number().over(Window.partitionBy(*(partition or [])).orderBy(F.md5(F.concat_ws("/", F.lit(seed), F.col(key).cast("string"))), key))
-
-
 def train_dev_split(tables: DataFrame, share: float = 0.2, seed: str = "split") -> DataFrame:
-    """(table_id, part): int(n * share) tables are dev. tables: table_id, a row for each table."""
-    ranked = tables.withColumn("k", hash_rank(tables, "table_id", seed)).withColumn("n", F.count("*").over(Window.partitionBy()))
+    """(table_id, part): int(n * share) tables, the first by md5, are dev. tables: table_id, a row for each table."""
+    from gridseek.sources.tables import dense_ids
+
+    keyed = tables.select("table_id", F.md5(F.concat_ws("/", F.lit(seed), "table_id")).alias("_h"))
+    ranked = dense_ids(keyed, ["_h", "table_id"], "k").crossJoin(F.broadcast(tables.agg(F.count("*").alias("n"))))
     return ranked.select("table_id", F.when(F.col("k") <= F.floor(F.col("n") * share), "dev").otherwise("train").alias("part"))
 
 

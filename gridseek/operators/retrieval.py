@@ -2,26 +2,71 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from gridseek.functions.vectors import dot
 from gridseek.operators.ranking import ranked
 
-#: Questions up to this many are broadcast to the passages; more go by blocks.
-BROADCAST_QUESTIONS = 20_000
+#: Questions that are broadcast to the passages at a time.
+QUESTION_BLOCK = 4096
+#: Words that are broadcast to the passages; more are matched by a join.
+TERMS = 500_000
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+
+
+def _first_ranked(passages: DataFrame, asked: pa.Table, k: int) -> DataFrame:
+    """(qid, p_id, table_id, score): of each batch of passages a question's k nearest, so that little is shuffled."""
+    sc = passages.sparkSession.sparkContext
+    question = sc.broadcast((asked.column("qid").combine_chunks(), _numbers(asked.column("q").combine_chunks())))
+    slim = passages.select("p_id", "table_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = {f.name: f.dataType.simpleString() for f in slim.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q = question.value
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                scores = np.round(q @ _numbers(part.column(2)).T, 6) + 0.0
+                ids = part.column(0).to_numpy()
+                top = min(k, part.num_rows)
+                least = np.partition(scores, part.num_rows - top, axis=1)[:, part.num_rows - top]
+                row, col = np.nonzero(scores >= least[:, None])
+                order = np.lexsort((ids[col], -scores[row, col], row))  # ties go to the least id
+                row, col = row[order], col[order]
+                nth = np.arange(len(row)) - np.repeat(np.flatnonzero(np.append(True, row[1:] != row[:-1])), np.bincount(row)[np.unique(row)])
+                row, col = row[nth < k], col[nth < k]
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(row)), part.column(0).take(pa.array(col)), part.column(1).take(pa.array(col)), pa.array(scores[row, col])], names=["qid", "p_id", "table_id", "score"])
+
+    qid = {"int64": "long", "int32": "int", "string": "string"}[str(asked.schema.field("qid").type)]
+    return slim.mapInArrow(run, f"qid {qid}, p_id {kind['p_id']}, table_id {kind['table_id']}, score double")
 
 
 def flat_knn(passages: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """(qid, rank, p_id, table_id, score): exact. passages: p_id, table_id, embedding; questions: qid, q.
 
-    Every question meets every passage by definition; questions are few and travel to the passages, and the
-    rank limit is applied on the map side, so what is shuffled is k rows a question and task."""
-    side = F.broadcast(questions) if questions.count() <= BROADCAST_QUESTIONS else questions
-    scored = passages.crossJoin(side).select("qid", "p_id", "table_id", (F.round(dot(F.col("q"), F.col("embedding")), 6) + 0.0).alias("score"))
-    return ranked(scored, top=k)
+    Every question meets every passage by definition: blocks of at most about QUESTION_BLOCK questions travel
+    to the passages, a matrix product for each batch, of which the k nearest go on."""
+    asked = questions.select("qid", F.col("q").cast("array<double>").alias("q"))
+    blocks = max(1, -(-asked.count() // QUESTION_BLOCK))
+    parts = [asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) for b in range(blocks)]
+    found = [_first_ranked(passages, t, k) for p in parts if (t := p.toArrow()).num_rows]
+    if not found:
+        found = [passages.select(F.lit(None).cast(asked.schema["qid"].dataType).alias("qid"), "p_id", "table_id", F.lit(0.0).alias("score")).limit(0)]
+    return ranked(reduce(DataFrame.union, found), top=k)
 
 
 def index_options(n: int) -> dict:
@@ -53,15 +98,23 @@ def hashed_centroids(passages: DataFrame, lists: int) -> DataFrame:
     return top.select((F.row_number().over(Window.orderBy(key, "p_id")) - 1).cast("int").alias("list"), F.col("embedding").cast("array<double>").alias("centroid"))
 
 
-def square_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+def assign_lists(passages: DataFrame, centroids: DataFrame) -> DataFrame:
+    """Each passage with the list of its nearest centroid; the centroids (index_options bounds them) are broadcast and a batch meets them in one matrix product."""
+    rows = centroids.orderBy("list").collect()
+    known = passages.sparkSession.sparkContext.broadcast((np.array([r["list"] for r in rows], np.int32), np.array([r["centroid"] for r in rows], np.float64)))
+    at = passages.columns.index("embedding")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, c = known.value
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                x = _numbers(part.column(at))
+                d = (x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T
+                near = lists[np.round(d, 9).argmin(1)]  # ties go to the first list
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near)], names=[*part.schema.names, "list"])
 
-def assign_lists(passages: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Each passage with the list of its nearest centroid. The centroids (index_options bounds them) travel as one array in a broadcast row."""
-    packed = centroids.agg(F.array_sort(F.collect_list(F.struct("list", "centroid"))).alias("cs"))
-    near = F.array_min(F.transform("cs", lambda c: F.struct(F.round(square_distance(F.col("embedding"), c["centroid"]), 9).alias("d"), c["list"].alias("list"))))
-    return passages.crossJoin(F.broadcast(packed)).withColumn("list", near["list"]).drop("cs")
+    return passages.mapInArrow(run, StructType([*passages.schema.fields, StructField("list", IntegerType())]))
 
 
 def write_lists(assigned: DataFrame, path: str) -> None:
@@ -77,18 +130,29 @@ def ivf_search(assigned: DataFrame, centroids: DataFrame, questions: DataFrame,
     return ranked(hits, top=k)
 
 
-def product_codes(passages: DataFrame, dim: int, parts: int, codes: int = 16, seed: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Quantise each of `parts` slices of the vector by its own k-means: (p_id, table_id, codes) and (part, code, center)."""
-    width, books = dim // parts, []
-    out = passages
+def product_codes(passages: DataFrame, dim: int, parts: int, codes: int = 256, train: int = 65_536, seed: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Quantise each of `parts` slices of the vector by its own k-means on a sample of about `train` rows: passages with codes, and (part, code, center)."""
+    width, n = dim // parts, passages.count()
+    part = F.pmod(F.xxhash64("p_id"), F.lit(1 << 30)) < int(min(1.0, train / max(n, 1)) * (1 << 30))
+    sample = passages.filter(part).select("embedding").persist()
+    books = []
     for j in range(parts):
-        piece = F.slice(F.col("embedding").cast("array<double>"), j * width + 1, width)
-        out = out.withColumn("features", array_to_vector(piece))
-        model = KMeans(k=codes, seed=seed + j, maxIter=8, initSteps=1, predictionCol=f"code{j}").fit(out.filter(F.pmod(F.xxhash64("p_id"), F.lit(1000)) < 1000).select("features"))
-        out = model.transform(out).drop("features")
-        books += [(j, i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    coded = out.select("p_id", "table_id", F.array(*(F.col(f"code{j}") for j in range(parts))).alias("codes"))
-    return coded, passages.sparkSession.createDataFrame(books, "part int, code int, center array<double>")
+        piece = array_to_vector(F.slice(F.col("embedding").cast("array<double>"), j * width + 1, width))
+        model = KMeans(k=codes, seed=seed + j, maxIter=8, initSteps=1).fit(sample.select(piece.alias("features")))
+        books.append(np.array(model.clusterCenters()))
+    sample.unpersist()
+    known = passages.sparkSession.sparkContext.broadcast(books)
+    at = passages.columns.index("embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _numbers(b.column(at))
+            near = [((c * c).sum(1)[None] - 2 * x[:, j * width : (j + 1) * width] @ c.T).argmin(1) for j, c in enumerate(known.value)]
+            coded = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(near, 1).astype(np.int32).ravel()), parts).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, coded], names=[*b.schema.names, "codes"])
+
+    table = [(j, i, [float(x) for x in c]) for j, book in enumerate(books) for i, c in enumerate(book)]
+    return passages.mapInArrow(run, StructType([*passages.schema.fields, StructField("codes", ArrayType(IntegerType()))])), passages.sparkSession.createDataFrame(table, "part int, code int, center array<double>")
 
 
 def product_search(coded: DataFrame, books: DataFrame, questions: DataFrame, dim: int, parts: int, k: int) -> DataFrame:
@@ -101,25 +165,57 @@ def product_search(coded: DataFrame, books: DataFrame, questions: DataFrame, dim
     return ranked(scored, top=k)
 
 
+def _bare(text: Column) -> Column:
+    """Lower case with spaces for punctuation."""
+    return F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", " ")
+
+
 def terms(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", " "), r"[ \n]+"), lambda t: t != "")
+    return F.filter(F.split(_bare(text), r"[ \n]+"), lambda t: t != "")
+
+
+def _counted_terms(passages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(p_id, table_id, len, term, tf): a row for each wanted term of a passage, and one of a null term for the passage itself."""
+    if wanted.count() > TERMS:
+        each = passages.select("p_id", "table_id", terms(F.col("text")).alias("words")).select("p_id", "table_id", F.size("words").alias("len"), F.explode("words").alias("term"))
+        whole = passages.select("p_id", "table_id", F.size(terms(F.col("text"))).alias("len"), F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("tf"))
+        return each.join(wanted, "term", "left_semi").groupBy("p_id", "table_id", "len", "term").agg(F.count("*").alias("tf")).union(whole)
+    known = passages.sparkSession.sparkContext.broadcast({r["term"] for r in wanted.collect()})
+    slim = passages.select("p_id", "table_id", _bare(F.col("text")).alias("text"))
+    kind = [f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:2]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, lens, found, tf = [], [], [], []
+            for i, text in enumerate(b.column(2).to_pylist()):
+                words = [w for w in (text or "").replace("\n", " ").split(" ") if w]
+                own = Counter(w for w in words if w in known.value)
+                at += [i] * (1 + len(own))
+                lens += [len(words)] * (1 + len(own))
+                found += [None, *own]
+                tf += [1, *own.values()]
+            rows = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(lens, pa.int32()), pa.array(found, pa.string()), pa.array(tf, pa.int64())], names=["p_id", "table_id", "len", "term", "tf"])
+
+    return slim.mapInArrow(run, f"{', '.join(kind)}, len int, term string, tf long")
 
 
 def bm25(passages: DataFrame, questions: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(qid, rank, p_id, table_id, score) by words. passages: p_id, table_id, text; questions: qid, text.
 
-    Only the questions' terms are posted: they are few and reach the passages by broadcast, so a passage is
-    reduced to its matching terms before anything is shuffled."""
-    asked = questions.select("qid", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).persist()
-    wanted = asked.select("term").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted
-    worded = passages.select("p_id", "table_id", terms(F.col("text")).alias("words")).withColumn("len", F.size("words"))
-    total = worded.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    tf = worded.select("p_id", "table_id", "len", F.explode("words").alias("term")).join(wanted, "term", "left_semi").groupBy("p_id", "table_id", "len", "term").agg(F.count("*").alias("tf"))
-    tf = tf.persist()
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    Only the questions' terms count. Up to TERMS of them travel to the passages, which count them in one narrow pass;
+    the document frequencies are a row a term, and a passage's terms meet the questions that ask for them in their task.
+    More terms than that are matched by a join."""
+    asked = questions.select("qid", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    found = _counted_terms(passages, asked.select("term").distinct())
+    stats = found.groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("words"))  # a row for each term asked for
+    total = stats.filter("term IS NULL").select(F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("mean"))
+    idf = stats.filter("term IS NOT NULL").crossJoin(F.broadcast(total)).select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    wants = asked.join(idf, "term")
+    if asked.count() <= TERMS:
+        wants = F.broadcast(wants)
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = tf.join(asked, "term").join(idf, "term").groupBy("qid", "p_id", "table_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    scored = found.join(wants, "term").groupBy("qid", "p_id", "table_id").agg(F.round(F.sum(weight), 6).alias("score"))
     return ranked(scored, top=k)
 
 

@@ -6,10 +6,11 @@ the same in every run and needs no state: any number of draws are made in parall
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridseek.functions import text as T
+from gridseek.sources.tables import dense_ids
 
 
 def _draw(what: str, seed: str) -> Column:
@@ -29,20 +30,21 @@ def sample_queries(rows: DataFrame, types: DataFrame, draws: int, seed: str = "s
     hi: the size above which a condition's value is dropped."""
     spark = rows.sparkSession
     tables = types.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("col", "type"))).alias("cols"))
-    meta = rows.groupBy("table_id").agg(F.first("title").alias("title"), F.first("names").alias("names"), F.max("row").alias("last"))
+    meta = rows.groupBy("table_id").agg(F.first("title").alias("title"), F.first("names").alias("names"))
     tables = tables.join(meta, "table_id")
-    numbered = tables.withColumn("t", F.row_number().over(Window.orderBy("table_id")) - 1).withColumn("n_tables", F.count("*").over(Window.partitionBy()))
+    numbered = dense_ids(tables, ["table_id"], "t", 0)
     d = spark.range(draws).withColumnRenamed("id", "i")
-    n = numbered.count()
+    n = tables.count()
     d = d.withColumn("t", _draw("table", seed) % max(n, 1)).join(numbered, "t")
     pick = F.get("cols", (_draw("sel", seed) % F.size("cols")).cast("int"))
     d = d.withColumn("sel", pick["col"]).withColumn("agg", F.when(pick["type"] == "float", _draw("agg", seed) % 5 + 1).otherwise(0).cast("int"))
     wanted = F.when(F.col("title") != "", _draw("conds", seed) % 4).otherwise(_draw("conds", seed) % 3 + 1).cast("int")
     others = F.transform(F.filter("cols", lambda c: c["col"] != F.col("sel")), lambda c: c["col"])
-    d = d.withColumn("at", F.slice(_ordered(others, "cols", seed), F.lit(1), wanted)).withColumn("row", (_draw("row", seed) % (F.col("last") + 1)).cast("int"))
-    # the row of the draw; one whose condition cells aren't all filled gives no query
-    d = d.join(rows.select("table_id", "row", "vals"), ["table_id", "row"])
-    d = d.filter(F.forall("at", lambda c: F.get("vals", c) != ""))
+    d = d.withColumn("at", F.slice(_ordered(others, "cols", seed), F.lit(1), wanted))
+    # the row of the draw is one of those whose condition cells are all filled: the least by md5, so a task sends on one of each draw
+    full = d.select("i", "table_id", "at").join(rows.select("table_id", "row", "vals"), "table_id").filter(F.forall("at", lambda c: F.coalesce(F.get("vals", c), F.lit("")) != ""))
+    drawn = F.md5(F.concat_ws("/", F.lit(seed), F.lit("row"), F.col("i").cast("string"), F.col("row").cast("string")))
+    d = d.join(full.groupBy("i").agg(F.min(F.struct(drawn.alias("k"), "row", "vals")).alias("m")).select("i", "m.row", "m.vals"), "i")
     kinds = F.map_from_entries("cols")
     cond = F.transform(
         "at",
