@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels take at a time; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
+BATCH_ROWS = 1000
 U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
@@ -42,6 +43,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows, unless the session says otherwise: with the default of 10,000 whole texts, buffers outside the heap and workers grow by many times the batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def size_of_words(text: Column) -> Column:
     """Number of `[^\\x20\\x09-\\x0D]+` in a text, 0 for null, without making an array of the words."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")

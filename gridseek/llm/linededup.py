@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridseek.llm.common import U64, mix, seeds, slices, stored
+from gridseek.llm.common import U64, mix, seeds, slices, small_batches, stored
 from gridseek.llm.links import BROADCAST_BYTES, Measure, attached, classes, entries, number_of_parts, packed, small
 from gridseek.llm.neardup import NO_ID, keyed
 
@@ -40,6 +40,8 @@ ROWS, BANDS = 3, 12
 BINS = ROWS * BANDS
 #: Characters of lines that are signed together.
 BLOCK_CHARS = 1 << 20
+#: Distinct lines whose entries are packed together.
+PACKED_LINES = 30_000
 WHITE = " \t\r\x0b\x0c"
 _C = U64(0x9FB21C651E98DF25)
 _FULL, _LOW = U64(0xFFFFFFFFFFFFFFFF), U64((1 << 40) - 1)
@@ -140,8 +142,8 @@ def _table(names: str, **columns) -> pa.RecordBatch:
 SIGNED = "id long, row_hash long, pos int, n long, m long, part int, entries binary, firsts binary"
 
 
-def sign_block(places: list[tuple[int, int, int, int]], lines: list[str], parts: int) -> Iterator[pa.RecordBatch]:
-    """SIGNED rows of a block: places (id, row_hash, pos, number of the line) and its distinct lines."""
+def sign_block(places: list[tuple[int, int, int, int]], lines: list[str]) -> Iterator[pa.RecordBatch | tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """SIGNED rows of a block, places (id, row_hash, pos, number of the line) and its distinct lines, and last what is to be packed of it."""
     doc, row, pos, which = np.array(places, np.int64).T
     order = np.lexsort((pos, row, doc, which))
     doc, row, pos, which = doc[order], row[order], pos[order], which[order]
@@ -152,10 +154,7 @@ def sign_block(places: list[tuple[int, int, int, int]], lines: list[str], parts:
     gone = np.flatnonzero((doc != doc[first]) | (row != row[first]) | (pos != pos[first]))
     if len(gone):
         yield _table(SIGNED, id=doc[gone], row_hash=row[gone], pos=pos[gone].astype(np.int32))
-    part, strings = zip(*entries(digest[:, 0], band_keys(lines), parts), strict=True)
-    yield _table(SIGNED, part=part, entries=strings)
-    part, strings = zip(*packed(digest[:, 0], np.column_stack([digest, doc[lead], row[lead], pos[lead]]), parts), strict=True)
-    yield _table(SIGNED, part=part, firsts=strings)
+    yield digest, band_keys(lines), np.column_stack([digest, doc[lead], row[lead], pos[lead]])
 
 
 def signed_lines(docs: DataFrame) -> DataFrame:
@@ -165,17 +164,38 @@ def signed_lines(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places: list[tuple] = []
         lines: dict[str, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
+
+        def packs() -> Iterator[pa.RecordBatch]:
+            digest, keys, firsts = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            part, strings = zip(*entries(digest[:, 0], keys, parts), strict=True)
+            yield _table(SIGNED, part=part, entries=strings)
+            part, strings = zip(*packed(digest[:, 0], firsts, parts), strict=True)
+            yield _table(SIGNED, part=part, firsts=strings)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            *rows, own = sign_block(places, list(lines))
+            held.append(own)
+            places.clear()
+            lines.clear()
+            yield from rows
+            if sum(len(x[0]) for x in held) > PACKED_LINES:
+                yield from packs()
+
         for batch in slices(batches):
             for doc, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for pos, line in worded_lines(text):
                     places.append((doc, row, pos, lines.setdefault(line, len(lines))))
                     size += len(line)
                 if size > BLOCK_CHARS:
-                    yield from sign_block(places, list(lines), parts)
-                    places, lines, size = [], {}, 0
+                    yield from close()
+                    size = 0
         if lines:
-            yield from sign_block(places, list(lines), parts)
+            yield from close()
+        if held:
+            yield from packs()
 
     return docs.select("id", "row_hash", "text").mapInArrow(run, SIGNED)
 
@@ -212,6 +232,7 @@ def equal_lines(strings: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(id, row_hash, gone): the positions of the lines to remove. docs: id, row_hash, text. Stored."""
+    small_batches(docs.sparkSession)
     signed = stored(signed_lines(docs))
     places = signed.filter("n IS NOT NULL").select("n", "m", "id", "row_hash", "pos")
 
@@ -229,7 +250,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(lines, pa.string())], names=["n", "content"])
 
         found = docs.join(_small(at, "of"), ["id", "row_hash"]).select("text", "of")
-        return found.mapInArrow(cut, "n long, content string").dropDuplicates(["n"])
+        return found.mapInArrow(cut, "n long, content string")
 
     labels = classes(signed.filter("entries IS NOT NULL").select("part", "entries"), contents, MEASURE)
     of_node = places.join(small(labels), "n").groupBy("n", "label").agg(F.min(F.struct("id", "row_hash", "pos")).alias("own"), F.min("m").alias("m"), F.max("m").alias("last"))

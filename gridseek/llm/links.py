@@ -36,8 +36,10 @@ GROUP_CHARS = 1 << 18
 BROADCAST_BYTES = 32 << 20
 #: Keys of more than this part of all rows are hot.
 HOT_PART = 1000
-#: Pairs of a cell up to which sets are compared one by one, and uses of an element up to which they are counted one by one.
+#: Pairs of a cell up to which they are compared one by one, and uses of an element up to which they are counted one by one.
 FEW_PAIRS, FEW_USES = 2048, 2048
+#: Bytes of the tables that bound what two members share.
+SLOTS = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -83,7 +85,7 @@ def entries(nodes: np.ndarray, keys: np.ndarray, parts: int) -> list[tuple[int,
 
 
 def number_of_parts(df: DataFrame) -> int:
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 class _Meetings:
@@ -117,7 +119,7 @@ class _Meetings:
 
 
 def memberships(strings: DataFrame) -> DataFrame:
-    """(key, n) for all keys of two nodes or more, from packed strings (part, entries). A row may come repeatedly."""
+    """(key, n) for all keys of two nodes or more, from packed strings (part, entries)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, size = _Meetings(), [], 0
@@ -131,13 +133,13 @@ def memberships(strings: DataFrame) -> DataFrame:
             for pairs in batch.column(1).to_pylist():
                 held.append(pairs)
                 size += len(pairs) // 16
-                if size > max(1 << 19, len(seen.key)):
+                if size > max(1 << 20, len(seen.key)):
                     yield settle()
                     size = 0
         if held:
             yield settle()
 
-    return strings.repartition("part").mapInArrow(run, "key long, n long")
+    return strings.repartition("part").mapInArrow(run, "key long, n long").distinct()
 
 
 # ---- links
@@ -176,69 +178,149 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def cell_links(nodes: list[int], sides: list[int], elements: list[np.ndarray], measure: Measure) -> list[tuple[int, int]]:
-    """A spanning forest of a cell's links: among members of side 0 if there are no others, else between side 0 and side 1."""
-    if len(nodes) == 2:
-        sides = [0, 0]
-    cross = any(sides)
-    rows = [i for i, s in enumerate(sides) if not (cross and s)]
-    columns = [i for i, s in enumerate(sides) if s] if cross else rows
-    parent = {n: n for n in nodes}
-    out = []
+class _Group:
+    """The elements of some cells' members, with a table of slots for each member that bounds what two share."""
+
+    def __init__(self, elements: list[np.ndarray]):
+        self.elements = elements
+        size = np.fromiter(map(len, elements), np.int64, len(elements))
+        slots = 64
+        while slots < 8 * size.max() and 2 * slots * len(elements) <= SLOTS:
+            slots *= 2
+        self.slots, self.size, self.begin = slots, size, np.cumsum(size) - size
+        self.slot = (np.concatenate(elements) * U64(0x9E3779B97F4A7C15) >> U64(40)).astype(np.int64) & (slots - 1)
+        self.table = np.zeros(slots * len(elements), bool)
+        self.table[np.repeat(np.arange(len(elements)) * slots, size) + self.slot] = True
+        self.least = np.count_nonzero(self.table.reshape(-1, slots), axis=1)  # distinct elements, at least
+        self._sets: dict[int, set] = {}
+
+    def set_of(self, i: int) -> set:
+        if i not in self._sets:
+            self._sets[i] = set(self.elements[i].tolist())
+        return self._sets[i]
+
+    def most(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many elements of i are in j, at most: those whose slot j has."""
+        out = np.empty(len(i), np.int64)
+        lo = 0
+        ends = np.cumsum(self.size[i])
+        while lo < len(i):
+            to = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20))))
+            n = self.size[i[lo:to]]
+            edge = np.cumsum(n) - n
+            at = np.repeat(self.begin[i[lo:to]] - edge, n) + np.arange(n.sum())
+            out[lo:to] = np.add.reduceat(self.table[np.repeat(j[lo:to] * self.slots, n) + self.slot[at]], edge, dtype=np.int64)
+            lo = to
+        return out
+
+    def alike(self, i: int, j: int, threshold: float) -> bool:
+        """Whether the sets have a Jaccard similarity of the threshold: by the elements that begin and end both alike, or by the sets."""
+        a, b = self.elements[i], self.elements[j]
+        n = min(len(a), len(b))
+        unlike = a[:n] != b[:n]
+        head = int(unlike.argmax()) if unlike.any() else n
+        unlike = a[len(a) - n + head :][::-1] != b[len(b) - n + head :][::-1]
+        tail = int(unlike.argmax()) if unlike.any() else n - head
+        rest = len(a) - head - tail, len(b) - head - tail  # no more than these are in one set alone
+        if (1 - threshold) * (int(self.least[i]) - rest[0]) > threshold * sum(rest) + 1e-6:
+            return True
+        own, other = self.set_of(i), self.set_of(j)
+        both = len(own & other)
+        return both >= threshold * (len(own) + len(other) - both)
+
+
+def group_links(cells: list[tuple[list[int], list[int]]], elements: list[np.ndarray], measure: Measure) -> list[tuple[int, int]]:
+    """Spanning forests of the links of some cells (sides and nodes of their members, whose elements follow one another).
+
+    A cell's links are those among its members of side 0 if there are no others, else those between side 0 and side 1."""
+    group = _Group(elements)
+    todo: list[tuple[np.ndarray, np.ndarray]] = []
+    out: list[tuple[int, int]] = []
+    node = [n for _, nodes in cells for n in nodes]
+    forest = _Forest(node)
+    at = 0
+    for sides, nodes in cells:
+        if 1 in sides:
+            side = np.array(sides)
+            rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            few = len(rows) * len(columns) <= FEW_PAIRS
+            i, j = np.repeat(rows, len(columns)), np.tile(columns, len(rows))
+        else:
+            rows = columns = np.arange(len(nodes))
+            few = len(nodes) * len(nodes) <= FEW_PAIRS
+            i, j = _PAIRS[len(nodes)] if few else (rows, rows)
+        if few:
+            todo.append((i + at, j + at))
+        else:
+            left = [np.unique(elements[at + x]) for x in rows]
+            right = left if columns is rows else [np.unique(elements[at + x]) for x in columns]
+            both = overlaps(left, right).astype(np.float64)
+            union = np.fromiter(map(len, left), float, len(left))[:, None] + np.fromiter(map(len, right), float, len(right)) - both
+            i, j = np.nonzero((both >= measure.threshold * union) & (union > 0))
+            if columns is rows:
+                i, j = i[i < j], j[i < j]
+            order = np.argsort(-both[i, j] / union[i, j], kind="stable")
+            out += forest.grow(rows[i[order]] + at, columns[j[order]] + at, lambda x, y: measure.linked is None or measure.linked(elements[x], elements[y]))
+        at += len(nodes)
+    if not todo:
+        return out
+    i, j = (np.concatenate([x[k] for x in todo]) for k in (0, 1))
+    most = group.most(i, j)
+    size, least = group.size, group.least
+    share = measure.threshold / (1 + measure.threshold)
+    good = (most >= share * (least[i] + least[j]) - 1e-6) & (np.minimum(size[i], size[j]) >= measure.threshold * np.maximum(least[i], least[j]) - 1e-6)
+    edge = np.concatenate([[0], np.cumsum([len(x[0]) for x in todo])])
+    kept = np.concatenate([[0], np.cumsum(good)])[edge]
+    i, j, most = i[good], j[good], most[good]
+    for k in np.flatnonzero(np.diff(kept)).tolist():
+        lo, hi = int(kept[k]), int(kept[k + 1])
+        order = np.argsort(-most[lo:hi], kind="stable") + lo if hi - lo > 1 else np.array([lo])
+        out += forest.grow(i[order], j[order], lambda x, y: group.alike(x, y, measure.threshold) and (measure.linked is None or measure.linked(elements[x], elements[y])))
+    return out
+
+
+#: All pairs of so many members.
+_PAIRS = [np.triu_indices(n, 1) for n in range(int(FEW_PAIRS**0.5) + 1)]
 
-    def find(n: int) -> int:
-        while parent[n] != n:
-            parent[n] = n = parent[parent[n]]
+
+class _Forest:
+    """Union-find over the nodes of a group of cells: what one cell has linked no other asks again."""
+
+    def __init__(self, nodes: list[int]):
+        self.nodes, self.parent = nodes, {}
+
+    def find(self, n: int) -> int:
+        parent = self.parent
+        while (up := parent.get(n, n)) != n:
+            parent[n] = n = parent.get(up, up)
         return n
 
-    def link(i: int, j: int) -> None:
-        a, b = find(nodes[i]), find(nodes[j])
-        if a != b and (measure.linked is None or measure.linked(elements[i], elements[j])):
-            parent[max(a, b)] = min(a, b)
-            out.append((nodes[i], nodes[j]))
-
-    if len(rows) * len(columns) <= FEW_PAIRS:
-        sets = {i: set(elements[i].tolist()) for i in {*rows, *columns}}
-        for at, i in enumerate(rows):
-            own = sets[i]
-            for j in columns if cross else columns[at + 1 :]:
-                other = sets[j]
-                if min(len(own), len(other)) >= measure.threshold * max(len(own), len(other)) and find(nodes[i]) != find(nodes[j]):
-                    both = len(own & other)
-                    if both >= measure.threshold * (len(own) + len(other) - both):
-                        link(i, j)
+    def grow(self, i: np.ndarray, j: np.ndarray, linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+        """Of the pairs (i, j), taken in this order, those that join two components and are `linked`."""
+        out = []
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = self.find(self.nodes[x]), self.find(self.nodes[y])
+            if a != b and linked(x, y):
+                self.parent[max(a, b)] = min(a, b)
+                out.append((self.nodes[x], self.nodes[y]))
         return out
-    left = [np.unique(elements[i]) for i in rows]
-    right = [np.unique(elements[i]) for i in columns] if cross else left
-    both = overlaps(left, right).astype(np.float64)
-    union = np.fromiter(map(len, left), float, len(left))[:, None] + np.fromiter(map(len, right), float, len(right)) - both
-    i, j = np.nonzero((both >= measure.threshold * union) & (union > 0))
-    if not cross:
-        i, j = i[i < j], j[i < j]
-    for k in np.argsort(-both[i, j] / union[i, j], kind="stable").tolist():
-        link(rows[i[k]], columns[j[k]])
-    return out
 
 
 def settled(cells: DataFrame, content: DataFrame, measure: Measure) -> DataFrame:
-    """(a, b): links of cells (key, lo, hi, side, n) on content (n, content)."""
+    """(a, b): links of cells (key, lo, hi, side, n; `near`, cells of one value are settled together) on content (n, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: list[tuple[list, list, list]] = []  # whole cells and the one that is being read
         now, chars = None, 0
 
         def close(some: list) -> Iterator[pa.RecordBatch]:
-            elements = measure.elements([x for _, _, texts in some for x in texts])
-            found, at = [], 0
-            for sides, nodes, texts in some:
-                found += cell_links(nodes, sides, elements[at : at + len(texts)], measure)
-                at += len(texts)
+            found = group_links([(sides, nodes) for sides, nodes, _ in some], measure.elements([x for _, _, texts in some for x in texts]), measure)
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in slices(batches):
-            for key, lo, hi, side, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, key, lo, hi, side, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, lo, hi) != now:
                     if chars > GROUP_CHARS:
                         yield from close(groups)
@@ -251,8 +333,8 @@ def settled(cells: DataFrame, content: DataFrame, measure: Measure) -> DataFrame
         if groups:
             yield from close(groups)
 
-    full = cells.join(content, "n").select("key", "lo", "hi", "side", "n", "content")
-    return full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
+    full = cells.join(content, "n").select("near", "key", "lo", "hi", "side", "n", "content")
+    return full.repartition("near").sortWithinPartitions("near", "key", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
 def large_bucket_links(members: DataFrame, sizes: DataFrame, content: DataFrame, measure: Measure) -> DataFrame:
@@ -261,6 +343,9 @@ def large_bucket_links(members: DataFrame, sizes: DataFrame, content: DataFrame,
     support = member.groupBy("n").agg(F.sum("size").alias("support"))
     leads = stored(member.join(support, "n").groupBy("key", "size", "blocks").agg(F.max(F.struct("support", "n")).getField("n").alias("a")))
 
+    def crossed(cells: DataFrame) -> DataFrame:
+        return settled(cells.withColumn("near", F.xxhash64("key", "lo", "hi")), content, measure)
+
     def of(hashed: int, count: str):
         return F.pmod(F.xxhash64("n", F.lit(hashed)), F.col(count)).cast("int")
 
@@ -271,7 +356,7 @@ def large_bucket_links(members: DataFrame, sizes: DataFrame, content: DataFrame,
     others = attached(member.select("key", "n"), leads, "key").filter("n <> a")
     cells = others.select("key", zero.alias("lo"), of(1, "blocks").alias("hi"), one.alias("side"), "n")
     cells = cells.union(leads.select("key", zero.alias("lo"), every("blocks").alias("hi"), zero.alias("side"), F.col("a").alias("n")))
-    first = stored(settled(cells, content, measure))
+    first = stored(crossed(cells))
     named = stored(member.select("key", "n").join(components(first), "n", "left").select("key", "n", F.coalesce("label", "n").alias("label")))
     kinds = named.groupBy("key", "label").agg(F.count("*").alias("own")).groupBy("key").agg(F.max(F.struct("own", "label")).alias("main"))
     mixed = kinds.join(leads.drop("a"), "key").withColumn("out", F.col("size") - F.col("main.own")).filter("out > 0")
@@ -279,7 +364,7 @@ def large_bucket_links(members: DataFrame, sizes: DataFrame, content: DataFrame,
     open_ = stored(attached(named, mixed, "key"))
     cells = open_.select("key", every("rows").alias("lo"), of(1, "blocks").alias("hi"), one.alias("side"), "n")
     cells = cells.union(open_.filter("label <> main").select("key", of(2, "rows").alias("lo"), every("blocks").alias("hi"), zero.alias("side"), "n"))
-    return first.union(settled(cells, content, measure))
+    return first.union(crossed(cells))
 
 
 def classes(strings: DataFrame, contents: Callable[[DataFrame], DataFrame], measure: Measure) -> DataFrame:
@@ -287,18 +372,22 @@ def classes(strings: DataFrame, contents: Callable[[DataFrame], DataFrame], meas
 
     strings: packed entries (part, entries). contents: from a table of n to (n, content)."""
     member = stored(memberships(strings))
-    content = stored(contents(stored(member.select("n").distinct())))
+    nodes = stored(member.select("n").distinct())
+    content = stored(contents(nodes))
+    if content.count() > nodes.count():  # documents that are there several times
+        content = stored(content.dropDuplicates(["n"]))
     length = small(content.select("n", F.length("content").alias("chars")))
     about = member.join(length, "n").groupBy("key")
     # sums of hashes tell sets of members apart; a sum that overflows stands for its key alone
     seal = [F.coalesce(F.try_sum(F.shiftright(F.xxhash64("n", F.lit(s)), 20)), F.col("key")).alias(f"seal{s}") for s in (0, 1)]
-    sizes = about.agg(F.count("*").alias("size"), F.sum("chars").alias("chars"), *seal).groupBy("size", "chars", "seal0", "seal1").agg(F.min("key").alias("key"))
+    # the buckets of a family mostly have its least member, a node has few buckets: these are dealt to one task
+    sizes = about.agg(F.count("*").alias("size"), F.sum("chars").alias("chars"), F.min("n").alias("near"), *seal).groupBy("size", "chars", "near", "seal0", "seal1").agg(F.min("key").alias("key"))
     blocks = F.least("size", F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("chars") / BLOCK_CHARS))).cast("int")
-    sizes = stored(sizes.select("key", "size", blocks.alias("blocks")))
+    sizes = stored(sizes.select("key", "size", "near", blocks.alias("blocks")))
     inner = attached(member, sizes.filter("blocks = 1"), "key")
     zero = F.lit(0)
-    links = settled(inner.select("key", zero.alias("lo"), zero.alias("hi"), zero.alias("side"), "n"), content, measure)
-    large = sizes.filter("blocks > 1")
+    links = settled(inner.select("near", "key", zero.alias("lo"), zero.alias("hi"), zero.alias("side"), "n"), content, measure)
+    large = sizes.filter("blocks > 1").select("key", "size", "blocks")
     if not large.isEmpty():
         links = links.union(large_bucket_links(member, large, content, measure))
     return components(links)

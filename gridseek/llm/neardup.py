@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridseek.llm.common import U64, Block, Hasher, blocks, mix, seeds, stored, utf8
+from gridseek.llm.common import Block, Hasher, U64, blocks, mix, seeds, small_batches, stored, utf8
 from gridseek.llm.links import Measure, attached, classes, entries, number_of_parts, small
 from gridseek.llm.substring import window_hashes
 
@@ -164,13 +164,14 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs: id, row_hash, text. All documents with words (id, row_hash, label), stored, and those without (id, row_hash)."""
+    small_batches(docs.sparkSession)
     signed = stored(signatures(docs))
     worded = signed.filter("n IS NOT NULL").select("id", "row_hash", "n", "m")
 
     def contents(wanted: DataFrame) -> DataFrame:
         one = worded.join(small(wanted), "n").groupBy("n").agg(F.min(F.struct("id", "row_hash")).alias("p"))
         at = stored(one.select("n", "p.id", "p.row_hash"))
-        return docs.join(small(at), ["id", "row_hash"]).select("n", F.col("text").alias("content")).dropDuplicates(["n"])
+        return docs.join(small(at), ["id", "row_hash"]).select("n", F.col("text").alias("content"))
 
     labels = classes(signed.filter("entries IS NOT NULL").select("part", "entries"), contents, MEASURE)
     # a node of its own is its texts of one digest, all 128 bits

@@ -6,7 +6,8 @@ longest down: a piece opens a window of its tier and the gap behind it is filled
 tiers, the largest that fits first, the last one cut at the gap. What a batch can't fill waits for the
 next batch; at a partition's end the rest is joined, and at most one window isn't full. Windows of a tier
 are then dealt to step groups of equal tokens, in a snake by attention cost, so that all devices of a
-step have the same length and nearly the same work.
+step have the same length and nearly the same work. Windows that don't fill a group wait for the next batch:
+a partition has at most one short group a tier.
 
 Cases: null and empty texts are their end token alone; null or repeated doc_ids are rows like others; a
 very long text is cut into as many windows as it needs; an empty table gives no windows.
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from gridseek.llm.common import small_batches
 from gridseek.llm.encode import encoder
 
 TIERS = (128, 256, 512, 1024)
@@ -98,8 +100,16 @@ class Packer:
                 self.done.append((self.tier(self.longest - room) if self.longest - room in self.tiers else self.longest, window))
             self.held = []
 
-    def take(self) -> list[tuple[int, list[Piece]]]:
-        out, self.done = self.done, []
+    def take(self, step_tokens: int, last: bool) -> list[tuple[int, list[Piece]]]:
+        """The closed windows that fill whole step groups of their tier; at the end all."""
+        out, wait = [], []
+        for tier in self.tiers:
+            own = [w for w in self.done if w[0] == tier]
+            each = max(1, step_tokens // tier)
+            whole = len(own) if last else len(own) // each * each
+            out += own[:whole]
+            wait += own[whole:]
+        self.done = wait
         return out
 
 
@@ -118,6 +128,7 @@ def step_groups(windows: list[tuple[int, list[Piece]]], step_tokens: int) -> lis
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: the document's id, SCHEMA; ids are little-endian unsigned 32-bit numbers."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = encoder(tokenizer), Packer(tiers)
@@ -128,7 +139,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, tiers: tupl
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal number, group
             packer.pack(last)
-            windows = packer.take()
+            windows = packer.take(step_tokens, last)
             rows: list[list] = [[] for _ in range(9)]
             size, groups = 0, step_groups(windows, step_tokens)
             for (tier, window), step in zip(windows, groups, strict=True):

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridseek.llm.common import U64, Block, Hasher, blocks, mix
+from gridseek.llm.common import Block, Hasher, U64, blocks, mix, small_batches
 
 _STEP = U64(0x9FB21C651E98DF25)
 SYMBOLS = b"#*$%&|<>"
@@ -142,6 +142,7 @@ def _arrow(figures: dict[str, np.ndarray]) -> dict[str, pa.Array]:
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """A row for each document: its id, the figures of SCHEMA and the verdict."""
+    small_batches(docs.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +157,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def quality_filter(docs: DataFrame, text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridseek.llm.common import U64, Block, Hasher, blocks, mix, stored
+from gridseek.llm.common import Block, Hasher, U64, blocks, mix, small_batches, stored
 
 K, M = 20, 6
 BLOCK = 2 << 20
@@ -268,6 +268,7 @@ def few(rows: DataFrame) -> DataFrame | None:
 
 def repeated_ranges(docs: DataFrame, k: int = K, m: int = M, heavy: int = HEAVY) -> DataFrame:
     """(id, row_hash, ranges): word ranges to remove, as little-endian pairs of 32-bit numbers. docs: id, row_hash, text."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,10 +32,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from gridseek.llm.common import U64
+from gridseek.llm.common import U64, small_batches
 
 CHUNK = 192
-MAX_STATES = 1_500_000
+MAX_STATES = 800_000
 LETTER, NUMBER, OTHER, WHITE = range(4)
 _UNKNOWN = 255
 _HEAD = 1  # the state before a chunk's first boundary
@@ -354,6 +354,7 @@ def counter(path: str) -> Counter:
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_tokens and over_limit of every document. One narrow pass; each worker compiles its own transducer."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(tokenizer)

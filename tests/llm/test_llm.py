@@ -164,15 +164,21 @@ def test_packing_is_an_exact_cover(spark, docs, corpus, library):
 def test_step_groups_have_equal_tokens():
     packer = packing.Packer()
     rng = random.Random(1)
-    for i in range(900):
-        packer.add(i, np.zeros(rng.randint(1, 1500), np.uint32))
+    for i in range(6000):
+        packer.add(i, np.zeros(rng.choice([120, 128, 250, 256, 500, rng.randint(1, 1500)]), np.uint32))
     packer.pack(True)
-    windows = packer.take()
-    groups = collections.defaultdict(list)
+    windows = packer.take(8192, False)
+    assert {t for t, _ in windows} == set(packing.TIERS)
+    groups, pieces = collections.defaultdict(list), collections.defaultdict(list)
     for g, (tier, w) in zip(packing.step_groups(windows, 8192), windows):
         groups[g].append((tier, w))
-    for own in groups.values():
-        assert len({t for t, _ in own}) == 1 and sum(t for t, _ in own) <= 8192
+    for g, own in groups.items():
+        assert len({t for t, _ in own}) == 1 and sum(t for t, _ in own) == 8192
+        pieces[own[0][0]].append(sum(p[0] ** 2 for _, w in own for p in w))
+    for costs in pieces.values():  # nearly the same work
+        assert max(costs) <= 1.15 * min(costs)
+    rest = packer.take(8192, True)
+    assert all(sum(t for t, _ in rest if t == tier) < 8192 for tier in packing.TIERS)
 
 
 # ---- op 4
