@@ -23,10 +23,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; set here only where the session has none, as in local tests."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; set here only where a local session has none, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridseek-ckpt-"))
+        given = sc.getConf().get("spark.checkpoint.dir")
+        if not given and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="gridseek-ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -36,13 +39,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: The tables that `stored` has written and `discard_stored` hasn't yet removed.
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder: columns compress there, so for what is long."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder wherever Spark keeps it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard_stored(spark: SparkSession) -> None:
+    """Delete what `stored` has written so far, for a driver that has written its results and reads none of it any more."""
+    while _STORED:
+        remove(spark, _STORED.pop())
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of BATCH_ROWS rows, unless the session says otherwise: with the default of 10,000 whole texts, buffers outside the heap and workers grow by many times the batch."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -9,13 +9,14 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gridseek.llm import ann, encode, linededup, mixing, neardup, packing, preference, quality, sharding, substring, tokencount
-from gridseek.llm import links
+from gridseek.llm import common, links, sql
 from gridseek.llm.common import Block, blocks
 from gridseek.llm.links import classes, components
 from gridseek.llm.queries import tokenizer_path
@@ -639,29 +640,66 @@ def test_conversations_with_odd_turns(spark):
 # ---- the pipeline
 
 
-def test_pipeline_stages(spark, data, tmp_path):
+def duck_rows(frame, text, *columns):
+    """The rows of a DuckDB query over these documents."""
+    con = duckdb.connect()
+    con.register("documents", frame)
+    return con.execute(f"SELECT {', '.join(columns)} FROM ({text})").fetchall()
+
+
+def plain_pipeline(docs, library):
+    """The ids of every packed document, in a multiset, by plain versions of the five stages. docs: a pyarrow table."""
+    kept = {r[0] for r in duck_rows(docs, sql.quality(quality.Limits()), "doc_id", "kept") if r[1]}
+    rows = [r for r in docs.to_pylist() if r["doc_id"] in kept]
+    lines = {d: t for d, t in plain_lines([(r["doc_id"], r["text"]) for r in rows]) if words(t)}
+    rows = [r | {"text": lines[r["doc_id"]]} for r in rows if r["doc_id"] in lines]
+    sets = {r["doc_id"]: shingle_set(r["text"]) for r in rows}
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    first = {g[0] for g in classes_of(sorted(sets), linked)}
+    rows = [r for r in rows if r["doc_id"] in first]
+    times = {d: taken // size for d, size, taken in duck_rows(pa.Table.from_pylist(rows, docs.schema), sql.MIX, "doc_id", "size", "taken")}
+    return collections.Counter({(r["doc_id"], tuple([*library.encode(r["text"], add_special_tokens=False).ids, 0])): times[r["doc_id"]] for r in rows if times[r["doc_id"]]})
+
+
+def unpacked(pieces):
+    """Packed documents put together again: pieces of copies of one document are equal, so each start comes as often as the document."""
+    starts = collections.defaultdict(collections.Counter)
+    for r in pieces:
+        starts[r.doc_id][r.start, bytes(r.ids)] += 1
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
+    out = collections.Counter()
+    for doc, own in starts.items():
+        total = collections.Counter()
+        for (start, ids), n in own.items():  # copies may be cut apart differently
+            for k, x in enumerate(np.frombuffer(ids, np.uint32).tolist()):
+                total[start + k, x] += n
+        assert len(set(total.values())) == 1
+        out[doc, tuple(x for _, x in sorted(total))] = next(iter(total.values()))
+    return out
+
+
+def test_pipeline_run(spark, data, library):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").toArrow()
+    got = c.run(spark, data)
+    assert unpacked(got.collect()) == plain_pipeline(docs, library)
+    left = set(os.listdir(os.path.dirname(got.inputFiles()[0].removeprefix("file:")).rsplit("/", 1)[0]))
+    assert left == {"packing"} and not common._STORED
+
+
+def test_pipeline_stages_on_odd_rows(spark, corpus, tmp_path):
     import corpus_pipeline as c
 
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    columns = docs.columns
-    for k, (name, stage) in enumerate(c.STAGES):
-        stage(spark, docs, data).write.parquet(str(tmp_path / name))
-        before, docs = docs, spark.read.parquet(str(tmp_path / name))
-        if k < 4:
-            assert docs.columns == columns
-        texts = [r.text for r in before.collect()]
-        if name == "quality":
-            want = collections.Counter(r.doc_id for r in quality.quality_report(before).filter("kept").collect())
-            assert collections.Counter(r.doc_id for r in docs.collect()) == want
-        elif name == "line_dedup":
-            want = plain_lines([(r.doc_id, r.text) for r in before.collect()])
-            assert collections.Counter((r.doc_id, r.text) for r in docs.collect()) == collections.Counter({k: v for k, v in want.items() if words(k[1])})
-        elif name == "near_dedup":
-            rows = {r.doc_id: r.text for r in before.collect()}
-            sets = {i: shingle_set(t) for i, t in rows.items()}
-            linked = [(a, b) for a, b in itertools.combinations(rows, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-            assert sorted(r.doc_id for r in docs.collect()) == sorted(g[0] for g in classes_of(rows, linked))
-        elif name == "packing":
-            assert all(r.ids_crc32 == zlib.crc32(r.ids) for r in docs.collect())
-            assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in before.collect()}
-        assert texts
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, label string, n long, row_hash string, gone int, times int, h int"
+    rows = [(r[0], r[1], None, r[2], len(r[1]) if r[1] else None, 7, "x", 1, "y", 2, 3, 4) for r in corpus]
+    rows += [(None, None, None, None, None, *[None] * 7), (5, "one line alone " * 200_000, "en", "s", 3_000_000, *[None] * 7)]
+    for name, frame in (("odd", spark.createDataFrame(rows, schema).repartition(3)), ("empty", spark.createDataFrame([], schema))):
+        docs = frame
+        for k, (stage, function) in enumerate(c.STAGES):
+            for own in ("raw", "left"):  # the rows as they are, and what the stages before leave
+                out = function(spark, frame if own == "raw" else docs, "")
+                out.write.parquet(str(tmp_path / f"{name}-{k}-{own}"))
+                assert k == 4 or (out.columns == frame.columns and out.count() <= 2 * len(rows))
+                assert name == "odd" or out.count() == 0
+            docs = spark.read.parquet(str(tmp_path / f"{name}-{k}-left"))
