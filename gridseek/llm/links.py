@@ -37,7 +37,7 @@ BROADCAST_BYTES = 32 << 20
 #: Keys of more than this part of all rows are hot.
 HOT_PART = 1000
 #: Pairs of a cell up to which they are compared one by one, and uses of an element up to which they are counted one by one.
-FEW_PAIRS, FEW_USES = 2048, 2048
+FEW_PAIRS, FEW_USES = 16384, 2048
 #: Bytes of the tables that bound what two members share.
 SLOTS = 8 << 20
 
@@ -181,8 +181,8 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 class _Group:
     """The elements of some cells' members, with a table of slots for each member that bounds what two share."""
 
-    def __init__(self, elements: list[np.ndarray]):
-        self.elements = elements
+    def __init__(self, nodes: list[int], elements: list[np.ndarray]):
+        self.nodes, self.elements = nodes, elements
         size = np.fromiter(map(len, elements), np.int64, len(elements))
         slots = 64
         while slots < 8 * size.max() and 2 * slots * len(elements) <= SLOTS:
@@ -192,12 +192,19 @@ class _Group:
         self.table = np.zeros(slots * len(elements), bool)
         self.table[np.repeat(np.arange(len(elements)) * slots, size) + self.slot] = True
         self.least = np.count_nonzero(self.table.reshape(-1, slots), axis=1)  # distinct elements, at least
-        self._sets: dict[int, set] = {}
+        self.sets: dict[int, set] = {}
 
     def set_of(self, i: int) -> set:
-        if i not in self._sets:
-            self._sets[i] = set(self.elements[i].tolist())
-        return self._sets[i]
+        """A node's elements; it may be a member of several cells."""
+        own = self.sets.get(self.nodes[i])
+        if own is None:
+            own = self.sets[self.nodes[i]] = set(self.elements[i].tolist())
+        return own
+
+    def alike(self, i: int, j: int, threshold: float) -> bool:
+        own, other = self.set_of(i), self.set_of(j)
+        both = len(own & other)
+        return both >= threshold * (len(own) + len(other) - both)
 
     def most(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """How many elements of i are in j, at most: those whose slot j has."""
@@ -213,31 +220,15 @@ class _Group:
             lo = to
         return out
 
-    def alike(self, i: int, j: int, threshold: float) -> bool:
-        """Whether the sets have a Jaccard similarity of the threshold: by the elements that begin and end both alike, or by the sets."""
-        a, b = self.elements[i], self.elements[j]
-        n = min(len(a), len(b))
-        unlike = a[:n] != b[:n]
-        head = int(unlike.argmax()) if unlike.any() else n
-        unlike = a[len(a) - n + head :][::-1] != b[len(b) - n + head :][::-1]
-        tail = int(unlike.argmax()) if unlike.any() else n - head
-        rest = len(a) - head - tail, len(b) - head - tail  # no more than these are in one set alone
-        if (1 - threshold) * (int(self.least[i]) - rest[0]) > threshold * sum(rest) + 1e-6:
-            return True
-        own, other = self.set_of(i), self.set_of(j)
-        both = len(own & other)
-        return both >= threshold * (len(own) + len(other) - both)
-
 
 def group_links(cells: list[tuple[list[int], list[int]]], elements: list[np.ndarray], measure: Measure) -> list[tuple[int, int]]:
     """Spanning forests of the links of some cells (sides and nodes of their members, whose elements follow one another).
 
     A cell's links are those among its members of side 0 if there are no others, else those between side 0 and side 1."""
-    group = _Group(elements)
     todo: list[tuple[np.ndarray, np.ndarray]] = []
     out: list[tuple[int, int]] = []
     node = [n for _, nodes in cells for n in nodes]
-    forest = _Forest(node)
+    group, forest = _Group(node, elements), _Forest(node)
     at = 0
     for sides, nodes in cells:
         if 1 in sides:
@@ -259,8 +250,7 @@ def group_links(cells: list[tuple[list[int], list[int]]], elements: list[np.ndar
             i, j = np.nonzero((both >= measure.threshold * union) & (union > 0))
             if columns is rows:
                 i, j = i[i < j], j[i < j]
-            order = np.argsort(-both[i, j] / union[i, j], kind="stable")
-            out += forest.grow(rows[i[order]] + at, columns[j[order]] + at, lambda x, y: measure.linked is None or measure.linked(elements[x], elements[y]))
+            out += forest.grow(rows[i] + at, columns[j] + at, lambda x, y: measure.linked is None or measure.linked(elements[x], elements[y]))
         at += len(nodes)
     if not todo:
         return out
@@ -271,11 +261,10 @@ def group_links(cells: list[tuple[list[int], list[int]]], elements: list[np.ndar
     good = (most >= share * (least[i] + least[j]) - 1e-6) & (np.minimum(size[i], size[j]) >= measure.threshold * np.maximum(least[i], least[j]) - 1e-6)
     edge = np.concatenate([[0], np.cumsum([len(x[0]) for x in todo])])
     kept = np.concatenate([[0], np.cumsum(good)])[edge]
-    i, j, most = i[good], j[good], most[good]
+    i, j = i[good], j[good]
     for k in np.flatnonzero(np.diff(kept)).tolist():
-        lo, hi = int(kept[k]), int(kept[k + 1])
-        order = np.argsort(-most[lo:hi], kind="stable") + lo if hi - lo > 1 else np.array([lo])
-        out += forest.grow(i[order], j[order], lambda x, y: group.alike(x, y, measure.threshold) and (measure.linked is None or measure.linked(elements[x], elements[y])))
+        cell = slice(int(kept[k]), int(kept[k + 1]))
+        out += forest.grow(i[cell], j[cell], lambda x, y: group.alike(x, y, measure.threshold) and (measure.linked is None or measure.linked(elements[x], elements[y])))
     return out
 
 
@@ -296,13 +285,29 @@ class _Forest:
         return n
 
     def grow(self, i: np.ndarray, j: np.ndarray, linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
-        """Of the pairs (i, j), taken in this order, those that join two components and are `linked`."""
+        """Of the pairs (i, j) of members those that join two components and are `linked`.
+
+        The member of most pairs is held against the others first, then only pairs of two components are left."""
         out = []
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            a, b = self.find(self.nodes[x]), self.find(self.nodes[y])
-            if a != b and linked(x, y):
-                self.parent[max(a, b)] = min(a, b)
-                out.append((self.nodes[x], self.nodes[y]))
+        while len(i):
+            now, rest = np.ones(len(i), bool), None
+            if len(i) > 4:
+                hub = np.bincount(np.concatenate([i, j]) - (low := min(i.min(), j.min()))).argmax() + low
+                now = (i == hub) | (j == hub)
+                rest = ~now
+            for x, y in zip(i[now].tolist(), j[now].tolist(), strict=True):
+                a, b = self.find(self.nodes[x]), self.find(self.nodes[y])
+                if a != b and linked(x, y):
+                    self.parent[max(a, b)] = min(a, b)
+                    out.append((self.nodes[x], self.nodes[y]))
+            if rest is None:
+                break
+            i, j = i[rest], j[rest]
+            if len(i):
+                low = min(i.min(), j.min())
+                root = np.array([self.find(self.nodes[x]) for x in range(low, max(i.max(), j.max()) + 1)])
+                apart = root[i - low] != root[j - low]
+                i, j = i[apart], j[apart]
         return out
 
 
