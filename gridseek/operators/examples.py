@@ -63,6 +63,18 @@ def distillation_loss(teacher: Column, student: Column, temperature: float, weig
     return weight * temperature**2 * kl_divergence(cooled(teacher), cooled(student)) - (1 - weight) * F.log(F.get(softmax(student), target))
 
 
+def smoothed_loss(logs: Column, target: Column, smoothing: float) -> Column:
+    """Negative log-likelihood of the target's place (from 0) with some of its weight spread over all places; logs: log probabilities."""
+    spread = F.aggregate(logs, F.lit(0.0), lambda a, x: a + x)
+    return -((1 - smoothing) * F.get(logs, target) + smoothing / F.size(logs) * spread)
+
+
+def trimmed(tokens: Column, pad: int) -> Column:
+    """Batches of token arrays without the places that hold padding in all of them."""
+    last = F.array_max(F.transform(tokens, lambda t: F.array_max(F.transform(t, lambda x, i: F.when(x != pad, i + 1).otherwise(0)))))
+    return F.transform(tokens, lambda t: F.slice(t, F.lit(1), last))
+
+
 def latest_file(listing: DataFrame) -> DataFrame:
     """The path of the latest change. listing: path, modificationTime."""
     return listing.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))

@@ -17,6 +17,7 @@ from gridseek.operators import ranking as R
 from gridseek.operators import retrieval as V
 from gridseek.operators import sqlgen as Q
 from gridseek.operators import triples as X
+from gridseek.sources import sinks as K
 from gridseek.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -259,12 +260,26 @@ def graph_no_caption(spark, sf_dir):
     return X.complete_graph(all_tables(spark, sf_dir), with_title=False).select("table_id", "row", F.array_join("tuples", "|").alias("tuples"))
 
 
-@query()
+@query(
+    _tuples_sql(True).replace("WITH cust AS", "WITH RECURSIVE cust AS", 1).replace("SELECT table_id, row, string_agg", ", tp AS (SELECT table_id, row, string_agg", 1)
+    + """), c AS (SELECT table_id, row, tuples, list_transform(tuples, lambda t: len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> ''))) AS n FROM (SELECT table_id, row, string_split(tuples, '|') AS tuples FROM tp)),
+  w AS (SELECT table_id, row, 0 AS nth, 0 AS a, len(list_filter(range(1, len(n) + 1), lambda e: list_sum(n[1:e]) <= 60)) AS b FROM c
+  UNION ALL SELECT table_id, row, nth + 1, s, s + len(list_filter(range(s + 1, len(n) + 1), lambda e: list_sum(n[s + 1:e]) <= 60)) FROM (SELECT w.*, n, greatest(a + 1, least(a + 2, b - 1)) AS s FROM w JOIN c USING (table_id, row) WHERE b < len(n)))
+  SELECT table_id, row, nth::INT AS nth, coalesce(array_to_string(tuples[a + 1:b], ''), '') AS passage FROM w JOIN c USING (table_id, row)"""
+)
 def graph_packing(spark, sf_dir):
     return X.graph_passages(X.complete_graph(all_tables(spark, sf_dir)), budget=60)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {ROWS}, t AS (SELECT table_id, row, title, list_transform(range(1, 5), lambda i: names[i] || '  ' || trim(vals[i]) || '  ,  ') AS x FROM trows),
+    c AS (SELECT *, list_transform(x, lambda v: {sql_size('v')}) AS n FROM t),
+    w AS (SELECT table_id, row, 0 AS i, 0 AS a, NULL::INT AS f, NULL::INT AS e FROM c
+    UNION ALL SELECT table_id, row, i + 1, CASE WHEN NOT out THEN a WHEN coalesce(list_sum(n[a + 2:i]), 0) > 12 THEN i ELSE a + 1 END::INT, CASE WHEN out THEN a END, CASE WHEN out THEN i END
+      FROM (SELECT w.*, n, a < i AND coalesce(list_sum(n[a + 1:i]), 0) > 0 AND coalesce(list_sum(n[a + 1:i]), 0) + n[i + 1] > 12 AS out FROM w JOIN c USING (table_id, row) WHERE i < len(n))),
+    o AS (SELECT table_id, row, f, e FROM w WHERE f IS NOT NULL UNION ALL SELECT table_id, row, a, i FROM w JOIN c USING (table_id, row) WHERE i = len(n))
+    SELECT table_id, row, array_to_string(range(f, e), ',') AS cols, title || '  .  ' || array_to_string(x[f + 1:e], ' ') AS passage FROM o JOIN c USING (table_id, row)"""
+)
 def sliding_passages(spark, sf_dir):
     return X.sliding_passages(all_tables(spark, sf_dir), budget=12).withColumn("cols", F.array_join("cols", ","))
 
@@ -942,3 +957,114 @@ def select_examples(spark, sf_dir):
 @query("WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS new_id FROM embeddings WHERE label <> 3) SELECT vec_id AS p_id, new_id FROM p")
 def renumbered_passages(spark, sf_dir):
     return E.renumbered(vectors(spark, sf_dir).filter("table_id <> 3").select("p_id")).select("p_id", "new_id")
+
+
+# ---- what stands around the files -------------------------------------------------------------------
+
+
+@query("SELECT doc_id, 'question: ' || source || ' title: ' || lang || ' context: ' || text AS text FROM documents")
+def reader_text(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", T.reader_text(F.col("source"), F.col("lang"), F.col("text")).alias("text"))
+
+
+@query("SELECT p_partkey, p_name || '   .   ' || p_type AS head, ltrim(substr(p_name || '. .' || p_brand, len(p_name) + 1), '. ') AS rest FROM part")
+def text_parts(spark, sf_dir):
+    part = load(spark, sf_dir, "part")
+    whole = F.concat_ws("   .   ", "p_name", "p_type", "p_brand")
+    return part.select("p_partkey", T.first_two_parts(whole).alias("head"), T.suffix_after(F.concat("p_name", F.lit(". ."), "p_brand"), F.col("p_name")).alias("rest"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_name || ' (' || p_type || ')' AS x FROM part)
+    SELECT p_partkey, array_to_string(list_filter(string_split(regexp_replace(x, '[()]', '', 'g'), ' '), lambda w: w <> ''), '_') AS relation, replace(replace(trim(regexp_replace(x, '[()"]', '', 'g')), ',', ' '), '_', ' ') AS node FROM p"""
+)
+def graph_names(spark, sf_dir):
+    x = F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))
+    return load(spark, sf_dir, "part").select("p_partkey", T.relation_name(x).alias("relation"), T.node_name(x).alias("node"))
+
+
+@query("""SELECT p_partkey, '"' || replace(p_name || ' "x"', '"', '""') || '","' || replace(p_type, '"', '""') || '"' AS line FROM part""")
+def quoted_csv(spark, sf_dir):
+    return load(spark, sf_dir, "part").select("p_partkey", K.quoted_csv([F.concat("p_name", F.lit(' "x"')), F.col("p_type")]).alias("line"))
+
+
+@query(
+    """SELECT n_nationkey, '<h2>' || n_nationkey || '. ' || n_name || ' &lt;&amp;&gt;</h2><table><tr><th>name</th><th>region</th></tr><tr><td>' || n_name || '</td><td>' || n_regionkey || '</td></tr></table>' AS page FROM nation"""
+)
+def html_page(spark, sf_dir):
+    cells = F.array(F.array("n_name", F.col("n_regionkey").cast("string")))
+    page = K.html_page(F.col("n_nationkey"), F.concat("n_name", F.lit(" <&>")), F.array(F.lit("name"), F.lit("region")), cells)
+    return load(spark, sf_dir, "nation").select("n_nationkey", page.alias("page"))
+
+
+@query(f"WITH {ROWS} SELECT replace(title, '/', ' ') || '-' || split_part(table_id, '-', -1) || '.csv' AS file, '\"' || array_to_string(any_value(names), '\",\"') || '\"\n' || string_agg('\"' || array_to_string(vals, '\",\"') || '\"', '\n' ORDER BY row) AS text FROM trows GROUP BY table_id, title")
+def csv_texts(spark, sf_dir):
+    return K.csv_texts(all_tables(spark, sf_dir))
+
+
+@query("SELECT quality AS qid, array_to_string(list_sort(coalesce(list(doc_id::VARCHAR) FILTER (toxic = 1), [])), ',') AS gold FROM labels GROUP BY quality")
+def relevance_lists(spark, sf_dir):
+    judged = load(spark, sf_dir, "labels").select(F.col("quality").alias("qid"), F.col("doc_id").cast("string").alias("table_id"), F.col("toxic").alias("label"))
+    return S.relevance_lists(judged).select("qid", F.array_join("gold", ",").alias("gold"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('sample/' || doc_id), doc_id LIMIT 50")
+def sample_n(spark, sf_dir):
+    """A sample of n rows is the feature here."""
+    return P.exact_sample(load(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50)
+
+
+def _rouge_sql(n: int) -> str:
+    w = "list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda t: t <> '')"
+    side = lambda x: f"(SELECT sid, g, count(*) AS c FROM (SELECT sid, unnest(list_transform(range(1, greatest(len({w.format(x=x)}) - {n - 2}, 1)), lambda i: array_to_string(({w.format(x=x)})[i:i + {n - 1}], ' '))) AS g FROM pp) GROUP BY ALL)"
+    return f"""WITH {_PAIRS_OF_PARTS}, s AS (SELECT sid, sum(least(coalesce(h.c, 0), coalesce(r.c, 0))) AS hit, sum(h.c) AS hn, sum(r.c) AS rn FROM {side('hyp')} h FULL JOIN {side('ref')} r USING (sid, g) GROUP BY sid),
+      m AS (SELECT sid, coalesce(hit / hn, 0) AS p, coalesce(hit / rn, 0) AS q FROM s) SELECT sid, round(p, 6)::DOUBLE AS precision, round(q, 6)::DOUBLE AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6)::DOUBLE AS f1 FROM m"""
+
+
+@query(_rouge_sql(1))
+def rouge_1(spark, sf_dir):
+    return M.rouge_n(_part_pairs(spark, sf_dir), 1)
+
+
+@query(_rouge_sql(2))
+def rouge_2(spark, sf_dir):
+    return M.rouge_n(_part_pairs(spark, sf_dir), 2)
+
+
+@query(f"WITH {SCORED}, b AS (SELECT qid, table_id, max(score) AS score FROM retr GROUP BY ALL) SELECT qid, table_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, table_id)::INT AS place FROM b")
+def table_scores(spark, sf_dir):
+    return R.table_scores(retrieved(spark, sf_dir)).select("qid", "table_id", "score", "place")
+
+
+@query(f"WITH {SCORED} SELECT qid, string_agg(p_id || ':' || table_id, ',' ORDER BY rank) AS ctxs FROM retr GROUP BY qid")
+def nested_contexts(spark, sf_dir):
+    nested = V.nested_contexts(retrieved(spark, sf_dir))
+    return nested.select("qid", F.array_join(F.transform("ctxs", lambda c: F.concat_ws(":", c["p_id"].cast("string"), c["table_id"].cast("string"))), ",").alias("ctxs"))
+
+
+@query("WITH v AS (SELECT vec_id // 5 AS qid, vec_id AS table_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.qid, round(avg(list_inner_product(a.v, b.v)), 6) AS reg FROM v a JOIN v b ON a.qid = b.qid AND a.table_id < b.table_id GROUP BY a.qid")
+def graph_regulariser(spark, sf_dir):
+    """Five tables a question."""
+    v = load(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("qid"), F.col("vec_id").alias("table_id"), F.col("embedding").cast("array<double>").alias("v"))
+    return E.graph_regulariser(v)
+
+
+_SOFT = "list_transform({x}, lambda v: exp(v{t}) / list_sum(list_transform({x}, lambda u: exp(u{t}))))"
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id, embedding[1:8]::DOUBLE[] AS t, embedding[9:16]::DOUBLE[] AS s FROM embeddings),
+    p AS (SELECT vec_id, {_SOFT.format(x='t', t=' / 2')} AS pt, {_SOFT.format(x='s', t=' / 2')} AS ps, {_SOFT.format(x='s', t='')} AS s1 FROM e)
+    SELECT vec_id, round(0.7 * 4 * list_sum(list_transform(range(1, 9), lambda i: pt[i] * ln(pt[i] / ps[i]))) - 0.3 * ln(s1[3]), 6)::DOUBLE AS loss FROM p"""
+)
+def distillation_loss(spark, sf_dir):
+    """A teacher's and a student's scores of eight passages."""
+    of = lambda lo: F.slice(F.col("embedding").cast("array<double>"), lo, 8)
+    return load(spark, sf_dir, "embeddings").select("vec_id", F.round(E.distillation_loss(of(1), of(9), 2.0, 0.7, F.lit(2)), 6).alias("loss"))
+
+
+@query("SELECT conv_id * 100 + turn AS sid, round(-(0.9 * ln(p) + 0.1 / 4 * (ln(p) + 3 * ln((1 - p) / 3))), 6) AS loss FROM (SELECT conv_id, turn, 0.5 + 0.4 * (turn % 5) / 5 AS p FROM conversations)")
+def smoothed_loss(spark, sf_dir):
+    p = 0.5 + 0.4 * (F.col("turn") % 5) / 5
+    logs = F.array(F.log(p), *[F.log((1 - p) / 3)] * 3)
+    return load(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("sid"), F.round(E.smoothed_loss(logs, F.lit(0), 0.1), 6).alias("loss"))
