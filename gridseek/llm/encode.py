@@ -24,10 +24,7 @@ class Encoder:
     library, and so are texts with special strings, rarer scripts or very long runs of white space."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library, self.ranks = Tokenizer.from_file(path), None
+        self.path, self.ranks, self._library = path, None, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = {x["content"] for x in spec.get("added_tokens", [])}
@@ -42,6 +39,16 @@ class Encoder:
 
         self.ranks = tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks={bytes(letters[c] for c in k): v for k, v in vocab.items()}, special_tokens={})
 
+    @property
+    def library(self):
+        """The library's own tokenizer, loaded for the first text that needs it."""
+        if self._library is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def __call__(self, text: str) -> np.ndarray:
         if self.ranks is None or not _PLAIN.fullmatch(text) or any(s in text for s in self.special) or len(text) > LONG_RUN and _LONG_WHITE.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)

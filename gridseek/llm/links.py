@@ -6,13 +6,13 @@ key, passes on the nodes of the keys that a second node has. Buckets with the sa
 
 Every two members of a bucket are compared unless links already join them, so no link is lost that shares
 a key; but no pair is listed. A bucket within BLOCK_ROWS members and BLOCK_CHARS of content is one cell: a
-task holds it, counts what its members share and puts out the links of a spanning forest. A larger one is
+task holds it, counts what its members share and merges those that are linked. A larger one is
 held against one leader first, the member of the fullest buckets, a cell for each block. What that doesn't
 join to the bucket's largest class, its outsiders, meets all members, in cells of a block of outsiders and
 a block of members. A block is chosen by hash, so that no bucket is ever gathered or sorted as a whole.
 
-Classes come from the links by hash-to-minimum with pointer jumping, each task having first merged its own
-links. A join by a key that may be hot (a bucket, a label) broadcasts what belongs to the keys of more than
+A task puts out a star for each component of its own. Classes come from the stars by hash-to-minimum with
+pointer jumping. A join by a key that may be hot (a bucket, a label) broadcasts what belongs to the keys of more than
 a thousandth of all rows, of which there are a thousand at most, and is shuffled for the others.
 """
 
@@ -221,14 +221,13 @@ class _Group:
         return out
 
 
-def group_links(cells: list[tuple[list[int], list[int]]], elements: list[np.ndarray], measure: Measure) -> list[tuple[int, int]]:
-    """Spanning forests of the links of some cells (sides and nodes of their members, whose elements follow one another).
+def link_group(cells: list[tuple[list[int], list[int]]], elements: list[np.ndarray], measure: Measure, forest: _Forest) -> None:
+    """Join in `forest` what the links of some cells join (sides and nodes of their members, whose elements follow one another).
 
     A cell's links are those among its members of side 0 if there are no others, else those between side 0 and side 1."""
     todo: list[tuple[np.ndarray, np.ndarray]] = []
-    out: list[tuple[int, int]] = []
     node = [n for _, nodes in cells for n in nodes]
-    group, forest = _Group(node, elements), _Forest(node)
+    group = _Group(node, elements)
     at = 0
     for sides, nodes in cells:
         if 1 in sides:
@@ -250,10 +249,10 @@ def group_links(cells: list[tuple[list[int], list[int]]], elements: list[np.ndar
             i, j = np.nonzero((both >= measure.threshold * union) & (union > 0))
             if columns is rows:
                 i, j = i[i < j], j[i < j]
-            out += forest.grow(rows[i] + at, columns[j] + at, lambda x, y: measure.linked is None or measure.linked(elements[x], elements[y]))
+            forest.grow(node, rows[i] + at, columns[j] + at, lambda x, y: measure.linked is None or measure.linked(elements[x], elements[y]))
         at += len(nodes)
     if not todo:
-        return out
+        return
     i, j = (np.concatenate([x[k] for x in todo]) for k in (0, 1))
     most = group.most(i, j)
     size, least = group.size, group.least
@@ -264,8 +263,7 @@ def group_links(cells: list[tuple[list[int], list[int]]], elements: list[np.ndar
     i, j = i[good], j[good]
     for k in np.flatnonzero(np.diff(kept)).tolist():
         cell = slice(int(kept[k]), int(kept[k + 1]))
-        out += forest.grow(i[cell], j[cell], lambda x, y: group.alike(x, y, measure.threshold) and (measure.linked is None or measure.linked(elements[x], elements[y])))
-    return out
+        forest.grow(node, i[cell], j[cell], lambda x, y: group.alike(x, y, measure.threshold) and (measure.linked is None or measure.linked(elements[x], elements[y])))
 
 
 #: All pairs of so many members.
@@ -273,10 +271,10 @@ _PAIRS = [np.triu_indices(n, 1) for n in range(int(FEW_PAIRS**0.5) + 1)]
 
 
 class _Forest:
-    """Union-find over the nodes of a group of cells: what one cell has linked no other asks again."""
+    """Union-find over the nodes of a task: what one cell has linked no other asks again."""
 
-    def __init__(self, nodes: list[int]):
-        self.nodes, self.parent = nodes, {}
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
 
     def find(self, n: int) -> int:
         parent = self.parent
@@ -284,11 +282,10 @@ class _Forest:
             parent[n] = n = parent.get(up, up)
         return n
 
-    def grow(self, i: np.ndarray, j: np.ndarray, linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
-        """Of the pairs (i, j) of members those that join two components and are `linked`.
+    def grow(self, nodes: list[int], i: np.ndarray, j: np.ndarray, linked: Callable[[int, int], bool]) -> None:
+        """Join those of the pairs (i, j) of members of two components that are `linked`.
 
         The member of most pairs is held against the others first, then only pairs of two components are left."""
-        out = []
         while len(i):
             now, rest = np.ones(len(i), bool), None
             if len(i) > 4:
@@ -296,39 +293,36 @@ class _Forest:
                 now = (i == hub) | (j == hub)
                 rest = ~now
             for x, y in zip(i[now].tolist(), j[now].tolist(), strict=True):
-                a, b = self.find(self.nodes[x]), self.find(self.nodes[y])
+                a, b = self.find(nodes[x]), self.find(nodes[y])
                 if a != b and linked(x, y):
                     self.parent[max(a, b)] = min(a, b)
-                    out.append((self.nodes[x], self.nodes[y]))
             if rest is None:
                 break
             i, j = i[rest], j[rest]
             if len(i):
                 low = min(i.min(), j.min())
-                root = np.array([self.find(self.nodes[x]) for x in range(low, max(i.max(), j.max()) + 1)])
+                root = np.array([self.find(nodes[x]) for x in range(low, max(i.max(), j.max()) + 1)])
                 apart = root[i - low] != root[j - low]
                 i, j = i[apart], j[apart]
-        return out
 
 
 def settled(cells: DataFrame, content: DataFrame, measure: Measure) -> DataFrame:
-    """(a, b): links of cells (key, lo, hi, side, n; `near`, cells of one value are settled together) on content (n, content)."""
+    """(a, b): a star for each component that a task finds by the links of cells (key, lo, hi, side, n; `near`, cells of one value are settled together) on content (n, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: list[tuple[list, list, list]] = []  # whole cells and the one that is being read
         now, chars = None, 0
 
-        def close(some: list) -> Iterator[pa.RecordBatch]:
-            found = group_links([(sides, nodes) for sides, nodes, _ in some], measure.elements([x for _, _, texts in some for x in texts]), measure)
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        forest = _Forest()
+
+        def close(some: list) -> None:
+            link_group([(sides, nodes) for sides, nodes, _ in some], measure.elements([x for _, _, texts in some for x in texts]), measure, forest)
 
         for batch in slices(batches):
             for _, key, lo, hi, side, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, lo, hi) != now:
                     if chars > GROUP_CHARS:
-                        yield from close(groups)
+                        close(groups)
                         groups, chars = [], 0
                     now = key, lo, hi
                     groups.append(([], [], []))
@@ -336,7 +330,9 @@ def settled(cells: DataFrame, content: DataFrame, measure: Measure) -> DataFrame
                     values.append(value)
                 chars += len(text)
         if groups:
-            yield from close(groups)
+            close(groups)
+        if forest.parent:
+            yield pa.RecordBatch.from_arrays([pa.array([forest.find(n) for n in forest.parent], pa.int64()), pa.array(list(forest.parent), pa.int64())], names=["a", "b"])
 
     full = cells.join(content, "n").select("near", "key", "lo", "hi", "side", "n", "content")
     return full.repartition("near").sortWithinPartitions("near", "key", "lo", "hi").mapInArrow(run, "a long, b long")
@@ -401,33 +397,9 @@ def classes(strings: DataFrame, contents: Callable[[DataFrame], DataFrame], meas
 # ---- classes
 
 
-def _merged_by_task(edges: DataFrame) -> DataFrame:
-    """The same components by fewer edges: each task's links as (least node, node), a star for each of its components."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (c.to_numpy() for c in batch.columns)
-            nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-            a, b = place[: len(a)], place[len(a) :]
-            low = np.arange(len(nodes))
-            while True:
-                was = low.copy()
-                least = np.minimum(low[a], low[b])
-                np.minimum.at(low, a, least)
-                np.minimum.at(low, b, least)
-                low = low[low]
-                if (low == was).all():
-                    break
-            some = np.flatnonzero(low != np.arange(len(nodes)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[low[some]]), pa.array(nodes[some])], names=["a", "b"])
-
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(n, label) for the nodes of edges (a, b): the least node of each connected component."""
-    star = _merged_by_task(edges)
-    both = stored(star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     degree = stored(both.groupBy("b").agg(F.count("*").alias("size")))
     labels = stored(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
