@@ -1,35 +1,73 @@
-"""python -m gridseek index|ask|train: the entries from the command line."""
+"""python -m gridseek import|triples|index|retrieve|ask|train|test: the entries from the command line."""
 
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from gridseek.config import Config
+from gridseek.operators.triples import STRATEGIES
 from gridseek.plans import pipeline
 from gridseek.session import get_session
+from gridseek.sources import sinks
 
 
-def main() -> None:
+def arguments(given: list[str] | None = None) -> argparse.Namespace:
     top = argparse.ArgumentParser(prog="gridseek")
     sub = top.add_subparsers(dest="entry", required=True)
-    for name in ("index", "ask", "train"):
-        p = sub.add_parser(name)
+    for name, what in (
+        ("import", "CSV files to tables"),
+        ("triples", "tables to passages"),
+        ("index", "CSV files to an index, or one step of it"),
+        ("retrieve", "passages for each question of a JSON-lines file (qid, question)"),
+        ("ask", "the tables that answer a question"),
+        ("train", "questions and their tables, sampled from the tables"),
+        ("test", "precision on a JSON-lines file of questions (qid, question, table_id_lst)"),
+    ):
+        p = sub.add_parser(name, help=what)
         p.add_argument("--work", required=True)
         p.add_argument("--config")
-    sub.choices["index"].add_argument("--tables", required=True, help="folder of CSV files")
-    sub.choices["index"].add_argument("--again", action="store_true")
+        p.add_argument("--strategy", choices=sorted(STRATEGIES))
+        p.add_argument("--again", action="store_true", help="repeat finished stages")
+    for name in ("import", "index"):
+        sub.choices[name].add_argument("--tables", required=name == "import", help="folder of CSV files")
+    sub.choices["index"].add_argument("--step", choices=pipeline.STEPS)
     sub.choices["ask"].add_argument("question")
-    sub.choices["train"].add_argument("--draws", type=int, default=1500)
-    args = top.parse_args()
+    sub.choices["ask"].add_argument("--html", help="a folder for the answer as HTML")
+    sub.choices["train"].add_argument("--questions", type=int, help="how many different ones; by default the configuration's train_incr_size")
+    for name in ("retrieve", "test"):
+        sub.choices[name].add_argument("--questions", required=True)
+        sub.choices[name].add_argument("--out", required=True)
+    return top.parse_args(given)
+
+
+def main(given: list[str] | None = None) -> None:
+    args = arguments(given)
     config = Config.read(args.config) if args.config else Config()
+    if args.strategy:
+        config = replace(config, strategy=args.strategy)
     spark = get_session()
-    if args.entry == "index":
-        pipeline.index_collection(spark, args.tables, args.work, config, args.again)
+    if args.entry == "import":
+        pipeline.import_tables(spark, args.tables, args.work, args.again)
+    elif args.entry == "triples":
+        pipeline.make_passages(spark, args.work, config.strategy, args.again)
+    elif args.entry == "index":
+        pipeline.index_collection(spark, args.tables, args.work, config, args.again, step=args.step)
+    elif args.entry == "retrieve":
+        q = spark.read.json(args.questions)
+        pipeline.retrieve(spark, args.work, q, config).write.mode("overwrite").json(args.out)
     elif args.entry == "ask":
         q = spark.createDataFrame([("0", args.question)], "qid string, question string")
-        pipeline.with_rows(pipeline.answer(spark, args.work, q, config), spark.read.parquet(f"{args.work}/rows")).orderBy("place").show(config.top_tables, truncate=80)
+        shown = pipeline.with_rows(pipeline.answer(spark, args.work, q, config), spark.read.parquet(f"{args.work}/rows")).orderBy("place")
+        if args.html:
+            shown.select(sinks.html_page(shown["place"], shown["title"], shown["names"], shown["rows"])).coalesce(1).write.mode("overwrite").text(args.html)
+        shown.show(config.top_tables, truncate=80)
+    elif args.entry == "test":
+        top, precision = pipeline.test_questions(spark, args.work, spark.read.json(args.questions), config)
+        top.write.mode("overwrite").json(args.out)
+        precision.orderBy("k").show()
     else:
-        asked, truth = pipeline.training_questions(spark.read.parquet(f"{args.work}/rows"), args.draws)
+        asked, truth = pipeline.training_rounds(spark.read.parquet(f"{args.work}/rows"), args.questions or config.train_incr_size)
         asked.write.mode("overwrite").json(f"{args.work}/questions")
         truth.write.mode("overwrite").json(f"{args.work}/truth")
 

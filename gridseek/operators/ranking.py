@@ -116,6 +116,18 @@ def one_positive(split: DataFrame, k: int) -> DataFrame:
     return split.select("qid", F.get("pos", F.lit(0)).alias("pos"), F.slice("neg", 1, k).alias("neg"))
 
 
+def sampled_negatives(split: DataFrame, k: int, seed: str = "neg") -> DataFrame:
+    """The first positive and k negatives drawn by md5 of seed, question and passage."""
+    keyed = F.transform("neg", lambda p: F.struct(F.md5(F.concat_ws("/", F.lit(seed), F.col("qid").cast("string"), p.cast("string"))).alias("k"), p.alias("p")))
+    drawn = F.transform(F.slice(F.array_sort(keyed), 1, k), lambda x: x["p"])
+    return split.select("qid", F.get("pos", F.lit(0)).alias("pos"), drawn.alias("neg"))
+
+
+def coreset(questions: DataFrame, worth: Column, n: int) -> DataFrame:
+    """The n questions of most worth, a hook for choosing what to train on; ties go to the smaller qid."""
+    return questions.orderBy(F.desc(worth), "qid").limit(n)
+
+
 def patience(history: DataFrame) -> DataFrame:
     """(step, metric, best, waited): steps since the last improvement. history: run, step, metric."""
     so_far = Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)

@@ -196,11 +196,20 @@ def template_fanout(templates: DataFrame, rows: DataFrame) -> DataFrame:
     return full.select("table_id", "row", "sub_col", "obj_col", F.replace(F.replace("template", F.lit("[S]"), sub), F.lit("[O]"), obj).alias("passage"))
 
 
-#: Passage strategies by name: ROWS -> passages.
+#: Passage strategies by name: ROWS -> passages, and the column that orders the passages of a row.
 STRATEGIES = {
-    "RelationGraph": relation_triples,
-    "CompleteGraph": lambda rows: graph_passages(complete_graph(rows)),
-    "GraphNoCaption": lambda rows: graph_passages(complete_graph(rows, with_title=False)),
-    "slide": sliding_passages,
-    "row": row_passages,
+    "RelationGraph": (relation_triples, None),
+    "TextTag": (lambda rows: relation_triples(rows, style="tagged"), None),
+    "CompleteGraph": (lambda rows: graph_passages(complete_graph(rows)), "nth"),
+    "GraphNoCaption": (lambda rows: graph_passages(complete_graph(rows, with_title=False)), "nth"),
+    "slide": (sliding_passages, "cols"),
+    "row": (lambda rows: row_passages(rows).drop("p_id"), "row"),
 }
+
+
+def passages(rows: DataFrame, strategy: str = "RelationGraph") -> DataFrame:
+    """The passages of a strategy with dense ids from 1: p_id, passage, table_id, row and what else the strategy says of them."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no passage strategy {strategy}; there are {', '.join(STRATEGIES)}")
+    made, order = STRATEGIES[strategy]
+    return with_passage_ids(made(rows)) if order is None else dense_ids(made(rows), list(dict.fromkeys(["table_id", "row", order])), "p_id")

@@ -8,31 +8,61 @@ from pyspark.sql import functions as F
 from gridseek.config import Config, Stages
 from gridseek.functions import text as T
 from gridseek.operators import gold, metrics, profile, ranking, retrieval, sqlgen
-from gridseek.operators.triples import relation_triples, with_passage_ids
+from gridseek.operators.triples import passages as passages_of
 from gridseek.sources import sinks, tables
 
 
-def index_collection(spark: SparkSession, root: str, work: str, config: Config = Config(), again: bool = False, encoder=retrieval.hashing_encoder) -> None:
-    """CSV files -> rows -> passages -> embeddings -> lists, each a table in the working folder; finished stages are kept."""
+def import_tables(spark: SparkSession, root: str, work: str, again: bool = False) -> None:
+    """CSV files -> rows, and the tables as JSON lines."""
     stages = Stages(work)
     stages.run("rows", lambda: tables.read_csv_tables(spark, root).write.mode("overwrite").parquet(f"{work}/rows"), again)
+    stages.run("tables", lambda: sinks.write_tables(spark.read.parquet(f"{work}/rows"), f"{work}/tables"), again)
 
-    def passages() -> None:
-        with_passage_ids(relation_triples(spark.read.parquet(f"{work}/rows"))).write.mode("overwrite").parquet(f"{work}/passages")
 
+def make_passages(spark: SparkSession, work: str, strategy: str = "RelationGraph", again: bool = False) -> None:
+    """rows -> passages of a strategy. Rows are narrow work: chunks of a table need no stage of their own."""
+    Stages(work).run(f"passages/{strategy}", lambda: passages_of(spark.read.parquet(f"{work}/rows"), strategy).write.mode("overwrite").parquet(f"{work}/passages"), again)
+
+
+def embed_passages(spark: SparkSession, work: str, again: bool = False, encoder=retrieval.hashing_encoder) -> None:
     def embeddings() -> None:
         p = spark.read.parquet(f"{work}/passages")
         sinks.write_checked(p.select("p_id", "table_id", encoder(F.col("passage")).alias("embedding")), f"{work}/embeddings")
 
+    Stages(work).run("embeddings", embeddings, again)
+
+
+def index_embeddings(spark: SparkSession, work: str, again: bool = False) -> None:
+    """embeddings -> lists; from a million vectors on with product codes beside them."""
+
     def lists() -> None:
         e = spark.read.parquet(f"{work}/embeddings")
         options = retrieval.index_options(e.count())
-        centroids = retrieval.coarse_centroids(e, options["lists"], options["train"])
-        centroids.write.mode("overwrite").parquet(f"{work}/centroids")
+        retrieval.coarse_centroids(e, options["lists"], options["train"]).write.mode("overwrite").parquet(f"{work}/centroids")
+        if options["codes"]:
+            dim = len(e.first()["embedding"])
+            parts = max(p for p in range(1, min(options["codes"], dim) + 1) if dim % p == 0)
+            e, books = retrieval.product_codes(e, dim, parts)
+            books.write.mode("overwrite").parquet(f"{work}/codebooks")
         retrieval.write_lists(retrieval.assign_lists(e, spark.read.parquet(f"{work}/centroids")), f"{work}/lists")
 
-    for name, work_ in (("passages", passages), ("embeddings", embeddings), ("lists", lists)):
-        stages.run(name, work_, again)
+    Stages(work).run("lists", lists, again)
+
+
+#: The steps of indexing by name.
+STEPS = ("import", "passages", "embeddings", "lists")
+
+
+def index_collection(spark: SparkSession, root: str, work: str, config: Config = Config(), again: bool = False, encoder=retrieval.hashing_encoder, step: str | None = None) -> None:
+    """CSV files -> rows -> passages -> embeddings -> lists, each a table in the working folder; finished stages are kept. step: only this one."""
+    run = {
+        "import": lambda: import_tables(spark, root, work, again),
+        "passages": lambda: make_passages(spark, work, config.strategy, again),
+        "embeddings": lambda: embed_passages(spark, work, again, encoder),
+        "lists": lambda: index_embeddings(spark, work, again),
+    }
+    for name in STEPS if step is None else (step,):
+        run[name]()
 
 
 def retrieve(spark: SparkSession, work: str, questions: DataFrame, config: Config = Config(), encoder=retrieval.hashing_encoder) -> DataFrame:
@@ -66,6 +96,27 @@ def evaluate(top: DataFrame, truth: DataFrame) -> DataFrame:
     return metrics.precision_at(hits, (1, 5))
 
 
+def test_questions(spark: SparkSession, work: str, questions: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
+    """The answers to questions (qid, question, table_id_lst) and their precision at 1 and 5."""
+    top = answer(spark, work, questions.select("qid", "question"), config)
+    return top, evaluate(top, questions.select("qid", F.explode("table_id_lst").alias("table_id")))
+
+
+def training_rounds(rows: DataFrame, wanted: int, history: DataFrame | None = None, seed: str = "train", most_rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+    """training_questions until there are `wanted` queries of different texts, none of history (key): rounds of draws, each without what the ones before gave."""
+    found, known = None, history
+    for k in range(most_rounds):
+        have = 0 if found is None else found.count()
+        if have >= wanted:
+            break
+        asked, truth = training_questions(rows, 2 * (wanted - have) + 16, known, f"{seed}-{k}")
+        asked, truth = asked.withColumn("qid", F.concat(F.lit(f"{k}-"), "qid")), truth.withColumn("qid", F.concat(F.lit(f"{k}-"), "qid"))
+        found, gold_ = (asked, truth) if found is None else (found.union(asked), gold_.union(truth))
+        known = asked.select("key") if known is None else known.select("key").union(asked.select("key"))
+    first = found.orderBy("qid").limit(wanted)
+    return first, gold_.join(first.select("qid"), "qid", "left_semi")
+
+
 def training_questions(rows: DataFrame, draws: int, history: DataFrame | None = None, seed: str = "train") -> tuple[DataFrame, DataFrame]:
     """(questions: qid, question, key; truth: qid, table_id) sampled from the tables; history has the keys of earlier rounds."""
     head = rows.groupBy("table_id").agg(F.first("names").alias("names")).select("table_id", F.posexplode("names").alias("col", "col_name"))

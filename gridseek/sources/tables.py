@@ -118,6 +118,27 @@ def read_tsv(spark: SparkSession, path: str, ids: DataFrame | None = None, key:
     return out if ids is None else out.join(ids.select(key), key, "left_semi")
 
 
+def read_wiki_passages(spark: SparkSession, path: str) -> DataFrame:
+    """(p_id, title, passage) of a TSV file of passages: id, text, title; a text may be quoted, with quotes doubled."""
+    raw = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True)
+    return raw.select(F.col("id").cast("long").alias("p_id"), F.col("title"), F.col("text").alias("passage"))
+
+
+def numbered_lines(spark: SparkSession, path: str, name: str = "text") -> DataFrame:
+    """(line, text): the lines of a text file from 0, by the position of their block in the file and their place in it."""
+    read = spark.read.text(path).select(F.col("value").alias(name), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    first = read.groupBy("_f", "_b").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))  # a row for each block
+    offset = first.select(F.col("_f"), F.col("_b"), "_first", (F.sum("_n").over(Window.orderBy("_f", "_b")) - F.col("_n")).alias("_o"))
+    return read.join(F.broadcast(offset), ["_f", "_b"]).select((F.col("_o") + F.col("_i") - F.col("_first")).alias("line"), name)
+
+
+def zipped_lines(spark: SparkSession, meta: str, questions: str) -> DataFrame:
+    """(line, meta, question) of two files whose lines belong together by position; unequal lengths are an error."""
+    a, b = numbered_lines(spark, meta, "meta"), numbered_lines(spark, questions, "question")
+    both = a.join(b, "line", "full")
+    return both.select("line", *(F.coalesce(c, F.raise_error(F.lit(f"no {c} for a line"))).alias(c) for c in ("meta", "question")))
+
+
 def relevance_lists(judged: DataFrame) -> DataFrame:
     """(qid, gold): the tables judged 1; a question without any keeps an empty list. judged: qid, table_id, label."""
     return judged.groupBy("qid").agg(F.array_sort(F.collect_list(F.when(F.col("label") == 1, F.col("table_id")))).alias("gold"))
