@@ -8,9 +8,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfd(texts: pd.Series) -> pd.Series:
     """Canonical decomposition."""
     return texts.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
@@ -33,7 +34,7 @@ def pieces_of(word: str, vocabulary: frozenset[str], longest: int = 100) -> list
 def word_pieces(text: Column, vocabulary: frozenset[str]) -> Column:
     """Tokens by a given vocabulary: lower case without accents, punctuation apart, then pieces."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def run(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> list[str]:
             plain = "".join(c for c in unicodedata.normalize("NFD", (t or "").lower()) if unicodedata.category(c) != "Mn")
@@ -59,7 +60,7 @@ def template_of(sentence: str, entities: list[tuple[str, str]], least: float = 0
     return sentence
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def templates(sentences: pd.Series, tags: pd.Series, entities: pd.Series) -> pd.Series:
     return pd.Series([template_of(s, list(zip(t, e, strict=True))) for s, t, e in zip(sentences, tags, entities, strict=True)])
 
@@ -74,7 +75,7 @@ def common_length(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     """F1 of the longest common subsequence of words."""
 

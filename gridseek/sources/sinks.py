@@ -58,7 +58,7 @@ def write_checked(df: DataFrame, path: str) -> int:
 def write_predictions(retr: DataFrame, questions: DataFrame, path: str) -> None:
     """JSON lines with parallel arrays in the order of score."""
     nested = retr.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "p_id", "passage", "table_id", "score"))).alias("c"))
-    arrays = [F.transform("c", lambda x, n=n: x[n]).alias(m) for n, m in (("p_id", "p_id_lst"), ("passage", "passages"), ("table_id", "tags"), ("score", "scores"))]
+    arrays = [F.col(f"c.{n}").alias(m) for n, m in (("p_id", "p_id_lst"), ("passage", "passages"), ("table_id", "tags"), ("score", "scores"))]
     questions.join(nested, "qid").select("qid", "question", "table_id_lst", *arrays).write.mode("overwrite").json(path)
 
 
