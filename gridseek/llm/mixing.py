@@ -12,8 +12,9 @@ fixed point is target = min(weight * level, most * words), and the level is foun
 sources in order of most * words / weight.
 
 Cases: null text has size 0; null sources are one source, the last; null doc_ids hash like a value; equal
-rows share a hash and stay together; a source without words has target 0; an empty table gives none.
-Extra columns are ignored by `mix_plan` and kept by `mix`. All plain DataFrame operations.
+rows share a hash and stay together; a source without words has target 0; texts of any length are only
+counted; an empty table gives none. Extra columns, of any name, are ignored by `mix_plan` and kept by `mix`.
+The windows over sources hold a row a source in one task. All plain DataFrame operations.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ step have the same length and nearly the same work. Windows that don't fill a gr
 a partition has at most one short group a tier.
 
 Cases: null and empty texts are their end token alone; null or repeated doc_ids are rows like others; a
-very long text is cut into as many windows as it needs; an empty table gives no windows.
+very long text is cut into as many windows as it needs; an empty table gives no windows; extra columns, of
+any name, are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ a trainer may learn from: what an assistant says there, with its end mark. The r
 
 Cases: null text and null role are empty; turns tie by role and text; repeated turns stay; a side without
 turns, or equal to the other, gives an empty completion without spans; a null pair is a pair of its own.
-A conversation is one row, as a document is one. DataFrame operations only.
+Turns without a conversation (null key) are one conversation. A conversation is one row, as a document is
+one, however long its texts. An empty table gives no rows. Extra columns of pairs stay; one that is named
+like a column of the result is replaced by it. DataFrame operations only.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ finds those that occur again. What counts is not how many n-grams repeat but how
 the parts they cover. One narrow pass, no shuffle.
 
 Cases: null text counts as empty (no words, so `base_failed`); a null or repeated doc_id is a row like
-any other; other columns are ignored by `quality_report` and kept by `quality_filter`; an empty table
-gives an empty result. Equal hashes of different n-grams are as likely as 2^-64 for a pair in a text.
+any other; other columns, of any name, are ignored by `quality_report` and kept by `quality_filter`; a very
+long text is a block of its own and takes some 100 bytes a word; an empty table gives an empty result.
+Equal hashes of different n-grams are as likely as 2^-64 for a pair in a text.
 """
 
 from __future__ import annotations

@@ -91,6 +91,45 @@ def test_quality(spark, docs, corpus):
     assert quality.quality_report(empty(spark)).count() == 0
 
 
+def plain_coverage(text, limits):
+    """Characters of repeated lines, and of the words in repeated n-grams, by n; and the verdict."""
+    text = text or ""
+    w = words(text)
+    seen, dup_lines, line_chars, n_lines = set(), 0, 0, 0
+    for line in text.split("\n"):
+        if words(line):
+            n_lines += 1
+            if line in seen:
+                dup_lines, line_chars = dup_lines + 1, line_chars + sum(map(len, words(line)))
+            seen.add(line)
+    covered = []
+    for n in limits.ngram_chars:
+        grams = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+        often = collections.Counter(grams)
+        inside = {j for i, g in enumerate(grams) if often[g] > 1 for j in range(i, i + n)}
+        covered.append(sum(len(w[j]) for j in inside))
+    total, three = sum(map(len, w)), collections.Counter(zip(w, w[1:], w[2:]))
+    repeat = {j for i, g in enumerate(zip(w, w[1:], w[2:])) if three[g] > 1 for j in range(i, i + 3)}
+    bad = len(w) < 50 or 100 * len(repeat) > 50 * len(w) or 100 * dup_lines > limits.lines * n_lines or 100 * line_chars > limits.line_chars * total
+    bad = bad or 100 * sum(text.count(c) for c in "#*$%&|<>") > limits.symbols * len(w)
+    return line_chars, tuple(covered), not (bad or any(100 * c > m * total for c, m in zip(covered, limits.ngram_chars.values(), strict=True)))
+
+
+def test_repetition_coverage(spark, corpus):
+    rng = random.Random(31)
+    rows = [(i, r[1]) for i, r in enumerate(corpus)]
+    for i in range(60):
+        text = prose(rng, 80).split()
+        for _ in range(i % 6):
+            at, n = rng.randrange(60), rng.choice([4, 5, 6, 9, 11])
+            text[rng.randrange(len(text)) : 0] = text[at : at + n]
+        rows.append((1000 + i, " ".join(text) + "\nthe same line\n" * (i % 5)))
+    limits = quality.Limits()
+    got = {r.doc_id: (r.dup_line_chars, tuple(r.dup_ngram_chars), r.kept) for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: plain_coverage(t, limits) for i, t in rows}
+    assert 5 < sum(k for *_, k in got.values()) < len(got) - 5
+
+
 # ---- op 9
 
 
@@ -493,6 +532,9 @@ def test_lines_at_the_threshold_share_a_band():
 
 def test_line_dedup_odd_rows(spark, docs, corpus):
     assert linededup.line_report(docs).count() == len(corpus)
+    own = [r for r in corpus if not (r[1] or "").startswith("another text of the same id")]  # rows that tie in doc_id only by being equal
+    got = linededup.line_report(spark.createDataFrame(own, SCHEMA).repartition(3)).collect()
+    assert collections.Counter((r.doc_id, r.kept_text) for r in got) == plain_lines([(r[0], r[1]) for r in own])
     out = linededup.drop_repeated_lines(docs)
     assert out.columns == docs.columns and out.count() <= len(corpus)
     assert linededup.line_report(empty(spark)).count() == 0
@@ -536,6 +578,12 @@ def test_mixing(spark, docs, corpus):
     assert mixing.mix_plan(empty(spark)).count() == 0 and taken is not None
 
 
+def test_mixing_with_many_sources(spark, docs, monkeypatch):
+    want = sorted(map(repr, mixing.mix_plan(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", -1)
+    assert sorted(map(repr, mixing.mix_plan(docs).collect())) == want
+
+
 # ---- op 7
 
 
@@ -630,6 +678,16 @@ def test_preference_rows(spark):
     assert got[3].n_prompt_turns == 0 and got[3].rejected_text == "" and got[4].prompt == ""
 
 
+def test_preference_tables_without_rows_and_with_clashing_columns(spark):
+    turn = "array<struct<role:string,text:string>>"
+    none = spark.createDataFrame([], f"pair long, chosen {turn}, rejected {turn}")
+    assert preference.preference_rows(none).count() == 0
+    assert preference.preference_rows(preference.swapped_answers(spark.createDataFrame([], "conv_id long, turn long, role string, text string, key string, partner long"))).count() == 0
+    rows = [(1, "p", "c", 5, [("user", "x" * 2_000_000), ("assistant", "a")], [("user", "x" * 2_000_000), ("assistant", "b")])]
+    got = preference.preference_rows(spark.createDataFrame(rows, f"pair long, prompt string, chosen_text string, turns int, chosen {turn}, rejected {turn}")).first()
+    assert got.turns == 5 and got.prompt.count("x") == 2_000_000 and got.chosen_text == "<|assistant|>\na<|end|>\n" and got.pair == 1
+
+
 def test_conversations_with_odd_turns(spark):
     rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 1, "assistant", "a"), (1, 0, "user", None), (1, None, None, "z"), (3, 0, "assistant", "w"), (None, 0, "user", "n")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
