@@ -221,36 +221,34 @@ class _Group:
         return out
 
 
-def link_group(cells: list[tuple[list[int], list[int]]], elements: list[np.ndarray], measure: Measure, forest: _Forest) -> None:
-    """Join in `forest` what the links of some cells join (sides and nodes of their members, whose elements follow one another).
+def link_group(cells: list[tuple[list[int], list[int]]], nodes: list[int], elements: list[np.ndarray], measure: Measure, forest: _Forest) -> None:
+    """Join in `forest` what the links of some cells join: the sides and the places, in `nodes` and `elements`, of their members.
 
     A cell's links are those among its members of side 0 if there are no others, else those between side 0 and side 1."""
     todo: list[tuple[np.ndarray, np.ndarray]] = []
-    node = [n for _, nodes in cells for n in nodes]
-    group = _Group(node, elements)
-    at = 0
-    for sides, nodes in cells:
+    group = _Group(nodes, elements)
+    for sides, members in cells:
+        member = np.array(members)
         if 1 in sides:
             side = np.array(sides)
-            rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            rows, columns = member[side == 0], member[side == 1]
             few = len(rows) * len(columns) <= FEW_PAIRS
             i, j = np.repeat(rows, len(columns)), np.tile(columns, len(rows))
         else:
-            rows = columns = np.arange(len(nodes))
-            few = len(nodes) * len(nodes) <= FEW_PAIRS
-            i, j = _PAIRS[len(nodes)] if few else (rows, rows)
+            rows = columns = member
+            few = len(member) * len(member) <= FEW_PAIRS
+            i, j = (member[x] for x in _PAIRS[len(member)]) if few else (member, member)
         if few:
-            todo.append((i + at, j + at))
-        else:
-            left = [np.unique(elements[at + x]) for x in rows]
-            right = left if columns is rows else [np.unique(elements[at + x]) for x in columns]
-            both = overlaps(left, right).astype(np.float64)
-            union = np.fromiter(map(len, left), float, len(left))[:, None] + np.fromiter(map(len, right), float, len(right)) - both
-            i, j = np.nonzero((both >= measure.threshold * union) & (union > 0))
-            if columns is rows:
-                i, j = i[i < j], j[i < j]
-            forest.grow(node, rows[i] + at, columns[j] + at, lambda x, y: measure.linked is None or measure.linked(elements[x], elements[y]))
-        at += len(nodes)
+            todo.append((i, j))
+            continue
+        left = [np.unique(elements[x]) for x in rows]
+        right = left if columns is rows else [np.unique(elements[x]) for x in columns]
+        both = overlaps(left, right).astype(np.float64)
+        union = np.fromiter(map(len, left), float, len(left))[:, None] + np.fromiter(map(len, right), float, len(right)) - both
+        i, j = np.nonzero((both >= measure.threshold * union) & (union > 0))
+        if columns is rows:
+            i, j = i[i < j], j[i < j]
+        forest.grow(nodes, rows[i], columns[j], lambda x, y: measure.linked is None or measure.linked(elements[x], elements[y]))
     if not todo:
         return
     i, j = (np.concatenate([x[k] for x in todo]) for k in (0, 1))
@@ -263,7 +261,7 @@ def link_group(cells: list[tuple[list[int], list[int]]], elements: list[np.ndarr
     i, j = i[good], j[good]
     for k in np.flatnonzero(np.diff(kept)).tolist():
         cell = slice(int(kept[k]), int(kept[k + 1]))
-        forest.grow(node, i[cell], j[cell], lambda x, y: group.alike(x, y, measure.threshold) and (measure.linked is None or measure.linked(elements[x], elements[y])))
+        forest.grow(nodes, i[cell], j[cell], lambda x, y: group.alike(x, y, measure.threshold) and (measure.linked is None or measure.linked(elements[x], elements[y])))
 
 
 #: All pairs of so many members.
@@ -300,9 +298,9 @@ class _Forest:
                 break
             i, j = i[rest], j[rest]
             if len(i):
-                low = min(i.min(), j.min())
-                root = np.array([self.find(nodes[x]) for x in range(low, max(i.max(), j.max()) + 1)])
-                apart = root[i - low] != root[j - low]
+                members = np.unique(np.concatenate([i, j]))
+                root = np.array([self.find(nodes[x]) for x in members.tolist()])
+                apart = root[np.searchsorted(members, i)] != root[np.searchsorted(members, j)]
                 i, j = i[apart], j[apart]
 
 
@@ -310,32 +308,43 @@ def settled(cells: DataFrame, content: DataFrame, measure: Measure) -> DataFrame
     """(a, b): a star for each component that a task finds by the links of cells (key, lo, hi, side, n; `near`, cells of one value are settled together) on content (n, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: list[tuple[list, list, list]] = []  # whole cells and the one that is being read
-        now, chars = None, 0
-
         forest = _Forest()
+        nodes, texts, chars, now = [], [], 0, None
+        open_: dict[tuple[int, int, int], tuple[list[int], list[int]]] = {}
 
-        def close(some: list) -> None:
-            link_group([(sides, nodes) for sides, nodes, _ in some], measure.elements([x for _, _, texts in some for x in texts]), measure, forest)
+        def close() -> None:
+            link_group(list(open_.values()), nodes, measure.elements(texts), measure, forest)
+            for held in (nodes, texts, open_):
+                held.clear()
 
         for batch in slices(batches):
-            for _, key, lo, hi, side, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, lo, hi) != now:
+            near, node, text, lists = batch.columns
+            edges = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            flat = lists.flatten()
+            of = list(zip(*(flat.field(k).to_pylist() for k in range(3)), strict=True))
+            side = flat.field(3).to_pylist()
+            for group, n, content, lo, hi in zip(near.to_pylist(), node.to_pylist(), text.to_pylist(), edges[:-1], edges[1:], strict=True):
+                if group != now:
                     if chars > GROUP_CHARS:
-                        close(groups)
-                        groups, chars = [], 0
-                    now = key, lo, hi
-                    groups.append(([], [], []))
-                for values, value in zip(groups[-1], (side, n, text), strict=True):
-                    values.append(value)
-                chars += len(text)
-        if groups:
-            close(groups)
+                        close()
+                        chars = 0
+                    now = group
+                for k in range(lo, hi):
+                    sides, members = open_.setdefault(of[k], ([], []))
+                    sides.append(side[k])
+                    members.append(len(nodes))
+                nodes.append(n)
+                texts.append(content)
+                chars += len(content)
+        if nodes:
+            close()
         if forest.parent:
             yield pa.RecordBatch.from_arrays([pa.array([forest.find(n) for n in forest.parent], pa.int64()), pa.array(list(forest.parent), pa.int64())], names=["a", "b"])
 
-    full = cells.join(content, "n").select("near", "key", "lo", "hi", "side", "n", "content")
-    return full.repartition("near").sortWithinPartitions("near", "key", "lo", "hi").mapInArrow(run, "a long, b long")
+    # a node's content travels once for all its cells of one `near`
+    by_node = cells.groupBy("near", "n").agg(F.collect_list(F.struct("key", "lo", "hi", "side")).alias("cells"))
+    full = by_node.join(content, "n").select("near", "n", "content", "cells")
+    return full.repartition("near").sortWithinPartitions("near").mapInArrow(run, "a long, b long")
 
 
 def large_bucket_links(members: DataFrame, sizes: DataFrame, content: DataFrame, measure: Measure) -> DataFrame:
