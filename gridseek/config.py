@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 
 @dataclass(frozen=True)
 class Config:
@@ -29,18 +32,27 @@ class Config:
         return cls(**{k: v for k, v in given.items() if k in {f.name for f in fields(cls)}})
 
 
+#: Stages in order; a stage that is run again makes those behind it stale.
+ORDER = ("rows", "tables", "passages", "embeddings", "lists")
+
+
 class Stages:
-    """Which stages of a working folder are done; a finished stage is not run again unless asked."""
+    """Which stages of a working folder are done, by marker files beside the tables, wherever Spark keeps them.
 
-    def __init__(self, folder: str):
-        self.path = Path(folder) / "stages.json"
-        self.done: dict[str, bool] = json.loads(self.path.read_text()) if self.path.exists() else {}
+    A finished stage is not run again unless asked, or unless a stage before it was."""
 
-    def run(self, name: str, work, again: bool = False) -> None:
-        if again or not self.done.get(name):
-            work()
-            self.done[name] = True
-            self.path.parent.mkdir(parents=True, exist_ok=True)
-            self.path.write_text(json.dumps(self.done))
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
 
+    def _marker(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_done/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
+    def run(self, name: str, work: Callable[[], object], again: bool = False) -> None:
+        files, marker = self._marker(name)
+        if not again and files.exists(marker):
+            return
+        for later in ORDER[ORDER.index(name.split("/")[0]) :]:
+            files.delete(self._marker(later)[1], True)
+        work()
+        files.create(marker, True).close()

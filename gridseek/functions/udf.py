@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from gridseek.functions.text import token_size
+
 
 @F.pandas_udf(StringType())
 def nfd(texts: pd.Series) -> pd.Series:
@@ -31,21 +33,26 @@ def pieces_of(word: str, vocabulary: frozenset[str], longest: int = 100) -> list
     return out
 
 
-def word_pieces(text: Column, vocabulary: frozenset[str]) -> Column:
+def tokens_of(text: str | None, vocabulary: frozenset[str]) -> list[str]:
     """Tokens by a given vocabulary: lower case without accents, punctuation apart, then pieces."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", (text or "").lower()) if unicodedata.category(c) != "Mn")
+    apart = "".join(f" {c} " if unicodedata.category(c)[0] == "P" or c in "$+<=>^`|~" else c for c in plain)
+    return [p for w in apart.split() for p in pieces_of(w, vocabulary)]
 
+
+def word_pieces(text: Column, vocabulary: frozenset[str]) -> Column:
     @F.pandas_udf(ArrayType(StringType()))
     def run(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[str]:
-            plain = "".join(c for c in unicodedata.normalize("NFD", (t or "").lower()) if unicodedata.category(c) != "Mn")
-            apart = "".join(f" {c} " if unicodedata.category(c)[0] == "P" or c in "$+<=>^`|~" else c for c in plain)
-            return [p for w in apart.split() for p in pieces_of(w, vocabulary)]
-
-        return texts.map(one)
+        return texts.map(lambda t: tokens_of(t, vocabulary))
 
     return run(text)
 
 
+def size_in_tokens(text: Column, vocabulary: frozenset[str] | None = None) -> Column:
+    """What budgets of tokens count: pieces of a vocabulary, or without one words and single other characters."""
+    return token_size(text) if vocabulary is None else F.size(word_pieces(text, vocabulary))
+
+
 def template_of(sentence: str, entities: list[tuple[str, str]], least: float = 0.85) -> str:
     """Each entity's span replaced by its tag, the longest entity first; without an exact place, the window of as many words that is alike enough."""
     for tag, entity in sorted(entities, key=lambda e: -len(e[1])):

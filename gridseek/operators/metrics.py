@@ -59,8 +59,8 @@ def _gram_counts(texts: DataFrame, column: str, n: int, sep: str, keys: list[str
 def bleu4(pairs: DataFrame) -> DataFrame:
     """One row: bleu over all sentences. pairs: sid, hyp, refs (array of texts). Counts are clipped by the reference that
     has most; the reference length is the closest, the shorter of two."""
-    p = pairs.select("sid", T.words(F.col("hyp")).alias("h"), F.transform("refs", T.words).alias("rs")).persist()
-    refs = p.select("sid", F.posexplode("rs").alias("k", "r")).persist()
+    p = pairs.select("sid", T.words(F.col("hyp")).alias("h"), F.transform("refs", T.words).alias("rs"))
+    refs = p.select("sid", F.posexplode("rs").alias("k", "r"))
     stats = []
     for n in range(1, 5):
         hyp = _gram_counts(p, "h", n, " ", ["sid"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseek.functions import text as T
+from gridseek.functions.udf import size_in_tokens
 
 
 def column_types(columns: DataFrame, cells: DataFrame) -> DataFrame:
@@ -21,8 +22,9 @@ def fences(sizes: DataFrame, value: str = "size") -> DataFrame:
     return q.select(F.lit(1.0).alias("lo"), (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("hi"))
 
 
-def good_columns(columns: DataFrame, most: int = 20) -> DataFrame:
-    return columns.filter((F.col("col_name") != "") & (T.token_size(F.col("col_name")) <= most))
+def good_columns(columns: DataFrame, most: int = 20, vocabulary: frozenset[str] | None = None) -> DataFrame:
+    """Columns with a name of at most `most` tokens, pieces of a vocabulary if one is given."""
+    return columns.filter(F.col("col_name") != "").withColumn("_n", size_in_tokens(F.col("col_name"), vocabulary)).filter(F.col("_n") <= most).drop("_n")
 
 
 def complete_rows(rows: DataFrame, columns: list[int]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from gridseek.functions import text as T
+from gridseek.functions.udf import tokens_of
 from gridseek.sources.tables import dense_ids
 
 BUDGET, STRIDE = 150, 2
@@ -82,15 +85,11 @@ def pack_windows(sizes: list[int], budget: int = BUDGET, stride: int = STRIDE) -
     """Greedy windows [from, to) of at most `budget`, overlapping: the next starts `stride` on, but before the last end.
 
     A single size over the budget is an empty window."""
-    out, at = [], 0
-    while at < len(sizes):
-        room, to = budget, at
-        while to < len(sizes) and sizes[to] <= room:
-            room -= sizes[to]
-            to += 1
+    upto = [0, *accumulate(sizes)]
+    out, at, to = [], 0, -1
+    while at < len(sizes) and to < len(sizes):
+        to = max(at, bisect_right(upto, upto[at] + budget) - 1)
         out.append((at, to))
-        if to == len(sizes):
-            break
         at = max(at + 1, min(at + stride, to - 1))
     return out
 
@@ -106,11 +105,14 @@ def _by_row(fn: Callable[[dict], list[dict]], schema: str) -> tuple[Callable, st
     return run, schema
 
 
-def graph_passages(tuples: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Passages of at most `budget` words from the tuples of each row: (table_id, row, nth, passage)."""
+def graph_passages(tuples: DataFrame, budget: int = BUDGET, vocabulary: frozenset[str] | None = None) -> DataFrame:
+    """Passages of at most `budget` words, or pieces of a vocabulary, from the tuples of each row: (table_id, row, nth, passage)."""
+
+    def size(text: str) -> int:
+        return len(text.split()) if vocabulary is None else len(tokens_of(text, vocabulary))
 
     def fn(r: dict) -> list[dict]:
-        spans = pack_windows([len(t.split()) for t in r["tuples"]], budget)
+        spans = pack_windows([size(t) for t in r["tuples"]], budget)
         return [{"table_id": r["table_id"], "row": r["row"], "nth": k, "passage": "".join(r["tuples"][a:b])} for k, (a, b) in enumerate(spans)]
 
     run, kind = _by_row(fn, "table_id string, row int, nth int, passage string")
@@ -135,14 +137,14 @@ def slide_windows(sizes: list[int], budget: int = BUDGET) -> list[list[int]]:
     return out
 
 
-def sliding_passages(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(table_id, row, cols, passage) of consecutive cells of at most `budget` tokens."""
+def sliding_passages(rows: DataFrame, budget: int = BUDGET, vocabulary: frozenset[str] | None = None) -> DataFrame:
+    """(table_id, row, cols, passage) of consecutive cells of at most `budget` tokens, pieces of a vocabulary if one is given."""
     text = F.transform(F.arrays_zip("names", "vals"), lambda c: F.concat(F.when(c["names"] != "", F.concat(c["names"], F.lit("  "))).otherwise(""), T.strip(c["vals"]), F.lit("  ,  ")))
     item = F.transform(text, lambda t, i: F.struct(i.cast("int").alias("col"), t.alias("text"), T.token_size(t).alias("size"), ((F.get("names", i) == "") & (T.strip(F.get("vals", i)) == "")).alias("blank")))
     one = rows.select("table_id", "title", "row", F.filter(item, lambda x: ~x["blank"]).alias("items"))
 
     def fn(r: dict) -> list[dict]:
-        out = slide_windows([x["size"] for x in r["items"]], budget)
+        out = slide_windows([x["size"] if vocabulary is None else len(tokens_of(x["text"], vocabulary)) for x in r["items"]], budget)
         return [{"table_id": r["table_id"], "row": r["row"], "cols": [r["items"][i]["col"] for i in w], "passage": r["title"] + "  .  " + " ".join(r["items"][i]["text"] for i in w)} for w in out]
 
     run, kind = _by_row(fn, "table_id string, row int, cols array<int>, passage string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridseek.config import Config, Stages
-from gridseek.functions import text as T
+from gridseek.functions.udf import size_in_tokens
 from gridseek.operators import gold, metrics, profile, ranking, retrieval, sqlgen
 from gridseek.operators.triples import passages as passages_of
 from gridseek.sources import sinks, tables
@@ -14,14 +14,14 @@ from gridseek.sources import sinks, tables
 
 def import_tables(spark: SparkSession, root: str, work: str, again: bool = False) -> None:
     """CSV files -> rows, and the tables as JSON lines."""
-    stages = Stages(work)
+    stages = Stages(spark, work)
     stages.run("rows", lambda: tables.read_csv_tables(spark, root).write.mode("overwrite").parquet(f"{work}/rows"), again)
     stages.run("tables", lambda: sinks.write_tables(spark.read.parquet(f"{work}/rows"), f"{work}/tables"), again)
 
 
 def make_passages(spark: SparkSession, work: str, strategy: str = "RelationGraph", again: bool = False) -> None:
     """rows -> passages of a strategy. Rows are narrow work: chunks of a table need no stage of their own."""
-    Stages(work).run(f"passages/{strategy}", lambda: passages_of(spark.read.parquet(f"{work}/rows"), strategy).write.mode("overwrite").parquet(f"{work}/passages"), again)
+    Stages(spark, work).run(f"passages/{strategy}", lambda: passages_of(spark.read.parquet(f"{work}/rows"), strategy).write.mode("overwrite").parquet(f"{work}/passages"), again)
 
 
 def embed_passages(spark: SparkSession, work: str, again: bool = False, encoder=retrieval.hashing_encoder) -> None:
@@ -29,7 +29,7 @@ def embed_passages(spark: SparkSession, work: str, again: bool = False, encoder=
         p = spark.read.parquet(f"{work}/passages")
         sinks.write_checked(p.select("p_id", "table_id", encoder(F.col("passage")).alias("embedding")), f"{work}/embeddings")
 
-    Stages(work).run("embeddings", embeddings, again)
+    Stages(spark, work).run("embeddings", embeddings, again)
 
 
 def index_embeddings(spark: SparkSession, work: str, again: bool = False) -> None:
@@ -46,7 +46,7 @@ def index_embeddings(spark: SparkSession, work: str, again: bool = False) -> Non
             books.write.mode("overwrite").parquet(f"{work}/codebooks")
         retrieval.write_lists(retrieval.assign_lists(e, spark.read.parquet(f"{work}/centroids")), f"{work}/lists")
 
-    Stages(work).run("lists", lists, again)
+    Stages(spark, work).run("lists", lists, again)
 
 
 #: The steps of indexing by name.
@@ -121,7 +121,7 @@ def training_questions(rows: DataFrame, draws: int, history: DataFrame | None =
     """(questions: qid, question, key; truth: qid, table_id) sampled from the tables; history has the keys of earlier rounds."""
     head = rows.groupBy("table_id").agg(F.first("names").alias("names")).select("table_id", F.posexplode("names").alias("col", "col_name"))
     types = profile.column_types(profile.good_columns(head), tables.cells(rows))
-    hi = profile.fences(tables.cells(rows).select(T.token_size(F.col("value")).alias("size"))).first()["hi"]
+    hi = profile.fences(tables.cells(rows).select(size_in_tokens(F.col("value")).alias("size"))).first()["hi"]
     fresh = sqlgen.new_queries(sqlgen.sample_queries(rows, types, draws, seed, hi), history)
     asked = sqlgen.verbalised(fresh, rows).join(fresh.select("qid", "key"), "qid")
     return asked, gold.gold_tables(fresh, rows)

@@ -2,6 +2,7 @@
 
 import glob
 import json
+import random
 import re
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridseek.functions import text as T
 from gridseek.functions import udf as U
-from gridseek.operators import examples, metrics, ranking, retrieval, triples
+from gridseek.operators import examples, metrics, profile, ranking, retrieval, triples
 from gridseek.plans import pipeline
 from gridseek.sources import sinks, tables
 
@@ -42,6 +43,45 @@ def test_every_strategy_gives_dense_ids(city, strategy):
     assert sorted(r.p_id for r in got) == list(range(1, len(got) + 1)) and all(r.passage for r in got)
 
 
+def test_budgets_in_pieces_of_a_vocabulary(spark):
+    rows = spark.createDataFrame([("t", "T", 0, ["aa", "bb", "cc"], ["xyxy", "xy", "z"])], ROWS)
+    vocabulary = frozenset(["x", "##y", "##x", "z", "a", "##a", "b", "##b", "c", "##c", ","])
+    assert [r.cols for r in triples.sliding_passages(rows, 9).collect()] == [[0, 1, 2]]
+    assert [r.cols for r in triples.sliding_passages(rows, 9, vocabulary).collect()] == [[0], [1, 2]]
+    tuples = spark.createDataFrame([("t", 0, ["xyxy ", "xy ", "z "])], "table_id string, row int, tuples array<string>")
+    assert [r.passage for r in triples.graph_passages(tuples, 5, vocabulary).collect()] == ["xyxy ", "xy z "]
+    columns = spark.createDataFrame([("t", 0, "aa"), ("t", 1, "aabb cc"), ("t", 2, "")], "table_id string, col int, col_name string")
+    assert [r.col for r in profile.good_columns(columns, 2, vocabulary).collect()] == [0]
+
+
+def test_windows_are_the_greedy_ones():
+    rng = random.Random(3)
+    for _ in range(300):
+        sizes, budget, stride = [rng.randint(0, 9) for _ in range(rng.randint(0, 15))], rng.randint(1, 12), rng.randint(1, 4)
+        want, at = [], 0
+        while at < len(sizes):
+            to, load = at, 0
+            while to < len(sizes) and load + sizes[to] <= budget:
+                load, to = load + sizes[to], to + 1
+            want.append((at, to))
+            if to == len(sizes):
+                break
+            at = max(at + 1, min(at + stride, to - 1))
+        assert triples.pack_windows(sizes, budget, stride) == want
+
+
+def test_a_repeated_stage_makes_later_ones_stale(spark, tmp_path):
+    from gridseek.config import Stages
+
+    ran = []
+    for again in (False, False, True):
+        stages = Stages(spark, str(tmp_path))
+        stages.run("passages/row", lambda: ran.append("p"), again)
+        stages.run("embeddings", lambda: ran.append("e"))
+    Stages(spark, str(tmp_path)).run("passages/slide", lambda: ran.append("s"))
+    assert "".join(ran) == "pepes"
+
+
 def test_shuffled_parts_and_embeddings(spark, tmp_path):
     df = spark.range(25).select(F.col("id").alias("p_id"), F.array(F.lit(0.5)).cast("array<float>").alias("embedding"))
     sinks.write_shuffled_parts(df.select("p_id"), "p_id", str(tmp_path / "s"), 10)
