@@ -38,6 +38,10 @@ BROADCAST_BYTES = 32 << 20
 HOT_PART = 1000
 #: Pairs of a cell up to which they are compared one by one, and uses of an element up to which they are counted one by one.
 FEW_PAIRS, FEW_USES = 16384, 2048
+#: Sets that are held at a time.
+SETS = 1024
+#: Members of a bucket up to which it is settled together with others of its least member.
+SHARED = 64
 #: Bytes of the tables that bound what two members share.
 SLOTS = 8 << 20
 
@@ -188,7 +192,7 @@ class _Group:
         while slots < 8 * size.max() and 2 * slots * len(elements) <= SLOTS:
             slots *= 2
         self.slots, self.size, self.begin = slots, size, np.cumsum(size) - size
-        self.slot = (np.concatenate(elements) * U64(0x9E3779B97F4A7C15) >> U64(40)).astype(np.int64) & (slots - 1)
+        self.slot = (np.concatenate(elements) * U64(0x9E3779B97F4A7C15) >> U64(40)).astype(np.int32) & np.int32(slots - 1)
         self.table = np.zeros(slots * len(elements), bool)
         self.table[np.repeat(np.arange(len(elements)) * slots, size) + self.slot] = True
         self.least = np.count_nonzero(self.table.reshape(-1, slots), axis=1)  # distinct elements, at least
@@ -198,6 +202,8 @@ class _Group:
         """A node's elements; it may be a member of several cells."""
         own = self.sets.get(self.nodes[i])
         if own is None:
+            if len(self.sets) >= SETS:
+                self.sets.clear()
             own = self.sets[self.nodes[i]] = set(self.elements[i].tolist())
         return own
 
@@ -390,10 +396,11 @@ def classes(strings: DataFrame, contents: Callable[[DataFrame], DataFrame], meas
     about = member.join(length, "n").groupBy("key")
     # sums of hashes tell sets of members apart; a sum that overflows stands for its key alone
     seal = [F.coalesce(F.try_sum(F.shiftright(F.xxhash64("n", F.lit(s)), 20)), F.col("key")).alias(f"seal{s}") for s in (0, 1)]
-    # the buckets of a family mostly have its least member, a node has few buckets: these are dealt to one task
+    # the small buckets of a family mostly have its least member, and a node has few buckets: these are dealt to one task
     sizes = about.agg(F.count("*").alias("size"), F.sum("chars").alias("chars"), F.min("n").alias("near"), *seal).groupBy("size", "chars", "near", "seal0", "seal1").agg(F.min("key").alias("key"))
     blocks = F.least("size", F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("chars") / BLOCK_CHARS))).cast("int")
-    sizes = stored(sizes.select("key", "size", "near", blocks.alias("blocks")))
+    near = F.when(F.col("size") <= SHARED, F.col("near")).otherwise(F.col("key"))
+    sizes = stored(sizes.select("key", "size", near.alias("near"), blocks.alias("blocks")))
     inner = attached(member, sizes.filter("blocks = 1"), "key")
     zero = F.lit(0)
     links = settled(inner.select("near", "key", zero.alias("lo"), zero.alias("hi"), zero.alias("side"), "n"), content, measure)
