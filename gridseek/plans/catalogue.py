@@ -352,7 +352,26 @@ def typed_columns(rows: DataFrame) -> DataFrame:
     return P.column_types(P.good_columns(_columns(rows)), S.cells(rows))
 
 
-@query()
+def _drawn(what: str) -> str:
+    """As sqlgen's: a number below 2^40 for a named choice of draw i."""
+    return f"('0x' || substr(md5('sql/{what}/' || i), 1, 10))::BIGINT"
+
+
+_KINDS = f"{CELLS}, kinds AS (SELECT table_id, col, any_value(title) AS title, CASE WHEN bool_and(regexp_full_match(value, '-?[0-9]+\\.[0-9]+')) THEN 'float' ELSE 'text' END AS type, any_value(col_name) AS name FROM cells GROUP BY table_id, col)"
+
+
+@query(
+    f"""WITH {_KINDS}, tabs AS (SELECT table_id, any_value(title) AS title, list(col ORDER BY col) AS cols, list(type ORDER BY col) AS types, list(name ORDER BY col) AS names, row_number() OVER (ORDER BY table_id) - 1 AS t FROM kinds GROUP BY table_id),
+    d AS (SELECT i, {_drawn('table')} % (SELECT count(*) FROM tabs) AS t FROM range(400) AS r(i)),
+    p AS (SELECT i, table_id, title, cols, types, names, cols[1 + {_drawn('sel')} % len(cols)] AS sel, CASE WHEN types[1 + {_drawn('sel')} % len(cols)] = 'float' THEN 1 + {_drawn('agg')} % 5 ELSE 0 END AS agg,
+      CASE WHEN title <> '' THEN {_drawn('conds')} % 4 ELSE 1 + {_drawn('conds')} % 3 END AS wanted FROM d JOIN tabs USING (t)),
+    a AS (SELECT *, (list_transform(list_sort(list_transform(list_filter(cols, lambda c: c <> sel), lambda c: [md5('sql/cols/' || i || '/' || c), c::VARCHAR])), lambda x: x[2]::INT))[:wanted] AS picked FROM p),
+    r AS (SELECT a.*, row, vals FROM a JOIN trows USING (table_id) WHERE len(list_filter(picked, lambda c: vals[c + 1] = '')) = 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY md5('sql/row/' || i || '/' || row)) = 1),
+    c AS (SELECT *, list_transform(picked, lambda c: names[c + 1] || ' ' || (['[E-Q]', '[G-T]', '[L-T]'])[1 + CASE WHEN types[c + 1] = 'float' THEN ('0x' || substr(md5('sql/op/' || i || '/' || c), 1, 10))::BIGINT % 3 ELSE 0 END] || ' ' || vals[c + 1]) AS conds FROM r),
+    f AS (SELECT *, CASE WHEN title <> '' AND (len(picked) = 0 OR {_drawn('title')} % (1 + len(picked)) = 0) THEN list_append(conds, 'about [E-Q] ' || title) ELSE conds END AS every FROM c)
+    SELECT 'train_' || i AS qid, table_id, CASE WHEN len(picked) > 0 THEN row END AS row, sel, agg::INT AS agg, len(every)::INT AS n_conds,
+      '[S-E-L-E-C-T] ' || CASE WHEN agg > 0 THEN (['[M-A-X]', '[M-I-N]', '[C-O-U-N-T]', '[S-U-M]', '[A-V-G]'])[agg] || ' ' ELSE '' END || names[sel + 1] || ' [W-H-E-R-E] ' || array_to_string(every, ' [A-N-D] ') AS sql_text FROM f WHERE len(every) > 0"""
+)
 def sql_sample(spark, sf_dir):
     rows = all_tables(spark, sf_dir)
     drawn = Q.sample_queries(rows, typed_columns(rows), 400)
