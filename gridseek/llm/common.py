@@ -43,14 +43,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
 _STORED: list[str] = []
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder: columns compress there, so for what is long."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+def folder(spark: SparkSession) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+def kept_in(df: DataFrame, path: str, listed: bool = False) -> DataFrame:
+    """Cut the lineage with a table in a folder, which the caller removes, or `discard_stored` if it is listed."""
     df.write.option("compression", "zstd").parquet(path)
-    _STORED.append(path)
+    if listed:
+        _STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder: columns compress there, so for what is long."""
+    return kept_in(df, folder(df.sparkSession), listed=True)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder wherever Spark keeps it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

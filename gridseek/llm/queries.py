@@ -15,6 +15,7 @@ from gridseek.llm.mixing import mix_plan
 from gridseek.llm.neardup import near_duplicates
 from gridseek.llm.packing import pack_documents
 from gridseek.llm.preference import preference_rows, swapped_answers
+from gridseek.llm.quantise import codebooks_sha256, vector_codes
 from gridseek.llm.quality import Limits, quality_report
 from gridseek.llm.sharding import SHARDS, lookup_table, place
 from gridseek.llm.substring import remove_repeats
@@ -89,8 +90,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes(read(spark, sf_dir, "embeddings"))
+    return coded.withColumn("codebooks_sha256", F.lit(codebooks_sha256(books)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_near_dedup, op2_preference, op3_packing, op4_substring_dedup, op5_nearest, op6_quality, op7_sharding, op8_mixing, op9_token_counts, op10_line_dedup)
+    own = (op1_near_dedup, op2_preference, op3_packing, op4_substring_dedup, op5_nearest, op6_quality, op7_sharding, op8_mixing, op9_token_counts, op10_line_dedup, op13_vector_codes)
     return {f.__name__: f for f in own}
 
 
