@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridseek.llm import sql
 from gridseek.llm.ann import search
 from gridseek.llm.common import read
+from gridseek.llm.importance import resample
 from gridseek.llm.linededup import line_report
 from gridseek.llm.mixing import mix_plan
 from gridseek.llm.neardup import near_duplicates
@@ -17,6 +18,7 @@ from gridseek.llm.packing import pack_documents
 from gridseek.llm.preference import preference_rows, swapped_answers
 from gridseek.llm.quantise import codebooks_sha256, vector_codes
 from gridseek.llm.quality import Limits, quality_report
+from gridseek.llm.scoring import language_scores
 from gridseek.llm.sharding import SHARDS, lookup_table, place
 from gridseek.llm.substring import remove_repeats
 from gridseek.llm.tokencount import token_counts
@@ -90,13 +92,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(read(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes(read(spark, sf_dir, "embeddings"))
     return coded.withColumn("codebooks_sha256", F.lit(codebooks_sha256(books)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_near_dedup, op2_preference, op3_packing, op4_substring_dedup, op5_nearest, op6_quality, op7_sharding, op8_mixing, op9_token_counts, op10_line_dedup, op13_vector_codes)
+    own = (op1_near_dedup, op2_preference, op3_packing, op4_substring_dedup, op5_nearest, op6_quality, op7_sharding, op8_mixing, op9_token_counts, op10_line_dedup, op11_language_scores, op12_resampling, op13_vector_codes)
     return {f.__name__: f for f in own}
 
 
