@@ -54,11 +54,16 @@ def unsqueezed(data: bytes) -> np.ndarray:
 
 
 def gather(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The bytes of some spans, one after the other."""
+    """The bytes of some spans, one after the other, some spans at a time."""
     ends = np.cumsum(lengths)
-    at = np.arange(int(ends[-1]) if len(ends) else 0)
-    at += np.repeat(starts - (ends - lengths), lengths)
-    return buf[at]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, buf.dtype)
+    for lo in range(0, len(starts), 1 << 16):
+        some = slice(lo, lo + (1 << 16))
+        first, last = int(ends[lo] - lengths[lo]), int(ends[some][-1])
+        at = np.arange(first, last)
+        at += np.repeat(starts[some] - (ends[some] - lengths[some]), lengths[some])
+        np.take(buf, at, out=out[first:last])
+    return out
 
 
 def cuts(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray, limit: int) -> Iterator[tuple[int, int, int, int]]:

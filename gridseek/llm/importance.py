@@ -74,17 +74,29 @@ class Features:
         self.hash = np.where(is_pair, mix(key[head] * _STEP + key[tail]), key[head]) if len(key) else np.zeros(0, U64)
 
     def packs(self, n_parts: int) -> Iterator[tuple[int, list[bytes]]]:
-        """(part, data): the strings' bytes and lengths, how many documents have each, which, and how often."""
-        order, parts, edges = D.packs(D.spread(mix(self.hash), n_parts), n_parts)
-        strings = D.gather(self.text, self.starts[order].ravel(), self.lengths[order].ravel())
-        size = self.lengths[order].sum(1)
-        ends, df = np.append(0, np.cumsum(size)), self.df[order]
+        """(part, data): the strings' bytes and lengths, how many documents have each, which, and how often. Strings come by their first document."""
         begin = np.cumsum(self.df) - self.df
-        posts = np.arange(len(self.doc)) + np.repeat(begin[order] - (np.cumsum(df) - df), df)
-        doc, times, upto = self.doc[posts], self.times[posts], np.append(0, np.cumsum(df))
-        for part, lo, hi in zip(parts, edges[:-1], edges[1:], strict=True):
-            own = slice(upto[lo], upto[hi])
-            yield part, [D.squeezed(strings[ends[lo] : ends[hi]].tobytes()), D.shrunk(size[lo:hi]), D.shrunk(df[lo:hi]), D.shrunk(doc[own]), D.shrunk(times[own])]
+        by_doc = np.argsort(self.doc[begin].astype(np.uint16), kind="stable")
+        order, parts, edges = D.packs(D.spread(mix(self.hash), n_parts)[by_doc], n_parts)
+        order = by_doc[order]
+        size, df = self.lengths[order].sum(1), self.df[order]
+        strings = D.gather(self.text, self.starts[order].ravel(), self.lengths[order].ravel())
+        ends, upto = np.append(0, np.cumsum(size)), np.append(0, np.cumsum(df))
+        for part, lo, hi in zip(parts, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own, to = df[lo:hi], upto[lo:hi] - upto[lo]
+            posts = np.arange(upto[hi] - upto[lo]) + np.repeat(begin[order[lo:hi]] - to, own)
+            gaps = np.diff(self.doc[posts], prepend=0)
+            gaps[to] = np.diff(self.doc[posts[to]], prepend=0)
+            yield part, [D.squeezed(strings[ends[lo] : ends[hi]].tobytes()), D.shrunk(size[lo:hi]), D.shrunk(own), D.shrunk(gaps), D.shrunk(self.times[posts])]
+
+
+def _documents(df: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """The documents of a pack's strings, from gaps: a string's first document follows that of the string before."""
+    to = np.cumsum(df) - df
+    rest = gaps.copy()
+    rest[to] = 0
+    rest = np.cumsum(rest)
+    return np.repeat(np.cumsum(gaps[to]) - rest[to], df) + rest
 
 
 def _packed(texts: DataFrame, n_parts: int, target: bool) -> DataFrame:
@@ -197,7 +209,8 @@ def _summed(gains: np.ndarray):
         for b in batches:
             items = []
             for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                bucket, df, doc, times = map(D.widened, data)
+                bucket, df, gaps, times = map(D.widened, data)
+                doc = _documents(df, gaps)
                 total = np.bincount(doc, weights=np.repeat(gains[bucket], df) * times)  # integers below 2^53
                 has = np.flatnonzero(np.bincount(doc))
                 value = total[has].astype(np.int64)
