@@ -16,9 +16,10 @@ what the lists propose are summed in the order of the components on the original
 vectors have equal scores, and ties go to the smaller id.
 
 Cases: vectors that are null, zero, of another length than most, or with null or non-finite components, and
-rows of a null id, take no part; rows of one id count once, with their best score, and a query id that has
-several vectors asks with the least of them; a query whose lists hold too few vectors reads all lists; an
-empty table gives an empty result; extra columns are ignored.
+rows of a null id, take no part; equal rows are one row, other rows of one id count once, with their best score,
+and a query id that has several vectors asks with the least of them; a query whose lists hold too few vectors, or
+whose lists give fewer ids than there are, reads all lists; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -178,7 +179,7 @@ def lists_to_read(graph: CentroidGraph, q: np.ndarray, longest: float, own: np.n
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, params: Params = Params(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found among the vectors of other ids."""
     p = params
-    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
+    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v"))).distinct()
     asks = queries.select(queries[id_col].cast("long").alias("id"), queries[vector_col].cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     shape = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).orderBy(F.desc("rows"), "n").first()
     empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -219,38 +220,56 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, params: Params =
             at, lists = lists_to_read(graph.value, _matrix(b.column(1)), longest, own, k, p)
             yield pa.RecordBatch.from_arrays([pa.array(lists), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["list", "id", "v"])
 
-    asked = checkpointed(asks.mapInArrow(ask, "list long, id long, v array<double>"))
-    readers = asked.groupBy("list").agg(F.count("*").alias("readers"))
-    # a row for each list: at most max_lists
-    cells = rows.sparkSession.createDataFrame([(r["list"], -(-r["n"] // LIST_CAP)) for r in sizes], "list long, parts long").join(readers, "list").withColumn("copies", F.ceil(F.col("readers") / QUERY_CAP))
-    cells = F.broadcast(cells.select("list", "parts", "copies"))
-    left = posted.join(cells, "list").withColumn("part", F.pmod(F.xxhash64("id", "v"), "parts")).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    right = asked.join(cells, "list").withColumn("copy", F.pmod(F.xxhash64("id"), "copies")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-
     def score(rows_: pa.Table, queries_: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if rows_.num_rows and queries_.num_rows:
-            ids, v = rows_.column("id").to_numpy(), _matrix(rows_.column("v").combine_chunks())
+            order = np.argsort(rows_.column("id").to_numpy(), kind="stable")
+            all_ids, v = rows_.column("id").to_numpy()[order], _matrix(rows_.column("v").combine_chunks())[order]
+            first = np.flatnonzero(np.append(True, all_ids[1:] != all_ids[:-1]))  # an id can have several vectors
+            ids, until = all_ids[first], np.append(first[1:], len(all_ids))
             asks_, q = queries_.column("id").to_numpy(), _matrix(queries_.column("v").combine_chunks())
-            rough = q @ v.T
+            rough = np.maximum.reduceat(q @ v.T, first, axis=1)
             rough[asks_[:, None] == ids[None]] = -np.inf
             slack = 1e-9 * (np.abs(q).sum(1) * np.abs(v).max() + 1e-300)
-            top = min(k, len(ids))
+            top = min(k + 1, len(ids))  # its own id among them
             bar = np.partition(rough, len(ids) - top, axis=1)[:, len(ids) - top] - slack
             for i in range(len(asks_)):
                 near = np.flatnonzero((rough[i] >= bar[i]) & (rough[i] > -np.inf))
-                exact = dots(q[i], v[near])
+                if not len(near):
+                    continue
+                size = until[near] - first[near]
+                at = np.cumsum(size) - size
+                exact = np.maximum.reduceat(dots(q[i], v[np.arange(size.sum()) + np.repeat(first[near] - at, size)]), at)
                 best = np.lexsort((ids[near], -exact))[:k]
                 out[0] += [asks_[i]] * len(best)
                 out[1] += ids[near[best]].tolist()
                 out[2] += exact[best].tolist()
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    keys = ["list", "part", "copy"]
-    found = left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v").groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
-    ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def nearest(asked: DataFrame) -> DataFrame:
+        """The k nearest ids of what the lists of each query hold. asked: a row for each query and list."""
+        readers = asked.groupBy("list").agg(F.count("*").alias("readers"))
+        # a row for each list: at most max_lists
+        cells = rows.sparkSession.createDataFrame([(r["list"], -(-r["n"] // LIST_CAP)) for r in sizes], "list long, parts long").join(readers, "list").withColumn("copies", F.ceil(F.col("readers") / QUERY_CAP))
+        cells = F.broadcast(cells.select("list", "parts", "copies"))
+        left = posted.join(cells, "list").withColumn("part", F.pmod(F.xxhash64("id", "v"), "parts")).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        right = asked.join(cells, "list").withColumn("copy", F.pmod(F.xxhash64("id"), "copies")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        keys = ["list", "part", "copy"]
+        found = left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v").groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
+        ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = checkpointed(nearest(checkpointed(asks.mapInArrow(ask, "list long, id long, v array<double>"))))
+    # where ids have several vectors, lists can hold enough vectors and too few ids
+    most = min(k, rows.select("id").distinct().limit(k + 1).count() - 1)
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= most)
+    short = checkpointed(asks.join(full, asks["id"] == full["query_id"], "left_anti"))
+    if most < 1 or short.isEmpty():
+        return found
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_lists - 1).cast("long")))
+    again = nearest(checkpointed(short.select(every.alias("list"), "id", "v")))
+    return found.join(short.select("id"), found["query_id"] == short["id"], "left_anti").union(again)
 
 
 def dots(q: np.ndarray, v: np.ndarray) -> np.ndarray:

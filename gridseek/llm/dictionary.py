@@ -36,7 +36,7 @@ def number_of_parts(texts: DataFrame, text: str = "text") -> int:
 def shrunk(a: np.ndarray) -> bytes:
     """An array of numbers from 0 on in the least width, byte by byte, compressed."""
     a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
-    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T)
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T)
     return bytes([a.itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 

@@ -111,4 +111,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_preference": sql.PREFERENCE, "op4_substring_dedup": sql.SUBSTRING, "op6_quality": sql.quality(Limits()), "op7_sharding": sql.sharding(shard_table()), "op8_mixing": sql.MIX}
+    return {"op2_preference": sql.PREFERENCE, "op4_substring_dedup": sql.SUBSTRING, "op6_quality": sql.quality(Limits()), "op7_sharding": sql.sharding(shard_table()), "op8_mixing": sql.MIX, "op12_resampling": sql.RESAMPLE, "op13_vector_codes": sql.vector_codes(8, 16, 6, 4096)}

@@ -85,3 +85,42 @@ def sharding(table: list[int]) -> str:
     """Op 7: the slot from the id's md5, its shard from the table."""
     return f"""WITH s AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {len(table)} AS slot FROM documents)
         SELECT doc_id, slot, ({table})[slot + 1]::BIGINT AS shard FROM s"""
+
+
+def vector_codes(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """Op 13: Lloyd's rounds in the open, every part measured against every entry."""
+    near = "(SELECT r, j, e, d FROM (SELECT x.r, x.j, b.e, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN {b} b USING (j)) QUALIFY row_number() OVER (PARTITION BY r, j ORDER BY d, e) = 1)"
+    floor = "(s - ((s % n) + n) % n) // n"
+    steps = [
+        "k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)",
+        f"x AS MATERIALIZED (SELECT r, vec_id, j, list_transform(embedding[j * len(embedding) // {parts} + 1 : (j + 1) * len(embedding) // {parts}], lambda y: floor({scale} * y::DOUBLE)::BIGINT) AS v FROM k, range({parts}) AS t(j))",
+        f"f AS (SELECT r, row_number() OVER (ORDER BY vec_id, embedding) - 1 AS e FROM k QUALIFY e < {entries})",
+        "b0 AS MATERIALIZED (SELECT j, e, v FROM x JOIN f USING (r))",
+    ]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED {near.format(b=f'b{i}')}")
+        steps.append(f"m{i} AS (SELECT j, e, c, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT j, e, unnest(v) AS y, generate_subscripts(v, 1) AS c FROM a{i} JOIN x USING (r, j)) GROUP BY ALL)")
+        steps.append(f"b{i + 1} AS MATERIALIZED (SELECT b.j, b.e, coalesce(u.v, b.v) AS v FROM b{i} b LEFT JOIN (SELECT j, e, list(({floor})::BIGINT ORDER BY c) AS v FROM m{i} GROUP BY j, e) u USING (j, e))")
+    steps.append(f"o AS MATERIALIZED (SELECT r, string_agg(printf('%02x', e), '' ORDER BY j) AS code, sum(d)::BIGINT AS error FROM {near.format(b=f'b{rounds}')} GROUP BY r)")
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY j, e)) FROM b{rounds}) AS codebooks_sha256 FROM o JOIN k USING (r)"""
+
+
+#: The remainders of the 256 bytes by the reflected polynomial of CRC-32.
+_CRC = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, (c & 1) * 3988292384)))"
+
+#: Op 12: features by string, each hashed once; DuckDB has no CRC-32, so it is made of the table above.
+RESAMPLE = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws, false AS goal FROM documents
+      UNION ALL SELECT -row_number() OVER (), NULL, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> ''), true FROM benchmark),
+    f AS MATERIALIZED (SELECT r, goal, g, count(*) AS n FROM (SELECT r, goal, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM d) GROUP BY ALL),
+    t AS MATERIALIZED (SELECT {_CRC} AS crc),
+    h AS MATERIALIZED (SELECT g, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(hex(g)) // 2), lambda i: ('0x' || hex(g)[2 * i + 1 : 2 * i + 2])::BIGINT)), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS b FROM (SELECT DISTINCT g FROM f), t),
+    c AS (SELECT b, coalesce(sum(n) FILTER (NOT goal), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (goal), 0)::DOUBLE AS t FROM f JOIN h USING (g) GROUP BY b),
+    k AS MATERIALIZED (SELECT b, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM c) + 10000)) / ((s + 1) * ((SELECT sum(t) FROM c) + 10000))))::BIGINT AS gain FROM c),
+    w AS (SELECT r, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS s FROM f JOIN h USING (g) JOIN k USING (b) WHERE NOT goal GROUP BY r),
+    o AS (SELECT doc_id, len(ws) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce((s - ((s % n) + n) % n) // n, 0)::BIGINT AS weight, (('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE AS u FROM d LEFT JOIN w USING (r) WHERE NOT goal),
+    p AS (SELECT *, weight + floor(-1000 * ln(-ln(u)))::BIGINT AS score FROM o),
+    q AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place FROM p)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * (SELECT count(*) FROM p WHERE n_words >= 20) // 100 THEN place END AS rank FROM q
+"""
