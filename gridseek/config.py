@@ -32,8 +32,19 @@ class Config:
         return cls(**{k: v for k, v in given.items() if k in {f.name for f in fields(cls)}})
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder wherever Spark keeps it, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 #: Stages in order; a stage that is run again makes those behind it stale.
-ORDER = ("rows", "tables", "passages", "embeddings", "lists")
+ORDER = ("rows", "tables", "passages", "embeddings", "lists", "words")
 
 
 class Stages:

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,61 +11,99 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from gridseek.functions.vectors import dot
 from gridseek.operators.ranking import ranked
 
-#: Questions that are broadcast to the passages at a time.
-QUESTION_BLOCK = 4096
+#: Questions that are broadcast to the passages at most; beyond, questions and passages meet in cells of these many.
+QUESTION_BLOCK, PASSAGE_BLOCK = 4096, 16_384
+#: Probes (a question in a list) that are broadcast to the lists at most; beyond, they meet the lists' rows in cells.
+PROBES = 200_000
 #: Words that are broadcast to the passages; more are matched by a join.
 TERMS = 500_000
 
 
-def _numbers(column: pa.Array) -> np.ndarray:
+def _numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def _nearest(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest scores, ties to the least id."""
+    top = min(k, scores.shape[1])
+    least = np.partition(scores, scores.shape[1] - top, axis=1)[:, scores.shape[1] - top]
+    row, col = np.nonzero(scores >= least[:, None])
+    order = np.lexsort((ids[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[nth < k], col[nth < k]
+
+
+def _hits(qids: pa.Array, q: np.ndarray, part: pa.RecordBatch | pa.Table, k: int) -> list[pa.Array]:
+    """qid, p_id, table_id and score of the k nearest of some passages (p_id, table_id, embedding) for each question."""
+    scores = np.round(q @ _numbers(part.column(2)).T, 6) + 0.0
+    row, col = _nearest(scores, part.column(0).to_numpy(), k)
+    return [qids.take(pa.array(row)), part.column(0).take(pa.array(col)), part.column(1).take(pa.array(col)), pa.array(scores[row, col])]
+
+
+_HIT = ["qid", "p_id", "table_id", "score"]
+
+
 def _first_ranked(passages: DataFrame, asked: pa.Table, k: int) -> DataFrame:
     """(qid, p_id, table_id, score): of each batch of passages a question's k nearest, so that little is shuffled."""
-    sc = passages.sparkSession.sparkContext
-    question = sc.broadcast((asked.column("qid").combine_chunks(), _numbers(asked.column("q").combine_chunks())))
-    slim = passages.select("p_id", "table_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    kind = {f.name: f.dataType.simpleString() for f in slim.schema}
+    question = passages.sparkSession.sparkContext.broadcast((asked.column("qid").combine_chunks(), _numbers(asked.column("q").combine_chunks())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = question.value
         for b in batches:
             for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                scores = np.round(q @ _numbers(part.column(2)).T, 6) + 0.0
-                ids = part.column(0).to_numpy()
-                top = min(k, part.num_rows)
-                least = np.partition(scores, part.num_rows - top, axis=1)[:, part.num_rows - top]
-                row, col = np.nonzero(scores >= least[:, None])
-                order = np.lexsort((ids[col], -scores[row, col], row))  # ties go to the least id
-                row, col = row[order], col[order]
-                nth = np.arange(len(row)) - np.repeat(np.flatnonzero(np.append(True, row[1:] != row[:-1])), np.bincount(row)[np.unique(row)])
-                row, col = row[nth < k], col[nth < k]
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(row)), part.column(0).take(pa.array(col)), part.column(1).take(pa.array(col)), pa.array(scores[row, col])], names=["qid", "p_id", "table_id", "score"])
+                yield pa.RecordBatch.from_arrays(_hits(qids, q, b.slice(at, 2048), k), names=_HIT)
 
     qid = {"int64": "long", "int32": "int", "string": "string"}[str(asked.schema.field("qid").type)]
-    return slim.mapInArrow(run, f"qid {qid}, p_id {kind['p_id']}, table_id {kind['table_id']}, score double")
+    return passages.mapInArrow(run, _hit_schema(passages, qid))
+
+
+def _hit_schema(passages: DataFrame, qid: str) -> str:
+    kind = {f.name: f.dataType.simpleString() for f in passages.schema}
+    return f"qid {qid}, p_id {kind['p_id']}, table_id {kind['table_id']}, score double"
+
+
+def _in_cells(passages: DataFrame, asked: DataFrame, n_passages: int, n_questions: int, k: int) -> DataFrame:
+    """As _first_ranked where the questions are too many to travel: a grid of cells, each of a block of passages and one of questions."""
+    across, down = -(-n_passages // PASSAGE_BLOCK), -(-n_questions // QUESTION_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = passages.withColumn("a", F.pmod(F.xxhash64("p_id"), F.lit(across)).cast("int")).withColumn("d", every(down))
+    right = asked.withColumn("d", F.pmod(F.xxhash64("qid"), F.lit(down)).cast("int")).withColumn("a", every(across))
+
+    def run(rows: pa.Table, questions: pa.Table) -> pa.Table:
+        qids = questions.column("qid").combine_chunks()
+        part = rows.select(["p_id", "table_id", "embedding"]).combine_chunks()
+        if not rows.num_rows or not questions.num_rows:
+            return pa.table([qids.slice(0, 0), part.column(0).slice(0, 0), part.column(1).slice(0, 0), pa.array([], pa.float64())], names=_HIT)
+        q = _numbers(questions.column("q").combine_chunks())
+        return pa.concat_tables([pa.table(_hits(qids.slice(at, 512), q[at : at + 512], part, k), names=_HIT) for at in range(0, len(qids), 512)])
+
+    return left.groupBy("a", "d").cogroup(right.groupBy("a", "d")).applyInArrow(run, _hit_schema(passages, asked.schema["qid"].dataType.simpleString()))
 
 
 def flat_knn(passages: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """(qid, rank, p_id, table_id, score): exact. passages: p_id, table_id, embedding; questions: qid, q.
 
-    Every question meets every passage by definition: blocks of at most about QUESTION_BLOCK questions travel
-    to the passages, a matrix product for each batch, of which the k nearest go on."""
+    Every question meets every passage by definition. Up to QUESTION_BLOCK questions travel to the passages; more meet
+    them in a grid of cells, without passing through the driver. Either way a matrix product, of which the k nearest go on."""
     asked = questions.select("qid", F.col("q").cast("array<double>").alias("q"))
-    blocks = max(1, -(-asked.count() // QUESTION_BLOCK))
-    parts = [asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) for b in range(blocks)]
-    found = [_first_ranked(passages, t, k) for p in parts if (t := p.toArrow()).num_rows]
-    if not found:
-        found = [passages.select(F.lit(None).cast(asked.schema["qid"].dataType).alias("qid"), "p_id", "table_id", F.lit(0.0).alias("score")).limit(0)]
-    return ranked(reduce(DataFrame.union, found), top=k)
+    slim = passages.select("p_id", "table_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    n = asked.count()
+    if not n:
+        found = slim.select(F.lit(None).cast(asked.schema["qid"].dataType).alias("qid"), "p_id", "table_id", F.lit(0.0).alias("score")).limit(0)
+    elif n <= QUESTION_BLOCK:
+        found = _first_ranked(slim, asked.toArrow(), k)
+    else:
+        found = _in_cells(slim, asked, max(1, slim.count()), n, k)
+    return ranked(found, top=k)
 
 
 def index_options(n: int) -> dict:
@@ -118,51 +155,172 @@ def assign_lists(passages: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def write_lists(assigned: DataFrame, path: str) -> None:
-    """The index: a folder for each list, so that a probe prunes to its lists."""
-    assigned.repartition("list").write.mode("overwrite").partitionBy("list").parquet(path)
+    """The index: a folder for each list, so that a probe prunes to its lists. Large lists get several files."""
+    spread = F.pmod(F.xxhash64("p_id"), F.lit(16))
+    assigned.repartition("list", spread).sortWithinPartitions("list", "p_id").write.mode("overwrite").partitionBy("list").parquet(path)
 
 
-def ivf_search(assigned: DataFrame, centroids: DataFrame, questions: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """As flat_knn over the nprobe lists of largest inner product with the question."""
-    scored = questions.crossJoin(F.broadcast(centroids)).select("qid", "q", "list", F.round(dot(F.col("q"), F.col("centroid")), 9).alias("c"))
-    probes = scored.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("c"), "list"))).filter(F.col("r") <= nprobe).select("qid", "q", "list")
-    hits = assigned.join(probes, "list").select("qid", "p_id", "table_id", (F.round(dot(F.col("q"), F.col("embedding")), 6) + 0.0).alias("score"))
-    return ranked(hits, top=k)
-
-
-def product_codes(passages: DataFrame, dim: int, parts: int, codes: int = 256, train: int = 65_536, seed: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Quantise each of `parts` slices of the vector by its own k-means on a sample of about `train` rows: passages with codes, and (part, code, center)."""
-    width, n = dim // parts, passages.count()
-    part = F.pmod(F.xxhash64("p_id"), F.lit(1 << 30)) < int(min(1.0, train / max(n, 1)) * (1 << 30))
-    sample = passages.filter(part).select("embedding").persist()
-    books = []
-    for j in range(parts):
-        piece = array_to_vector(F.slice(F.col("embedding").cast("array<double>"), j * width + 1, width))
-        model = KMeans(k=codes, seed=seed + j, maxIter=8, initSteps=1).fit(sample.select(piece.alias("features")))
-        books.append(np.array(model.clusterCenters()))
-    sample.unpersist()
-    known = passages.sparkSession.sparkContext.broadcast(books)
-    at = passages.columns.index("embedding")
+def probes_of(questions: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
+    """(list, bias, qid, q): the nprobe lists of largest inner product (bias) with each question; a matrix product a batch."""
+    rows = centroids.orderBy("list").collect()  # index_options bounds them
+    known = questions.sparkSession.sparkContext.broadcast((np.array([r["list"] for r in rows], np.int32), np.array([r["centroid"] for r in rows], np.float64)))
+    asked = questions.select("qid", F.col("q").cast("array<double>").alias("q"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, c = known.value
         for b in batches:
-            x = _numbers(b.column(at))
-            near = [((c * c).sum(1)[None] - 2 * x[:, j * width : (j + 1) * width] @ c.T).argmin(1) for j, c in enumerate(known.value)]
-            coded = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(near, 1).astype(np.int32).ravel()), parts).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, coded], names=[*b.schema.names, "codes"])
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                bias = np.round(_numbers(part.column(1)) @ c.T, 9)
+                row, col = _nearest(bias, lists, nprobe)
+                yield pa.RecordBatch.from_arrays([pa.array(lists[col]), pa.array(bias[row, col]), *(x.take(pa.array(row)) for x in part.columns)], names=["list", "bias", "qid", "q"])
+
+    return asked.mapInArrow(run, f"list int, bias double, qid {asked.schema['qid'].dataType.simpleString()}, q array<double>")
+
+
+def _probed(lists: DataFrame, probes: DataFrame, score: Callable, keep: int) -> DataFrame:
+    """(qid, list, p_id, table_id, score): of the probed lists' rows each question's `keep` best in a batch.
+
+    lists: list, p_id, table_id, x. Only the probed lists are read: their numbers become a filter of the scan. Up to PROBES
+    probes travel to the lists, whose rows stay where they are; more meet the rows in cells of bounded size."""
+    wanted = [r["list"] for r in probes.select("list").distinct().collect()]  # a row a list
+    read = lists.filter(F.col("list").isin(wanted)).select("list", "p_id", "table_id", "x")
+    kind = {f.name: f.dataType.simpleString() for f in read.schema}
+    schema = f"qid {probes.schema['qid'].dataType.simpleString()}, list int, p_id {kind['p_id']}, table_id {kind['table_id']}, score double"
+    names = ["qid", "list", "p_id", "table_id", "score"]
+
+    def best(number: int, qids: pa.Array, bias: np.ndarray, q: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+        values = score(bias, q, part.column("x"))
+        row, col = _nearest(values, part.column("p_id").to_numpy(), keep)
+        found = pa.array(col)
+        return pa.RecordBatch.from_arrays([qids.take(pa.array(row)), pa.array(np.full(len(row), number, np.int32)), part.column("p_id").take(found), part.column("table_id").take(found), pa.array(values[row, col])], names=names)
+
+    n = probes.count()
+    if n <= PROBES:
+        t = probes.orderBy("list").toArrow()
+        number = t.column("list").to_numpy()
+        edges = dict(zip(*np.unique(number, return_index=True), strict=True))
+        ends = {k: int(np.searchsorted(number, k, side="right")) for k in edges}
+        held = lists.sparkSession.sparkContext.broadcast((edges, ends, t.column("qid").combine_chunks(), t.column("bias").to_numpy(), _numbers(t.column("q")) if n else None))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, last, qids, bias, q = held.value
+            for b in batches:
+                number = b.column("list").to_numpy()
+                cuts = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(number))
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    of = slice(first[number[lo]], last[number[lo]])
+                    for at in range(lo, hi, 4096):
+                        for begin in range(of.start, of.stop, 512):
+                            some = slice(begin, min(begin + 512, of.stop))
+                            yield best(int(number[lo]), qids[some], bias[some], q[some], b.slice(at, min(4096, hi - at)))
+
+        return read.mapInArrow(run, schema)
+
+    asks = probes.groupBy("list").agg(F.count("*").alias("asks"))
+    sizes = read.groupBy("list").agg(F.count("*").alias("n")).join(asks, "list").select("list", F.ceil(F.col("n") / 4096).alias("parts"), F.ceil(F.col("asks") / 512).alias("copies"))
+    sizes = F.broadcast(sizes)  # a row a list
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = read.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("p_id"), "parts")).withColumn("copy", every("copies"))
+    right = probes.join(sizes, "list").withColumn("copy", F.pmod(F.xxhash64("qid"), "copies")).withColumn("part", every("parts"))
+
+    def cell(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        qids = asked.column("qid").combine_chunks()
+        part = rows.select(["p_id", "table_id", "x"]).combine_chunks()
+        if not rows.num_rows or not asked.num_rows:
+            return pa.table([qids.slice(0, 0), pa.array([], pa.int32()), part.column(0).slice(0, 0), part.column(1).slice(0, 0), pa.array([], pa.float64())], names=names)
+        return pa.Table.from_batches([best(int(asked.column("list")[0].as_py()), qids, asked.column("bias").to_numpy(), _numbers(asked.column("q")), part.to_batches()[0])])
+
+    keys = ["list", "part", "copy"]
+    return left.select(*keys, "p_id", "table_id", "x").groupBy(*keys).cogroup(right.select(*keys, "bias", "qid", "q").groupBy(*keys)).applyInArrow(cell, schema)
 
-    table = [(j, i, [float(x) for x in c]) for j, book in enumerate(books) for i, c in enumerate(book)]
-    return passages.mapInArrow(run, StructType([*passages.schema.fields, StructField("codes", ArrayType(IntegerType()))])), passages.sparkSession.createDataFrame(table, "part int, code int, center array<double>")
 
-
-def product_search(coded: DataFrame, books: DataFrame, questions: DataFrame, dim: int, parts: int, k: int) -> DataFrame:
-    """Approximate inner products by table look-up of the codes."""
+def ivf_search(assigned: DataFrame, centroids: DataFrame, questions: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """As flat_knn over the nprobe lists of largest inner product with the question. assigned: p_id, table_id, embedding, list."""
+    lists = assigned.select("list", "p_id", "table_id", F.col("embedding").cast("array<double>").alias("x"))
+    exact = lambda bias, q, x: np.round(q @ _numbers(x).T, 6) + 0.0
+    return ranked(_probed(lists, probes_of(questions, centroids, nprobe), exact, k).drop("list"), top=k)
+
+
+def _centers(x: np.ndarray, codes: int, rounds: int, seed: int) -> np.ndarray:
+    """k-means of a bounded sample, at most `codes` centers."""
+    x = np.unique(x, axis=0)
+    c = x[np.random.default_rng(seed).permutation(len(x))[:codes]].copy()
+    for _ in range(rounds):
+        near = np.concatenate([((c * c).sum(1)[None] - 2 * x[at : at + 4096] @ c.T).argmin(1) for at in range(0, len(x), 4096)])
+        size = np.bincount(near, minlength=len(c))
+        total = np.stack([np.bincount(near, weights=x[:, j], minlength=len(c)) for j in range(x.shape[1])], axis=1)
+        c[size > 0] = total[size > 0] / size[size > 0, None]
+    return c
+
+
+def residual_codes(assigned: DataFrame, centroids: DataFrame, parts: int, codes: int = 256, train: int = 65_536, seed: int = 3) -> tuple[DataFrame, DataFrame]:
+    """What the lists' centroids leave of the vectors, cut into `parts` slices and coded by k-means of each slice's own: the rows with codes (a byte a slice), and (part, code, center).
+
+    The codebooks are fitted on a sample of about `train` rows, by a hash of the id, a slice a task; every row is coded."""
+    n, dim = assigned.count(), len(centroids.first()["centroid"])
+    if dim % parts or codes > 256:
+        raise ValueError(f"{dim} components in {parts} slices of at most 256 codes")
     width = dim // parts
-    piece = F.slice(F.col("q").cast("array<double>"), F.col("part") * width + 1, F.lit(width))
-    table = questions.crossJoin(F.broadcast(books)).groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct(F.col("part") * 4096 + F.col("code"), dot(piece, F.col("center"))))).alias("t"))
-    value = F.aggregate(F.transform("codes", lambda c, j: F.element_at("t", (j * 4096 + c).cast("int"))), F.lit(0.0), lambda s, x: s + x)
-    scored = coded.crossJoin(F.broadcast(table)).select("qid", "p_id", "table_id", F.round(value, 6).alias("score"))
-    return ranked(scored, top=k)
+    left = assigned.join(F.broadcast(centroids), "list").withColumn("rest", F.zip_with(F.col("embedding").cast("array<double>"), "centroid", lambda x, c: x - c)).drop("centroid")
+    chosen = F.pmod(F.xxhash64("p_id"), F.lit(1 << 30)) < int(min(1.0, train / max(n, 1)) * (1 << 30))
+    slices = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda j: F.slice("rest", j * width + 1, F.lit(width)))
+    sample = left.filter(chosen).select(F.posexplode(slices).alias("part", "x"))
+
+    def fit(t: pa.Table) -> pa.Table:
+        part = int(t.column("part")[0].as_py())
+        c = _centers(_numbers(t.column("x")), codes, 8, seed + part)
+        return pa.table([pa.array(np.full(len(c), part, np.int32)), pa.array(np.arange(len(c), dtype=np.int32)), pa.array(c.tolist(), pa.list_(pa.float64()))], names=["part", "code", "center"])
+
+    rows = sample.groupBy("part").applyInArrow(fit, "part int, code int, center array<double>").collect()  # parts * codes
+    table = np.full((parts, codes, width), np.inf)  # slices with fewer centers never choose the others
+    for r in rows:
+        table[r["part"], r["code"]] = r["center"]
+    known = assigned.sparkSession.sparkContext.broadcast(table)
+    at = left.columns.index("rest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            coded = []
+            for lo in range(0, b.num_rows, 512):
+                x = _numbers(b.column(at).slice(lo, 512))
+                near = [((x[:, None, j * width : (j + 1) * width] - c[None]) ** 2).sum(2).argmin(1) for j, c in enumerate(known.value)]
+                coded += [r.tobytes() for r in np.stack(near, 1).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), pa.array(coded, pa.binary())], names=[*(c for c in b.schema.names if c != "rest"), "codes"])
+
+    schema = StructType([*(f for f in left.schema.fields if f.name != "rest"), StructField("codes", BinaryType())])
+    books = assigned.sparkSession.createDataFrame([(r["part"], r["code"], r["center"]) for r in rows], "part int, code int, center array<double>")
+    return left.mapInArrow(run, schema), books
+
+
+def coded_search(lists: DataFrame, centroids: DataFrame, books: DataFrame, questions: DataFrame, k: int, nprobe: int, refine: int = 8) -> DataFrame:
+    """As ivf_search by the codes of the probed lists; the refine * k best by code are measured again by their vectors.
+
+    lists: list, p_id, table_id, codes, embedding. A question's products with all centers are one table of
+    parts * codes numbers; a row's value is the product of its list's centroid and a sum of look-ups. The codes' column is read of the
+    probed lists alone, the vectors' of those lists alone that hold a candidate."""
+    rows = books.collect()  # parts * codes
+    parts, codes = 1 + max(r["part"] for r in rows), 1 + max(r["code"] for r in rows)
+    table = np.zeros((parts, codes, len(rows[0]["center"])))
+    for r in rows:
+        table[r["part"], r["code"]] = r["center"]
+    known = lists.sparkSession.sparkContext.broadcast(table)
+
+    def by_code(bias: np.ndarray, q: np.ndarray, x: pa.Array) -> np.ndarray:
+        code = np.frombuffer(b"".join(v.as_py() for v in x), np.uint8).reshape(len(x), -1)
+        look = np.einsum("npw,pcw->npc", q.reshape(len(q), parts, -1), known.value)
+        out = np.repeat(bias[:, None], len(code), axis=1)
+        for j in range(parts):
+            out += look[:, j][:, code[:, j]]
+        return out
+
+    first = ranked(_probed(lists.select("list", "p_id", "table_id", F.col("codes").alias("x")), probes_of(questions, centroids, nprobe), by_code, refine * k), top=refine * k)
+    near = first.select("qid", "list", "p_id").persist()
+    held = [r["list"] for r in near.select("list").distinct().collect()]  # a row a list
+    few = near.count() <= PROBES
+    vectors = lists.filter(F.col("list").isin(held)).select("list", "p_id", "table_id", "embedding")
+    pairs = vectors.join(F.broadcast(near) if few else near, ["list", "p_id"]).join(questions.select("qid", "q"), "qid")
+    return ranked(pairs.select("qid", "p_id", "table_id", (F.round(dot(F.col("q"), F.col("embedding")), 6) + 0.0).alias("score")), top=k)
 
 
 def _bare(text: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridseek.config import Config, Stages
+from gridseek.config import Config, Stages, discard
 from gridseek.functions.udf import size_in_tokens
-from gridseek.operators import gold, metrics, profile, ranking, retrieval, sqlgen
+from gridseek.operators import gold, metrics, profile, ranking, retrieval, sqlgen, words
+from gridseek.operators.scorer import Scorer, fused_sum
 from gridseek.operators.triples import passages as passages_of
 from gridseek.sources import sinks, tables
 
@@ -33,18 +34,20 @@ def embed_passages(spark: SparkSession, work: str, again: bool = False, encoder=
 
 
 def index_embeddings(spark: SparkSession, work: str, again: bool = False) -> None:
-    """embeddings -> lists; from a million vectors on with product codes beside them."""
+    """embeddings -> lists; from a million vectors on with codes of what the lists' centroids leave of them."""
 
     def lists() -> None:
         e = spark.read.parquet(f"{work}/embeddings")
         options = retrieval.index_options(e.count())
         retrieval.coarse_centroids(e, options["lists"], options["train"]).write.mode("overwrite").parquet(f"{work}/centroids")
+        assigned = retrieval.assign_lists(e, spark.read.parquet(f"{work}/centroids"))
         if options["codes"]:
             dim = len(e.first()["embedding"])
-            parts = max(p for p in range(1, min(options["codes"], dim) + 1) if dim % p == 0)
-            e, books = retrieval.product_codes(e, dim, parts)
+            assigned, books = retrieval.residual_codes(assigned, spark.read.parquet(f"{work}/centroids"), max(p for p in range(1, min(options["codes"], dim // 2) + 1) if dim % p == 0))
             books.write.mode("overwrite").parquet(f"{work}/codebooks")
-        retrieval.write_lists(retrieval.assign_lists(e, spark.read.parquet(f"{work}/centroids")), f"{work}/lists")
+        else:
+            discard(spark, f"{work}/codebooks")  # of an earlier, larger index
+        retrieval.write_lists(assigned, f"{work}/lists")
 
     Stages(spark, work).run("lists", lists, again)
 
@@ -69,15 +72,33 @@ def retrieve(spark: SparkSession, work: str, questions: DataFrame, config: Confi
     """(qid, rank, p_id, score, table_id) with the depth that min_tables asks for. questions: qid, question."""
     asked = questions.select("qid", encoder(F.col("question")).alias("q"))
     lists, centroids = spark.read.parquet(f"{work}/lists"), spark.read.parquet(f"{work}/centroids")
-    deep = retrieval.ivf_search(lists, centroids, asked, config.max_retr, config.n_probe)
+    if "codes" in lists.columns:
+        deep = retrieval.coded_search(lists, centroids, spark.read.parquet(f"{work}/codebooks"), asked, config.max_retr, config.n_probe, refine=2)
+    else:
+        deep = retrieval.ivf_search(lists, centroids, asked, config.max_retr, config.n_probe)
     return ranking.deepened(deep, config.retr_top_n, config.max_retr, config.min_tables)
 
 
-def answer(spark: SparkSession, work: str, questions: DataFrame, config: Config = Config(), encoder=retrieval.hashing_encoder) -> DataFrame:
-    """(qid, place, table_id, score): the tables that answer each question, five by default."""
+def index_words(spark: SparkSession, work: str, again: bool = False) -> None:
+    """passages -> a stored word index beside the lists."""
+
+    def write() -> None:
+        words.write_index(spark.read.parquet(f"{work}/passages").select("p_id", "table_id", F.col("passage").alias("text")), f"{work}/words")
+
+    Stages(spark, work).run("words", write, again)
+
+
+def retrieve_by_words(spark: SparkSession, work: str, questions: DataFrame, config: Config = Config()) -> DataFrame:
+    """As `retrieve`, by the stored word index."""
+    deep = words.WordIndex(spark, f"{work}/words").search(questions.select("qid", F.col("question").alias("text")), config.max_retr)
+    return ranking.deepened(deep, config.retr_top_n, config.max_retr, config.min_tables)
+
+
+def answer(spark: SparkSession, work: str, questions: DataFrame, config: Config = Config(), encoder=retrieval.hashing_encoder, scorer: Scorer = fused_sum) -> DataFrame:
+    """(qid, place, table_id, score): the tables that answer each question, five by default. scorer: see operators.scorer."""
     retr = retrieve(spark, work, questions, config, encoder)
     kept = ranking.rebalanced(retr, config.rel_num_test, config.min_tables)
-    fused = ranking.fused_scores(kept.drop("rank").withColumnRenamed("place", "rank"))
+    fused = scorer(kept.drop("rank").withColumnRenamed("place", "rank"))
     rescored = ranking.ranked(fused.drop("rank").withColumn("score", F.col("fused")))
     return ranking.top_tables(rescored, config.top_tables)
 
@@ -96,21 +117,26 @@ def evaluate(top: DataFrame, truth: DataFrame) -> DataFrame:
     return metrics.precision_at(hits, (1, 5))
 
 
-def test_questions(spark: SparkSession, work: str, questions: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
+def test_questions(spark: SparkSession, work: str, questions: DataFrame, config: Config = Config(), scorer: Scorer = fused_sum) -> tuple[DataFrame, DataFrame]:
     """The answers to questions (qid, question, table_id_lst) and their precision at 1 and 5."""
-    top = answer(spark, work, questions.select("qid", "question"), config)
+    top = answer(spark, work, questions.select("qid", "question"), config, scorer=scorer)
     return top, evaluate(top, questions.select("qid", F.explode("table_id_lst").alias("table_id")))
 
 
-def training_rounds(rows: DataFrame, wanted: int, history: DataFrame | None = None, seed: str = "train", most_rounds: int = 20) -> tuple[DataFrame, DataFrame]:
-    """training_questions until there are `wanted` queries of different texts, none of history (key): rounds of draws, each without what the ones before gave."""
-    found, known = None, history
-    for k in range(most_rounds):
-        have = 0 if found is None else found.count()
-        if have >= wanted:
-            break
-        asked, truth = training_questions(rows, 2 * (wanted - have) + 16, known, f"{seed}-{k}")
-        asked, truth = asked.withColumn("qid", F.concat(F.lit(f"{k}-"), "qid")), truth.withColumn("qid", F.concat(F.lit(f"{k}-"), "qid"))
+def training_rounds(rows: DataFrame, wanted: int, history: DataFrame | None = None, seed: str = "train") -> tuple[DataFrame, DataFrame]:
+    """`wanted` queries of different texts, none of history (key): draws go on, each without what the ones before gave, until there are enough.
+
+    Where four times as many draws as before bring nothing new, the tables have no more to ask: an error says how many there are."""
+    found, gold_, known, have, draws, k, idle = None, None, history, 0, 0, 0, 0
+    while have < wanted:
+        draws = max(2 * (wanted - have) + 16, 2 * draws if idle else 0)
+        asked, truth = training_questions(rows, draws, known, f"{seed}-{k}")
+        asked, truth = asked.withColumn("qid", F.concat(F.lit(f"{k}-"), "qid")).persist(), truth.withColumn("qid", F.concat(F.lit(f"{k}-"), "qid"))
+        new = asked.count()
+        idle = 0 if new else idle + 1
+        if idle == 3:
+            raise ValueError(f"the tables give {have} different questions, {wanted} were asked for")
+        have, k = have + new, k + 1
         found, gold_ = (asked, truth) if found is None else (found.union(asked), gold_.union(truth))
         known = asked.select("key") if known is None else known.select("key").union(asked.select("key"))
     first = found.orderBy("qid").limit(wanted)
