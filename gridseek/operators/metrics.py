@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,58 @@ def hit_curve(hits: DataFrame, depth: int) -> DataFrame:
     return joined.select("k", F.sum(F.coalesce("count", F.lit(0))).over(Window.orderBy("k")).alias("questions"))
 
 
+#: Answers, and their bytes, up to which all of them travel to the passages as one automaton.
+ANSWERS, ANSWER_BYTES = 200_000, 16 << 20
+_EDGE = "\x1f"
+
+
+def _phrase(text: Column) -> Column:
+    """The lower-case tokens, each between two marks, so that a phrase is a substring; null where there are none."""
+    tokens = T.simple_tokens(F.lower(text))
+    return F.when(F.size(tokens) > 0, F.concat(F.lit(_EDGE), F.array_join(tokens, _EDGE), F.lit(_EDGE)))
+
+
+def _phrases_held(passages: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(p_id, phrase): which passages (p_id, text) hold which phrases (phrase), each passage read once."""
+    held = phrases.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
+    marked = passages.select("p_id", _phrase(F.col("text")).alias("text")).filter("text IS NOT NULL")
+    if held[0] <= ANSWERS and held[1] <= ANSWER_BYTES:
+        known = passages.sparkSession.sparkContext.broadcast([r["phrase"] for r in phrases.collect()])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = ahocorasick.Automaton()
+            for p in known.value:
+                machine.add_word(p, p)
+            machine.make_automaton()
+            for b in batches:
+                at, found = [], []
+                for i, text in enumerate(b.column(1)):
+                    own = {p for _, p in machine.iter(text.as_py())} if len(known.value) else ()
+                    at += [i] * len(own)
+                    found += own
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(found, pa.string())], names=["p_id", "phrase"])
+
+        return marked.mapInArrow(run, f"p_id {marked.schema['p_id'].dataType.simpleString()}, phrase string")
+    # more phrases than travel: the passages' runs of as many tokens as some phrase has meet the phrases
+    sizes = [r["n"] for r in phrases.select((F.size(F.split("phrase", _EDGE)) - 2).alias("n")).distinct().collect()]  # a row for each length
+    tokens = F.split(F.col("text"), _EDGE)
+
+    def runs_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(2), F.size(tokens) - n), lambda i: F.concat(F.lit(_EDGE), F.array_join(F.slice(tokens, i, F.lit(n)), _EDGE), F.lit(_EDGE)))
+
+    several = [F.when(F.size(tokens) - 2 >= n, runs_of(n)).otherwise(F.array().cast("array<string>")) for n in sizes]
+    return marked.select("p_id", F.explode(F.array_distinct(F.flatten(F.array(*several)))).alias("phrase")).join(phrases, "phrase", "left_semi").select("p_id", "phrase")
+
+
+def answered(retr: DataFrame, passages: DataFrame, answers: DataFrame) -> DataFrame:
+    """retr with `correct`: 1 where the passage's text (p_id, text) holds one of the question's answers (qid, answers: array) as a run of whole tokens, whatever its case."""
+    wanted = answers.select("qid", F.explode("answers").alias("answer")).select("qid", _phrase(F.col("answer")).alias("phrase")).filter("phrase IS NOT NULL").distinct()
+    asked = passages.join(retr.select("p_id").distinct(), "p_id", "left_semi")
+    held = _phrases_held(asked, wanted.select("phrase").distinct())
+    right = retr.select("qid", "p_id").join(wanted, "qid").join(held, ["p_id", "phrase"]).select("qid", "p_id", F.lit(1).alias("correct")).distinct()
+    return retr.join(right, ["qid", "p_id"], "left").withColumn("correct", F.coalesce("correct", F.lit(0)))
+
+
 def exact_match(prediction: Column, references: Column) -> Column:
     """1 if some reference equals the prediction once both are normal."""
     return F.exists(references, lambda r: T.answer_normal(r) == T.answer_normal(prediction)).cast("int")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from gridseek.functions import text as T
@@ -16,10 +18,48 @@ def column_types(columns: DataFrame, cells: DataFrame) -> DataFrame:
     return columns.join(seen, ["table_id", "col"], "left").select("table_id", "col", "col_name", kind.alias("type"))
 
 
+#: Bins of a pass of `quantiles`.
+BINS = 4096
+
+
+def quantiles(sizes: DataFrame, shares: list[float], value: str = "size") -> tuple[Row, list[float]] | None:
+    """(n, lo, hi, mean) of whole numbers, and their exact quantiles between neighbours. None without any.
+
+    Selection by histograms: a pass counts the numbers in equal bins of the range, the next ones only in the bins that hold
+    a rank asked for, until a bin is one number. A pass sends on a row for each bin and the driver holds no more."""
+    x = sizes.select(F.col(value).cast("long").alias("x")).filter("x IS NOT NULL").persist()
+    try:
+        all_ = x.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean")).first()
+        if not all_["n"]:
+            return None
+        spots = [s * (all_["n"] - 1) for s in shares]
+        spans = {r: (all_["lo"], all_["hi"], 0) for spot in spots for r in (math.floor(spot), math.ceil(spot))}  # rank -> range, and how many are below it
+        while wide := sorted({s for s in spans.values() if s[0] < s[1]}):
+            steps = [-(-(hi - lo + 1) // BINS) for lo, hi, _ in wide]
+            at = F.lit(None).cast("struct<i: int, b: long>")
+            for i, ((lo, hi, _), step) in enumerate(zip(wide, steps, strict=True)):
+                at = F.when(F.col("x").between(lo, hi), F.struct(F.lit(i).alias("i"), F.floor((F.col("x") - lo) / step).alias("b"))).otherwise(at)
+            bins: list[dict[int, int]] = [{} for _ in wide]
+            for r in x.select(at.alias("at")).filter("at IS NOT NULL").groupBy("at").count().collect():  # ranks times BINS at most
+                bins[r["at"]["i"]][r["at"]["b"]] = r["count"]
+            for rank, span in spans.items():
+                if span[0] < span[1]:
+                    i, below = wide.index(span), span[2]
+                    for b in sorted(bins[i]):
+                        if below + bins[i][b] > rank:
+                            spans[rank] = (span[0] + b * steps[i], min(span[1], span[0] + (b + 1) * steps[i] - 1), below)
+                            break
+                        below += bins[i][b]
+        low, high = ([spans[f(spot)][0] for spot in spots] for f in (math.floor, math.ceil))
+        return all_, [a + (b - a) * (spot - math.floor(spot)) for a, b, spot in zip(low, high, spots, strict=True)]
+    finally:
+        x.unpersist()
+
+
 def fences(sizes: DataFrame, value: str = "size") -> DataFrame:
-    """(lo, hi): 1 and the third quartile plus 1.5 times the interquartile range."""
-    q = sizes.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    return q.select(F.lit(1.0).alias("lo"), (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("hi"))
+    """(lo, hi): 1 and the third quartile plus 1.5 times the interquartile range; null without sizes."""
+    got = quantiles(sizes, [0.25, 0.75], value)
+    return sizes.sparkSession.createDataFrame([(1.0, got[1][1] + 1.5 * (got[1][1] - got[1][0]) if got else None)], "lo double, hi double")
 
 
 def good_columns(columns: DataFrame, most: int = 20, vocabulary: frozenset[str] | None = None) -> DataFrame:
@@ -33,9 +73,10 @@ def complete_rows(rows: DataFrame, columns: list[int]) -> DataFrame:
 
 
 def length_distribution(sizes: DataFrame, value: str = "size") -> DataFrame:
-    tenths = [round(i / 10, 1) for i in range(1, 11)]
-    q = sizes.agg(F.min(value).alias("min_size"), F.max(value).alias("max_size"), F.avg(value).alias("mean_size"), F.percentile(value, F.array(*map(F.lit, tenths))).alias("q"))
-    return q.select("min_size", "max_size", F.round("mean_size", 6).alias("mean_size"), *(F.round(F.col("q")[i], 6).alias(f"p{10 * (i + 1)}") for i in range(10)))
+    tenths = [i / 10 for i in range(1, 11)]
+    got = quantiles(sizes, tenths, value)
+    row = (got[0]["lo"], got[0]["hi"], round(got[0]["mean"], 6), *(round(float(q), 6) for q in got[1])) if got else (None,) * 13
+    return sizes.sparkSession.createDataFrame([row], "min_size int, max_size int, mean_size double, " + ", ".join(f"p{10 * i} double" for i in range(1, 11)))
 
 
 def train_dev_split(tables: DataFrame, share: float = 0.2, seed: str = "split") -> DataFrame:

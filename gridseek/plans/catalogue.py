@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridseek.functions import text as T
+from gridseek.functions import udf as U
 from gridseek.functions.vectors import mean_pool
 from gridseek.operators import examples as E
 from gridseek.operators import gold as G
@@ -526,7 +527,7 @@ def template_fanout(spark, sf_dir):
 
 # ---- retrieval ------------------------------------------------------------------------------------
 
-DEPTH = 60
+DEPTH = 100
 #: Which vectors ask.
 ASKS = "vec_id % 20 = 0"
 
@@ -548,7 +549,7 @@ def labelled(spark, sf_dir, depth: int = DEPTH):
     """Right are the passages of a question's own label and those of the next."""
     gold = vector_questions(spark, sf_dir).select("qid", "gold")
     right = (F.col("table_id") == F.col("gold")) | (F.col("table_id") == F.col("gold") + 1)
-    return retrieved(spark, sf_dir, depth).join(F.broadcast(gold), "qid").withColumn("correct", right.cast("int")).drop("gold")
+    return retrieved(spark, sf_dir, depth).join(gold, "qid").withColumn("correct", right.cast("int")).drop("gold")
 
 
 SCORED = f"""scored AS (SELECT q.vec_id AS qid, p.vec_id AS p_id, p.label AS table_id, round(list_inner_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) + 0.0 AS score FROM embeddings q, embeddings p WHERE q.{ASKS}),
@@ -686,12 +687,12 @@ def top5_tables(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SCORED}, d AS (SELECT r.qid, r.table_id, r.p_id, unnest(p.embedding) AS x, generate_subscripts(p.embedding, 1)::INT - 1 AS dim FROM retr r JOIN embeddings p ON p.vec_id = r.p_id WHERE r.rank <= 20)
+    f"""WITH {SCORED}, d AS (SELECT r.qid, r.table_id, r.p_id, unnest(p.embedding) AS x, generate_subscripts(p.embedding, 1)::INT - 1 AS dim FROM retr r JOIN embeddings p ON p.vec_id = r.p_id)
     SELECT qid, table_id, p_id, dim::INT AS dim, round(x::DOUBLE, 6) AS x, round(max(x) OVER (PARTITION BY qid, table_id, dim)::DOUBLE, 6) AS top FROM d"""
 )
 def table_max_feature(spark, sf_dir):
     feats = vectors(spark, sf_dir).select("p_id", F.col("embedding").alias("features"))
-    out = R.table_max(retrieved(spark, sf_dir).filter("rank <= 20").select("qid", "table_id", "p_id").join(feats, "p_id"))
+    out = R.table_max(retrieved(spark, sf_dir).select("qid", "table_id", "p_id").join(feats, "p_id"))
     return out.select("qid", "table_id", "p_id", "dim", F.round(F.col("x").cast("double"), 6).alias("x"), F.round(F.col("top").cast("double"), 6).alias("top"))
 
 
@@ -715,9 +716,9 @@ def masked_mean_pool(spark, sf_dir):
 # ---- filters --------------------------------------------------------------------------------------
 
 
-@query(f"WITH {LABELLED} SELECT qid, rank, p_id, correct FROM (SELECT *, min(correct) OVER (PARTITION BY qid) AS lo, max(correct) OVER (PARTITION BY qid) AS hi FROM lab WHERE rank <= 8) WHERE lo = 0 AND hi = 1")
+@query(f"WITH {LABELLED} SELECT qid, rank, p_id, correct FROM (SELECT *, min(correct) OVER (PARTITION BY qid) AS lo, max(correct) OVER (PARTITION BY qid) AS hi FROM lab) WHERE lo = 0 AND hi = 1")
 def mixed_label_questions(spark, sf_dir):
-    return R.mixed_label_questions(labelled(spark, sf_dir).filter("rank <= 8"), F.col("correct")).select("qid", "rank", "p_id", "correct")
+    return R.mixed_label_questions(labelled(spark, sf_dir), F.col("correct")).select("qid", "rank", "p_id", "correct")
 
 
 def _split(spark, sf_dir):
@@ -824,12 +825,12 @@ def token_f1(spark, sf_dir):
     return _part_pairs(spark, sf_dir).select("sid", F.round(G.token_f1(F.split("hyp", " "), F.split("ref", " ")), 6).alias("f1"))
 
 
-_PLACED = f"{SCORED}, pl AS (SELECT qid, p_id, rank - 1 AS true_rank, row_number() OVER (PARTITION BY qid ORDER BY (p_id * 7919) % 1009, p_id) - 1 AS place FROM retr WHERE rank <= 20)"
+_PLACED = f"{SCORED}, pl AS (SELECT qid, p_id, rank - 1 AS true_rank, row_number() OVER (PARTITION BY qid ORDER BY (p_id * 7919) % 1009, p_id) - 1 AS place FROM retr)"
 
 
 def _placed(spark, sf_dir):
     order = Window.partitionBy("qid").orderBy((F.col("p_id") * 7919) % 1009, "p_id")
-    return retrieved(spark, sf_dir).filter("rank <= 20").select("qid", "p_id", (F.col("rank") - 1).alias("true_rank"), (F.row_number().over(order) - 1).alias("place"))
+    return retrieved(spark, sf_dir).select("qid", "p_id", (F.col("rank") - 1).alias("true_rank"), (F.row_number().over(order) - 1).alias("place"))
 
 
 @query(f"WITH {_PLACED} SELECT a.qid, count(*) AS inversions FROM pl a JOIN pl b ON a.qid = b.qid AND a.place < b.place AND a.true_rank > b.true_rank GROUP BY a.qid")
@@ -955,9 +956,9 @@ def reference_interleave(spark, sf_dir):
     return E.interleaved_references(load(spark, sf_dir, "part").withColumnRenamed("p_partkey", "line"), ["p_name", "p_type", "p_brand"])
 
 
-@query(f"WITH {LABELLED}, s AS (SELECT step::INT AS step, qid, p_id, correct, (p_id * (step * 7 + 3)) % 101 AS sc FROM lab, range(0, 4) AS t(step) WHERE rank <= 20) SELECT step, qid, correct FROM s QUALIFY row_number() OVER (PARTITION BY step, qid ORDER BY sc DESC, p_id) = 1")
+@query(f"WITH {LABELLED}, s AS (SELECT step::INT AS step, qid, p_id, correct, (p_id * (step * 7 + 3)) % 101 AS sc FROM lab, range(0, 4) AS t(step)) SELECT step, qid, correct FROM s QUALIFY row_number() OVER (PARTITION BY step, qid ORDER BY sc DESC, p_id) = 1")
 def checkpoint_correctness(spark, sf_dir):
-    steps = labelled(spark, sf_dir).filter("rank <= 20").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    steps = labelled(spark, sf_dir).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(3))))
     return E.step_correctness(steps.withColumn("score", (F.col("p_id") * (F.col("step") * 7 + 3)) % 101))
 
 
@@ -1071,6 +1072,31 @@ def rouge_2(spark, sf_dir):
     return M.rouge_n(_part_pairs(spark, sf_dir), 2)
 
 
+_SUBSEQUENCE = "list_reduce(list_prepend(list_transform(r, lambda y: 0), list_transform(h, lambda x: list_transform(r, lambda y: (x = y)::INT))), lambda row, hit: list_transform(range(1, len(r) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(row[i], coalesce(row[i - 1], 0) + hit[i])))))[-1]"
+
+
+@query(
+    f"WITH {_PAIRS_OF_PARTS}, w AS (SELECT sid, list_filter(regexp_split_to_array(lower(hyp), '\\s+'), lambda t: t <> '') AS h, list_filter(regexp_split_to_array(lower(ref), '\\s+'), lambda t: t <> '') AS r FROM pp) SELECT sid, round(2.0::DOUBLE * {_SUBSEQUENCE} / (len(h) + len(r)), 6) AS f1 FROM w"
+)
+def rouge_l(spark, sf_dir):
+    return _part_pairs(spark, sf_dir).select("sid", F.round(U.rouge_l("hyp", "ref"), 6).alias("f1"))
+
+
+_TOKENS = "regexp_extract_all(lower({x}), '([\\p{{L}}\\p{{N}}\\p{{M}}]+)|([^\\p{{Z}}\\p{{C}}])')"
+
+
+@query(
+    f"""WITH {BM25}, a AS (SELECT item_id AS qid, chr(31) || array_to_string(({_TOKENS.format(x='text')})[1:4], chr(31)) || chr(31) AS phrase FROM benchmark),
+    h AS (SELECT qid, min(rank) FILTER (strpos(chr(31) || array_to_string({_TOKENS.format(x='d.text')}, chr(31)) || chr(31), phrase) > 0) AS spot FROM bm JOIN a USING (qid) JOIN documents d ON d.doc_id = bm.p_id WHERE rank <= 20 GROUP BY qid)
+    SELECT k, count(*) FILTER (spot <= k)::BIGINT AS questions FROM h, range(1, 21) AS t(k) GROUP BY k"""
+)
+def answer_text_curve(spark, sf_dir):
+    """How many questions have their first four tokens in a passage among the first k by words."""
+    items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array(F.array_join(F.slice(T.simple_tokens(F.col("text")), 1, 4), " ")).alias("answers"))
+    texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_id"), "text")
+    return M.hit_curve(M.answered(worded(spark, sf_dir, 20), texts, items), 20)
+
+
 @query(f"WITH {SCORED}, b AS (SELECT qid, table_id, max(score) AS score FROM retr GROUP BY ALL) SELECT qid, table_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, table_id)::INT AS place FROM b")
 def table_scores(spark, sf_dir):
     return R.table_scores(retrieved(spark, sf_dir)).select("qid", "table_id", "score", "place")
@@ -1093,14 +1119,14 @@ _SOFT = "list_transform({x}, lambda v: exp(v{t}) / list_sum(list_transform({x},
 
 
 @query(
-    f"""WITH e AS (SELECT vec_id, embedding[1:8]::DOUBLE[] AS t, embedding[9:16]::DOUBLE[] AS s FROM embeddings),
+    f"""WITH e AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS t, embedding[33:64]::DOUBLE[] AS s FROM embeddings),
     p AS (SELECT vec_id, {_SOFT.format(x='t', t=' / 2')} AS pt, {_SOFT.format(x='s', t=' / 2')} AS ps, {_SOFT.format(x='s', t='')} AS s1 FROM e)
-    SELECT vec_id, round(0.7 * 4 * list_sum(list_transform(range(1, 9), lambda i: pt[i] * ln(pt[i] / ps[i]))) - 0.3 * ln(s1[3]), 6)::DOUBLE AS loss FROM p"""
+    SELECT vec_id, round(0.7 * 4 * list_sum(list_transform(range(1, 33), lambda i: pt[i] * ln(pt[i] / ps[i]))) - 0.3 * ln(s1[3]), 6)::DOUBLE AS loss FROM p"""
 )
 def distillation_loss(spark, sf_dir):
-    """A teacher's and a student's scores of eight passages."""
-    of = lambda lo: F.slice(F.col("embedding").cast("array<double>"), lo, 8)
-    return load(spark, sf_dir, "embeddings").select("vec_id", F.round(E.distillation_loss(of(1), of(9), 2.0, 0.7, F.lit(2)), 6).alias("loss"))
+    """A teacher's and a student's scores of 32 passages: the two halves of a vector."""
+    of = lambda lo: F.slice(F.col("embedding").cast("array<double>"), lo, 32)
+    return load(spark, sf_dir, "embeddings").select("vec_id", F.round(E.distillation_loss(of(1), of(33), 2.0, 0.7, F.lit(2)), 6).alias("loss"))
 
 
 @query("SELECT conv_id * 100 + turn AS sid, round(-(0.9 * ln(p) + 0.1 / 4 * (ln(p) + 3 * ln((1 - p) / 3))), 6) AS loss FROM (SELECT conv_id, turn, 0.5 + 0.4 * (turn % 5) / 5 AS p FROM conversations)")

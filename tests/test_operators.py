@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridseek.functions import text as T
+from gridseek.functions import udf
 from gridseek.operators import gold, metrics, profile, ranking, retrieval, sqlgen, triples
 from gridseek.sources import sinks, tables
 
@@ -176,3 +178,41 @@ def test_stream_ingests_each_row_once(spark, tmp_path, city):
 def test_index_options():
     assert retrieval.index_options(10)["lists"] == 1
     assert retrieval.index_options(2_000_000) == {"lists": 4096, "codes": 384, "train": 2_000_000}
+
+
+def test_common_length_like_the_table():
+    rng = random.Random(2)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    for _ in range(300):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(120))] for _ in range(2))
+        assert udf.common_length(a, b) == plain(a, b)
+
+
+def test_quantiles_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(profile, "BINS", 7)
+    rng = random.Random(3)
+    for values in ([5], [3, 3, 3], [rng.randrange(-900, 900) ** 3 for _ in range(400)], [1] * 50 + [10**9]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "size long")
+        row, got = profile.quantiles(df, [0.0, 0.1, 0.25, 0.5, 0.77, 1.0])
+        assert got == pytest.approx(np.quantile(values, [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]).tolist()) and row["n"] == len(values)
+    assert profile.quantiles(spark.createDataFrame([], "size int"), [0.5]) is None
+    assert profile.fences(spark.createDataFrame([], "size int")).first().hi is None
+
+
+def test_answers_in_texts(spark, monkeypatch):
+    retr = spark.createDataFrame([(q, r, p) for q in (1, 2, 3, 4) for r, p in enumerate((10, 11, 12, 13), 1)], "qid int, rank int, p_id int")
+    texts = spark.createDataFrame([(10, "The Nile, a river."), (11, "nile a"), (12, None), (13, "a a b"), (14, "not asked: river")], "p_id int, text string")
+    answers = spark.createDataFrame([(1, ["river", "none"]), (2, ["NILE, a"]), (3, ["a a", ""]), (5, ["x"])], "qid int, answers array<string>")
+    want = {(1, 10), (2, 10), (3, 13)}
+    for limit in (100, -1):
+        monkeypatch.setattr(metrics, "ANSWERS", limit)
+        got = metrics.answered(retr, texts, answers).collect()
+        assert {(r.qid, r.p_id) for r in got if r.correct} == want and len(got) == 16
