@@ -145,6 +145,17 @@ def without_span(x: Column, start: str, end: str) -> Column:
     return F.when(whole, F.concat(x.substr(F.lit(1), lo - 1), x.substr(hi, F.length(x)))).otherwise(x)
 
 
+def with_spans_replaced(x: Column, subject: Column, object_: Column, tags: tuple[str, str, str, str]) -> Column:
+    """The marked subject and object replaced by others, each from its first start tag to its last end tag. tags: start and end of the subject, then of the object.
+
+    A mark that is not there whole leaves its part as it is; a null replacement removes the span."""
+    for new, start, end in ((subject, *tags[:2]), (object_, *tags[2:])):
+        lo, hi = F.instr(x, start), F.length(x) - F.instr(F.reverse(x), F.lit(end[::-1])) + 2
+        whole = (lo > 0) & (F.instr(x, end) > 0) & (hi - len(end) >= lo + len(start))
+        x = F.when(whole, F.concat(x.substr(F.lit(1), lo - 1), F.coalesce(new, F.lit("")), x.substr(hi, F.length(x)))).otherwise(x)
+    return x
+
+
 def title_of_path(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.csv$", 1)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridseek.functions import text as T
+
 from gridseek.functions.vectors import kl_divergence, softmax
 from gridseek.operators.metrics import exact_match
 
@@ -87,6 +89,33 @@ def renumbered(kept: DataFrame, key: str = "p_id") -> DataFrame:
     return dense_ids(kept, [key], "new_id", 0)
 
 
+def renumbered_embeddings(embeddings: DataFrame, passages: DataFrame) -> DataFrame:
+    """(new_id, p_id, table_id, row, embedding): the vectors (p_id, embedding) of some passages (p_id, table_id, row), together by table and row, numbered from 0 without gaps."""
+    from gridseek.sources.tables import dense_ids
+
+    joined = passages.select("p_id", "table_id", "row").join(embeddings.select("p_id", "embedding"), "p_id")
+    return dense_ids(joined, ["table_id", "row", "p_id"], "new_id", 0).select("new_id", "p_id", "table_id", "row", "embedding")
+
+
+def with_gold_delta(passages: DataFrame, gold: DataFrame) -> DataFrame:
+    """passages (p_id, passage) with what the gold text (p_id, passage: the first passage and more) adds to them after the mark [G]; others stay as they are."""
+    longer = gold.select("p_id", F.col("passage").alias("_gold"))
+    more = F.when(F.startswith(F.col("_gold"), F.col("passage")), T.suffix_after(F.col("_gold"), F.col("passage")))
+    joined = passages.join(longer, "p_id", "left").withColumn("_more", more)
+    return joined.withColumn("passage", F.when(F.col("_more") != "", F.concat("passage", F.lit(" [G] "), "_more")).otherwise(F.col("passage"))).drop("_gold", "_more")
+
+
+def gaussian_divergence(mean: Column, spread: Column, prior_mean: float = 0.0, prior_spread: float = 1.0) -> Column:
+    """The Kullback-Leibler term of weights (arrays of means and standard deviations) against a normal prior: the sum over the weights."""
+    one = lambda m, s: F.log(F.lit(prior_spread) / s) + (s * s + (m - prior_mean) * (m - prior_mean)) / (2 * prior_spread * prior_spread) - 0.5
+    return F.aggregate(F.zip_with(mean, spread, one), F.lit(0.0), lambda total, x: total + x)
+
+
+def bayesian_loss(loss: Column, divergence: Column, batches: Column) -> Column:
+    """The loss of a batch with its share of the divergence."""
+    return loss + divergence / batches
+
+
 def graph_regulariser(vectors: DataFrame) -> DataFrame:
     """(qid, reg): mean inner product of the pairs of a question's table vectors; tables of one question are few."""
     from gridseek.functions.vectors import dot

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,9 +125,16 @@ def sampled_negatives(split: DataFrame, k: int, seed: str = "neg") -> DataFrame:
     return split.select("qid", F.get("pos", F.lit(0)).alias("pos"), drawn.alias("neg"))
 
 
-def coreset(questions: DataFrame, worth: Column, n: int) -> DataFrame:
-    """The n questions of most worth, a hook for choosing what to train on; ties go to the smaller qid."""
-    return questions.orderBy(F.desc(worth), "qid").limit(n)
+def coreset(questions: DataFrame, worth: Column | Callable[[DataFrame], DataFrame], n: int) -> DataFrame:
+    """The n questions to train on. worth: a column, of which the most are taken, ties to the smaller qid; or a strategy, from
+    the questions (qid among their columns) to those it chooses, of which the first n by its column `worth` are taken, or all if it gives none."""
+    if isinstance(worth, Column):
+        return questions.orderBy(F.desc(worth), "qid").limit(n)
+    chosen = worth(questions)
+    if "worth" not in chosen.columns:
+        return questions.join(chosen.select("qid").distinct(), "qid", "left_semi")
+    best = chosen.groupBy("qid").agg(F.max("worth").alias("worth")).orderBy(F.desc("worth"), "qid").limit(n)
+    return questions.join(best.select("qid"), "qid", "left_semi")
 
 
 def patience(history: DataFrame) -> DataFrame:

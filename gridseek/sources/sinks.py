@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridseek.operators.profile import shuffled_parts
@@ -55,6 +55,16 @@ def write_checked(df: DataFrame, path: str) -> int:
     return n
 
 
+def read_checked(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """An index read back, held against the ids (p_id) that it must have: each once, and no others."""
+    back = spark.read.parquet(path)
+    seen = back.groupBy("p_id").agg(F.count("*").alias("n")).join(ids.select("p_id").distinct().withColumn("known", F.lit(True)), "p_id", "full")
+    missing, foreign, twice = seen.agg(F.count_if(F.col("n").isNull()), F.count_if(F.col("known").isNull()), F.count_if(F.col("n") > 1)).first()
+    if missing or foreign or twice:
+        raise OSError(f"{path}: {missing} ids missing, {foreign} unknown, {twice} repeated")
+    return back
+
+
 def write_predictions(retr: DataFrame, questions: DataFrame, path: str) -> None:
     """JSON lines with parallel arrays in the order of score."""
     nested = retr.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "p_id", "passage", "table_id", "score"))).alias("c"))
@@ -77,12 +87,19 @@ def write_error_log(retr: DataFrame, questions: DataFrame, path: str) -> None:
 
 
 def write_query_files(queries: DataFrame, path: str) -> None:
-    """The query texts, one line each, and the records they belong to, both in the order of qid."""
+    """The query texts, one line each, the questions for them (if they have a `question`) likewise, and the records they belong to, all in the order of qid."""
     ordered = queries.repartitionByRange("qid").sortWithinPartitions("qid")
+    if "question" in queries.columns:
+        ordered.select(F.regexp_replace("question", r"[\r\n]", " ")).write.mode("overwrite").text(f"{path}/target")
     ordered.select(F.regexp_replace("sql_text", r"[\r\n]", " ")).write.mode("overwrite").text(f"{path}/source")
     ordered.write.mode("overwrite").json(f"{path}/meta")
 
 
+def write_splits(parts: DataFrame, path: str) -> None:
+    """The tables of each part (table_id, part), one line each in order of the id, in a folder for each part."""
+    parts.select("part", F.col("table_id").cast("string")).repartition("part").sortWithinPartitions("part", "table_id").write.mode("overwrite").partitionBy("part").text(path)
+
+
 def quoted_csv(columns: list[Column]) -> Column:
     """Every field in quotes, quotes doubled."""
     return F.concat_ws(",", *(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in columns))

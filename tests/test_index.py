@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridseek.config import Config
-from gridseek.operators import retrieval, scorer, words
+from gridseek.operators import growing, retrieval, scorer, words
 from gridseek.plans import catalogue as c
 from gridseek.plans import pipeline, training
 
@@ -183,3 +183,45 @@ def test_tables_that_have_no_more_to_ask(spark):
     rows = spark.createDataFrame([("t", "title", 0, ["a", "b"], ["x", "y"])], "table_id string, title string, row int, names array<string>, vals array<string>")
     with pytest.raises(ValueError, match="different questions"):
         pipeline.training_rounds(rows, 500)
+
+
+# ---- lists that grow
+
+
+def test_three_batches_are_as_good_as_one(spark, data, asked, tmp_path):
+    v = c.vectors(spark, data)
+    third = F.pmod(F.col("p_id"), F.lit(3))
+    index = growing.GrowingIndex.create(v.filter(third == 0), f"{tmp_path}/i", 6)
+    before = {r.list for r in index.centroids.collect()}
+    for part in (1, 2):
+        index.add(v.filter(third == part))
+    want = sorted(retrieval.flat_knn(v, asked, 10).collect())
+    assert sorted(index.search(asked, 10, 99).collect()) == want
+    drift = {r.list: r for r in index.drift().collect()}
+    assert sum(r.n for r in drift.values()) == v.count() and set(drift) == before and all(r.drift is not None for r in drift.values())
+    most = sorted(r.n for r in drift.values())[-2] - 1
+    least = sorted(r.n for r in drift.values())[0] + 1
+    done = index.rebalance(most, least)
+    assert done["split"] >= 2 and done["merged"] >= 1
+    after = {r.list: r.n for r in index.lists.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    assert sum(after.values()) == v.count() and len(set(after) - before) >= 4
+    assert sorted(index.search(asked, 10, 99).collect()) == want
+    assert index.rebalance(10**9) == {"split": 0, "merged": 0}
+
+
+def test_a_rewriting_that_is_lost_midway_changes_nothing(spark, data, asked, tmp_path, monkeypatch):
+    v = c.vectors(spark, data)
+    index = growing.GrowingIndex.create(v, f"{tmp_path}/i", 4)
+    want = sorted(index.search(asked, 10, 99).collect())
+
+    def lost(*a):
+        raise RuntimeError("lost")
+
+    written = growing.GrowingIndex._written
+    with monkeypatch.context() as m:  # all is written, but not yet valid
+        m.setattr(growing.GrowingIndex, "_written", lambda *a: (written(*a), lost()))
+        with pytest.raises(RuntimeError):
+            index.rebalance(50)
+    assert index.version == 0 and sorted(index.search(asked, 10, 99).collect()) == want
+    index.rebalance(50)
+    assert index.version == 1 and sorted(index.search(asked, 10, 99).collect()) == want

@@ -2,6 +2,7 @@
 
 import glob
 import json
+import math
 import random
 import re
 
@@ -258,3 +259,46 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
 def test_best_metric_of_a_run(spark):
     runs = spark.createDataFrame([(1, 1, 5.0, 1.0), (1, 2, 6.0, 0.0), (1, 3, 6.0, 2.0)], "run int, step int, p1 double, p5 double")
     assert metrics.best_step(runs).first().step == 3
+
+
+def test_ids_of_an_index_are_checked(spark, tmp_path):
+    ids = spark.range(5).withColumnRenamed("id", "p_id")
+    ids.withColumn("x", F.lit(1)).write.parquet(f"{tmp_path}/i")
+    assert sinks.read_checked(spark, f"{tmp_path}/i", ids).count() == 5
+    for other, why in ((spark.range(6), "1 ids missing"), (spark.range(4), "1 unknown")):
+        with pytest.raises(OSError, match=why):
+            sinks.read_checked(spark, f"{tmp_path}/i", other.withColumnRenamed("id", "p_id"))
+    ids.withColumn("x", F.lit(2)).limit(1).write.mode("append").parquet(f"{tmp_path}/i")
+    with pytest.raises(OSError, match="1 repeated"):
+        sinks.read_checked(spark, f"{tmp_path}/i", ids)
+
+
+def test_split_and_target_files(spark, tmp_path):
+    sinks.write_splits(spark.createDataFrame([("b", "train"), ("a", "train"), ("c", "dev")], "table_id string, part string"), f"{tmp_path}/s")
+    read = lambda p: [x for f in sorted(glob.glob(f"{tmp_path}/{p}/part-*")) for x in open(f).read().splitlines()]
+    assert read("s/part=train") == ["a", "b"] and read("s/part=dev") == ["c"]
+    sinks.write_query_files(spark.createDataFrame([("1", "SELECT a", "what\nis a ?"), ("0", "SELECT b", "b ?")], "qid string, sql_text string, question string"), f"{tmp_path}/q")
+    assert read("q/source") == ["SELECT b", "SELECT a"] and read("q/target") == ["b ?", "what is a ?"]
+
+
+def test_marked_spans_gold_delta_and_embeddings(spark):
+    tags = ("[S]", "[/S]", "[O]", "[/O]")
+    rows = [("a [S]x[/S] b [O]y [O]z[/O] c", "1", "2", "a 1 b 2 c"), ("a [S]x b", "1", "2", "a [S]x b"), ("[O]y[/O][S][/S]", "1", None, "1"), (None, "1", "2", None)]
+    got = spark.createDataFrame(rows, "x string, s string, o string, want string").select("want", T.with_spans_replaced(F.col("x"), F.col("s"), F.col("o"), tags).alias("got")).collect()
+    assert all(r.got == r.want for r in got)
+    p = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "d"), (4, "e")], "p_id int, passage string")
+    g = spark.createDataFrame([(1, "a b . more . here"), (2, "c"), (4, "other")], "p_id int, passage string")
+    assert {r.p_id: r.passage for r in examples.with_gold_delta(p, g).collect()} == {1: "a b [G] more . here", 2: "c", 3: "d", 4: "e"}
+    e = spark.createDataFrame([(i, [float(i)]) for i in range(6)], "p_id int, embedding array<double>")
+    meta = spark.createDataFrame([(5, "t", 0), (1, "t", 1), (3, "a", 2), (0, "t", 0)], "p_id int, table_id string, row int")
+    assert [(r.new_id, r.p_id, r.embedding) for r in sorted(examples.renumbered_embeddings(e, meta).collect())] == [(0, 3, [3.0]), (1, 0, [0.0]), (2, 5, [5.0]), (3, 1, [1.0])]
+
+
+def test_divergence_and_strategies(spark):
+    row = spark.createDataFrame([([0.5, -1.0], [0.2, 2.0])], "m array<double>, s array<double>")
+    kl = sum(math.log(1 / s) + (s * s + m * m) / 2 - 0.5 for m, s in ((0.5, 0.2), (-1.0, 2.0)))
+    assert row.select(examples.bayesian_loss(F.lit(1.5), examples.gaussian_divergence(F.col("m"), F.col("s")), F.lit(4)).alias("x")).first().x == pytest.approx(1.5 + kl / 4)
+    q = spark.createDataFrame([(i, i % 3) for i in range(9)], "qid int, x int")
+    assert [r.qid for r in ranking.coreset(q, F.col("x"), 2).collect()] == [2, 5]
+    assert sorted(r.qid for r in ranking.coreset(q, lambda d: d.filter("x = 1"), 1).collect()) == [1, 4, 7]
+    assert sorted(r.qid for r in ranking.coreset(q, lambda d: d.select("qid", (-F.col("qid")).alias("worth")), 3).collect()) == [0, 1, 2]
