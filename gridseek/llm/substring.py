@@ -9,8 +9,9 @@ all but the first are reported. Hashes only order the windows: equality is decid
 Before anything travels, each block of texts settles what it can alone: a window that starts earlier in
 the same block is a repeat whatever the others hold, so a block sends each distinct window once. A
 passage that a third of all documents share reaches its bucket once per block, not once per document. A
-minimiser that still comes very often has several first buckets, by document; what they leave meets in its
-last one. The number of buckets follows the words that travel. The reports come back as word ranges, keyed
+minimiser that still comes very often has several first buckets, by document; the windows that they leave are
+dealt one by one, by a hash of their words, to several last ones, so a phrase that very many different texts share
+fills no bucket. The number of buckets follows the words that travel. The reports come back as word ranges, keyed
 by document, and meet the texts in one join.
 
 Cases: null text has no words; words differ if any byte differs; rows with one doc_id count as one
@@ -25,10 +26,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseek.llm.common import Block, Hasher, U64, blocks, mix, small_batches, stored
+from gridseek.llm.links import attached
 
 K, M = 20, 6
 BLOCK = 2 << 20
@@ -36,8 +38,8 @@ BLOCK = 2 << 20
 BUCKET_WORDS = 1 << 20
 #: Buckets for each shuffle partition, at least.
 BUCKETS_PER_PARTITION = 4
-#: Super-k-mers of one minimiser beyond which it has several first buckets.
-HEAVY = 4096
+#: Super-k-mers of one minimiser beyond which it has several first buckets, and last ones for each of these.
+HEAVY, LAST = 4096, 8
 #: Document keys up to this many (16 bytes each) are broadcast, so that other texts needn't be shuffled.
 BROADCAST_ROWS = 2_000_000
 _UP, _STEP = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
@@ -191,18 +193,18 @@ def scan_block(part: pa.RecordBatch, block: Block, k: int, m: int) -> Iterator[p
     )
 
 
-SENT = "bucket long, key long, blob binary"
+SENT = "bucket long, key long, salts int, blob binary"
 
 
-def _sent(rows: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
-    bucket, key, blob = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(key, pa.int64()), pa.array(blob, pa.binary())], names=["bucket", "key", "blob"])
+def _sent(rows: list[tuple[int, int | None, int | None, bytes]]) -> pa.RecordBatch:
+    bucket, key, salts, blob = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(key, pa.int64()), pa.array(salts, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "key", "salts", "blob"])
 
 
 def pack_block(part: pa.RecordBatch, block: Block, k: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """The wanted super-k-mers of a block of (id, row_hash, text, kmers), a string for each bucket.
 
-    A heavy minimiser's go to one of its `salts` first buckets, by document, in strings of their own that carry it."""
+    A heavy minimiser's go to one of its `salts` first buckets, by document, in strings of their own that carry it and their number."""
     lists = part.column(3)
     owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
     flat = lists.flatten()
@@ -223,20 +225,20 @@ def pack_block(part: pa.RecordBatch, block: Block, k: int, buckets: int) -> Iter
         return [block.buf[s:e].tobytes() for s, e in zip(block.starts[at], block.ends[at], strict=True)]
 
     for lo in range(0, len(groups), 256):
-        yield _sent([(int(bucket[i[0]]), int(key[i[0]]) if heavy[i[0]] else None, pack(numbers, spell, begin[i], size[i], ids[i], hashes[i], start[i])) for i in groups[lo : lo + 256] if len(i)])
+        yield _sent([(int(bucket[i[0]]), *((int(key[i[0]]), int(salts[i[0]])) if heavy[i[0]] else (None, None)), pack(numbers, spell, begin[i], size[i], ids[i], hashes[i], start[i])) for i in groups[lo : lo + 256] if len(i)])
 
 
-def settle_bucket(blobs: list[bytes], k: int, keys: list[int | None], buckets: int) -> tuple[tuple[list, list, list], list[tuple[int, int | None, bytes]]]:
-    """The windows of a bucket that aren't the first of their kind, by document, and those that are of a heavy minimiser, packed again for its last bucket."""
+def settle_bucket(blobs: list[bytes], k: int, keys: list[tuple[int | None, int | None]], buckets: int) -> tuple[tuple[list, list, list], list[tuple[int, bytes]]]:
+    """The windows of a bucket that aren't the first of their kind, by document, and those that are of a heavy minimiser (key, salts), packed again for its last buckets."""
     vocabulary: dict[bytes, int] = {}
     parts, heavy = [], []
-    for blob, key in zip(blobs, keys, strict=True):
+    for blob, (key, salts) in zip(blobs, keys, strict=True):
         ids, hashes, start, size, code, words = unpack(blob)
         number = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words))
         parts.append((ids, hashes, start, size, number[code].astype(np.int32)))
-        heavy.append((np.full(len(ids), key or 0), np.full(len(ids), key is not None)))
+        heavy.append((np.full(len(ids), key or 0), np.full(len(ids), salts or 0)))
     ids, hashes, start, size, words = (np.concatenate(x) for x in zip(*parts, strict=True))
-    key, marked = (np.concatenate(x) for x in zip(*heavy, strict=True))
+    key, salts = (np.concatenate(x) for x in zip(*heavy, strict=True))
     size = size.astype(np.int64)
     base = np.cumsum(size) - size
     n = size - k + 1
@@ -246,17 +248,19 @@ def settle_bucket(blobs: list[bytes], k: int, keys: list[int | None], buckets: i
     rank = np.unique(ids, return_inverse=True)[1]
     repeat = not_first(words, base[piece] + nth, rank[piece].astype(np.int64) << 32 | begins, k)
     again = []
-    go = np.flatnonzero(~repeat & marked[piece])
+    go = np.flatnonzero(~repeat & (salts[piece] > 0))
     if len(go):
         known = list(vocabulary)
-        edge = np.flatnonzero(np.concatenate([[True], (go[1:] != go[:-1] + 1) | (piece[go[1:]] != piece[go[:-1]])]))
-        lead, length = go[edge], np.diff(np.append(edge, len(go))) + k - 1
-        of = piece[lead]
-        order = np.argsort(key[of], kind="stable")
-        for i in np.split(order, np.flatnonzero(np.diff(key[of][order])) + 1):
-            own = int(key[of[i[0]]])
-            blob = pack(words, lambda at: [known[x] for x in words[at]], (base[piece] + nth)[lead[i]], length[i], ids[of[i]], hashes[of[i]], begins[lead[i]])
-            again.append((int(mix(np.array([own]).view(U64))[0] % U64(buckets)), None, blob))
+        sizes = np.array([len(w) for w in known])
+        ends = np.cumsum(sizes)
+        word = Hasher(np.frombuffer(b"".join(known), np.uint8)).spans(ends - sizes, ends)[words]
+        at, of = (base[piece] + nth)[go], piece[go]
+        deal = window_hashes(word, k)[at] % (LAST * salts[of]).astype(U64)  # equal windows have equal words
+        bucket = (mix(key[of].view(U64) + (deal + U64(1)) * _UP) % U64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        for i in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            blob = pack(words, lambda spots: [known[x] for x in words[spots]], at[i], np.full(len(i), k), ids[of[i]], hashes[of[i]], begins[go[i]])
+            again.append((int(bucket[i[0]]), blob))
     gone = piece[repeat]
     return _report(ids[gone], hashes[gone], begins[repeat], k), again
 
@@ -277,8 +281,9 @@ def repeated_ranges(docs: DataFrame, k: int = K, m: int = M, heavy: int = HEAVY)
 
     scanned = stored(docs.select("id", "row_hash", "text").mapInArrow(scan, SCANNED))
     kmers = scanned.filter("key IS NOT NULL").select("key", "id", "row_hash", "start", "windows")
-    # a block sends a window once, so a key comes from each block a few times at most
-    again = kmers.withColumn("times", F.count("*").over(Window.partitionBy("key"))).filter("times > 1")
+    # a block sends a window once, so a key comes from each block a few times at most; the most frequent keys are joined apart
+    often = stored(kmers.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    again = attached(kmers, often, "key").withColumnRenamed("size", "times")
     one = F.struct("key", "start", "windows", F.ceil(F.col("times") / heavy).cast("int").alias("salts"))
     wanted = stored(again.groupBy("id", "row_hash").agg(F.collect_list(one).alias("kmers"), F.sum(F.col("windows") + k - 1).alias("words"), F.max(F.col("times") > heavy).alias("heavy")))
     words, any_heavy = wanted.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("heavy"), F.lit(False))).first()
@@ -289,7 +294,7 @@ def repeated_ranges(docs: DataFrame, k: int = K, m: int = M, heavy: int = HEAVY)
             yield from pack_block(part, block, k, buckets)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, int | None]] = []
+        held: list[tuple[bytes, tuple[int | None, int | None]]] = []
         now = None
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -298,18 +303,18 @@ def repeated_ranges(docs: DataFrame, k: int = K, m: int = M, heavy: int = HEAVY)
             (ids, hashes, spans), later = settle_bucket([x for x, _ in held], k, [x for _, x in held], buckets)
             held.clear()
             n, rest = len(ids), len(later)
-            to, key, blob = ([x[i] for x in later] for i in range(3))
-            none = [None] * n
-            columns = [ids + [None] * rest, hashes + [None] * rest, spans + [None] * rest, none + to, none + key, none + blob]
+            none = [None] * (n + rest)
+            columns = [ids + [None] * rest, hashes + [None] * rest, spans + [None] * rest, [None] * n + [x for x, _ in later], none, none, [None] * n + [x for _, x in later]]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             if n + rest:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i in (2, 5) else pa.int64()) for i, x in enumerate(columns)], names=["id", "row_hash", "ranges", "bucket", "key", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["id", "row_hash", "ranges", "bucket", "key", "salts", "blob"])
 
         for batch in batches:
-            for bucket, key, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, key, salts, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != now:
                     yield from close()
                     now = bucket
-                held.append((blob, key))
+                held.append((blob, (key, salts)))
         yield from close()
 
     def settled(strings: DataFrame) -> DataFrame:
@@ -319,9 +324,9 @@ def repeated_ranges(docs: DataFrame, k: int = K, m: int = M, heavy: int = HEAVY)
     # only texts that hold such a window are shuffled
     source = docs if keys is None else docs.join(keys, ["id", "row_hash"], "left_semi")
     found = settled(source.join(wanted.drop("words", "heavy"), ["id", "row_hash"]).select("id", "row_hash", "text", "kmers").mapInArrow(send, SENT))
-    if any_heavy:  # what the first buckets of a heavy minimiser leave meets in its last one
+    if any_heavy:  # what the first buckets of a heavy minimiser leave meets in its last ones
         found = stored(found)
-        found = found.filter("bucket IS NULL").union(settled(found.filter("bucket IS NOT NULL").select("bucket", "key", "blob")))
+        found = found.filter("bucket IS NULL").union(settled(found.filter("bucket IS NOT NULL").select("bucket", "key", "salts", "blob")))
     return found.select("id", "row_hash", "ranges").union(scanned.filter("key IS NULL").select("id", "row_hash", "ranges"))
 
 

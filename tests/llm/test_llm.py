@@ -265,6 +265,25 @@ def test_heavy_minimisers_have_several_first_buckets(spark, docs, corpus, monkey
     assert collections.Counter(map(tuple, got)) == plain_repeats(rows, 20)
 
 
+def test_a_common_phrase_in_different_texts_fills_no_bucket():
+    """Each text holds one phrase among other words: as many different windows of one minimiser as texts."""
+    rng, k = random.Random(4), 20
+    phrase = [f"p{j}" for j in range(6)]
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(17)] + phrase + [f"w{rng.randrange(10**6)}" for _ in range(17)] for _ in range(400)]
+    blobs = []
+    for i, text in enumerate(texts):
+        known = sorted(set(text))
+        numbers = np.array([known.index(w) for w in text])
+        one = lambda x: np.array([x])
+        blobs.append(substring.pack(numbers, lambda at, t=text: [t[j].encode() for j in at], one(0), one(len(text)), one(i), one(0), one(0)))
+    (ids, _, _), later = substring.settle_bucket(blobs, k, [(77, 16)] * 400, 1000)
+    assert not ids
+    windows = [len(substring.unpack(b)[0]) for _, b in later]
+    assert sum(windows) == 400 * (40 - k + 1) and len(later) > 100 and max(windows) < 3 * np.median(windows)
+    again, rest = substring.settle_bucket([b for _, b in later] * 2, k, [(None, None)] * 2 * len(later), 1000)
+    assert not rest and not again[0]  # equal (id, start): neither is earlier
+
+
 def test_a_text_of_millions_of_characters(spark):
     rng = random.Random(9)
     page = prose(rng, 90_000)
