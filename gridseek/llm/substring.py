@@ -26,11 +26,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseek.llm.common import Block, Hasher, U64, blocks, mix, small_batches, stored
-from gridseek.llm.links import attached
 
 K, M = 20, 6
 BLOCK = 2 << 20
@@ -40,6 +39,8 @@ BUCKET_WORDS = 1 << 20
 BUCKETS_PER_PARTITION = 4
 #: Super-k-mers of one minimiser beyond which it has several first buckets, and last ones for each of these.
 HEAVY, LAST = 4096, 8
+#: One document in so many is looked at for very frequent minimisers; those that hold a larger share than 1 in HOT_KEYS are counted apart.
+SAMPLED, HOT_KEYS = 64, 1000
 #: Document keys up to this many (16 bytes each) are broadcast, so that other texts needn't be shuffled.
 BROADCAST_ROWS = 2_000_000
 _UP, _STEP = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
@@ -270,6 +271,21 @@ def few(rows: DataFrame) -> DataFrame | None:
     return F.broadcast(rows.select("id", "row_hash")) if rows.count() <= BROADCAST_ROWS else None
 
 
+def _with_times(kmers: DataFrame) -> DataFrame:
+    """kmers with the rows of their key. A block sends a window once, so a key comes from each block a few times at most.
+
+    The few keys that would still fill a task (found by a sample, so that the others are shuffled once) are counted by an
+    aggregate and joined back; whether a key is among them changes no count."""
+    sample = kmers.filter(F.pmod(F.xxhash64("id", "row_hash"), F.lit(SAMPLED)) == 0)
+    common = sample.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > max(64, sample.count() // HOT_KEYS)).select("key").collect()  # fewer than HOT_KEYS
+    counted = lambda df: df.withColumn("times", F.count("*").over(Window.partitionBy("key")))
+    if not common:
+        return counted(kmers)
+    keys = F.broadcast(kmers.sparkSession.createDataFrame(common, "key long"))
+    own = kmers.join(keys, "key", "left_semi")
+    return counted(kmers.join(keys, "key", "left_anti")).union(own.join(F.broadcast(own.groupBy("key").agg(F.count("*").alias("times"))), "key"))
+
+
 def repeated_ranges(docs: DataFrame, k: int = K, m: int = M, heavy: int = HEAVY) -> DataFrame:
     """(id, row_hash, ranges): word ranges to remove, as little-endian pairs of 32-bit numbers. docs: id, row_hash, text."""
     small_batches(docs.sparkSession)
@@ -281,9 +297,7 @@ def repeated_ranges(docs: DataFrame, k: int = K, m: int = M, heavy: int = HEAVY)
 
     scanned = stored(docs.select("id", "row_hash", "text").mapInArrow(scan, SCANNED))
     kmers = scanned.filter("key IS NOT NULL").select("key", "id", "row_hash", "start", "windows")
-    # a block sends a window once, so a key comes from each block a few times at most; the most frequent keys are joined apart
-    often = stored(kmers.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
-    again = attached(kmers, often, "key").withColumnRenamed("size", "times")
+    again = _with_times(kmers).filter("times > 1")
     one = F.struct("key", "start", "windows", F.ceil(F.col("times") / heavy).cast("int").alias("salts"))
     wanted = stored(again.groupBy("id", "row_hash").agg(F.collect_list(one).alias("kmers"), F.sum(F.col("windows") + k - 1).alias("words"), F.max(F.col("times") > heavy).alias("heavy")))
     words, any_heavy = wanted.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("heavy"), F.lit(False))).first()

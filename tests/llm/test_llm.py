@@ -265,6 +265,16 @@ def test_heavy_minimisers_have_several_first_buckets(spark, docs, corpus, monkey
     assert collections.Counter(map(tuple, got)) == plain_repeats(rows, 20)
 
 
+def test_frequent_keys_are_counted_apart(spark, monkeypatch):
+    rows = [(i, i * 7, 5 if i % 3 else i, 0, 1) for i in range(3000)] + [(i, 1, 8, 0, 1) for i in range(2)]
+    kmers = spark.createDataFrame(rows, "id long, row_hash long, key long, start int, windows int")
+    want = collections.Counter(r[2] for r in rows)
+    for share in (64, 1, 10**9):
+        monkeypatch.setattr(substring, "SAMPLED", share)
+        got = substring._with_times(kmers).select("id", "key", "times").collect()
+        assert len(got) == len(rows) and all(r.times == want[r.key] for r in got)
+
+
 def test_a_common_phrase_in_different_texts_fills_no_bucket():
     """Each text holds one phrase among other words: as many different windows of one minimiser as texts."""
     rng, k = random.Random(4), 20
