@@ -248,8 +248,8 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert {x["table_id"] for x in lines(tmp_path / "r")} == {"T0", "T1", "T2"}
     cli.main(["test", "--work", work, "--questions", f"{tmp_path}/q.jsonl", "--out", f"{tmp_path}/t"])
     assert "100.0" in capsys.readouterr().out
-    cli.main(["retrieve", "--work", work, "--questions", f"{tmp_path}/q.jsonl", "--out", f"{tmp_path}/w", "--by", "words", "--n-docs", "2", "--max-retr", "2"])
-    assert lines(tmp_path / "w")[0]["table_id"] == "T1" and len(lines(tmp_path / "w")) <= 2
+    cli.main(["retrieve", "--work", work, "--questions", f"{tmp_path}/q.jsonl", "--out", f"{tmp_path}/by_words", "--by", "words", "--n-docs", "2", "--max-retr", "2"])
+    assert lines(tmp_path / "by_words")[0]["table_id"] == "T1" and len(lines(tmp_path / "by_words")) <= 2
     cli.main(["train", "--work", work, "--questions", "5", "--dev-questions", "3", "--rounds", "1"])
     assert spark.read.parquet(f"{work}/train/round-0/questions").count() == 5 and "round 0: precision" in capsys.readouterr().out
     with pytest.raises(SystemExit):
