@@ -106,22 +106,29 @@ def _grams(tokens: Column, n: int, sep: str) -> Column:
     return F.transform(spots, lambda i: F.array_join(F.slice(tokens, i, n), sep))
 
 
-def _gram_counts(texts: DataFrame, column: str, n: int, sep: str, keys: list[str]) -> DataFrame:
-    return texts.select(*keys, F.explode(_grams(F.col(column), n, sep)).alias("g")).groupBy(*keys, "g").agg(F.count("*").alias("c"))
+def _grams_of(side: int, tokens: Column, orders: range, sep: str, first: int = 0) -> Column:
+    """Array of (side, o, g): the n-grams of several orders, `o` numbered from `first`."""
+
+    def of(n: int, o: int) -> Column:
+        return F.transform(_grams(tokens, n, sep), lambda g: F.struct(F.lit(side).alias("side"), F.lit(o).alias("o"), g.alias("g")))
+
+    return F.flatten(F.array(*(of(n, first + i) for i, n in enumerate(orders))))
+
+
+def _gram_counts(texts: DataFrame, grams: Column, keys: list[str]) -> DataFrame:
+    """(*keys, o, g, c, m): how often each n-gram is on side 0 and on side 1. The texts are shuffled once, by their id, not their n-grams."""
+    each = texts.select(*keys, F.explode(grams).alias("x")).select(*keys, "x.*")
+    return each.groupBy(*keys, "o", "g").agg(F.count(F.when(F.col("side") == 0, 1)).alias("c"), F.count(F.when(F.col("side") == 1, 1)).alias("m"))
 
 
 def bleu4(pairs: DataFrame) -> DataFrame:
-    """One row: bleu over all sentences. pairs: sid, hyp, refs (array of texts). Counts are clipped by the reference that
+    """One row: bleu over all sentences. pairs: sid (unique), hyp, refs (array of texts). Counts are clipped by the reference that
     has most; the reference length is the closest, the shorter of two."""
-    p = pairs.select("sid", T.words(F.col("hyp")).alias("h"), F.transform("refs", T.words).alias("rs"))
-    refs = p.select("sid", F.posexplode("rs").alias("k", "r"))
-    stats = []
-    for n in range(1, 5):
-        hyp = _gram_counts(p, "h", n, " ", ["sid"])
-        ref = _gram_counts(refs, "r", n, " ", ["sid", "k"]).groupBy("sid", "g").agg(F.max("c").alias("m"))
-        stats.append(hyp.join(ref, ["sid", "g"], "left").agg(F.sum(F.least("c", F.coalesce("m", F.lit(0)))).alias("hit"), F.sum("c").alias("all")).select(F.lit(n).alias("n"), "hit", "all"))
-    every = stats[0].union(stats[1]).union(stats[2]).union(stats[3])
-    mean = every.agg(F.sum(F.log(F.col("hit") / F.col("all"))).alias("logs"), F.min("hit").alias("least"))
+    p = pairs.repartition("sid").select("sid", T.words(F.col("hyp")).alias("h"), F.transform("refs", T.words).alias("rs"))
+    sides = p.select("sid", "h", F.posexplode_outer("rs").alias("k", "r"))
+    grams = F.concat(_grams_of(0, F.col("h"), range(1, 5), " "), _grams_of(1, F.coalesce("r", F.array().cast("array<string>")), range(1, 5), " "))
+    most = _gram_counts(sides, grams, ["sid", "k"]).groupBy("sid", "o", "g").agg(F.max("c").alias("c"), F.max("m").alias("m")).filter("c > 0")
+    mean = most.groupBy("o").agg(F.sum(F.least("c", "m")).alias("hit"), F.sum("c").alias("all")).agg(F.sum(F.log(F.col("hit") / F.col("all"))).alias("logs"), F.min("hit").alias("least"))
     closest = F.array_min(F.transform("rs", lambda r: F.struct(F.abs(F.size(r) - F.size("h")).alias("d"), F.size(r).alias("n"))))["n"]
     lengths = p.agg(F.sum(F.size("h")).alias("hl"), F.sum(closest).alias("rl"))
     penalty = F.when(F.col("hl") < F.col("rl"), 1 - F.col("rl") / F.col("hl")).otherwise(0.0)
@@ -129,16 +136,16 @@ def bleu4(pairs: DataFrame) -> DataFrame:
 
 
 def chrf(pairs: DataFrame, char_n: int = 6, word_n: int = 2, beta: float = 2.0) -> DataFrame:
-    """(sid, chrf): mean over character and word n-gram orders of precision and recall, as F-beta; the best of the references."""
-    base = pairs.select("sid", "hyp", F.posexplode("refs").alias("k", "ref"))
-    total = None
-    for unit, n in [("c", i) for i in range(1, char_n + 1)] + [("w", i) for i in range(1, word_n + 1)]:
-        cut = (lambda x: F.filter(F.split(F.regexp_replace(x, r"\s+", ""), ""), lambda t: t != "")) if unit == "c" else T.words
-        side = base.select("sid", "k", cut(F.col("hyp")).alias("h"), cut(F.col("ref")).alias("r"))
-        h = _gram_counts(side, "h", n, "\x01", ["sid", "k"])
-        r = _gram_counts(side, "r", n, "\x01", ["sid", "k"]).withColumnRenamed("c", "m")
-        both = h.join(r, ["sid", "k", "g"], "full").groupBy("sid", "k").agg(F.sum(F.least(F.coalesce("c", F.lit(0)), F.coalesce("m", F.lit(0)))).alias("hit"), F.sum(F.coalesce("c", F.lit(0))).alias("hn"), F.sum(F.coalesce("m", F.lit(0))).alias("rn"))
-        total = both if total is None else total.union(both)
+    """(sid, chrf): mean over character and word n-gram orders of precision and recall, as F-beta; the best of the references. pairs: sid (unique), hyp, refs."""
+    base = pairs.repartition("sid").select("sid", "hyp", F.posexplode("refs").alias("k", "ref"))
+    letters = lambda x: F.filter(F.split(F.regexp_replace(x, r"\s+", ""), ""), lambda t: t != "")
+    side = base.select("sid", "k", letters(F.col("hyp")).alias("hc"), letters(F.col("ref")).alias("rc"), T.words(F.col("hyp")).alias("hw"), T.words(F.col("ref")).alias("rw"))
+    chars, words = range(1, char_n + 1), range(1, word_n + 1)
+    grams = F.concat(
+        *(_grams_of(i, F.col(f"{x}c"), chars, "\x01") for i, x in enumerate("hr")),
+        *(_grams_of(i, F.col(f"{x}w"), words, "\x01", char_n) for i, x in enumerate("hr")),
+    )
+    total = _gram_counts(side, grams, ["sid", "k"]).groupBy("sid", "k", "o").agg(F.sum(F.least("c", "m")).alias("hit"), F.sum("c").alias("hn"), F.sum("m").alias("rn"))
     share = lambda n: F.when(F.col(n) > 0, F.col("hit") / F.col(n))
     mean = total.groupBy("sid", "k").agg(F.avg(share("hn")).alias("p"), F.avg(share("rn")).alias("r"))
     b = beta * beta
@@ -147,11 +154,12 @@ def chrf(pairs: DataFrame, char_n: int = 6, word_n: int = 2, beta: float = 2.0)
 
 
 def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
-    """(sid, precision, recall, f1) of word n-grams against one reference: pairs is sid, hyp, ref."""
-    side = pairs.select("sid", T.words(F.lower("hyp")).alias("h"), T.words(F.lower("ref")).alias("r"))
-    h, r = _gram_counts(side, "h", n, " ", ["sid"]), _gram_counts(side, "r", n, " ", ["sid"]).withColumnRenamed("c", "m")
-    both = h.join(r, ["sid", "g"], "full").groupBy("sid").agg(F.sum(F.least(F.coalesce("c", F.lit(0)), F.coalesce("m", F.lit(0)))).alias("hit"), F.sum("c").alias("hn"), F.sum("m").alias("rn"))
-    p, q = F.coalesce(F.col("hit") / F.col("hn"), F.lit(0.0)), F.coalesce(F.col("hit") / F.col("rn"), F.lit(0.0))
+    """(sid, precision, recall, f1) of word n-grams against one reference: pairs is sid (unique), hyp, ref."""
+    side = pairs.repartition("sid").select("sid", T.words(F.lower("hyp")).alias("h"), T.words(F.lower("ref")).alias("r"))
+    grams = F.concat(_grams_of(0, F.col("h"), range(n, n + 1), " "), _grams_of(1, F.col("r"), range(n, n + 1), " "))
+    both = _gram_counts(side, grams, ["sid"]).groupBy("sid").agg(F.sum(F.least("c", "m")).alias("hit"), F.sum("c").alias("hn"), F.sum("m").alias("rn"))
+    share = lambda k: F.when(F.col(k) > 0, F.col("hit") / F.col(k)).otherwise(0.0)
+    p, q = share("hn"), share("rn")
     return both.select("sid", F.round(p, 6).alias("precision"), F.round(q, 6).alias("recall"), F.round(F.when(p + q > 0, 2 * p * q / (p + q)).otherwise(0.0), 6).alias("f1"))
 
 

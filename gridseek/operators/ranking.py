@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,9 +70,15 @@ def reranked(retr: DataFrame, new_score: str, top: int | None = None) -> DataFra
 
 
 def table_max(features: DataFrame, vector: str = "features") -> DataFrame:
-    """Each passage with the elementwise maximum over the passages of its table: (qid, table_id, dim, top) joined back."""
-    dims = features.select("qid", "table_id", "p_id", F.posexplode(vector).alias("dim", "x"))
-    return dims.withColumn("top", F.max("x").over(Window.partitionBy("qid", "table_id", "dim")))
+    """Each passage with `top`, the elementwise maximum over the passages of its table: one vector a passage is aggregated, not a row a component."""
+    most = features.groupBy("qid", "table_id").agg(vector_to_array(Summarizer.max(array_to_vector(F.col(vector).cast("array<double>")))).alias("top"))
+    return features.join(most, ["qid", "table_id"])
+
+
+def mean_pooled(vectors: DataFrame, key: str, vector: str, mask: Column) -> DataFrame:
+    """(key, mean): the mean of the vectors whose mask is 1, summed where they lie before they are shuffled; a key without any is left out."""
+    used = vectors.filter(mask == 1)
+    return used.groupBy(key).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))).alias("mean"))
 
 
 def ensemble(scores: DataFrame) -> DataFrame:

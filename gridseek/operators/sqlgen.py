@@ -13,6 +13,12 @@ from gridseek.functions import text as T
 from gridseek.sources.tables import dense_ids
 
 
+#: Rows that a draw names before it goes through its whole table.
+ATTEMPTS = 8
+#: Parts of a table's rows where queries without an equality on text meet all of them.
+PARTS = 16
+
+
 def _draw(what: str, seed: str) -> Column:
     """A number below 2^40 for a named choice of draw `i`."""
     return F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.lit(what), F.col("i").cast("string"))), 1, 10), 16, 10).cast("long")
@@ -24,6 +30,22 @@ def _ordered(items: Column, what: str, seed: str) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["x"])
 
 
+def _drawn_rows(d: DataFrame, rows: DataFrame, seed: str) -> DataFrame:
+    """(i, row, vals): for each draw a row of its table whose cells at `at` are all filled, each as likely as the others.
+
+    A draw names ATTEMPTS row numbers and takes the first that will do, so it meets single rows, not its whole table.
+    Only draws of which none will do (mostly empty columns) go through the table: the least by md5."""
+    place = lambda j: F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.lit("row"), F.col("i").cast("string"), j.cast("string"))), 1, 10), 16, 10).cast("long")
+    filled = F.forall("at", lambda c: F.coalesce(F.get("vals", c), F.lit("")) != "")
+    slim = rows.select("table_id", F.col("row").cast("long").alias("row"), "vals")
+    sized = d.join(slim.groupBy("table_id").agg((F.max("row") + 1).alias("n")), "table_id")
+    tries = sized.select("i", "table_id", "at", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), lambda j: place(j) % F.col("n"))).alias("nth", "row"))
+    first = tries.join(slim, ["table_id", "row"]).filter(filled).groupBy("i").agg(F.min(F.struct("nth", "row", "vals")).alias("m")).select("i", "m.row", "m.vals")
+    whole = d.join(first.select("i"), "i", "left_anti").join(slim, "table_id").filter(filled)
+    rest = whole.groupBy("i").agg(F.min(F.struct(place(F.concat(F.lit("all/"), F.col("row").cast("string"))).alias("k"), "row", "vals")).alias("m")).select("i", "m.row", "m.vals")
+    return first.union(rest).select("i", F.col("row").cast("int").alias("row"), "vals")
+
+
 def sample_queries(rows: DataFrame, types: DataFrame, draws: int, seed: str = "sql", hi: float | None = None) -> DataFrame:
     """Queries from `draws` draws; draws that give no condition are rejected. types: table_id, col, col_name, type of the fit columns.
 
@@ -41,10 +63,7 @@ def sample_queries(rows: DataFrame, types: DataFrame, draws: int, seed: str = "s
     wanted = F.when(F.col("title") != "", _draw("conds", seed) % 4).otherwise(_draw("conds", seed) % 3 + 1).cast("int")
     others = F.transform(F.filter("cols", lambda c: c["col"] != F.col("sel")), lambda c: c["col"])
     d = d.withColumn("at", F.slice(_ordered(others, "cols", seed), F.lit(1), wanted))
-    # the row of the draw is one of those whose condition cells are all filled: the least by md5, so a task sends on one of each draw
-    full = d.select("i", "table_id", "at").join(rows.select("table_id", "row", "vals"), "table_id").filter(F.forall("at", lambda c: F.coalesce(F.get("vals", c), F.lit("")) != ""))
-    drawn = F.md5(F.concat_ws("/", F.lit(seed), F.lit("row"), F.col("i").cast("string"), F.col("row").cast("string")))
-    d = d.join(full.groupBy("i").agg(F.min(F.struct(drawn.alias("k"), "row", "vals")).alias("m")).select("i", "m.row", "m.vals"), "i")
+    d = d.join(_drawn_rows(d.select("i", "table_id", "at"), rows, seed), "i")
     kinds = F.map_from_entries("cols")
     cond = F.transform(
         "at",
@@ -74,9 +93,24 @@ def new_queries(queries: DataFrame, history: DataFrame | None = None) -> DataFra
 def execute(queries: DataFrame, rows: DataFrame, types: DataFrame) -> DataFrame:
     """(qid, result): text columns by equality, float columns by number; without an aggregate the values in the order of rows.
 
-    Rows are joined to the queries of their table and filtered inside the row."""
+    Queries that ask alike are answered once. Of the equalities on text columns, the one that the fewest rows meet is looked
+    up by an equi-join on (table, column, value) and the other conditions are checked within the row; queries
+    without any meet their table in PARTS parts. Only queries without an aggregate gather their values, which are the result."""
     kinds = types.groupBy("table_id").agg(F.map_from_entries(F.collect_list(F.struct("col", "type"))).alias("kinds"))
-    full = queries.join(rows.select("table_id", F.col("row").alias("r"), "title", "vals"), "table_id").join(kinds, "table_id")
+    same = ["table_id", "sel", "agg", "conds"]
+    asked = queries.select(*same).distinct().join(kinds, "table_id")
+    text_kind = lambda c: c["col"].isNotNull() & (c["op"] == 0) & F.coalesce(F.element_at("kinds", c["col"]) != "float", F.lit(True))
+    asked = asked.withColumn("by", F.filter("conds", text_kind))
+    slim = rows.select("table_id", F.col("row").alias("r"), "title", "vals")
+    cell = slim.select("*", F.posexplode("vals").alias("c", "value"))
+    each = asked.filter("size(by) > 0").select(*same, "kinds", F.explode("by").alias("b")).select(*same, "kinds", F.col("b.col").alias("c"), F.col("b.value").alias("value"))
+    key = ["table_id", "c", "value"]
+    often = cell.select(*key).join(each.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.count("*").alias("times"))
+    rarest = each.join(often, key).groupBy(*same).agg(F.min(F.struct("times", "c", "value")).alias("k"), F.first("kinds").alias("kinds"))
+    looked = rarest.select(*same, "kinds", "k.c", "k.value").join(cell, key).drop("c", "value")
+    part = F.pmod(F.xxhash64("r"), F.lit(PARTS))
+    free = asked.filter("size(by) = 0").drop("by").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    met = free.join(slim.withColumn("part", part), ["table_id", "part"]).drop("part")
 
     def holds(c: Column) -> Column:
         cell, number = F.get("vals", c["col"]), F.element_at("kinds", c["col"]) == "float"
@@ -84,14 +118,17 @@ def execute(queries: DataFrame, rows: DataFrame, types: DataFrame) -> DataFrame:
         as_number = F.when(c["op"] == 0, a == b).when(c["op"] == 1, a > b).otherwise(a < b)
         return F.when(c["col"].isNull(), F.lower(T.strip(c["value"])) == F.lower(T.strip(F.col("title")))).when(number, as_number).otherwise(cell == c["value"])
 
-    hit = full.filter(F.forall("conds", lambda c: F.coalesce(holds(c), F.lit(False)))).withColumn("v", F.get("vals", F.col("sel")))
+    hit = looked.unionByName(met).filter(F.forall("conds", lambda c: F.coalesce(holds(c), F.lit(False)))).withColumn("v", F.get("vals", F.col("sel")))
     x = F.col("v").try_cast("double")
-    sums = hit.groupBy("qid", "agg").agg(F.max(x).alias("m1"), F.min(x).alias("m2"), F.count("v").alias("m3"), F.sum(x).alias("m4"), F.avg(x).alias("m5"), F.array_sort(F.collect_list(F.struct("r", "v"))).alias("vs"))
+    listed = F.collect_list(F.when(F.col("agg") == 0, F.struct("r", "v")))
+    sums = hit.groupBy(*same).agg(F.max(x).alias("m1"), F.min(x).alias("m2"), F.count("v").alias("m3"), F.sum(x).alias("m4"), F.avg(x).alias("m5"), F.array_sort(listed).alias("vs"))
     text = F.when(F.col("agg") == 0, F.array_join(F.transform("vs", lambda s: s["v"]), "|"))
     for i in range(1, 6):
         value = F.col(f"m{i}").cast("string") if i == 3 else F.format_string("%.4f", F.round(f"m{i}", 4))
         text = text.when(F.col("agg") == i, value)
-    return sums.select("qid", text.alias("result"))
+    found = sums.select(*(F.col(c).alias(f"_{c}") for c in same), text.alias("result"))
+    alike = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]
+    return queries.select("qid", *same).join(found, alike).select("qid", "result")
 
 
 def verbalised(queries: DataFrame, rows: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from gridseek.functions import text as T
 from gridseek.functions import udf as U
-from gridseek.functions.vectors import mean_pool
 from gridseek.operators import examples as E
 from gridseek.operators import gold as G
 from gridseek.operators import metrics as M
@@ -365,11 +364,12 @@ _KINDS = f"{CELLS}, kinds AS (SELECT table_id, col, any_value(title) AS title, C
 
 @query(
     f"""WITH {_KINDS}, tabs AS (SELECT table_id, any_value(title) AS title, list(col ORDER BY col) AS cols, list(type ORDER BY col) AS types, list(name ORDER BY col) AS names, row_number() OVER (ORDER BY table_id) - 1 AS t FROM kinds GROUP BY table_id),
-    d AS (SELECT i, {_drawn('table')} % (SELECT count(*) FROM tabs) AS t FROM range(400) AS r(i)),
+    d AS (SELECT i, {_drawn('table')} % (SELECT count(*) FROM tabs) AS t FROM range((SELECT count(*) FROM trows)) AS r(i)),
     p AS (SELECT i, table_id, title, cols, types, names, cols[1 + {_drawn('sel')} % len(cols)] AS sel, CASE WHEN types[1 + {_drawn('sel')} % len(cols)] = 'float' THEN 1 + {_drawn('agg')} % 5 ELSE 0 END AS agg,
       CASE WHEN title <> '' THEN {_drawn('conds')} % 4 ELSE 1 + {_drawn('conds')} % 3 END AS wanted FROM d JOIN tabs USING (t)),
     a AS (SELECT *, (list_transform(list_sort(list_transform(list_filter(cols, lambda c: c <> sel), lambda c: [md5('sql/cols/' || i || '/' || c), c::VARCHAR])), lambda x: x[2]::INT))[:wanted] AS picked FROM p),
-    r AS (SELECT a.*, row, vals FROM a JOIN trows USING (table_id) WHERE len(list_filter(picked, lambda c: vals[c + 1] = '')) = 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY md5('sql/row/' || i || '/' || row)) = 1),
+    z AS (SELECT table_id, max(row) + 1 AS n FROM trows GROUP BY table_id), j AS (SELECT a.*, k, ('0x' || substr(md5('sql/row/' || i || '/' || k), 1, 10))::BIGINT % n AS row FROM a JOIN z USING (table_id), range(8) AS t(k)),
+    r AS (SELECT j.* EXCLUDE (row), trows.row, vals FROM j JOIN trows ON trows.table_id = j.table_id AND trows.row = j.row WHERE len(list_filter(picked, lambda c: vals[c + 1] = '')) = 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY k) = 1),
     c AS (SELECT *, list_transform(picked, lambda c: names[c + 1] || ' ' || (['[E-Q]', '[G-T]', '[L-T]'])[1 + CASE WHEN types[c + 1] = 'float' THEN ('0x' || substr(md5('sql/op/' || i || '/' || c), 1, 10))::BIGINT % 3 ELSE 0 END] || ' ' || vals[c + 1]) AS conds FROM r),
     f AS (SELECT *, CASE WHEN title <> '' AND (len(picked) = 0 OR {_drawn('title')} % (1 + len(picked)) = 0) THEN list_append(conds, 'about [E-Q] ' || title) ELSE conds END AS every FROM c)
     SELECT 'train_' || i AS qid, table_id, CASE WHEN len(picked) > 0 THEN row END AS row, sel, agg::INT AS agg, len(every)::INT AS n_conds,
@@ -377,7 +377,7 @@ _KINDS = f"{CELLS}, kinds AS (SELECT table_id, col, any_value(title) AS title, C
 )
 def sql_sample(spark, sf_dir):
     rows = all_tables(spark, sf_dir)
-    drawn = Q.sample_queries(rows, typed_columns(rows), 400)
+    drawn = Q.sample_queries(rows, typed_columns(rows), rows.count())
     return drawn.select("qid", "table_id", "row", "sel", "agg", F.size("conds").alias("n_conds"), "sql_text")
 
 
@@ -693,7 +693,8 @@ def top5_tables(spark, sf_dir):
 def table_max_feature(spark, sf_dir):
     feats = vectors(spark, sf_dir).select("p_id", F.col("embedding").alias("features"))
     out = R.table_max(retrieved(spark, sf_dir).select("qid", "table_id", "p_id").join(feats, "p_id"))
-    return out.select("qid", "table_id", "p_id", "dim", F.round(F.col("x").cast("double"), 6).alias("x"), F.round(F.col("top").cast("double"), 6).alias("top"))
+    out = out.select("qid", "table_id", "p_id", F.posexplode(F.arrays_zip(F.col("features").alias("x"), F.col("top").alias("top"))).alias("dim", "e"))
+    return out.select("qid", "table_id", "p_id", "dim", F.round(F.col("e.x").cast("double"), 6).alias("x"), F.round("e.top", 6).alias("top"))
 
 
 @query(f"WITH {SCORED}, s AS (SELECT qid, p_id, score * m AS x FROM retr, unnest([0.5, 1.0, 1.5, 2.0]) AS t(m)) SELECT qid, p_id, round(avg(least(x, 0) - ln(1 + exp(-abs(x)))), 6) AS score FROM s GROUP BY ALL")
@@ -707,10 +708,8 @@ def ensemble_logsigmoid(spark, sf_dir):
     SELECT label, dim::INT AS dim, round(sum(v[dim + 1]) / count(*), 5) AS mean FROM t, range(0, 64) AS r(dim) WHERE m = 1 GROUP BY ALL"""
 )
 def masked_mean_pool(spark, sf_dir):
-    e = load(spark, sf_dir, "embeddings").select("label", F.struct("vec_id", F.col("embedding").alias("v"), (F.col("vec_id") % 3 != 0).cast("int").alias("m")).alias("s"))
-    g = e.groupBy("label").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    pooled = g.select("label", mean_pool(F.col("s.v"), F.col("s.m"), 64).alias("p"))
-    return pooled.select("label", F.posexplode("p").alias("dim", "mean")).withColumn("mean", F.round("mean", 5))
+    pooled = R.mean_pooled(load(spark, sf_dir, "embeddings"), "label", "embedding", (F.col("vec_id") % 3 != 0).cast("int"))
+    return pooled.select("label", F.posexplode("mean").alias("dim", "mean")).withColumn("mean", F.round("mean", 5))
 
 
 # ---- filters --------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Operators against plain re-derivations and small golden tables."""
 
+import math
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridseek.functions import text as T
 from gridseek.functions import udf
+from gridseek.functions.vectors import mean_pool
 from gridseek.operators import gold, metrics, profile, ranking, retrieval, sqlgen, triples
 from gridseek.sources import sinks, tables
 
@@ -216,3 +218,78 @@ def test_answers_in_texts(spark, monkeypatch):
         monkeypatch.setattr(metrics, "ANSWERS", limit)
         got = metrics.answered(retr, texts, answers).collect()
         assert {(r.qid, r.p_id) for r in got if r.correct} == want and len(got) == 16
+
+
+def test_draws_meet_single_rows(spark):
+    # a column that is empty but for one row, row numbers with gaps, a table without any filled cell, a null cell
+    vals = [(f"a{i}", "only" if i == 777 else "", str(i % 3)) for i in range(0, 2000, 7)]
+    rows = spark.createDataFrame(
+        [("t", "title", 7 * i, ["a", "b", "c"], list(v)) for i, v in enumerate(vals)] + [("e", "", i, ["a", "b", "c"], ["", None, ""]) for i in range(20)],
+        "table_id string, title string, row int, names array<string>, vals array<string>",
+    )
+    columns = rows.select("table_id").distinct().select("table_id", F.explode(F.array(*(F.struct(F.lit(i).alias("col"), F.lit(n).alias("col_name"), F.lit("text").alias("type")) for i, n in enumerate("abc")))).alias("c")).select("table_id", "c.*")
+    drawn = sqlgen.sample_queries(rows, columns, 400).collect()
+    held = {r["row"]: r["vals"] for r in rows.filter("table_id = 't'").collect()}
+    assert drawn and {r["table_id"] for r in drawn} == {"t"}  # every draw of the empty table has a condition and no title
+    for r in drawn:
+        for c in r["conds"]:
+            assert c["value"] == ("title" if c["col"] is None else held[r["row"]][c["col"]]) != ""
+    rare = [r for r in drawn if any(c["col"] == 1 for c in r["conds"])]
+    assert rare and {r["row"] for r in rare} == {7 * [v[1] for v in vals].index("only")}
+    assert len({r["row"] for r in drawn if r["row"] is not None}) > 60
+    again = sqlgen.sample_queries(rows.repartition(5), columns, 400).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, drawn))
+
+
+def test_execution_against_plain_filters(spark):
+    cells = [("x" if i % 3 else "y", str(i % 5) + ".5", None if i % 11 == 0 else f"v{i}") for i in range(300)]
+    rows = spark.createDataFrame([("t", "The Title", i, ["k", "n", "v"], list(c)) for i, c in enumerate(cells)] + [("u", "Other", 0, ["k", "n", "v"], ["x", "1.5", "z"])], "table_id string, title string, row int, names array<string>, vals array<string>")
+    types = spark.createDataFrame([(t, i, n, k) for t in "tu" for i, n, k in ((0, "k", "text"), (1, "n", "float"), (2, "v", "text"))], "table_id string, col int, col_name string, type string")
+    conds = [
+        [(0, 0, "y")], [(0, 0, "x"), (1, 1, "2")], [(1, 2, "3")], [(1, 0, "2.50")], [(None, 0, " the title ")], [(None, 0, "nope")],
+        [(0, 0, "x"), (2, 0, "v7")], [(0, 0, "y"), (0, 0, "x")], [(0, 0, None)], [(0, 0, "y"), (None, 0, "The Title")], [(0, 0, "absent")],
+    ]
+    asked = [(f"q{i}_{agg}_{twin}", "t", 0, sel, agg, c) for i, c in enumerate(conds) for agg, sel in ((0, 2), (1, 1), (2, 1), (3, 2), (4, 1), (5, 1)) for twin in "ab"]
+    queries = spark.createDataFrame(asked, "qid string, table_id string, row int, sel int, agg int, conds array<struct<col:int,op:int,value:string>>")
+
+    def holds(v, c):
+        col, op, x = c
+        if col is None:
+            return x.strip().lower() == "the title"
+        if x is None or v[col] is None:
+            return False
+        if col == 1:
+            return (float(v[1]) == float(x), float(v[1]) > float(x), float(v[1]) < float(x))[op]
+        return v[col] == x
+
+    want = {}
+    for qid, _, _, sel, agg, cs in asked:
+        hit = [v[sel] for v in cells if all(holds(v, c) for c in cs)]
+        if hit:
+            number = [float(x) for x in hit if x is not None] if sel == 1 else []
+            want[qid] = ("|".join(x for x in hit if x is not None) if agg == 0 else str(sum(x is not None for x in hit)) if agg == 3
+                         else f"{ {1: max, 2: min, 4: sum, 5: lambda z: sum(z) / len(z)}[agg](number):.4f}")
+    got = {r["qid"]: r["result"] for r in sqlgen.execute(queries, rows, types).collect()}
+    assert got == want
+
+
+def test_vectors_of_tables(spark):
+    rows = [(q, t, p, [float(p), -float(p), float(q)]) for q in range(3) for t in range(2) for p in range(1, 6)]
+    df = spark.createDataFrame(rows, "qid int, table_id int, p_id int, features array<double>")
+    out = ranking.table_max(df).collect()
+    assert len(out) == len(rows) and all(r["top"] == [5.0, -1.0, float(r["qid"])] for r in out)
+    pooled = {r["table_id"]: r["mean"] for r in ranking.mean_pooled(df.filter("qid = 0"), "table_id", "features", (F.col("p_id") <= 2).cast("int")).collect()}
+    assert pooled == {0: [1.5, -1.5, 0.0], 1: [1.5, -1.5, 0.0]}
+    assert ranking.mean_pooled(df, "table_id", "features", F.lit(0)).count() == 0
+    one = df.groupBy().agg(F.collect_list("features").alias("v"), F.collect_list((F.col("p_id") == 5).cast("int")).alias("m")).select(mean_pool(F.col("v"), F.col("m"), 3).alias("x")).first()["x"]
+    assert [round(x, 9) for x in one] == [5.0, -5.0, 1.0]
+
+
+def test_grams_of_several_references(spark):
+    pairs = spark.createDataFrame([(1, "a b c d e", ["a b c d", "x b c d e"]), (2, "", ["a"]), (3, "a a", ["a", "a a a"]), (4, "q", [])], "sid int, hyp string, refs array<string>")
+    got = {r["sid"]: r["chrf"] for r in metrics.chrf(pairs).collect()}
+    assert set(got) == {1, 2, 3} and got[1] > 80 and got[2] == 0  # the best reference counts; without references there is no score
+    total = metrics.bleu4(pairs).first()
+    # sentence 1: 5, 4, 3, 2 of 5, 4, 3, 2 n-grams are in some reference; sentence 3: 2 of 2 and 1 of 1; sentence 4: 0 of 1
+    logs = math.log(7 / 8) + 0
+    assert total["hyp_words"] == 8 and abs(total["bleu"] - round(100 * math.exp(logs / 4 + min(0, 1 - total["ref_words"] / 8)), 6)) < 1e-5
