@@ -426,7 +426,7 @@ def sql_dedup(spark, sf_dir):
 def _executed(agg: int) -> str:
     x = "try_cast(r.vals[sel + 1] AS DOUBLE)"
     value = {0: "string_agg(r.vals[sel + 1], '|' ORDER BY r.row)", 1: f"max({x})", 2: f"min({x})", 3: "count(*)::VARCHAR", 4: f"sum({x})", 5: f"avg({x})"}[agg]
-    value = value if agg in (0, 3) else f"printf('%.4f', round({value}, 4))"
+    value = value if agg in (0, 3) else f"printf('%.4f', round(round({value}, 9), 4))"
     return f"""WITH {FIXED} SELECT qid, {value} AS result FROM q JOIN cust r USING (table_id) WHERE agg = {agg} AND r.vals[2] = seg AND (op IS NULL OR CASE WHEN op = 1 THEN r.vals[3]::DOUBLE > bal::DOUBLE ELSE r.vals[3]::DOUBLE < bal::DOUBLE END) GROUP BY qid"""
 
 
