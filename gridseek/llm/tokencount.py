@@ -18,13 +18,20 @@ parallel prefix scan then composes the maps of 1, 2, 4, ... chunks in a row, and
 Special strings in a text are tokens of their own, as in the library's default; they part the text. Only the
 character classes are asked of the library, one probe per new character, so its Unicode tables hold.
 
-Cases: null counts as empty; a null or repeated id is a row like others; a very long text is a block of its
-own and takes some 50 bytes a byte; an empty table gives an empty result; extra columns are ignored.
+A long text is counted in pieces of PIECE characters, cut where a pre-token starts whatever surrounds it: before
+white space that follows other characters, or before a mark that follows a letter or digit. Counts add up, so memory
+is some 50 bytes a byte of a piece, and of a run longer than that without any such place.
+
+Only plain byte-level vocabularies are compiled; for any other kind of file an error says what is unlike them.
+
+Cases: null counts as empty; a null or repeated id is a row like others; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +43,10 @@ from gridseek.llm.common import U64, small_batches
 
 CHUNK = 192
 MAX_STATES = 800_000
+#: Characters of a text, and bytes or characters of a block of texts, that are counted at once.
+PIECE, BLOCK = 1 << 20, 2 << 20
+#: Places where a pre-token starts whatever stands around them.
+_CUT = re.compile("(?<=\\S)[ \\t\\n\\r]|(?<=[A-Za-z0-9ぁ-ゖァ-ヺ一-龥가-힣])[,.;:!?。、！？]")
 LETTER, NUMBER, OTHER, WHITE = range(4)
 _UNKNOWN = 255
 _HEAD = 1  # the state before a chunk's first boundary
@@ -52,12 +63,40 @@ def _pack(reading: int, behind: int) -> int:
     return reading << 10 | behind + 512
 
 
+def require_byte_level(spec: dict, path: str) -> None:
+    """An error for a tokenizer whose texts the transducer would count otherwise than its library."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    unlike = [
+        ("a normalizer", spec.get("normalizer")),
+        ("a pre-tokenizer other than ByteLevel", pre.get("type") != "ByteLevel"),
+        ("a space put before texts", pre.get("add_prefix_space")),
+        ("no splitting by the pattern", not pre.get("use_regex", True)),
+        ("a model other than BPE", model.get("type", "BPE") != "BPE"),
+        ("a vocabulary without some byte", not set(byte_alphabet()) <= set(model.get("vocab", {}))),
+        *((f"the model's {k}", model.get(k)) for k in ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix")),
+        *(("special strings that take what surrounds them", True) for x in spec.get("added_tokens", []) if x.get("single_word") or x.get("lstrip") or x.get("rstrip")),
+    ]
+    found = [what for what, there in unlike if there]
+    if found:
+        raise ValueError(f"{path} isn't a plain byte-level vocabulary: {', '.join(dict.fromkeys(found))}")
+
+
+def cut(text: str) -> Iterator[str]:
+    """The text in pieces of at least PIECE characters (the last may be shorter), whose token counts add up to its own."""
+    at = 0
+    while len(text) - at > PIECE and (found := _CUT.search(text, at + PIECE)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
 class Merges:
     """The vocabulary: which bytes are a token, which begin one, and whether two tokens stay apart."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        require_byte_level(spec, path)
         letters, model = byte_alphabet(), spec["model"]
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         raw = lambda s: bytes(letters[c] for c in s)
@@ -256,18 +295,23 @@ class Counter:
         self.fst, self.classes = Transducer(path), Classes()
 
     def count(self, texts: list[str]) -> np.ndarray:
-        specials = self.fst.merges.special
-        total, pieces, owner = np.zeros(len(texts), np.int64), [], []
+        total = np.zeros(len(texts), np.int64)
+        pieces, owner, held = [], [], 0
         for i, text in enumerate(texts):
             parts = [text]
-            for s in specials:
+            for s in self.fst.merges.special:
                 if s in text:
                     parts = [q for p in parts for q in p.split(s)]
             total[i] = len(parts) - 1
-            pieces += parts
-            owner += [i] * len(parts)
-        counts = self._count(pieces)
-        np.add.at(total, np.array(owner, np.int64), counts)
+            for part in parts:
+                for piece in cut(part):
+                    if pieces and held + len(piece) > BLOCK:
+                        np.add.at(total, np.array(owner, np.int64), self._count(pieces))
+                        pieces, owner, held = [], [], 0
+                    pieces.append(piece)
+                    owner.append(i)
+                    held += len(piece)
+        np.add.at(total, np.array(owner, np.int64), self._count(pieces))
         return total
 
     def _count(self, pieces: list[str]) -> np.ndarray:
@@ -362,7 +406,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             at = 0
             while at < batch.num_rows:
-                to = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), 2 << 20, side="right")))
+                to = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), BLOCK, side="right")))
                 n = own.count([x or "" for x in batch.column(1).slice(at, to - at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(sizes[at:to]), pa.array(n), pa.array(n > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
                 at = to

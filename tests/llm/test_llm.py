@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import itertools
+import json
 import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -165,6 +167,39 @@ def test_ids_of_long_white_space_and_special_strings(library):
         assert own(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_token_counts_of_long_texts_in_pieces(library, monkeypatch):
+    monkeypatch.setattr(tokencount, "PIECE", 40)
+    monkeypatch.setattr(tokencount, "BLOCK", 300)
+    draw = random.Random(9)
+    bits = ["word", "don't", "we'll", "'re", "'s", " ", "  ", "\n", "\n\n ", "\t", "\r\n", ".", ",", "...", "、", "。", "漢字", "かな", "한글", "_", "12", "3.4", "é", "\x1c", "\x85", "\xa0", "\u3000", "🙂", "<|endoftext|>", "x" * 90]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randint(0, 400))) for _ in range(300)] + ["", "a" * 1000, " " * 1000, "a " * 500, ("漢" * 30 + "。") * 40]
+    assert sum(len(list(tokencount.cut(t))) > 1 for t in texts) > 200 and all("".join(tokencount.cut(t)) == t for t in texts)
+    assert tokencount.counter(tokenizer_path()).count(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_memory_of_a_long_text_is_bounded():
+    own = tokencount.counter(tokenizer_path())
+    text = " some words, and more of them;\n 12 lines." * 200
+    one, _ = own.count([text])[0], own.count([text * 300])  # compiled by now
+    tracemalloc.start()
+    got = own.count([text * 3000])[0]  # 25 million characters
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == 3000 * one and most < 12 * len(text) * 3000
+
+
+def test_other_vocabularies_are_refused():
+    path = os.path.join(os.path.dirname(tokenizer_path()), "word_bpe_49k.json")
+    with pytest.raises(ValueError, match="byte-level"):
+        tokencount.Counter(path)
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"dropout": 0.1}}):
+        with pytest.raises(ValueError, match="byte-level"):
+            tokencount.require_byte_level(spec | change, "changed")
+    tokencount.require_byte_level(spec, "as it is")
+
+
 def test_token_count_rows(spark, docs, corpus, library):
     got = collections.Counter(map(tuple, tokencount.token_counts(docs, tokenizer_path()).collect()))
     n = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
