@@ -40,7 +40,7 @@ def _drawn_rows(d: DataFrame, rows: DataFrame, seed: str) -> DataFrame:
     slim = rows.select("table_id", F.col("row").cast("long").alias("row"), "vals")
     sized = d.join(slim.groupBy("table_id").agg((F.max("row") + 1).alias("n")), "table_id")
     tries = sized.select("i", "table_id", "at", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), lambda j: place(j) % F.col("n"))).alias("nth", "row"))
-    first = tries.join(slim, ["table_id", "row"]).filter(filled).groupBy("i").agg(F.min(F.struct("nth", "row", "vals")).alias("m")).select("i", "m.row", "m.vals")
+    first = tries.join(slim, ["table_id", "row"]).filter(filled).groupBy("i").agg(F.min(F.struct("nth", "row", "vals")).alias("m")).select("i", "m.row", "m.vals").persist()
     whole = d.join(first.select("i"), "i", "left_anti").join(slim, "table_id").filter(filled)
     rest = whole.groupBy("i").agg(F.min(F.struct(place(F.concat(F.lit("all/"), F.col("row").cast("string"))).alias("k"), "row", "vals")).alias("m")).select("i", "m.row", "m.vals")
     return first.union(rest).select("i", F.col("row").cast("int").alias("row"), "vals")
@@ -63,7 +63,8 @@ def sample_queries(rows: DataFrame, types: DataFrame, draws: int, seed: str = "s
     wanted = F.when(F.col("title") != "", _draw("conds", seed) % 4).otherwise(_draw("conds", seed) % 3 + 1).cast("int")
     others = F.transform(F.filter("cols", lambda c: c["col"] != F.col("sel")), lambda c: c["col"])
     d = d.withColumn("at", F.slice(_ordered(others, "cols", seed), F.lit(1), wanted))
-    d = d.join(_drawn_rows(d.select("i", "table_id", "at"), rows, seed), "i")
+    d = d.persist()  # a row a draw, read three times
+    d = d.join(_drawn_rows(d.select("i", "table_id", "at"), rows, seed), "i").persist()
     kinds = F.map_from_entries("cols")
     cond = F.transform(
         "at",
